@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm.shared import table
+from trawl.llm.shared import fresh_path, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tree, with_shard(tree))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trawl.llm.bpe import decode_ids, digests, encode_documents
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return digests(decode_ids(coded, path))
+
+
+def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trawl.llm.packing import read_packed, write_packed
+
+    folder = fresh_path(spark, "packed")
+    manifest = write_packed(table(spark, sf_dir, "documents").select("doc_id", "text"), folder, public_tokenizers.path("word_bpe_49k.json"), 2)
+    return read_packed(manifest, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing}
 
 
 def oracle_sql() -> dict[str, str]:
