@@ -36,8 +36,14 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest, folder)
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.secrets import scan_secrets, secret_digest
+
+    return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
