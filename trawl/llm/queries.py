@@ -36,6 +36,12 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest, folder)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.mixing import mix_by_source
+
+    return mix_by_source(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawl.llm.secrets import scan_secrets, secret_digest
 
@@ -43,7 +49,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op10_secrets": op10_secrets}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
