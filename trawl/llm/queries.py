@@ -49,6 +49,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def vocabularies() -> tuple[str, str, str]:
+    """A piece vocabulary with byte fallback, a byte-level one and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.quality import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), vocabularies(), keep=["doc_id"])
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawl.llm.secrets import scan_secrets, secret_digest
 
@@ -56,7 +69,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op10_secrets": op10_secrets}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
