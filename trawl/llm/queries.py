@@ -49,6 +49,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint_hex(found["fp"]).alias("fingerprint"), "component_id")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def vocabularies() -> tuple[str, str, str]:
     """A piece vocabulary with byte fallback, a byte-level one and its pattern."""
     import public_tokenizers
@@ -69,7 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
