@@ -60,30 +60,66 @@ def vocabulary_size(path: str) -> int:
 
 
 class WordEncoder:
-    """Encodes texts word by word, each distinct word once.
+    """Encodes texts word by word, each distinct word once while the cache holds it.
 
-    For tokenizers that drop white space: no token crosses it, so a text's ids are those of its words in order. A
-    text that holds an added token's string (which may hold white space or touch words) is encoded whole.
+    For tokenizers that drop white space and fold case: no token crosses white space, so a text's ids are those of
+    its words in order. Words of plain Latin letters share their entry with their lower-case form, without a final
+    dot or comma, which is a token run of its own. New words are encoded together, a separator word between them,
+    and split where its token comes back. A text that holds an added token's string (which may hold white space or
+    touch words) is encoded whole, and so is a word that holds the separator.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
-        self.tokenizer, self.most, self.ids = _tokenizer(path), most, {}
+    def __init__(self, path: str, most: int = 200_000):
+        self.tokenizer, self.most = _tokenizer(path), most
+        self.known, self.ids, self.old = {}, {}, {}  # words; their parts, lately used; parts used before
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        codes = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "\u2665\u2605\u2714\u266b\u2600")
+        self.mark, self.mark_id = next(((c, ids[0]) for c, ids in codes if len(ids) == 1), (None, None))
+        self.folds = self.whole("Ab.") == self.whole("ab") + self.whole(".") and self.whole("ab,") == self.whole("ab") + self.whole(",")
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 4_000):
+            part = new[i : i + 4_000]
+            plain = [w for w in part if self.mark and self.mark not in w]
+            if plain:
+                ids = np.asarray(self.tokenizer.encode(f" {self.mark} ".join(plain), add_special_tokens=False).ids, "<u4")
+                at = np.flatnonzero(ids == self.mark_id)
+                if len(at) == len(plain) - 1:
+                    raw = ids.tobytes()
+                    starts, ends = [0, *(4 * at + 4).tolist()], [*(4 * at).tolist(), len(raw)]
+                    self.ids.update((w, raw[i:j]) for w, i, j in zip(plain, starts, ends, strict=True))
+            for w in part:
+                if w not in self.ids:
+                    self.ids[w] = self.whole(w)
+
+    def _parts(self, word: str) -> tuple[str, ...]:
+        if self.folds and max(word) < "\u0130":
+            low = word.lower()
+            return (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low,)
+        return (word,)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [words(t) if not any(a in t for a in self.added) else None for t in texts]
+        if len(self.known) > self.most:
+            self.known = {}
         if len(self.ids) > self.most:
-            self.ids.clear()
-        new = list({w for ws in plain if ws for w in ws} - self.ids.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.ids[w] = np.asarray(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [self.whole(t) if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, plain, strict=True)]
+            self.old, self.ids = self.ids, {}
+        known, ids = self.known, self.ids
+        new = set().union(*(ws for ws in plain if ws)).difference(known)
+        parts = [(w, self._parts(w)) for w in new]
+        cores = {x for _, p in parts for x in p}.difference(ids)
+        ids.update((x, self.old[x]) for x in cores.intersection(self.old))
+        self._learn(list(cores.difference(ids)))
+        known.update((w, ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]) for w, p in parts)
+        return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, plain, strict=True)]
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
 
 
 class PackedWriter:
@@ -183,13 +219,13 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
     """
     from pyspark import TaskContext
 
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 256)
     width = width_of(max(vocabulary_size(path), end_id + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
-        part, out, encoder = TaskContext.get().partitionId(), None, WordEncoder(path)
+        part, out, encoder = TaskContext.get().partitionId(), None, _encoder(path)
         end = np.asarray([end_id], np.uint32)
         for b in batches:
             if out is None and b.num_rows:
@@ -220,7 +256,8 @@ def read_packed(manifest: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield _batch(held)
 
-    return manifest.repartition("part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    files = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as wrote; a plain repartition would be merged into few
+    return manifest.repartition(files, "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -162,7 +162,7 @@ def _evidence(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def learn_lexicon(labelled: DataFrame, n_bad: int, n_good: int, g_least: float = 33.0, most: int = 5000) -> Lexicon:
+def learn_lexicon(labelled: DataFrame, n_bad: int, n_good: int, g_least: float = 25.0, most: int = 5000) -> Lexicon:
     """The seeds, and the features whose G statistic is beyond chance and of whose documents over half are toxic; most at most, the strongest."""
     n = n_bad + n_good
     bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
