@@ -36,6 +36,12 @@ def op3_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_packed(manifest, folder)
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trawl.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda i: i % 20 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trawl.llm.mixing import mix_by_source
 
@@ -81,7 +87,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
