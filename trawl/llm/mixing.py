@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import WORD, written
+from trawl.llm.shared import WORD, carried, written
 
 #: Weights of the sources in order, repeating (fixed by the contract of the query).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -95,7 +95,7 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
     What the driver holds is a row for each pattern, max_patterns at most (more: ValueError); documents stay where
     they are, but for one of buckets hash ranges in each pattern, in which the flow ends. An empty table gives no rows.
     """
-    keep = docs.columns if keep is None else keep
+    keep = carried(docs, keep, ("_size", "_members", "_source_size", "_target", "_taken", "_hash", "_bucket"))
     spark = docs.sparkSession
     own = F.coalesce(members, F.array(F.lit(None).cast("string")))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))

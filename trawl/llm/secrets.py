@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import written
+from trawl.llm.shared import carried, written
 
 #: Fixed values of the contract: the kinds in their order, what a match is, and which matches stay.
 KINDS = ("assign", "access", "hex", "random")
@@ -140,15 +140,15 @@ def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
     access = _positions(text, ACCESS, F.contains(text, F.lit("AKIA")))
     runs = _positions(text, HEX, text.rlike(HEX))
     tokens = _positions(text, CANDIDATE, text.rlike(CANDIDATE))
-    found = docs.select(*docs.columns, assign.alias("_assign"), access.alias("_access"), runs.alias("_hex"), tokens.alias("_tokens"))
+    found = docs.select(*docs.columns, assign.alias("__assign__"), access.alias("__access__"), runs.alias("__hex__"), tokens.alias("__tokens__"))
     as_spans = lambda c, kind: F.transform(F.col(c), lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
-    base = F.array_sort(F.concat(as_spans("_assign", 0), as_spans("_access", 1), as_spans("_hex", 2)))
-    return found.select(*docs.columns, base.alias("_base"), _tested(F.col("_tokens")).alias("_tested"))
+    base = F.array_sort(F.concat(as_spans("__assign__", 0), as_spans("__access__", 1), as_spans("__hex__", 2)))
+    return found.select(*docs.columns, base.alias("__base__"), _tested(F.col("__tokens__")).alias("__tested__"))
 
 
 def _limits(tested: DataFrame, q: float) -> DataFrame:
     """The smallest bin that Benjamini-Hochberg accepts, for each length class: at most 13 rows, from all rows' counts."""
-    each = tested.select(F.explode("_tested").alias("t")).select("t.length_class", "t.bin")
+    each = tested.select(F.explode("__tested__").alias("t")).select("t.length_class", "t.bin")
     counts = each.groupBy("length_class", "bin").count()
     own = Window.partitionBy("length_class")
     from_here = own.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -164,15 +164,15 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     not listed again. Nulls: a null text counts as empty and has no spans. Each row is scanned on its own, whole;
     repeated rows get the same spans, an empty table gives no rows. Columns of any other name are carried.
     """
-    keep = docs.columns if keep is None else keep
+    keep = carried(docs, keep, ("secrets",))
     scanned = _scanned(docs.select(*keep, *([] if text_col in keep else [text_col])), text_col)
-    held = written(scanned.select(*keep, "_base", "_tested"), "secrets")
-    limits = _limits(held, q).agg(F.map_from_entries(F.collect_list(F.struct("length_class", "least"))).alias("_limits"))  # one row
+    held = written(scanned.select(*keep, "__base__", "__tested__"), "secrets")
+    limits = _limits(held, q).agg(F.map_from_entries(F.collect_list(F.struct("length_class", "least"))).alias("__limits__"))  # one row
     judged = held.join(F.broadcast(limits), F.lit(True), "left")
-    passed = F.filter("_tested", lambda t: t["plausible"] & (t["bin"] >= F.coalesce(F.try_element_at("_limits", t["length_class"]), F.lit(BINS + 1))))
-    free = F.filter(passed, lambda t: ~F.exists("_base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
+    passed = F.filter("__tested__", lambda t: t["plausible"] & (t["bin"] >= F.coalesce(F.try_element_at("__limits__", t["length_class"]), F.lit(BINS + 1))))
+    free = F.filter(passed, lambda t: ~F.exists("__base__", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
     extra = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return judged.select(*keep, F.array_sort(F.concat("_base", extra)).alias("secrets"))
+    return judged.select(*keep, F.array_sort(F.concat("__base__", extra)).alias("secrets"))
 
 
 def spans_text(spans: Column) -> Column:

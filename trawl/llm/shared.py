@@ -47,6 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame, keep: list[str] | None, produced: tuple[str, ...]) -> list[str]:
+    """The columns to carry: keep, or all but those whose names (case apart) the operator's own results take."""
+    own = {p.lower() for p in produced}
+    return list(keep) if keep is not None else [c for c in docs.columns if c.lower() not in own]
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of so few rows that texts of 100 kB each still fit a Python worker many times over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

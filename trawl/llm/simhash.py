@@ -55,10 +55,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     def run(batches):
         for b in batches:
-            fps = np.asarray([simhash(shingle_hashes(t, shingle)) for t in b.column("_text").to_pylist()], np.uint64)
+            fps = np.asarray([simhash(shingle_hashes(t, shingle)) for t in b.column("__text__").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(fps.view(np.int64))], [*keep, "fp"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, fp bigint")
+    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, fp bigint")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -210,8 +210,8 @@ def _matched(key: np.ndarray, fp: np.ndarray, distance: int):
     sizes = np.diff(np.append(starts, len(key)))
     fps = fp.view(np.uint64)
     edges = []
-    small = np.repeat(sizes, sizes) <= 16
-    for lag in range(1, int(min(16, sizes.max()))):
+    small = np.repeat(sizes, sizes) <= 64
+    for lag in range(1, int(min(64, sizes.max()))):
         same = (key[lag:] == key[:-lag]) & small[lag:]
         if not same.any():
             break
@@ -219,7 +219,7 @@ def _matched(key: np.ndarray, fp: np.ndarray, distance: int):
         i = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= distance]
         if len(i):
             edges.append(np.stack([fp[i], fp[i + lag]]))
-    for s, z in zip(starts[sizes > 16].tolist(), sizes[sizes > 16].tolist(), strict=True):
+    for s, z in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         if found := forest(np.unique(fps[s : s + z]), distance):
             edges.append(np.asarray(found, np.uint64).T.view(np.int64))
     if edges:
@@ -236,13 +236,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     keep = [id_col] if keep is None else keep
     at = written(fingerprints(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle), "fingerprints")
+    return at.join(classes(at, id_col, distance).select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
+
+
+def classes(at: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """fp, component_id, root (the component's smallest fingerprint) of each distinct fingerprint of at."""
     distinct = written(at.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
     edges = links(distinct, distance)
     own = components(edges, "a", "b")
     named = distinct.join(own.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    small = written(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "classes")
-    return at.join(small, "fp").select(*keep, "fp", "component_id")
+    return written(named.select("fp", "root", "first").join(least, "root").select("fp", "component_id", "root", "first"), "classes")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (rows that repeat it: any one of them)."""
+    names = docs.columns
+    at = written(fingerprints(docs, text_col, [c for c in names if c.lower() != "fp"], shingle), "fingerprints")
+    found = classes(at, id_col, distance).where(F.col("first").eqNullSafe(F.col("component_id")))
+    first = found.groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("x")).select(F.col("x.fp").alias("_fp"), F.col("x.component_id").alias("_id"))
+    kept = at.join(first, (F.col("fp") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
+    again = kept.groupBy("fp").count().where("count > 1")  # reads no text
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["fp"])
+    return kept.select(*[c for c in names if c.lower() != "fp"])
 
 
 def fingerprint_hex(fp: Column) -> Column:

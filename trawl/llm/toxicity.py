@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import small_batches, written
+from trawl.llm.shared import carried, small_batches, written
 
 #: Seed word lists, in English, German, French and Spanish; small and general, the lexicon is learned besides.
 SEEDS = {
@@ -204,17 +204,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The keep columns of docs, score (0 to 1) and predicted (1 from 0.5 up); every text whole, a null one as empty."""
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = carried(docs, keep, ("score", "predicted"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         machine, w = grammar(), model.coefficients
         for b in batches:
-            x = np.asarray([features(t, model.lexicon, machine) for t in b.column("_text").to_pylist()]).reshape(-1, len(FEATURES))
+            x = np.asarray([features(t, model.lexicon, machine) for t in b.column("__text__").to_pylist()]).reshape(-1, len(FEATURES))
             s = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, score double, predicted int")
+    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, score double, predicted int")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
