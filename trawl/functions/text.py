@@ -95,8 +95,7 @@ def safe_filename(value) -> Column:
 
 def trigrams(text) -> Column:
     """Distinct three-character windows of the lower-cased text."""
-    t = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))))
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def clamp(value, low: int, high: int) -> Column:

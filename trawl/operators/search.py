@@ -36,7 +36,7 @@ def hydrate(hits: DataFrame, chunks: DataFrame, hit_id: str, chunk_id: str, acti
 
 def penalised(hits: DataFrame, path: str, query_id: str, resort: bool = False) -> DataFrame:
     """Scores times the path's penalty; ranks stay those of the search unless resort."""
-    out = hits.withColumn("score", F.round(F.col("score") * path_penalty(path), 6))
+    out = hits.withColumn("score", F.round(F.col("score") * path_penalty(path), 9))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.col("rank")))) if resort else out
 
 
@@ -45,7 +45,7 @@ def parent_boost(hits: DataFrame, query_id: str, hit_id: str, kind: str, parent:
     owner = F.when((F.col(kind) == "hyde") & F.col(parent).isNotNull(), F.col(parent)).otherwise(F.col(hit_id))
     hyde = (F.col(kind) == "hyde") & F.col(parent).isNotNull()
     g = hits.groupBy(query_id, owner.alias("chunk_id")).agg(F.greatest(F.coalesce(F.max(F.when(~hyde, F.col("score"))), F.lit(0.0)), F.lit(0.0)).alias("code_score"), F.greatest(F.coalesce(F.max(F.when(hyde, F.col("score"))), F.lit(0.0)), F.lit(0.0)).alias("hyde_boost"))
-    g = g.withColumn("score", F.round(F.col("code_score") + boost * F.col("hyde_boost"), 6))
+    g = g.withColumn("score", F.round(F.col("code_score") + boost * F.col("hyde_boost"), 7))
     return top_k(g, query_id, [F.desc("score"), F.col("chunk_id")], k)
 
 

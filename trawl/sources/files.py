@@ -104,3 +104,16 @@ def longest_prefix(paths: DataFrame, registry: DataFrame, path: str, root: str)
     own = paths.withColumn("_r", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     hit = own.join(registry, own["_r"] == registry[root]).drop("_r")
     return hit.groupBy(path).agg(F.max_by(F.struct(*registry.columns), F.length(root)).alias("_b")).select(path, "_b.*")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only in local mode)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        base = f"file://{tempfile.mkdtemp(prefix='trawl-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}"

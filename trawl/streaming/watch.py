@@ -70,3 +70,19 @@ def expired_leases(events: DataFrame, key: str, at: str, seconds: int, late: str
     """Keys whose last renewal is over seconds older than the watermark: a session of renewals that has closed."""
     s = events.withWatermark(at, late).groupBy(F.session_window(at, f"{seconds} seconds"), key).agg(F.count("*").alias("renewals"))
     return s.select(key, F.col("session_window.end").alias("expired_at"), "renewals")
+
+
+def snapshot_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch in complete mode: each batch is a whole result and gets a folder of its own."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/snapshot={number:08d}")
+
+    return sink
+
+
+def last_snapshot(spark: SparkSession, root: str) -> DataFrame:
+    """The newest snapshot's rows."""
+    rows = spark.read.parquet(root)
+    newest = rows.agg(F.max("snapshot").alias("n")).first()["n"]
+    return rows.where(F.col("snapshot") == newest).drop("snapshot")
