@@ -9,6 +9,7 @@ reads of the index and one of the blocks that hold it, and unpacked by numpy.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -44,6 +45,10 @@ def unpack(raw: bytes, width: int, n: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+#: Letters whose lower case may depend on what stands around them; separators that Python splits at and tokenisers may not.
+_BEYOND, _ODD = re.compile("[\u0130-\U0010ffff]"), re.compile("[\x1c-\x1f]")
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     import os
@@ -63,13 +68,13 @@ class WordEncoder:
     """Encodes texts word by word, each distinct word once while the cache holds it.
 
     For tokenizers that drop white space and fold case: no token crosses white space, so a text's ids are those of
-    its words in order. Words of plain Latin letters share their entry with their lower-case form, without a final
-    dot or comma, which is a token run of its own. New words are encoded together, a separator word between them,
+    its words in order. Texts of Latin letters are lower-cased first; letters with a final dot or comma share the
+    entry of the bare word, as the mark is a token run of its own. New words are encoded together, a separator word between them,
     and split where its token comes back. A text that holds an added token's string (which may hold white space or
     touch words) is encoded whole, and so is a word that holds the separator.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer, self.most = _tokenizer(path), most
         self.known, self.ids, self.old = {}, {}, {}  # words; their parts, lately used; parts used before
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -80,12 +85,16 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _together(self, text: str) -> list[int]:
+        fast = getattr(self.tokenizer, "encode_batch_fast", None)  # without offsets
+        return (fast([text], add_special_tokens=False)[0] if fast else self.tokenizer.encode(text, add_special_tokens=False)).ids
+
     def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 4_000):
             part = new[i : i + 4_000]
             plain = [w for w in part if self.mark and self.mark not in w]
             if plain:
-                ids = np.asarray(self.tokenizer.encode(f" {self.mark} ".join(plain), add_special_tokens=False).ids, "<u4")
+                ids = np.asarray(self._together(f" {self.mark} ".join(plain)), "<u4")
                 at = np.flatnonzero(ids == self.mark_id)
                 if len(at) == len(plain) - 1:
                     raw = ids.tobytes()
@@ -95,25 +104,27 @@ class WordEncoder:
                 if w not in self.ids:
                     self.ids[w] = self.whole(w)
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        if self.folds and max(word) < "\u0130":
-            low = word.lower()
-            return (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low,)
-        return (word,)
+    def _words(self, text: str) -> list[str] | None:
+        if any(a in text for a in self.added):
+            return None
+        if self.folds and (text.isascii() or not _BEYOND.search(text)):
+            text = text.lower()
+        return words(text) if _ODD.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [words(t) if not any(a in t for a in self.added) else None for t in texts]
+        plain = [self._words(t) for t in texts]
         if len(self.known) > self.most:
             self.known = {}
         if len(self.ids) > self.most:
             self.old, self.ids = self.ids, {}
-        known, ids = self.known, self.ids
+        known, ids, old = self.known, self.ids, self.old
         new = set().union(*(ws for ws in plain if ws)).difference(known)
-        parts = [(w, self._parts(w)) for w in new]
-        cores = {x for _, p in parts for x in p}.difference(ids)
-        ids.update((x, self.old[x]) for x in cores.intersection(self.old))
+        cut = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()} if self.folds else {}
+        cores = {*new.difference(cut), *cut.values(), ".", ","}.difference(ids)
+        ids.update((x, old[x]) for x in cores if x in old)
         self._learn(list(cores.difference(ids)))
-        known.update((w, ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]) for w, p in parts)
+        known.update((w, ids[w]) for w in new if w not in cut)
+        known.update((w, ids[c] + ids[w[-1]]) for w, c in cut.items())
         return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, plain, strict=True)]
 
 
