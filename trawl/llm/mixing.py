@@ -32,7 +32,7 @@ def water_fill(sizes: list[float], weights: list[float], total: float, cap: floa
                 target[i] = left * weights[i] / weight
             break
         for i in over:
-            target[i] = cap * sizes[i]
+            target[i] = float(cap * sizes[i])
         left -= sum(target[i] for i in over)
         free = [i for i in free if i not in set(over)]
     return target
