@@ -19,12 +19,12 @@ GOLDEN = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "query
 
 
 def read_tree(spark: SparkSession, root: str, sources_only: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path (below root), text, bytes, sha256 of every readable text file: not over most_bytes, no NUL, whole."""
+    """path (below root), text, bytes, sha256 of every readable text file: not over most_bytes, valid UTF-8, no NUL, whole."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//)?", ""), r"^/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
-    out = files.where(F.col("length") <= most_bytes).select(path.alias("path"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    out = out.where(~F.contains("text", F.lit("\0")))
+    out = files.where(F.col("length") <= most_bytes).select(path.alias("path"), F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    out = out.where(F.is_valid_utf8("text") & ~F.contains("text", F.lit("\0")))
     return out.where(source_file("path")) if sources_only else out
 
 
