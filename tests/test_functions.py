@@ -211,3 +211,53 @@ def test_anchors_are_not_sessions(spark):
     assert got == [("g", 0, 3, 0), ("g", 1, 2, 310), ("g", 2, 1, 611), ("h", 0, 1, 5)]
 
 
+
+
+def test_batched_calls(spark):
+    from trawl.operators import batches
+
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(texts) > 1 and any("bad" in t for t in texts) or any(t == "bad" for t in texts):
+            raise RuntimeError
+        return [[float(len(t))] for t in texts]
+
+    assert len(batches.halved(["a", "bad", "ccc", "d"], flaky, batches.fallback_of)) == 4 and calls[0] == 4
+    waits, left = [], [1, 1]
+
+    def soon():
+        if left:
+            left.pop()
+            raise OSError
+        return "ok"
+
+    assert batches.retried(soon, jitter=0, sleep=waits.append) == "ok" and waits == [2.0, 4.0]
+    with pytest.raises(OSError):
+        batches.retried(lambda: (_ for _ in ()).throw(OSError()), tries=2, sleep=waits.append)
+    call = batches.with_fallback(lambda x: 1 / 0, lambda x: x, lambda e: isinstance(e, ZeroDivisionError))
+    assert call(3) == 3 and call(4) == 4
+    df = spark.createDataFrame([(i, "x" * i) for i in range(20)], "id int, text string")
+    got = batches.embed(df, "id", "text", lambda: lambda ts: [[float(len(t))] for t in ts], parallel=3, batch=4)
+    assert {r["id"]: r["embedding"] for r in got.collect()} == {i: [float(i)] for i in range(20)}
+
+
+def test_shard_machine(spark):
+    from trawl.operators import batches
+
+    s = spark.createDataFrame([("j", 0), ("j", 1), ("k", 0)], "job string, seq int")
+    e = [("j", 0, 1, "running", None), ("j", 0, 2, "done", "o1"), ("j", 0, 3, "done", "o2"), ("j", 0, 4, "failed", None), ("j", 1, 1, "done", "x"), ("j", 1, 2, "running", None), ("j", 1, 3, "failed", None), ("j", 1, 4, "running", None)]
+    ev = spark.createDataFrame(e, "job string, seq int, t int, event string, output string").withColumn("at", F.timestamp_seconds("t"))
+    got = batches.applied(s, ev, "job", "seq", "at")
+    assert sorted(tuple(r) for r in got.collect()) == [("j", 0, "done", 1, "o1"), ("j", 1, "running", 2, None), ("k", 0, "pending", 0, None)]
+    c = batches.committed(got, "job", spark.createDataFrame([("j", 2), ("k", 2), ("l", 1)], "job string, expected int"))
+    assert sorted(tuple(r) for r in c.collect()) == [("j", 2, 2, True, False), ("k", 2, 1, False, False), ("l", 1, 0, False, False)]
+
+
+def test_golden_filter(spark):
+    from trawl.operators import batches
+
+    q = spark.createDataFrame([("A b", [("x",)]), (" a B", [("x",)]), ("c", [("gone",)]), ("d", [])], "query string, relevant array<struct<file:string>>")
+    kept = batches.valid_golden(q, spark.createDataFrame([("x",)], "path string"))
+    assert kept.count() == 1 and kept.first()["id"].startswith("golden-") and batches.drop_rate(q, kept).first()["drop_rate"] == 0.75

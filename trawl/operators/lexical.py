@@ -66,6 +66,16 @@ def fts_terms(text) -> Column:
     return F.slice(F.filter(w, lambda x: F.length(x) > 1), 1, 8)
 
 
+#: Fixed word list of the stop-word query.
+QUERY_STOP = ("the", "and", "for", "how", "does", "what", "where", "when", "which", "that", "this", "with", "from")
+
+
+def or_terms(text: str) -> Column:
+    """The first five words of over two letters that are not in QUERY_STOP; none: the whole text."""
+    w = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda x: (F.length(x) > 2) & ~F.lower(x).isin(*QUERY_STOP))
+    return F.when(F.size(w) > 0, F.slice(w, 1, 5)).otherwise(F.array(text))
+
+
 def trigram_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int = 10) -> DataFrame:
     """Documents by the share of a query's trigrams they hold; queries and docs: id and text."""
     q = queries.select(query_id, F.explode(trigrams("text")).alias("g"))

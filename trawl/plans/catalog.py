@@ -76,6 +76,15 @@ class Catalog:
         """The hybrid search's first k in the order of a scorer."""
         return S.listwise_rerank(self.search_hybrid(queries, k), "query_id", scorer, k)
 
+    def by_symbol(self, queries: DataFrame, k: int = 20) -> DataFrame:
+        """queries: query_id, query_vec, symbol. The first k hits that define the symbol, case apart."""
+        found = self.search(queries.select("query_id", "query_vec"), k).join(queries.select("query_id", F.lower("symbol").alias("_s")), "query_id")
+        return found.where(F.array_contains(F.transform("symbols_defined", F.lower), F.col("_s"))).drop("_s")
+
+    def similar(self, texts: DataFrame, embed, k: int = 10) -> DataFrame:
+        """texts: query_id, text. Searches with the vector that embed gives each text's first 1000 characters."""
+        return self.search(texts.select("query_id", embed(F.left("text", F.lit(1000))).alias("query_vec")), k)
+
     def chunk(self, chunk_id) -> DataFrame:
         return self._book().chunks.where(F.col("chunk_id") == chunk_id)
 

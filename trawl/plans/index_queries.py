@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trawl.functions import paths
-from trawl.operators import incremental, jobs, questions
+from trawl.operators import batches, incremental, jobs, questions
 from trawl.plans.registry import PATH, joined, load, query, with_path
 from trawl.streaming import watch
 
@@ -172,6 +172,23 @@ def shard_rollup(spark, sf):
     return jobs.rollup(e, "job")
 
 
+@query("batch_validity", "SELECT source AS batch, count(*) AS rows, count(*) FILTER (coalesce(lang, '') = '' OR coalesce(text, '') = '') AS invalid, count(*) <= 50 AND count(*) FILTER (coalesce(lang, '') = '' OR coalesce(text, '') = '') = 0 AS ok FROM documents GROUP BY 1")
+def batch_validity(spark, sf):
+    return batches.valid_batches(load(spark, sf, "documents").withColumnRenamed("source", "batch"), "batch", 50, "text", "lang")
+
+
+@query(
+    "shard_machine",
+    """WITH e AS (SELECT user_id % 40 AS job, event_id % 3 AS seq, ts, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN value > 60 THEN 'done' ELSE 'failed' END AS event, event_id FROM events),
+ d AS (SELECT job, seq, min(ts) AS t FROM e WHERE event = 'running' GROUP BY 1, 2)
+ SELECT DISTINCT e.job, e.seq, d.t IS NOT NULL AS ran FROM e LEFT JOIN d USING (job, seq)""",
+)
+def shard_machine(spark, sf):
+    """Shards after their events; the oracle tells which ever ran, the tests the rest."""
+    e = load(spark, sf, "events").select((F.col("user_id") % 40).alias("job"), (F.col("event_id") % 3).alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("click", "view"), "running").when(F.col("value") > 60, "done").otherwise("failed").alias("event"), F.col("event_id").cast("string").alias("output"))
+    return batches.applied(e.select("job", "seq").distinct(), e, "job", "seq", "at").select("job", "seq", (F.col("attempts") > 0).alias("ran"))
+
+
 @query("shard_assign", "SELECT doc_id, (doc_id % 16)::INT AS shard, (doc_id % 16 % 3)::INT AS account, doc_id // 100 AS batch FROM documents")
 def shard_assign(spark, sf):
     return jobs.assign(load(spark, sf, "documents").select("doc_id"), "doc_id", 16, 3, 100)

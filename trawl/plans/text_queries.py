@@ -78,6 +78,11 @@ def bm25_prefix_topk(spark, sf):
     return _bm25(spark, sf, True)
 
 
+@query("or_terms", r"SELECT item_id, array_to_string(CASE WHEN len(w) > 0 THEN w[1:5] ELSE [text] END, ' ') AS terms FROM (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 2 AND lower(x) NOT IN ('the', 'and', 'for', 'how', 'does', 'what', 'where', 'when', 'which', 'that', 'this', 'with', 'from')) AS w FROM benchmark)")
+def or_terms(spark, sf):
+    return load(spark, sf, "benchmark").select("item_id", joined(lexical.or_terms("text")).alias("terms"))
+
+
 @query(
     "trigram_search",
     """WITH q AS (SELECT item_id, unnest(list_distinct(list_transform(generate_series(1, length(text) - 2), lambda i: substr(lower(text), i, 3)))) AS g FROM benchmark WHERE length(text) >= 3),
