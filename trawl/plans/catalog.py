@@ -29,7 +29,7 @@ def payload_filter(df: DataFrame, conditions: dict | None) -> DataFrame:
 
 @dataclass
 class Codebase:
-    """chunks: chunk_id, file_path, active, kind, parent_chunk_id ...; vectors: vec_id (a chunk_id), embedding."""
+    """chunks: chunk_id, file_path, active, kind, parent_chunk_id ...; vectors: vec_id (a chunk_id), embedding, and kind and parent_chunk_id if the index knows them."""
 
     chunks: DataFrame
     vectors: DataFrame
@@ -67,7 +67,9 @@ class Catalog:
         """Code and question hits of the candidates nearest, added up per parent chunk."""
         book = self._book()
         hits = S.dense_top_k(queries, book.vectors, "query_id", "vec_id", "embedding", "query_vec", candidates)
-        known = hits.join(book.chunks.select("chunk_id", "kind", "parent_chunk_id"), hits["vec_id"] == F.col("chunk_id")).drop("chunk_id")
+        owner = book.vectors.withColumnRenamed("vec_id", "chunk_id") if "kind" in book.vectors.columns else book.chunks
+        known = hits.join(owner.select("chunk_id", "kind", "parent_chunk_id"), hits["vec_id"] == F.col("chunk_id"), "left").drop("chunk_id")
+        known = known.withColumn("kind", F.coalesce("kind", F.lit("code")))
         ranked = S.parent_boost(known, "query_id", "vec_id", "kind", "parent_chunk_id", k)
         found = S.hydrate(ranked.withColumnRenamed("chunk_id", "hit_id"), book.chunks, "hit_id", "chunk_id", F.col("active"))
         return S.penalised(found, "file_path", "query_id")

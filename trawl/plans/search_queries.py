@@ -54,18 +54,21 @@ HYBRID = f"""WITH h AS ({DENSE.format(k=40)}), o AS (SELECT query_id, CASE WHEN
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s)"""
 
 
+def _kinds(vectors):
+    """Odd vectors are questions of the even one before them."""
+    odd = F.col("vec_id") % 2 == 1
+    return vectors.withColumn("kind", F.when(odd, "hyde").otherwise("code")).withColumn("parent_chunk_id", F.when(odd, F.col("vec_id") - 1))
+
+
 @query("hyde_parent_boost", f"{HYBRID} SELECT query_id, chunk_id, code_score::DOUBLE AS code_score, hyde_boost::DOUBLE AS hyde_boost, score::DOUBLE AS score, rank::INT AS rank FROM r WHERE rank <= 10")
 def hyde_parent_boost(spark, sf):
-    c = codebase(spark, sf).select("chunk_id", "kind", "parent_chunk_id")
-    hits = dense(spark, sf, 40)
-    known = hits.join(c, hits["vec_id"] == c["chunk_id"]).drop("chunk_id")
-    return search.parent_boost(known, "query_id", "vec_id", "kind", "parent_chunk_id")
+    return search.parent_boost(_kinds(dense(spark, sf, 40)), "query_id", "vec_id", "kind", "parent_chunk_id")
 
 
 @query("search_hybrid", f"{HYBRID} SELECT query_id, chunk_id, rank::INT AS rank, round(score * {PENALTY.replace('(p,', '(lower(p),')}, 9)::DOUBLE AS score FROM r JOIN (SELECT doc_id, {PATH} AS p FROM documents WHERE doc_id % 3 <> 0) ON chunk_id = doc_id WHERE rank <= 10")
 def search_hybrid(spark, sf):
     book = Catalog()
-    book.register("docs", Codebase(codebase(spark, sf), load(spark, sf, "embeddings")))
+    book.register("docs", Codebase(codebase(spark, sf), _kinds(load(spark, sf, "embeddings"))))
     return book.use("docs").search_hybrid(queries_of(spark, sf)).select("query_id", "chunk_id", "rank", "score")
 
 
