@@ -6,6 +6,9 @@ columns of documents. run writes each result to the shared folder and reads it a
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +17,35 @@ from trawl.llm.mixing import mix_by_source, repeated
 from trawl.llm.quality import judge_quality
 from trawl.llm.queries import vocabularies
 from trawl.llm.secrets import redact, scan_secrets
-from trawl.llm.shared import table, written
+from trawl.llm.shared import noting, remove, table, written
 from trawl.llm.simhash import one_of_each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: What the stage before has left in the shared folder. Its result has been written and read again by the time the
+#: next stage begins, so nothing reads these tables any more.
+_left = threading.local()
+
+
+def staged(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not hasattr(_left, "paths"):
+            _left.paths = []
+        remove(spark, _left.paths)
+        with noting(_left.paths):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@staged
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or their language's fertility bands reject go."""
     return judge_quality(docs.select(*COLUMNS), vocabularies()).where("kept").select(*COLUMNS)
 
 
+@staged
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id.
 
@@ -33,17 +54,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one_of_each(docs.select(*COLUMNS), distance=9, shingle=5)
 
 
+@staged
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     clean = redact(scan_secrets(docs.select(*COLUMNS)))
     return clean.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
+@staged
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy of a document that the mix of sources takes, up to three."""
     return repeated(mix_by_source(docs.select(*COLUMNS), keep=COLUMNS)).select(*COLUMNS)
 
 
+@staged
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digest of what they decode to, of every copy."""
     _, path, pattern = vocabularies()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trawl-{name}-{uuid.uuid4().hex}"
 
 
+_noted = threading.local()
+
+
+@contextlib.contextmanager
+def noting(paths: list[str]):
+    """Within it, this thread's written tables add their paths to paths."""
+    before, _noted.paths = getattr(_noted, "paths", None), paths
+    try:
+        yield
+    finally:
+        _noted.paths = before
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors.
 
@@ -39,7 +62,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    if (paths := getattr(_noted, "paths", None)) is not None:
+        paths.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
