@@ -21,7 +21,8 @@ def lexical_tokens(text) -> Column:
         low = F.lower(t)
         snake = F.filter(F.split(low, r"[_\\-]+"), lambda p: (p != "") & (p != low))
         camel = F.transform(F.regexp_extract_all(t, F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|[0-9]+)"), F.lit(1)), F.lower)
-        return F.concat(F.array(low), snake, F.filter(camel, lambda p: (p != "") & (p != low)))
+        plain = t.rlike("^(?:[A-Z]?[a-z]+|[0-9]+)$")  # most tokens: one part, which is the token
+        return F.when(plain, F.array(low)).otherwise(F.concat(F.array(low), snake, F.filter(camel, lambda p: (p != "") & (p != low))))
 
     return F.filter(F.flatten(F.transform(found, expand)), lambda t: F.length(t) > 1)
 
@@ -32,7 +33,9 @@ def query_terms(text) -> Column:
 
 def sparse_bucket(token) -> Column:
     """The first 8 bytes of the token's SHA-256, big-endian, modulo SPARSE_BUCKETS."""
-    return (F.conv(F.substring(F.sha2(col(token), 256), 1, 16), 16, 10).cast("decimal(20,0)") % SPARSE_BUCKETS).cast("int")
+    h = F.sha2(col(token), 256)
+    head = F.conv(F.substring(h, 1, 15), 16, 10).cast("long") % SPARSE_BUCKETS  # 60 bits fit a long, the last four follow
+    return ((head * 16 + F.instr(F.lit("0123456789abcdef"), F.substring(h, 16, 1)) - 1) % SPARSE_BUCKETS).cast("int")
 
 
 def sanitize(text) -> Column:
