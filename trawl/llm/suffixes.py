@@ -143,7 +143,7 @@ def _compare(rows, runs, hasher: Hasher, width: int):
                 s = np.arange(lo, hi + 1)
                 prefix = hasher.prefix(np.frombuffer(r["context"], np.uint8))
                 h = hasher.of(prefix, s - r["lo"], s - r["lo"] + width)
-                hashes.append(h ^ ((r["p"] - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(g) * _BASE))
+                hashes.append(h ^ ((r["p"] - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(int(g) * int(_BASE) % (1 << 64))))
                 refs.append(np.full(len(s), i))
                 starts.append(s)
                 weights.append(np.full(len(s), r["weight"]))
