@@ -22,11 +22,14 @@ def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
 
 
 def sparse_vectors(docs: DataFrame, id_col: str, text) -> DataFrame:
-    """id, idx, w: hashed token counts, each vector of length one."""
-    t = docs.select(F.col(id_col), F.explode(lexical_tokens(text)).alias("term")).groupBy(id_col, "term").count()
+    """id, idx, w: hashed token counts, each vector of length one.
+
+    One shuffle, by id: both counts and the vector's length then find a document's rows together.
+    """
+    t = docs.select(F.col(id_col), F.explode(lexical_tokens(text)).alias("term")).repartition(id_col).groupBy(id_col, "term").count()
     cells = t.groupBy(id_col, sparse_bucket("term").alias("idx")).agg(F.sum("count").cast("double").alias("c"))
-    length = cells.groupBy(F.col(id_col).alias("_id")).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_l"))
-    return cells.join(length, F.col(id_col) == F.col("_id")).select(id_col, "idx", (F.col("c") / F.col("_l")).alias("w"))
+    length = F.sqrt(F.sum(F.col("c") * F.col("c")).over(Window.partitionBy(id_col)))
+    return cells.select(id_col, "idx", (F.col("c") / length).alias("w"))
 
 
 def sparse_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int = 10) -> DataFrame:
