@@ -110,7 +110,7 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     """A path in the folder that driver and executors share (spark.checkpoint.dir; a temporary one only in local mode)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
