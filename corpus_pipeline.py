@@ -16,9 +16,9 @@ from trawl.llm.bpe import decode_ids, encode_documents
 from trawl.llm.mixing import mix_by_source, repeated
 from trawl.llm.quality import judge_quality
 from trawl.llm.queries import vocabularies
+from trawl.llm.resemblance import one_of_each
 from trawl.llm.secrets import redact, scan_secrets
 from trawl.llm.shared import noting, remove, table, written
-from trawl.llm.simhash import one_of_each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,9 +49,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id.
 
-    Five-word shingles; 9 of 64 bits is where a fingerprint estimates a resemblance of 0.8: c / (2 - c) for c = cos(9 pi / 64).
+    Documents link at a Jaccard similarity of 0.8 or more of their five-word shingle sets, computed on the whole sets.
     """
-    return one_of_each(docs.select(*COLUMNS), distance=9, shingle=5)
+    return one_of_each(docs.select(*COLUMNS), similarity=0.8, shingle=5)
 
 
 @staged
