@@ -3,11 +3,13 @@
 Measured on whole texts, word by word: characters per token under a piece vocabulary with byte fallback and under a
 byte-level vocabulary, the share of byte-fallback tokens, and the entropy of the document's tokens. Each language
 (where unknown: the script) and length class gets rejection bands from all of its documents: median and quartile
-range, so that junk in a corpus hardly moves them.
+range, so that junk in a corpus hardly moves them. Thin classes take the bands of wider ones.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -44,6 +46,25 @@ def repeat_words(codes: np.ndarray, doc: np.ndarray, n_docs: int, window: int =
     return np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=n_docs)
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(letter: str) -> str | None:
+    return {"CJK": "han"}.get(own := unicodedata.name(letter, "other").split()[0].split("-")[0], own.lower()) if letter.isalpha() else None
+
+
+def script_of(text: str) -> str:
+    """The script of most letters (ties: the first name), by the first word of their Unicode names; none without letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") if not text.isascii() else None
+    if codes is None:
+        return "latin" if re.search("[A-Za-z]", text) else "none"
+    low = codes[codes < 128] | 32
+    count = {"latin": int(((low >= 97) & (low <= 122)).sum())}
+    for c, n in zip(*np.unique(codes[codes >= 128], return_counts=True), strict=True):
+        if name := _script(chr(c)):
+            count[name] = count.get(name, 0) + int(n)
+    best = min(count, key=lambda k: (-count[k], k))
+    return best if count[best] else "none"
+
+
 @lru_cache(maxsize=2)
 def _vocabularies(piece_path: str, byte_path: str, pattern: str):
     import sentencepiece
@@ -115,7 +136,7 @@ def measure(texts: list[str], fertility: Fertility) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The keep columns of docs, BASE (long), n_tokens (long) and METRICS (double, null without words)."""
+    """The keep columns of docs, BASE (long), n_tokens (long), METRICS (double, null without words) and __script__."""
     small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -135,22 +156,39 @@ def measured(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str
                 if hi > lo:
                     m = measure(texts[lo:hi], fertility)
                     own = [b.column(c).slice(lo, hi - lo) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(m[x], pa.int64()) for x in names[:6]), *(pa.array(m[x], pa.float64(), from_pandas=True) for x in METRICS)], [*keep, *names])
+                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(m[x], pa.int64()) for x in names[:6]), *(pa.array(m[x], pa.float64(), from_pandas=True) for x in METRICS), pa.array(map(script_of, texts[lo:hi]), pa.string())], [*keep, *names, "__script__"])
 
     doubles = ", ".join(f"{m} double" for m in METRICS)
-    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, {', '.join(f'{x} bigint' for x in names[:6])}, {doubles}")
+    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, {', '.join(f'{x} bigint' for x in names[:6])}, {doubles}, __script__ string")
 
 
-def bands(metrics: DataFrame, group: str, z: float, least: int = 30) -> DataFrame:
-    """Lower and upper limit of each metric by group and length class, from all rows; classes of under least rows have none."""
-    has = metrics.where(F.col("n_tokens") > 0)
+def bands(metrics: DataFrame, keys: list[str], z: float, least: int) -> DataFrame:
+    """keys, and a struct of lower and upper limit of each metric from all rows of a group; groups of under least rows have none."""
     quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(m) for m in METRICS]
-    found = has.groupBy(group, "__length__").agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least)
+    found = metrics.groupBy(*keys).agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least)
     limits = []
     for m in METRICS:
         spread = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(0.005))
-        limits += [(F.col(m)[1] - z * spread).alias(f"{m}_low"), (F.col(m)[1] + z * spread).alias(f"{m}_high")]
-    return found.select(F.col(group).alias("_g"), F.col("__length__").alias("_l"), *limits)
+        limits.append(F.struct((F.col(m)[1] - z * spread).alias("low"), (F.col(m)[1] + z * spread).alias("high")).alias(m))
+    return found.select(*keys, *limits)
+
+
+def class_limits(metrics: DataFrame, z: float, least: int = 30) -> DataFrame:
+    """Limits of every class (__group__, __script__, __length__) that has rows with words, so that each gets a verdict.
+
+    A class of a language and length with least rows has bands of its own. In a thinner one the metrics that depend on
+    the language (characters per token, byte fallback) take the band of the language, else of the script, else of the
+    corpus; entropy, which grows with the length, takes that of the length, else of the corpus.
+    """
+    has = metrics.where(F.col("n_tokens") > 0).select("__group__", "__script__", "__length__", *METRICS)
+    out = has.select("__group__", "__script__", "__length__").distinct()
+    tiers = {"own": ["__group__", "__length__"], "group": ["__group__"], "script": ["__script__"], "length": ["__length__"], "all": []}
+    for tier, keys in tiers.items():
+        found = bands(has, keys, z, least if keys else 1).withColumnsRenamed({m: f"{m}_{tier}" for m in METRICS})
+        out = out.join(found, keys, "left") if keys else out.crossJoin(found)
+    order = {m: ("own", "length", "all") if m == "entropy" else ("own", "group", "script", "all") for m in METRICS}
+    limits = [F.coalesce(*(F.col(f"{m}_{tier}")[side] for tier in order[m])).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
+    return out.select(F.col("__group__").alias("_g"), F.col("__script__").alias("_s"), F.col("__length__").alias("_l"), *limits)
 
 
 def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str = "text", lang_col: str | None = "lang", keep: list[str] | None = None, z: float = 8.0) -> DataFrame:
@@ -159,22 +197,20 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed, and
     inside the bands: characters per token between both limits under either vocabulary, byte fallback under its
     upper, entropy over its lower one. Bands are z standard deviations (by quartiles) wide and hold for a language
-    (null, or no lang_col: for the script of most letters) and a length class (powers of two of tokens).
+    (null, or no lang_col: for the script of most letters) and a length class (powers of two of tokens); classes of
+    under 30 rows take wider bands (class_limits), so every document with words gets a verdict.
     Nulls: a null text counts as empty, fails the base and is not kept. Repeated rows are judged alike. An empty
     table gives no rows.
     """
     keep = carried(docs, keep, (*BASE, *METRICS, "base_failed", "kept"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    script = F.lit("none")
-    if lang_col is None:
-        letters = {"latin": r"\p{IsLatin}", "cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}", "han": r"\p{IsHan}", "arabic": r"\p{IsArabic}"}
-        counted = [F.struct(F.regexp_count(text, F.lit(p)).alias("n"), F.lit(s).alias("s")) for s, p in letters.items()]
-        script = F.array_max(F.array(*counted))["s"]
-    own = docs.withColumn("__group__", script if lang_col is None else F.coalesce(F.col(lang_col).cast("string"), F.lit("none")))
+    own = docs.withColumn("__group__", F.lit("none") if lang_col is None else F.coalesce(F.col(lang_col).cast("string"), F.lit("none")))
     held = measured(own, vocabularies, text_col, [*keep, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    if lang_col is None:
+        held = held.withColumn("__group__", F.concat(F.lit("script "), "__script__"))
     held = written(held, "quality")
-    limits = F.broadcast(bands(held, "__group__", z).limit(100_000))  # languages times length classes
-    judged = held.join(limits, (F.col("__group__") == F.col("_g")) & (F.col("__length__") == F.col("_l")), "left")
+    limits = F.broadcast(written(class_limits(held, z), "limits").limit(100_000))  # languages times length classes
+    judged = held.join(limits, (F.col("__group__") == F.col("_g")) & (F.col("__script__") == F.col("_s")) & (F.col("__length__") == F.col("_l")), "left")
     outside = F.lit(False)
     for m, low, high in (("piece_chars", True, True), ("byte_chars", True, True), ("fallback", False, True), ("entropy", True, False)):
         if low:
