@@ -30,3 +30,15 @@ def test_thin_classes_are_judged(spark):
 def test_a_small_table_is_judged(spark):
     got = kept(spark, [(i, prose(60, i), "en") for i in range(12)] + [(999, ODD, "en")], z=8.0)
     assert got[999] is False and any(got[i] for i in range(12) if i in got)
+
+
+def test_default_width_rejects_gibberish(spark):
+    """More and more gibberish in clean texts of one language and length: the default width rejects from a lower share on."""
+    r = random.Random(3)
+    plain = ["the", "house", "water", "people", "number", "little", "because", "through", "country", "sentence", "great", "animal"]
+    clean = [(i, " ".join(r.choice(plain) if r.random() > 0.3 else "%s%s" % (r.choice(plain), r.choice(["s", "ly", "ness"])) for _ in range(100)), "en") for i in range(150)]
+    junk = [(1000 + i, " ".join(r.choice(plain) if r.random() > share else "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(5)) for _ in range(100)), "en") for i, share in enumerate([k / 100 for k in range(2, 26)])]
+    loose, got = kept(spark, clean + junk, z=8.0), kept(spark, clean + junk)
+    gone = lambda x: [i for i, *_ in junk if not x[i]]
+    assert set(gone(loose)) < set(gone(got)) and len(gone(got)) >= 16
+    assert sum(got[i] for i, *_ in clean) >= 147

@@ -25,6 +25,8 @@ from trawl.llm.shared import carried, small_batches, words, written
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEAT = "#*$%&|<>", 5, 10, 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
+#: Width of the bands, chosen on labelled rows (README).
+Z = 4.0
 #: Texts are measured together, about so many characters at a time.
 CHARS = 2_000_000
 
@@ -191,7 +193,7 @@ def class_limits(metrics: DataFrame, z: float, least: int = 30) -> DataFrame:
     return out.select(F.col("__group__").alias("_g"), F.col("__script__").alias("_s"), F.col("__length__").alias("_l"), *limits)
 
 
-def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str = "text", lang_col: str | None = "lang", keep: list[str] | None = None, z: float = 8.0) -> DataFrame:
+def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str = "text", lang_col: str | None = "lang", keep: list[str] | None = None, z: float = Z) -> DataFrame:
     """The keep columns of docs, BASE, METRICS, base_failed and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. kept: not base_failed, and
