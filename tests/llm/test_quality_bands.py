@@ -42,3 +42,20 @@ def test_default_width_rejects_gibberish(spark):
     gone = lambda x: [i for i, *_ in junk if not x[i]]
     assert set(gone(loose)) < set(gone(got)) and len(gone(got)) >= 16
     assert sum(got[i] for i, *_ in clean) >= 147
+
+
+def test_null_languages_are_judged_by_script(spark):
+    """Half of the null-language rows are Greek; a Greek text hidden among Latin ones would widen no band of theirs."""
+    r = random.Random(6)
+    greek = ["νερό", "άνθρωπος", "σπίτι", "μεγάλος", "χώρα", "θάλασσα", "δρόμος", "φως"]
+    latin = ["the", "house", "water", "people", "number", "little", "because", "through"]
+    text = lambda own: " ".join(r.choice(own) for _ in range(60))
+    gibberish = " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(5)) for _ in range(60))
+    rows = [(i, text(greek), None) for i in range(60)] + [(100 + i, text(latin), None) for i in range(60)] + [(999, gibberish, None)]
+    for options in ({}, {"lang_col": None}):
+        got = kept(spark, rows, **options)
+        assert got[999] is False and sum(not v for v in got.values()) <= 6
+
+
+def test_scripts():
+    assert [quality.script_of(t) for t in ("abc é", "νερό a", "漢字 a", "Ꭰ Ꭱ", "שלום", "12 ..", "", "мир ab c")] == ["latin", "greek", "han", "cherokee", "hebrew", "none", "none", "cyrillic"]

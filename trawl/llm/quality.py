@@ -206,10 +206,9 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
     """
     keep = carried(docs, keep, (*BASE, *METRICS, "base_failed", "kept"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("__group__", F.lit("none") if lang_col is None else F.coalesce(F.col(lang_col).cast("string"), F.lit("none")))
+    own = docs.withColumn("__group__", F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string"))
     held = measured(own, vocabularies, text_col, [*keep, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
-    if lang_col is None:
-        held = held.withColumn("__group__", F.concat(F.lit("script "), "__script__"))
+    held = held.withColumn("__group__", F.coalesce("__group__", F.concat(F.lit("script "), "__script__")))
     held = written(held, "quality")
     limits = F.broadcast(written(class_limits(held, z), "limits").limit(100_000))  # languages times length classes
     judged = held.join(limits, (F.col("__group__") == F.col("_g")) & (F.col("__script__") == F.col("_s")) & (F.col("__length__") == F.col("_l")), "left")
