@@ -59,3 +59,13 @@ def test_null_languages_are_judged_by_script(spark):
 
 def test_scripts():
     assert [quality.script_of(t) for t in ("abc é", "νερό a", "漢字 a", "Ꭰ Ꭱ", "שלום", "12 ..", "", "мир ab c")] == ["latin", "greek", "han", "cherokee", "hebrew", "none", "none", "cyrillic"]
+
+
+def test_classes_beyond_the_bound_keep_their_bands(spark, monkeypatch):
+    """Judges alike with more classes than are sent to the documents."""
+    rows = [(i, prose(60, i), f"l{i % 40}") for i in range(80)] + [(900 + i, ODD, f"l{i}") for i in range(5)]
+    want = kept(spark, rows)
+    monkeypatch.setattr(quality, "MOST_SENT", 3)
+    limit = spark.range(1).__class__.limit
+    monkeypatch.setattr(spark.range(1).__class__, "limit", lambda self, n: limit(self, min(n, 3)))  # as a bound in the plan would
+    assert kept(spark, rows) == want and not any(want[900 + i] for i in range(5))

@@ -27,6 +27,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
 #: Width of the bands, chosen on labelled rows (README).
 Z = 4.0
+#: So many classes at most are sent to the documents; more are joined by a shuffle, with the same verdicts.
+MOST_SENT = 100_000
 #: Texts are measured together, about so many characters at a time.
 CHARS = 2_000_000
 
@@ -210,7 +212,9 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
     held = measured(own, vocabularies, text_col, [*keep, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     held = held.withColumn("__group__", F.coalesce("__group__", F.concat(F.lit("script "), "__script__")))
     held = written(held, "quality")
-    limits = F.broadcast(written(class_limits(held, z), "limits").limit(100_000))  # languages times length classes
+    limits = written(class_limits(held, z), "limits")
+    if limits.count() <= MOST_SENT:
+        limits = F.broadcast(limits)
     judged = held.join(limits, (F.col("__group__") == F.col("_g")) & (F.col("__script__") == F.col("_s")) & (F.col("__length__") == F.col("_l")), "left")
     outside = F.lit(False)
     for m, low, high in (("piece_chars", True, True), ("byte_chars", True, True), ("fallback", False, True), ("entropy", True, False)):
