@@ -98,7 +98,7 @@ def stage_counts(spark, sf):
 
 @query("dedup_queries", "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY lower(trim(left(text, 12))) ORDER BY item_id) AS r FROM benchmark) WHERE r = 1")
 def dedup_queries(spark, sf):
-    b = load(spark, sf, "benchmark").withColumn("k", F.lower(F.trim(F.left("text", F.lit(12)))))
+    b = load(spark, sf, "benchmark").withColumn("k", F.lower(F.trim("text")))
     return incremental.first_of(b, "k", "item_id").select("item_id")
 
 
