@@ -124,7 +124,7 @@ def _chunks(spark, sf):
     from trawl.functions import code
 
     d = with_path(load(spark, sf, "documents"))
-    s = F.array_sort(F.array_distinct(F.regexp_extract_all(F.left("text", F.lit(200)), F.lit("([A-Za-z]+)"), F.lit(1))))
+    s = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))))
     return d.select("doc_id", F.col("text").alias("content"), "path", s.alias("symbols_defined"), code.path_tokens("path").alias("path_tokens"))
 
 
