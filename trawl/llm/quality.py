@@ -177,6 +177,10 @@ def bands(metrics: DataFrame, keys: list[str], z: float, least: int) -> DataFram
     return found.select(*keys, *limits)
 
 
+def _sent(small: DataFrame) -> DataFrame:
+    return F.broadcast(small) if small.count() <= MOST_SENT else small
+
+
 def class_limits(metrics: DataFrame, z: float, least: int = 30) -> DataFrame:
     """Limits of every class (__group__, __script__, __length__) that has rows with words, so that each gets a verdict.
 
@@ -189,6 +193,7 @@ def class_limits(metrics: DataFrame, z: float, least: int = 30) -> DataFrame:
     tiers = {"own": ["__group__", "__length__"], "group": ["__group__"], "script": ["__script__"], "length": ["__length__"], "all": []}
     for tier, keys in tiers.items():
         found = bands(has, keys, z, least if keys else 1).withColumnsRenamed({m: f"{m}_{tier}" for m in METRICS})
+        found = _sent(written(found, "bands"))
         out = out.join(found, keys, "left") if keys else out.crossJoin(found)
     order = {m: ("own", "length", "all") if m == "entropy" else ("own", "group", "script", "all") for m in METRICS}
     limits = [F.coalesce(*(F.col(f"{m}_{tier}")[side] for tier in order[m])).alias(f"{m}_{side}") for m in METRICS for side in ("low", "high")]
@@ -212,9 +217,7 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
     held = measured(own, vocabularies, text_col, [*keep, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     held = held.withColumn("__group__", F.coalesce("__group__", F.concat(F.lit("script "), "__script__")))
     held = written(held, "quality")
-    limits = written(class_limits(held, z), "limits")
-    if limits.count() <= MOST_SENT:
-        limits = F.broadcast(limits)
+    limits = _sent(written(class_limits(held, z), "limits"))
     judged = held.join(limits, (F.col("__group__") == F.col("_g")) & (F.col("__script__") == F.col("_s")) & (F.col("__length__") == F.col("_l")), "left")
     outside = F.lit(False)
     for m, low, high in (("piece_chars", True, True), ("byte_chars", True, True), ("fallback", False, True), ("entropy", True, False)):
