@@ -366,6 +366,42 @@ def test_repeats_equal_brute_force(spark, docs, none, width, gram):
     assert suffixes.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_common_grams_are_split_and_lose_nothing(spark, monkeypatch):
+    """A passage of many documents, a large group of near copies and periodic texts, with bands from 5 contexts a gram up."""
+    r = random.Random(12)
+    passage, base = prose(90, 5), [r.choice(VOCABULARY) for _ in range(200)]
+    rows = [(k, prose(25, 500 + k) + passage[: 500 - k % 3] + prose(25, 900 + k)) for k in range(40)]
+    for k in range(40):
+        copy = list(base)
+        copy[r.randrange(200)], copy[r.randrange(200)] = f"x{k}", f"y{k}"
+        rows.append((100 + k, " ".join(copy)))
+    rows += [(200, "ab" * 700), (201, "abc" * 400 + "d" + "abc" * 300), (202, "\0" * 900), (203, prose(30, 1) + "\0" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = Counter((i, *w) for (i, _), w in zip(rows, brute_repeats([t for _, t in rows], 400)))
+    for most in (5, 8192):
+        monkeypatch.setattr(suffixes, "MOST", most)
+        assert Counter(tuple(x) for x in suffixes.remove_repeats(docs).collect()) == want
+
+
+def test_repeating_windows_of_random_contexts():
+    """The comparison alone against all pairs, with contexts of all alignments and a padding byte in the texts."""
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        width, n = 12, int(r.integers(2, 9))
+        texts = [r.integers(0, 2, 40).astype(np.uint8) for _ in range(n)]
+        q = r.integers(15, 20, n)
+        lo, hi = q - r.integers(2, 7, n), q - r.integers(0, 3, n)
+        core = r.integers(0, 2, n)
+        contexts = [t[a : b + width] for t, a, b in zip(texts, lo, hi)]
+        begin = np.cumsum([0, *map(len, contexts)])[:-1]
+        got = suffixes.repeating(np.concatenate(contexts), begin, core, q, lo, hi, width)
+        window = {(i, int(q[i] - s)): bytes(texts[i][s : s + width]) for i in range(n) for s in range(lo[i], hi[i] + 1)}
+        for i in range(n):
+            for d in range(got.shape[1]):
+                same = any(window.get((j, d)) == window.get((i, d)) for j in range(n) if j != i and core[j] == core[i]) if (i, d) in window else False
+                assert got[i, d] == same
+
+
 def test_multikey_order_sorts_and_groups():
     r = np.random.default_rng(1)
     keys = r.integers(0, 3, (500, 6)).astype(np.uint64)

@@ -47,6 +47,11 @@ def noting(paths: list[str]):
         _noted.paths = before
 
 
+def note(path: str) -> None:
+    if (paths := getattr(_noted, "paths", None)) is not None:
+        paths.append(path)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes written tables that nothing reads any more."""
     for p in paths:
@@ -62,8 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    if (paths := getattr(_noted, "paths", None)) is not None:
-        paths.append(path)
+    note(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

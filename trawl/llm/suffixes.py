@@ -3,11 +3,18 @@
 A full suffix array of all byte positions would shuffle an entry for each byte. Here only suffixes at anchors are
 sorted: in each window of width bytes the anchor is the start of the k-gram with the smallest hash, so equal windows
 have equal anchors at the same place, and each window start belongs to one anchor. Anchors whose k-gram occurs once
-in the corpus are dropped. Of an anchor's window starts lo..hi the context is the text from lo to hi + width; where
-the whole context occurs twice, all its windows repeat. The other contexts of shared anchors are range-partitioned by
-the leading bytes of their suffixes, at splitters that Spark samples; each bucket is sorted by multikey quicksort, a
-word of eight bytes at a time, and in each run of equal k-grams the windows at equal distance from the anchor are
-compared. A run that reaches a block's end is held over to the next; equal leading bytes share a bucket.
+in the corpus are dropped. Of an anchor's window starts lo..hi the context is the text from lo to hi + width; equal
+contexts are counted before anything is dealt, so a group of copies is one entry, and where the whole context occurs
+twice all its windows repeat. All others are range-partitioned by the leading bytes of their suffixes, at splitters
+that Spark samples; equal leading bytes share a bucket, so no comparison crosses a boundary. A bucket is sorted by
+multikey quicksort, eight bytes at a time, once by the suffixes and once by what stands before them, and neighbours
+are compared byte by byte: a window at distance d before an anchor repeats if another entry shares d bytes to the
+left and width - d to the right.
+
+A k-gram that more than MOST different contexts share (the edge of a very common passage, a periodic text) would be
+one long run in one bucket. Its windows are cut into bands of 64, then 8, then 1 distances from the anchor; all
+windows of a band share width - 63 (- 7, - 0) bytes, a far longer string, which takes the k-gram's place. Bands that
+share it with nothing go, equal ones are counted again, and what is still shared by too many is cut again.
 """
 
 from __future__ import annotations
@@ -17,14 +24,18 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import small_batches, written
+from trawl.llm.shared import fresh_path, note, small_batches, written
 
 WIDTH, GRAM = 400, 64
+#: Different contexts of a k-gram that one task compares; those of a commoner one are cut into bands (module text).
+MOST, BANDS = 8192, (64, 8, 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _POS = 24  # bits of a position in a minimum's key; longer texts are taken in segments
+_ITEMS = "core bigint, fa bigint, fb bigint, loc bigint, tid binary, weight int"
 
 
 class Hasher:
@@ -66,13 +77,13 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, first: Hasher, second: Hasher, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(k-gram hash, context hash, anchor, lo, hi) of each run of window starts that share an anchor."""
+    """(k-gram hash, two context hashes, anchor, lo, hi) of each run of window starts that share an anchor."""
     n = len(raw)
     out = []
     span = (1 << _POS) - width
     for at in range(0, max(n - width + 1, 0), span):
         part = raw[at : at + span + width - 1]
-        p1 = first.prefix(part)
+        p1, p2 = first.prefix(part), second.prefix(part)
         grams = np.arange(len(part) - gram + 1)
         h = first.of(p1, grams, grams + gram)
         low = sliding_min((h >> np.uint64(_POS) << np.uint64(_POS)) | grams.astype(np.uint64), width - gram + 1)
@@ -80,13 +91,31 @@ def anchors(raw: np.ndarray, first: Hasher, second: Hasher, width: int = WIDTH,
         lo = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         hi = np.append(lo[1:], len(where)) - 1
         p = where[lo]
-        full = first.of(p1, lo, hi + width) * np.uint64(3) ^ second.of(second.prefix(part), lo, hi + width) ^ ((p - lo) * (width + 1) + hi - lo).astype(np.uint64)
-        out.append((h[p], full, p + at, lo + at, hi + at))
+        out.append((h[p], *_context(first, second, p1, p2, p, lo, hi, width), p + at, lo + at, hi + at))
     if not out:
-        return tuple(np.zeros(0, np.uint64 if i < 2 else np.int64) for i in range(5))
+        return tuple(np.zeros(0, np.uint64 if i < 3 else np.int64) for i in range(6))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
+def _context(first: Hasher, second: Hasher, p1, p2, p, lo, hi, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each context and of where its anchor stands in it."""
+    place = ((p - lo) * (width + 1) + hi - lo).astype(np.uint64)
+    return first.of(p1, lo, hi + width) + place * np.uint64(0xD6E8FEB86659FD93), second.of(p2, lo, hi + width) ^ place
+
+
+def bands_of(raw: np.ndarray, first: Hasher, second: Hasher, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, band: int, width: int) -> tuple[np.ndarray, ...]:
+    """Window starts lo..hi before anchors q, cut into bands of distances: (entry, hash of what a band's windows share, two context hashes, new anchor, lo, hi)."""
+    least, most = (q - hi) // band, (q - lo) // band
+    n = most - least + 1
+    entry = np.repeat(np.arange(len(q)), n)
+    j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + least[entry]
+    at = q[entry] - j * band
+    start, end = np.maximum(lo[entry], at - band + 1), np.minimum(hi[entry], at)
+    p1, p2 = first.prefix(raw), second.prefix(raw)
+    shared = first.of(p1, at, at + width - band + 1) ^ np.uint64(band)
+    return entry, shared, *_context(first, second, p1, p2, at, start, end, width), at, start, end
+
+
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of words and their groups of equals; each word splits only the groups that are still shared."""
     order, group = np.arange(len(keys)), np.zeros(len(keys), np.int64)
@@ -105,131 +134,198 @@ def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, group
 
 
-def _repeats(rows: list[dict], hasher: Hasher, width: int, gram: int):
-    """Intervals of repeating window starts of a block of contexts whose k-grams all end in it."""
-    lead = np.frombuffer(b"".join(r["context"][r["p"] - r["lo"] : r["p"] - r["lo"] + gram] for r in rows), ">u8").reshape(len(rows), -1)
-    order, group = multikey_order(lead)
-    size = np.bincount(group, minlength=len(rows))
-    kept = np.flatnonzero(size[group] > 1)
-    if not len(kept):
-        return
-    runs, at = [], 0
-    for g, n in zip(*np.unique(group[kept], return_counts=True), strict=True):
-        runs.append((g, order[kept[at : at + n]]))
-        at += n
-    batch, held = [], 0
-    for g, own in runs:
-        batch.append((g, own))
-        held += len(own)
-        if held >= 4096:
-            yield from _compare(rows, batch, hasher, width)
-            batch, held = [], 0
-    if batch:
-        yield from _compare(rows, batch, hasher, width)
-
-
-def _compare(rows, runs, hasher: Hasher, width: int):
-    most = max(rows[i]["hi"] - rows[i]["lo"] for _, own in runs for i in own) + width
-    big = sum(len(own) for _, own in runs) > 50_000
-    for far in range(0, most, 32 if big else most):  # window starts by their distance from the anchor: only equal ones can match
-        near = min(most, far + (32 if big else most))
-        hashes, refs, starts, weights = [], [], [], []
-        for g, own in runs:
-            for i in own:
-                r = rows[i]
-                lo, hi = max(r["lo"], r["p"] - near + 1), min(r["hi"], r["p"] - far)
-                if hi < lo:
-                    continue
-                s = np.arange(lo, hi + 1)
-                prefix = hasher.prefix(np.frombuffer(r["context"], np.uint8))
-                h = hasher.of(prefix, s - r["lo"], s - r["lo"] + width)
-                hashes.append(h ^ ((r["p"] - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(int(g) * int(_BASE) % (1 << 64))))
-                refs.append(np.full(len(s), i))
-                starts.append(s)
-                weights.append(np.full(len(s), r["weight"]))
-        if not hashes:
-            continue
-        _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(weights))
-        hit = total[inverse] >= 2
-        ref, start = np.concatenate(refs)[hit], np.concatenate(starts)[hit]
-        if not len(ref):
-            continue
-        new = np.flatnonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (start[1:] != start[:-1] + 1)]))
-        last = np.append(new[1:], len(ref)) - 1
-        for a, b in zip(new.tolist(), last.tolist(), strict=True):
-            r = rows[ref[a]]
-            if r["weight"] < 2:  # of a context that occurs twice everything goes already
-                yield r["tid"], int(start[a]), int(start[b]) + width
-
-
-def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def _padded(raw: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, step: int) -> np.ndarray:
+    """A row for each string, its bytes forward (step 1) or backward (-1) from start, then zeros."""
+    i = np.arange(width)
+    at = start[:, None] + step * i
+    inside = i < length[:, None]
+    return np.where(inside, raw[np.where(inside, at, 0)], 0).astype(np.uint8)
+
+
+def _sorted_shared(strings: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of strings in their groups, by multikey quicksort, and the bytes that each shares with the one before (-1: another group)."""
+    n, width = strings.shape
+    words = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    words[:, :width] = strings
+    order, _ = multikey_order(np.hstack([group.astype(np.uint64)[:, None], words.view(">u8").astype(np.uint64)]))
+    shared = np.full(n, -1, np.int64)
+    differ = strings[order[1:]] != strings[order[:-1]]
+    shared[1:] = np.where(differ.any(1), differ.argmax(1), width)
+    shared[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return order, shared
+
+
+def repeating(raw: np.ndarray, begin: np.ndarray, core: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """(entries x distances) whether the window at each distance before an entry's anchor occurs in another entry of its core.
+
+    raw holds the contexts one after another, begin where each starts in it.
+    """
+    n, far = len(q), int((q - lo).max()) + 1
+    _, group = np.unique(core, return_inverse=True)
+    anchor = begin + q - lo
+    f_order, f_shared = _sorted_shared(_padded(raw, anchor, hi + width - q, width, 1), group)
+    b_order, b_shared = _sorted_shared(_padded(raw, anchor - 1, q - lo, far, -1), group)
+    hit = np.zeros((n, far), bool)
+    near, away = q - hi, q - lo
+    size = np.bincount(group)
+    # Two entries: they share f bytes to the right and b to the left, so all distances from width - f to b repeat.
+    two = np.flatnonzero(size[group[f_order]] == 2)[1::2]
+    x, y = f_order[two - 1], f_order[two]
+    left = np.empty(n, np.int64)
+    left[b_order] = b_shared
+    after = np.empty(n, np.int64)
+    after[b_order[:-1]], after[b_order[-1]] = b_shared[1:], -1
+    b = np.maximum(left[x], after[x])
+    a = np.maximum.reduce([width - f_shared[two], near[x], near[y]])
+    z = np.minimum.reduce([b, away[x], away[y]])
+    d = np.arange(far)
+    inside = (d >= a[:, None]) & (d <= z[:, None])
+    hit[x], hit[y] = inside, inside
+    # More: at each distance, entries in one class of the suffix order and one of the other.
+    some = size[group] > 2
+    f_at, b_at = f_order[some[f_order]], b_order[some[b_order]]
+    f_cut, b_cut = f_shared[some[f_order]], b_shared[some[b_order]]
+    f_class, b_class = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for d in range(far if len(f_at) else 0):
+        f_class[f_at], b_class[b_at] = np.cumsum(f_cut < width - d), np.cumsum(b_cut < d)
+        own = f_at[(near[f_at] <= d) & (d <= away[f_at])]
+        if len(own) > 1:
+            key = f_class[own] * (n + 1) + b_class[own]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            again = np.zeros(len(own), bool)
+            again[1:] |= same
+            again[:-1] |= same
+            hit[own[by[again]], d] = True
+    return hit
+
+
+def _blocks(batches, key: str, least: int):
+    """Sorted batches as batches of least rows or more that end where key changes."""
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= least:
+            all_ = pa.Table.from_batches(held).combine_chunks()
+            k = all_.column(key).to_numpy()
+            other = np.flatnonzero(k != k[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield all_.slice(0, cut)
+            held, n = all_.slice(cut).to_batches(), n - cut
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after another, and where each row's start."""
+    lengths = np.asarray(pa.compute.binary_length(column).to_numpy(), np.int64)
+    raw = np.frombuffer(b"".join(x for x in column.to_pylist()), np.uint8)
+    return raw, np.cumsum(lengths) - lengths
+
+
+def _compared(block: pa.Table, width: int) -> list[pa.RecordBatch]:
+    """tid, start and end of the runs of repeating windows of a block's entries of weight 1 (of heavier ones all go already)."""
+    core, q, lo, hi, weight = (block.column(c).to_numpy() for c in ("core", "q", "lo", "hi", "weight"))
+    raw, begin = _bytes_of(block.column("context"))
+    hit = repeating(raw, begin, core, q, lo, hi, width)
+    hit[weight > 1] = False
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    i, near = np.nonzero(edge == 1)
+    _, away = np.nonzero(edge == -1)  # one past the last distance; runs of a row come in the same order
+    if not len(i):
+        return []
+    start, end = q[i] - away + 1, q[i] - near + width
+    return pa.table([block.column("tid").take(pa.array(i)), pa.array(start), pa.array(end)], ["tid", "start", "end"]).combine_chunks().to_batches()
+
+
+def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: int | None = None) -> DataFrame:
     """tid and spans (array<struct<start, end>>, may overlap) of each text with bytes that repeat; texts: tid, body (binary), copies."""
+    assert width <= 1024, "loc holds distances of 10 bits"
+    most = MOST if most is None else most
+
+    def rows(core, fa, fb, q, lo, hi, tid, weight):
+        loc = q << 20 | (q - lo) << 10 | (q - hi)
+        cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (core, fa, fb, loc)]
+        return pa.RecordBatch.from_arrays([*cols, tid, pa.array(weight, pa.int32())], ["core", "fa", "fb", "loc", "tid", "weight"])
 
     def scan(batches):
         first, second = Hasher(1), Hasher(2)
         for b in batches:
             parts = []
-            for tid, body, copies in zip(b.column("tid").to_pylist(), b.column("body").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                core, full, p, lo, hi = anchors(np.frombuffer(body, np.uint8), first, second, width, gram)
-                if len(core):
-                    parts.append((core, full, p << 20 | (p - lo) << 10 | (p - hi), tid, min(copies, 2)))
+            for i, (body, copies) in enumerate(zip(b.column("body").to_pylist(), b.column("copies").to_pylist(), strict=True)):
+                found = anchors(np.frombuffer(body, np.uint8), first, second, width, gram)
+                if len(found[0]):
+                    parts.append((*found, np.full(len(found[0]), i), np.full(len(found[0]), min(copies, 2))))
             if parts:
-                n = [len(x[0]) for x in parts]
-                tids = pa.array([x[3] for x in parts], pa.binary()).take(pa.array(np.repeat(np.arange(len(parts)), n)))
-                cols = [pa.array(np.concatenate([x[i] for x in parts]).view(np.int64)) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*cols, tids, pa.array(np.repeat([x[4] for x in parts], n), pa.int32())], ["core", "full", "loc", "tid", "weight"])
-
-    assert width <= 1024, "loc holds distances of 10 bits"
-    found = texts.where(F.octet_length("body") >= width).mapInArrow(scan, "core bigint, full bigint, loc bigint, tid binary, weight int")
-    shared = found.groupBy("core").count().where("count > 1").select(F.col("core").alias("c"))
-    held = written(found.join(shared, F.col("core") == F.col("c")).drop("c"), "anchors")
-    kinds = held.groupBy("core", "full").agg(F.sum("weight").alias("weight"), F.min(F.struct("tid", "loc")).alias("one"))
-    kinds = written(kinds, "contexts")
-    twice = kinds.where("weight > 1").select(F.col("core").alias("c"), F.col("full").alias("f"))
-    p = F.shiftright("loc", 20)
-    lo, hi = p - F.shiftright("loc", 10).bitwiseAND(1023), p - F.col("loc").bitwiseAND(1023)
-    whole = held.where("weight = 1").join(twice, (F.col("core") == F.col("c")) & (F.col("full") == F.col("f"))).select("tid", lo.alias("start"), (hi + width).alias("end"))
-    several = kinds.groupBy("core").count().where("count > 1").select(F.col("core").alias("c"))
-    open_ = kinds.join(several, F.col("core") == F.col("c")).select("one.tid", F.struct("one.loc", F.least("weight", F.lit(2)).cast("int").alias("weight")).alias("x"))
-    asked = open_.groupBy("tid").agg(F.collect_list("x").alias("asked"))
+                *cols, i, weight = map(np.concatenate, zip(*parts, strict=True))
+                yield rows(*cols, b.column("tid").take(pa.array(i)), weight)
+
+    def cut(band):
+        def run(batches):
+            first, second = Hasher(1), Hasher(2)
+            for b in batches:
+                for tid, body, xs in zip(b.column("tid").to_pylist(), b.column("body").to_pylist(), b.column("asked").to_pylist(), strict=True):
+                    q, lo, hi = _places(np.asarray([x["loc"] for x in xs]))
+                    entry, *cols = bands_of(np.frombuffer(body, np.uint8), first, second, q, lo, hi, band, width)
+                    weight = np.asarray([x["weight"] for x in xs])[entry]
+                    for i in range(0, len(entry), 65536):
+                        own = [c[i : i + 65536] for c in (*cols, weight)]
+                        yield rows(*own[:-1], pa.array([tid] * len(own[0]), pa.binary()), own[-1])
+
+        return run
 
     def contexts(batches):
         for b in batches:
-            rows = []
+            held = []
             for tid, body, xs in zip(b.column("tid").to_pylist(), b.column("body").to_pylist(), b.column("asked").to_pylist(), strict=True):
-                for x in xs:
-                    at = x["loc"] >> 20
-                    start, end = at - (x["loc"] >> 10 & 1023), at - (x["loc"] & 1023)
-                    rows.append((tid, at, start, end, x["weight"], body[at : at + gram], body[start : end + width]))
-            for i in range(0, len(rows), 2048):
-                c = list(zip(*rows[i : i + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), *(pa.array(c[k], pa.int64()) for k in (1, 2, 3)), pa.array(c[4], pa.int32()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())], ["tid", "p", "lo", "hi", "weight", "lead", "context"])
+                q, lo, hi = (x.tolist() for x in _places(np.asarray([x["loc"] for x in xs])))
+                held.extend((tid, x["core"], *place, x["weight"], body[place[0] : place[0] + 8], body[place[1] : place[2] + width]) for x, place in zip(xs, zip(q, lo, hi, strict=True), strict=True))
+            for i in range(0, len(held), 2048):
+                c = list(zip(*held[i : i + 2048], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tid", "core", "q", "lo", "hi", "weight", "prefix", "context"])
 
     def compare(batches):
-        hasher, rows, last = Hasher(3), [], None
+        for block in _blocks(batches, "core", 4096):
+            yield from _compared(block, width)
+
+    def by_text(items: DataFrame) -> DataFrame:
+        return texts.select("tid", "body").join(items.groupBy("tid").agg(F.collect_list(F.struct("core", "loc", "weight")).alias("asked")), "tid")
+
+    own = (F.col("core") == F.col("c")) & (F.col("fa") == F.col("a")) & (F.col("fb") == F.col("b"))
+    q = F.shiftright("loc", 20)
+    lo, hi = q - F.shiftright("loc", 10).bitwiseAND(1023), q - F.col("loc").bitwiseAND(1023)
+    wholes, sorted_ = [], []
+    items = texts.where(F.octet_length("body") >= width).mapInArrow(scan, _ITEMS)
+    for band in (*[b for b in BANDS if b <= width - gram], None):
+        # Written, so that the join below deals both sides itself and Spark can split a hot core's rows.
+        shared = written(items.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select(F.col("core").alias("c")), "cores")
+        held = written(items.join(shared, F.col("core") == F.col("c"), "left_semi"), "anchors")
+        kinds = written(held.groupBy("core", "fa", "fb").agg(F.sum("weight").alias("weight"), F.min(F.struct("tid", "loc")).alias("one")), "contexts")
+        twice = kinds.where("weight > 1").select(F.col("core").alias("c"), F.col("fa").alias("a"), F.col("fb").alias("b"))
+        wholes.append(held.where("weight = 1").join(twice, own).select("tid", lo.alias("start"), (hi + width).alias("end")))
+        several = written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("core", "c"), "several")
+        open_ = kinds.join(several, F.col("core") == F.col("c")).select("core", "one.tid", "one.loc", F.least("weight", F.lit(2)).cast("int").alias("weight"), "n")
+        if band is None or several.where(F.col("n") > most).isEmpty():
+            sorted_.append(open_)
+            break
+        sorted_.append(open_.where(F.col("n") <= most))
+        items = written(by_text(open_.where(F.col("n") > most)).select("tid", "body", "asked").mapInArrow(cut(band), _ITEMS), "bands")
+    asked = sorted_[0]
+    for more in sorted_[1:]:
+        asked = asked.unionByName(more)
+    placed = by_text(asked).mapInArrow(contexts, "tid binary, core bigint, q bigint, lo bigint, hi bigint, weight int, prefix binary, context binary")
+    lead = F.substring("context", (F.col("q") - F.col("lo") + 1).cast("int"), F.lit(gram))
+    edges = placed.repartitionByRange(lead).sortWithinPartitions("prefix", "core").mapInArrow(compare, "tid binary, start bigint, end bigint")
+    spans = edges
+    for whole in wholes:
+        spans = spans.unionByName(whole)
+    return spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
-        def result(block):
-            got = list(_repeats(block, hasher, width, gram))
-            if got:
-                t, a, z = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.binary()), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["tid", "start", "end"])
 
-        for b in batches:
-            for r in b.to_pylist():
-                if len(rows) >= 8192 and r["prefix"] != last:
-                    yield from result(rows)
-                    rows = []
-                last = r["prefix"]
-                rows.append(r)
-        if rows:
-            yield from result(rows)
-
-    cut = texts.join(asked, "tid").select("tid", "body", "asked").mapInArrow(contexts, "tid binary, p bigint, lo bigint, hi bigint, weight int, lead binary, context binary")
-    dealt = cut.repartitionByRange("lead").withColumn("prefix", F.substring("lead", 1, 8)).drop("lead").sortWithinPartitions("prefix")
-    edges = dealt.mapInArrow(compare, "tid binary, start bigint, end bigint")
-    spans = whole.unionByName(edges)
-    return spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+def _places(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    q = loc >> 20
+    return q, q - (loc >> 10 & 1023), q - (loc & 1023)
 
 
 def _removed(body: bytes, spans: list[dict]) -> tuple[int, int, str]:
@@ -248,15 +344,18 @@ def _removed(body: bytes, spans: list[dict]) -> tuple[int, int, str]:
 
 
 def distinct_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
-    """tid, body and copies of the texts of least bytes or more, bucketed by tid, so that later joins move no text."""
+    """tid, body and copies of the texts of least bytes or more, bucketed by tid in the shared folder, so that later joins move no text."""
     spark = docs.sparkSession
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.unhex(F.md5(body)).alias("tid"), body.alias("body")).where(F.octet_length("body") >= least)
-    name = f"trawl_texts_{uuid.uuid4().hex}"
+    name, path = f"trawl_texts_{uuid.uuid4().hex}", fresh_path(spark, "texts")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = rows.groupBy("tid").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-    one.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "tid").saveAsTable(name)
-    return spark.table(name)
+    note(path)
+    one.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "tid").saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name goes, the files stay where they are
+    return held
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
