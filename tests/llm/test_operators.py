@@ -8,8 +8,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -150,7 +152,32 @@ def test_word_encoder_equals_whole_texts():
     tk, e = Tokenizer.from_file(path), packing.WordEncoder(path, most=50)
     texts = [prose(50, k) for k in range(20)] + ["İstanbul ΑΣ. ΣΑΣ, a\x1cb", "x<|endoftext|>y", "♥ a♥b ♥", "don't. we'll, A.B., ...", "é café,", "  a\u0085b"]
     for _ in range(2):
-        assert e.encode(texts) == [np.asarray(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        ids, sizes = e.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.alone and e.folds and e.encode(pa.array([], pa.string()))[0].size == 0
+
+
+def test_tokenizers_that_keep_white_space_encode_whole_texts(tmp_path):
+    import json
+
+    spec = json.loads(Path(public_tokenizers.path("word_bpe_49k.json")).read_text())
+    spec["normalizer"], spec["pre_tokenizer"] = None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "keeps.json").write_text(json.dumps(spec))
+    e = packing.WordEncoder(str(tmp_path / "keeps.json"))
+    texts = ["hello  world\nfoo", "", " a b ", prose(30, 2)]
+    ids, sizes = e.encode(pa.array(texts))
+    assert not e.alone and [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_one_id_are_split_over_files(spark, tmp_path):
+    rows = [(None if k % 3 else 7, prose(40, k)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with_parts = packing.write_packed(docs, f"file://{tmp_path}/one", public_tokenizers.path("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert with_parts.count() > 2 and with_parts.agg({"n_docs": "max"}).first()[0] < 200 and with_parts.agg({"n_docs": "sum"}).first()[0] == 300
 
 
 def test_nearest_neighbours_are_exact_where_all_lists_are_probed_and_ties_go_to_small_ids(spark):

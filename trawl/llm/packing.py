@@ -9,7 +9,6 @@ reads of the index and one of the blocks that hold it, and unpacked by numpy.
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -18,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import small_batches, words, written
+from trawl.llm.shared import small_batches, written
 
 MAGIC = b"PACK"
 TRAILER = struct.Struct("<4sIIxxxxQQQ")
@@ -45,8 +45,10 @@ def unpack(raw: bytes, width: int, n: int) -> np.ndarray:
     return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
-#: Letters whose lower case may depend on what stands around them; separators that Python splits at and tokenisers may not.
-_BEYOND, _ODD = re.compile("[\u0130-\U0010ffff]"), re.compile("[\x1c-\x1f]")
+#: A text with a letter from here on is not lower-cased ahead: its lower case may depend on what stands around it.
+_BEYOND = "[\u0130-\U0010ffff]"
+#: Texts are encoded together, about so many bytes at a time.
+CHUNK = 8_000_000
 
 
 @lru_cache(maxsize=4)
@@ -64,23 +66,49 @@ def vocabulary_size(path: str) -> int:
     return _tokenizer(path).get_vocab_size(with_added_tokens=True)
 
 
+def _gathered(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries that codes name, one after another, and their sizes; ids holds the entries, sizes how long each is."""
+    starts, each = np.cumsum(sizes) - sizes, sizes[codes]
+    ends = np.cumsum(each)
+    at = np.repeat(starts[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return ids[at], each
+
+
+def _laid(entries: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+    return _gathered(np.frombuffer(b"".join(entries), "<u4"), sizes, codes)
+
+
 class WordEncoder:
     """Encodes texts word by word, each distinct word once while the cache holds it.
 
-    For tokenizers that drop white space and fold case: no token crosses white space, so a text's ids are those of
-    its words in order. Texts of Latin letters are lower-cased first; letters with a final dot or comma share the
-    entry of the bare word, as the mark is a token run of its own. New words are encoded together, a separator word between them,
-    and split where its token comes back. A text that holds an added token's string (which may hold white space or
-    touch words) is encoded whole, and so is a word that holds the separator.
+    That holds for tokenizers that drop white space and let no token cross it: alone says whether this one does, by
+    comparison on all pairs of PROBES; texts of any other are encoded whole. Where it also folds case, texts of Latin
+    letters are lower-cased first, and letters with final MARKS share the entry of the bare word, as the marks are a
+    token run of their own. Lower-case ASCII words go to the tokenizer's model alone where, on trial, nothing before it
+    changes them (bare). Other new words are encoded together, a separator word between them, and split where its
+    token comes back. A text that holds an added token's string (which may hold white space or touch words) is encoded
+    whole, and so is a word that holds the separator.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    PROBES = ("a", "B", "7", ".", ",", "'s", "n't", "é", "ß", "x1", "42", "...", "#", "_", "(b)", "漢字", "İ", "word-word", "zzqx")
+    MARKS = ".,:;!?%$#&*"
+
+    def __init__(self, path: str, most: int = 400_000):
         self.tokenizer, self.most = _tokenizer(path), most
-        self.known, self.ids, self.old = {}, {}, {}  # words; their parts, lately used; parts used before
+        self.model = self.tokenizer.model
+        self.ids, self.old = {"": b""}, {}  # words lately used; words used before
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         codes = ((c, self.tokenizer.encode(c, add_special_tokens=False).ids) for c in "\u2665\u2605\u2714\u266b\u2600")
         self.mark, self.mark_id = next(((c, ids[0]) for c, ids in codes if len(ids) == 1), (None, None))
-        self.folds = self.whole("Ab.") == self.whole("ab") + self.whole(".") and self.whole("ab,") == self.whole("ab") + self.whole(",")
+        one = {x: self.whole(x) for x in self.PROBES}
+        seps = (" ", "  ", "\n", "\t", "\r\n", " \v", "\f")
+        self.alone = all(self.whole(x + sep + y) == one[x] + one[y] for x in one for y in one for sep in seps) and all(self.whole(sep + x + sep) == one[x] for x in one for sep in seps)
+        tails = (*self.MARKS, self.MARKS, ".%%%", "...")
+        self.folds = self.alone and all(self.whole(f"{x}{t}") == self.whole(x.lower()) + self.whole(t) for x in ("Ab", "zzQx", "ÀÞ") for t in tails)
+        letters = [chr(97 + i) + chr(97 + j) for i in range(26) for j in range(26)]
+        plain = [*letters, *("".join(letters[i::97]) for i in range(97)), "internationally", "hello"]
+        self.bare = self.alone and all(self.whole(w) == struct.pack(f"<{len(own)}I", *own) for w in plain for own in [[t.id for t in self.model.tokenize(w)]])
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -90,6 +118,13 @@ class WordEncoder:
         return (fast([text], add_special_tokens=False)[0] if fast else self.tokenizer.encode(text, add_special_tokens=False)).ids
 
     def _learn(self, new: list[str]) -> None:
+        if self.bare:
+            tokenize = self.model.tokenize
+            for w in new:
+                if w.isascii() and w.isalpha() and w.islower():
+                    own = [t.id for t in tokenize(w)]
+                    self.ids[w] = struct.pack(f"<{len(own)}I", *own)
+            new = [w for w in new if w not in self.ids]
         for i in range(0, len(new), 4_000):
             part = new[i : i + 4_000]
             plain = [w for w in part if self.mark and self.mark not in w]
@@ -104,28 +139,54 @@ class WordEncoder:
                 if w not in self.ids:
                     self.ids[w] = self.whole(w)
 
-    def _words(self, text: str) -> list[str] | None:
-        if any(a in text for a in self.added):
-            return None
-        if self.folds and (text.isascii() or not _BEYOND.search(text)):
-            text = text.lower()
-        return words(text) if _ODD.search(text) else text.split()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self._words(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
+    def _entries(self, uniq: list[str]) -> list[bytes]:
+        """The ids of distinct words or marks."""
         if len(self.ids) > self.most:
-            self.old, self.ids = self.ids, {}
-        known, ids, old = self.known, self.ids, self.old
-        new = set().union(*(ws for ws in plain if ws)).difference(known)
-        cut = {w: w[:-1] for w in new if w[-1] in ".," and w[:-1].isalpha()} if self.folds else {}
-        cores = {*new.difference(cut), *cut.values(), ".", ","}.difference(ids)
-        ids.update((x, old[x]) for x in cores if x in old)
-        self._learn(list(cores.difference(ids)))
-        known.update((w, ids[w]) for w in new if w not in cut)
-        known.update((w, ids[c] + ids[w[-1]]) for w, c in cut.items())
-        return [self.whole(t) if ws is None else b"".join(map(known.__getitem__, ws)) for t, ws in zip(texts, plain, strict=True)]
+            self.old, self.ids = self.ids, {"": b""}
+        ids, old = self.ids, self.old
+        missing = [w for w in uniq if w not in ids]
+        ids.update((w, old[w]) for w in missing if w in old)
+        self._learn([w for w in missing if w not in ids])
+        return list(map(ids.__getitem__, uniq))
+
+    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and how many each has."""
+        if not self.folds:
+            return _laid(self._entries(distinct.to_pylist()), np.arange(len(distinct)))
+        core = pc.ascii_rtrim(distinct, self.MARKS)
+        cut = pc.and_(pc.utf8_is_alpha(core), pc.not_equal(core, distinct))
+        tail = pc.struct_field(pc.extract_regex(distinct, f"(?P<tail>[{self.MARKS}]+)$"), "tail")
+        core = pc.if_else(cut, core, distinct).dictionary_encode()
+        tail = pc.if_else(cut, tail, pa.scalar("", tail.type)).dictionary_encode()
+        own = self._entries(core.dictionary.to_pylist()) + self._entries(tail.dictionary.to_pylist())
+        codes = np.stack([core.indices.to_numpy(), tail.indices.to_numpy() + len(core.dictionary)], 1).ravel()
+        ids, sizes = _laid(own, codes)
+        return ids, sizes.reshape(-1, 2).sum(1)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.alone:
+            each = [self.whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), "<u4"), np.asarray([len(x) // 4 for x in each], np.int64)
+        texts = texts.cast(pa.large_string())
+        held = np.zeros(len(texts), bool)
+        for a in self.added:
+            held |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(held), pa.scalar("", pa.large_string()), texts)
+        if self.folds:
+            plain = pc.if_else(pc.match_substring_regex(plain, _BEYOND), plain, pc.utf8_lower(plain))
+        lists = pc.ascii_split_whitespace(plain)  # at the white space of WORD; any other stays inside a word
+        coded = lists.flatten().dictionary_encode()
+        ids, each = _gathered(*self._words(coded.dictionary), coded.indices.to_numpy())
+        before = np.concatenate([[0], np.cumsum(each)])[lists.offsets.to_numpy()]
+        if held.any():
+            parts = np.split(ids, before[1:-1])
+            for i in np.flatnonzero(held):
+                parts[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+            return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, np.diff(before)
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +194,19 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def in_chunks(batches, column: str) -> Iterator[pa.Table]:
+    """Batches put together until their column holds CHUNK bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= CHUNK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class PackedWriter:
     """Writes one file; documents and ids come in order. The file appears under its name only when it is whole."""
 
@@ -147,10 +221,14 @@ class PackedWriter:
         self.docs, self.null, self.starts, self.offsets, self.ids = [], [], [0], [0], 0
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append(0 if doc is None else doc)
-        self.null.append(doc is None)
+        self.add_all([doc], ids, np.asarray([len(ids)]))
+
+    def add_all(self, docs: list[int | None], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Several documents, their ids one after another."""
+        self.docs.extend(0 if d is None else d for d in docs)
+        self.null.extend(d is None for d in docs)
+        self.starts.extend((self.ids + np.cumsum(sizes)).tolist())
         self.ids += len(ids)
-        self.starts.append(self.ids)
         self.rest.append(ids)
         self.held += len(ids)
         if self.held >= 64 * self.block:
@@ -225,7 +303,7 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
 
     A file holds a range of ids; files are in order of part. The manifest (part, name, n_docs, n_ids, base) has a
     row for each file; base counts the ids of all files before it. Null texts count as empty (just the end id); rows
-    with the same id follow each other. An empty table gives no files. A file that a lost task had half written is
+    with the same id follow each other, in the order of their texts' hashes. An empty table gives no files. A file that a lost task had half written is
     never seen, and one that is written again has the same bytes.
     """
     from pyspark import TaskContext
@@ -233,16 +311,17 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
     small_batches(docs.sparkSession, 256)
     width = width_of(max(vocabulary_size(path), end_id + 1))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id are dealt on by their texts, so that an id (or null) with very many rows is many files.
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
     def write(batches):
         part, out, encoder = TaskContext.get().partitionId(), None, _encoder(path)
-        end = np.asarray([end_id], np.uint32)
-        for b in batches:
-            if out is None and b.num_rows:
-                out = PackedWriter(folder, f"part-{part:06d}.pack", width, block)
-            for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
-                out.add(doc, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+        for chunk in in_chunks((b for b in batches if b.num_rows), "text"):
+            out = out or PackedWriter(folder, f"part-{part:06d}.pack", width, block)
+            texts = chunk.column("text").combine_chunks()
+            ids, sizes = encoder.encode(texts)
+            out.add_all(chunk.column("doc_id").to_pylist(), np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [f"part-{part:06d}.pack"], "n_docs": [len(out.docs)], "n_ids": [out.ids]})
