@@ -303,7 +303,8 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
         held = written(items.join(shared, F.col("core") == F.col("c"), "left_semi"), "anchors")
         kinds = written(held.groupBy("core", "fa", "fb").agg(F.sum("weight").alias("weight"), F.min(F.struct("tid", "loc")).alias("one")), "contexts")
         twice = kinds.where("weight > 1").select(F.col("core").alias("c"), F.col("fa").alias("a"), F.col("fb").alias("b"))
-        wholes.append(held.where("weight = 1").join(twice, own).select("tid", lo.alias("start"), (hi + width).alias("end")))
+        # Sorted, never broadcast after both sides are dealt: so Spark splits the rows of a very common context.
+        wholes.append(held.where("weight = 1").join(twice.hint("merge"), own).select("tid", lo.alias("start"), (hi + width).alias("end")))
         several = written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("core", "c"), "several")
         open_ = kinds.join(several, F.col("core") == F.col("c")).select("core", "one.tid", "one.loc", F.least("weight", F.lit(2)).cast("int").alias("weight"), "n")
         if band is None or several.where(F.col("n") > most).isEmpty():
