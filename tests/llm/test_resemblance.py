@@ -3,37 +3,12 @@
 from __future__ import annotations
 
 import random
-import re
 
 import corpus_pipeline
+from tests_llm_shared import brute_near
 from trawl.llm import resemblance
 
 
-def shingles(t):
-    w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-
-def brute(rows, least=0.8):
-    sets = [shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            union = len(sets[i] | sets[j])
-            if not union or len(sets[i] & sets[j]) / union >= least:
-                root[find(i)] = find(j)
-    groups = {}
-    for i, (k, _) in enumerate(rows):
-        groups.setdefault(find(i), []).append(k)
-    return sorted(min(g) for g in groups.values())
-
-
 def corpus():
     r = random.Random(8)
     word = lambda: "w%d" % r.randrange(5000)
@@ -61,7 +36,7 @@ def test_near_dedup_equals_brute_force_jaccard(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert got.columns == corpus_pipeline.COLUMNS
-    assert sorted(x["doc_id"] for x in got.collect()) == brute(rows)
+    assert sorted(x["doc_id"] for x in got.collect()) == brute_near(rows)
 
 
 def test_null_ids_and_repeated_rows(spark):

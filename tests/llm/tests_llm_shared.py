@@ -16,3 +16,28 @@ def brute_secrets(t):
     a = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.A) if len(m[2]) >= 6]
     a += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
     return sorted(a + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def shingles(t):
+    w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_near(rows, least=0.8):
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) / union >= least:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, (k, _) in enumerate(rows):
+        groups.setdefault(find(i), []).append(k)
+    return sorted(min(g) for g in groups.values())

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import small_batches, written
+from trawl.llm.shared import in_chunks, small_batches, written
 
 MAGIC = b"PACK"
 TRAILER = struct.Struct("<4sIIxxxxQQQ")
@@ -194,19 +194,6 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_chunks(batches, column: str) -> Iterator[pa.Table]:
-    """Batches put together until their column holds CHUNK bytes."""
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.column(column).nbytes
-        if size >= CHUNK:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class PackedWriter:
     """Writes one file; documents and ids come in order. The file appears under its name only when it is whole."""
 
@@ -317,10 +304,9 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
 
     def write(batches):
         part, out, encoder = TaskContext.get().partitionId(), None, _encoder(path)
-        for chunk in in_chunks((b for b in batches if b.num_rows), "text"):
+        for chunk in in_chunks(batches, "text", CHUNK):
             out = out or PackedWriter(folder, f"part-{part:06d}.pack", width, block)
-            texts = chunk.column("text").combine_chunks()
-            ids, sizes = encoder.encode(texts)
+            ids, sizes = encoder.encode(chunk.column("text"))
             out.add_all(chunk.column("doc_id").to_pylist(), np.insert(ids, np.cumsum(sizes), np.uint32(end_id)), sizes + 1)
         if out:
             out.close()

@@ -9,17 +9,18 @@ range, so that junk in a corpus hardly moves them. Thin classes take the bands o
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import carried, small_batches, words, written
+from trawl.llm.shared import carried, in_chunks, small_batches, written
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEAT = "#*$%&|<>", 5, 10, 20
@@ -29,8 +30,10 @@ METRICS = ("piece_chars", "byte_chars", "fallback", "entropy")
 Z = 4.0
 #: So many classes at most are sent to the documents; more are joined by a shuffle, with the same verdicts.
 MOST_SENT = 100_000
-#: Texts are measured together, about so many characters at a time.
-CHARS = 2_000_000
+#: Texts are measured together, about so many bytes at a time.
+CHARS = 6_000_000
+#: The last step of a metric in the counts that limits come from.
+MOST_BIN = 30_000
 
 
 def repeat_words(codes: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WINDOW) -> np.ndarray:
@@ -82,45 +85,50 @@ def _vocabularies(piece_path: str, byte_path: str, pattern: str):
 class Fertility:
     """Token counts of words; each distinct word is encoded once while the cache holds it."""
 
-    def __init__(self, piece_path: str, byte_path: str, pattern: str, most: int = 200_000):
+    def __init__(self, piece_path: str, byte_path: str, pattern: str, most: int = 300_000):
         self.piece, self.byte, self.is_byte = _vocabularies(piece_path, byte_path, pattern)
-        self.most, self.ids, self.n_byte = most, {}, {}
+        self.most, self.known = most, {}  # of a word: how many byte-level tokens, and its piece ids
 
-    def tables(self, uniq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tables(self, uniq: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece ids of the words one after another, how many each has, and how many byte-level tokens."""
-        if len(self.ids) > self.most:
-            self.ids.clear()
-            self.n_byte.clear()
-        new = [w for w in uniq if w not in self.ids]
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        new = [w for w in uniq if w not in known]
+        byte_ids = self.byte.encode_ordinary
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
             for w, ids in zip(part, self.piece.encode(part, num_threads=1), strict=True):
-                self.ids[w] = np.asarray(ids, np.int32)
-                self.n_byte[w] = len(self.byte.encode_ordinary(" " + w))
-        own = [self.ids[w] for w in uniq]
-        return np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own)), np.fromiter((self.n_byte[w] for w in uniq), np.int64, len(own))
+                known[w] = struct.pack(f"={len(ids) + 1}i", len(byte_ids(" " + w)), *ids)
+        own = list(map(known.__getitem__, uniq))
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), np.int32)
+        first = np.cumsum(sizes) - sizes
+        inside = np.ones(len(flat), bool)
+        inside[first] = False
+        return flat[inside], sizes - 1, flat[first].astype(np.int64)
 
 
 def measure(texts: list[str], fertility: Fertility) -> dict[str, np.ndarray]:
     """BASE and METRICS of each text; metrics are nan where a text has no word."""
     n = len(texts)
-    own = [words(t) for t in texts]
-    count = np.fromiter(map(len, own), np.int64, n)
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # at the white space of WORD
+    coded = lists.flatten().dictionary_encode()
+    word = np.asarray(pc.binary_length(coded.dictionary).to_numpy() > 0)[coded.indices.to_numpy()]  # white space at an end leaves an empty string
+    codes = coded.indices.to_numpy()[word].astype(np.int64)
+    count = np.diff(np.concatenate([[0], np.cumsum(word)])[lists.offsets.to_numpy()]) if n else np.zeros(0, np.int64)
     out = {"n_words": count, "n_symbols": np.asarray([sum(map(t.count, SYMBOLS)) for t in texts], np.int64)}
     lines = [[x for x in t.split("\n") if x.strip(" \t\n\v\f\r")] if "\n" in t else [] for t in texts]
     out["n_dup_lines"] = np.asarray([len(x) - len(set(x)) for x in lines], np.int64)
-    flat = np.empty(int(count.sum()), object)
-    flat[:] = list(chain.from_iterable(own))
-    if not len(flat):
+    if not len(codes):
         zero = np.zeros(n, np.int64)
         return out | {"word_chars": zero, "n_repeat_words": zero} | {m: np.full(n, np.nan) for m in METRICS} | {"n_tokens": zero}
-    codes, uniq = pd.factorize(flat)
     doc = np.repeat(np.arange(n), count)
     total = lambda x: np.bincount(doc, weights=x[codes], minlength=n)
-    chars = total(np.fromiter(map(len, uniq), np.int64, len(uniq)))
+    chars = total(pc.utf8_length(coded.dictionary).to_numpy())
     out["word_chars"] = chars.astype(np.int64)
     out["n_repeat_words"] = repeat_words(codes, doc, n)
-    ids, sizes, n_byte = fertility.tables(uniq)
+    ids, sizes, n_byte = fertility.tables(coded.dictionary.to_pylist())
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     each = sizes[codes]
     at = np.repeat(starts[codes] - np.concatenate([[0], np.cumsum(each)[:-1]]), each) + np.arange(int(each.sum()))
@@ -148,33 +156,36 @@ def measured(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str
 
     def run(batches):
         fertility = Fertility(*vocabularies)
-        for b in batches:
+        for b in in_chunks(batches, "__text__", CHARS):
             texts = [t or "" for t in b.column("__text__").to_pylist()]
-            cut, held = [0], 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= CHARS:
-                    cut.append(i + 1)
-                    held = 0
-            for lo, hi in zip(cut, [*cut[1:], len(texts)], strict=True):
-                if hi > lo:
-                    m = measure(texts[lo:hi], fertility)
-                    own = [b.column(c).slice(lo, hi - lo) for c in keep]
-                    yield pa.RecordBatch.from_arrays([*own, *(pa.array(m[x], pa.int64()) for x in names[:6]), *(pa.array(m[x], pa.float64(), from_pandas=True) for x in METRICS), pa.array(map(script_of, texts[lo:hi]), pa.string())], [*keep, *names, "__script__"])
+            m = measure(texts, fertility)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(m[x], pa.int64()) for x in names[:6]), *(pa.array(m[x], pa.float64(), from_pandas=True) for x in METRICS), pa.array(map(script_of, texts), pa.string())], [*keep, *names, "__script__"])
 
     doubles = ", ".join(f"{m} double" for m in METRICS)
     return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, {', '.join(f'{x} bigint' for x in names[:6])}, {doubles}, __script__ string")
 
 
-def bands(metrics: DataFrame, keys: list[str], z: float, least: int) -> DataFrame:
+def cells(metrics: DataFrame) -> DataFrame:
+    """How many rows of each class have each value of each metric, in steps of a thousandth: _m (place in METRICS), _bin, _n.
+
+    Counts of whole numbers, so limits do not depend on how rows are partitioned; steps end at MOST_BIN.
+    """
+    step = lambda m: F.least(F.round(F.col(m) * 1000).cast("int"), F.lit(MOST_BIN))
+    each = F.posexplode(F.array(*map(step, METRICS))).alias("_m", "_bin")
+    return metrics.select("__group__", "__script__", "__length__", each).groupBy("__group__", "__script__", "__length__", "_m", "_bin").agg(F.count("*").alias("_n"))
+
+
+def bands(counted: DataFrame, keys: list[str], z: float, least: int) -> DataFrame:
     """keys, and a struct of lower and upper limit of each metric from all rows of a group; groups of under least rows have none."""
-    quartiles = [F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(m) for m in METRICS]
-    found = metrics.groupBy(*keys).agg(F.count("*").alias("_n"), *quartiles).where(F.col("_n") >= least)
-    limits = []
-    for m in METRICS:
-        spread = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(0.005))
-        limits.append(F.struct((F.col(m)[1] - z * spread).alias("low"), (F.col(m)[1] + z * spread).alias("high")).alias(m))
-    return found.select(*keys, *limits)
+    own = [*keys, "_m"]
+    summed = counted.groupBy(*own, "_bin").agg(F.sum("_n").alias("_n"))  # at most MOST_BIN rows of a group and metric
+    inside = Window.partitionBy(*own)
+    seen = summed.withColumn("_seen", F.sum("_n").over(inside.orderBy("_bin"))).withColumn("_all", F.sum("_n").over(inside))
+    quartiles = [F.min(F.when(4 * F.col("_seen") >= k * F.col("_all"), F.col("_bin"))).alias(f"_q{k}") for k in (1, 2, 3)]
+    found = seen.groupBy(*own).agg(F.max("_all").alias("_all"), *quartiles).where(F.col("_all") >= least)
+    spread = F.greatest((F.col("_q3") - F.col("_q1")) / 1000 / 1.349, F.lit(0.005))
+    limit = F.struct((F.col("_q2") / 1000 - z * spread).alias("low"), (F.col("_q2") / 1000 + z * spread).alias("high"))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_m") == i, limit)).alias(m) for i, m in enumerate(METRICS)))
 
 
 def _sent(small: DataFrame) -> DataFrame:
@@ -189,10 +200,11 @@ def class_limits(metrics: DataFrame, z: float, least: int = 30) -> DataFrame:
     corpus; entropy, which grows with the length, takes that of the length, else of the corpus.
     """
     has = metrics.where(F.col("n_tokens") > 0).select("__group__", "__script__", "__length__", *METRICS)
-    out = has.select("__group__", "__script__", "__length__").distinct()
+    counted = written(cells(has), "cells")
+    out = counted.select("__group__", "__script__", "__length__").distinct()
     tiers = {"own": ["__group__", "__length__"], "group": ["__group__"], "script": ["__script__"], "length": ["__length__"], "all": []}
     for tier, keys in tiers.items():
-        found = bands(has, keys, z, least if keys else 1).withColumnsRenamed({m: f"{m}_{tier}" for m in METRICS})
+        found = bands(counted, keys, z, least if keys else 1).withColumnsRenamed({m: f"{m}_{tier}" for m in METRICS})
         found = _sent(written(found, "bands"))
         out = out.join(found, keys, "left") if keys else out.crossJoin(found)
     order = {m: ("own", "length", "all") if m == "entropy" else ("own", "group", "script", "all") for m in METRICS}

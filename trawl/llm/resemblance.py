@@ -1,8 +1,10 @@
-"""Near-dedup by exact resemblance: MinHash bands propose pairs, the shingles themselves decide.
+"""Near-dedup by exact resemblance: fingerprints and MinHash bands propose pairs, the shingles themselves decide.
 
-A document is the set of its shingle hashes; equal sets are one node. Nodes that agree on all rows of a MinHash band
-share a bucket. First each node of a bucket is compared with the bucket's smallest; then, over the components so far,
-every pair of a bucket that could still join two of them. A pair links if the Jaccard similarity of its sets reaches
+A document is the set of its shingle hashes; equal sets are one node. The SimHash operator proposes the nodes whose
+fingerprints it links. At a similarity of 0.8 fingerprints differ in about ten bits of 64, beyond any radius at which
+the pigeonhole still prunes, so MinHash bands propose the rest: nodes that agree on all rows of a band share a bucket.
+First each node of a bucket is compared with the bucket's smallest; then, over the components so far, every pair of a
+bucket that could still join two of them. A pair links if the Jaccard similarity of its sets reaches
 the threshold; it is computed on the whole sets, so no link is an estimate.
 """
 
@@ -15,7 +17,8 @@ from pyspark.sql import functions as F
 
 from trawl.llm.components import components
 from trawl.llm.shared import small_batches, written
-from trawl.llm.simhash import shingle_hashes
+from trawl.llm.simhash import least_rows, shingle_hashes, simhash
+from trawl.llm.simhash import links as simhash_links
 
 #: A pair at similarity s meets in some band with probability 1 - (1 - s**ROWS)**BANDS: 0.99993 at 0.8.
 BANDS, ROWS = 24, 5
@@ -56,20 +59,21 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, text_col: str, keep: list[str], shingle: int) -> DataFrame:
-    """The keep columns of docs, _key (of the shingle set), _n (its size) and _bands."""
+    """The keep columns of docs, _key (of the shingle set), _n (its size), _fp (fingerprint) and _bands."""
     small_batches(docs.sparkSession)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
         for b in batches:
-            sets = [shingle_set(t, shingle) for t in b.column("__text__").to_pylist()]
+            hashes = [shingle_hashes(t, shingle) for t in b.column("__text__").to_pylist()]
+            sets = [np.unique(x) for x in hashes]
             bands = [band_keys(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32)
             flat = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
-            own = [_signed(np.asarray([set_key(s) for s in sets], np.uint64)), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), _signed(flat))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], [*keep, "_key", "_n", "_bands"])
+            own = [_signed(np.asarray([set_key(s) for s in sets], np.uint64)), pa.array([len(s) for s in sets], pa.int32()), _signed(np.asarray([simhash(x) for x in hashes], np.uint64)), pa.ListArray.from_arrays(pa.array(ends), _signed(flat))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *own], [*keep, "_key", "_n", "_fp", "_bands"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, _key bigint, _n int, _bands array<bigint>")
+    return docs.select(*keep, F.col(text_col).alias("__text__")).mapInArrow(run, f"{kinds}, _key bigint, _n int, _fp bigint, _bands array<bigint>")
 
 
 def verified(pairs: DataFrame, at: DataFrame, text_col: str, similarity: float, shingle: int) -> DataFrame:
@@ -101,6 +105,17 @@ def verified(pairs: DataFrame, at: DataFrame, text_col: str, similarity: float,
     return out
 
 
+def proposed(at: DataFrame, distance: int = 3) -> DataFrame:
+    """a, b: pairs of set keys of at whose fingerprints the SimHash operator links, through the least key of each fingerprint."""
+    nodes = written(at.groupBy("_key").agg(F.first("_fp").alias("fp")), "nodes")
+    least = written(nodes.groupBy("fp").agg(F.min("_key").alias("least")), "fingerprints")
+    apart = simhash_links(least.select("fp"), distance)
+    x, y = least.select(F.col("fp").alias("a"), F.col("least").alias("ka")), least.select(F.col("fp").alias("b"), F.col("least").alias("kb"))
+    over = apart.join(x, "a").join(y, "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    same = nodes.join(least, "fp").where(F.col("_key") != F.col("least")).select(F.col("least").alias("a"), F.col("_key").alias("b"))
+    return over.unionByName(same)
+
+
 def links(at: DataFrame, text_col: str, similarity: float, shingle: int) -> DataFrame:
     """a, b: links among the set keys of at, whose components are those of all links that share a band."""
     near = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6  # noqa: E731  sets of other sizes cannot reach it
@@ -108,7 +123,8 @@ def links(at: DataFrame, text_col: str, similarity: float, shingle: int) -> Data
     own = Window.partitionBy("band")
     shared = dealt.withColumns({"least": F.min(F.struct("key", "n")).over(own), "last": F.max("key").over(own)}).where("least.key <> last")
     shared = written(shared.select("band", "key", "n", F.col("least.key").alias("c"), F.col("least.n").alias("cn")), "buckets")
-    first = written(shared.where((F.col("key") != F.col("c")) & near(F.col("n"), F.col("cn"))).select(F.col("c").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    centred = shared.where((F.col("key") != F.col("c")) & near(F.col("n"), F.col("cn"))).select(F.col("c").alias("a"), F.col("key").alias("b"))
+    first = written(centred.unionByName(proposed(at)).distinct(), "pairs")
     edges = verified(first, at, text_col, similarity, shingle)
     roots = written(components(edges, "a", "b"), "roots")
     named = shared.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -124,7 +140,7 @@ def links(at: DataFrame, text_col: str, similarity: float, shingle: int) -> Data
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """docs with one row of each component of near copies: the one with the smallest id (rows that repeat it: any one).
+    """docs with one row of each component of near copies: the one with the smallest id (of rows that repeat it the least by all columns).
 
     Documents link if the Jaccard similarity of their shingle sets (A-Z lower-cased, of all words where they are fewer)
     is at least similarity. Nulls: a null or empty text has the empty set, and all of these are one component; a null
@@ -140,7 +156,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("x"))
     best = best.select(F.col("x._key").alias("_k"), F.col("x._id").alias("_i"))
     kept = at.join(best, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")))
-    again = kept.groupBy("_key").count().where("count > 1")  # reads no text
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.select(*names)
+    return least_rows(kept, "_key", names)

@@ -7,7 +7,10 @@ import re
 import tempfile
 import threading
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word of the contracts: a run of anything but space and the ASCII controls 9 to 13.
@@ -82,6 +85,45 @@ def carried(docs: DataFrame, keep: list[str] | None, produced: tuple[str, ...])
     return list(keep) if keep is not None else [c for c in docs.columns if c.lower() not in own]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of so few rows that texts of 100 kB each still fit a Python worker many times over."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
+    """Arrow batches of so few rows and bytes that they fit a Python worker many times over.
+
+    These are options of the session, as Spark has none for a plan alone; smaller ones that are set already stay.
+    """
+    held = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < held <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def in_chunks(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their column holds size bytes; empty ones go."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.column(column).nbytes
+        if n >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def blocks(batches: Iterable[pa.RecordBatch], key: str, least: int) -> Iterator[pa.Table]:
+    """Batches sorted by key as tables of least rows or more that end where key changes."""
+    held, n, wanted = [], 0, least
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= wanted:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            k = whole.column(key).to_numpy()
+            other = np.flatnonzero(k != k[-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield whole.slice(0, cut)
+            held, n = whole.slice(cut).to_batches(), n - cut
+            wanted = max(least, 2 * n)  # a key with very many rows is put together a few times only
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -16,9 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import small_batches, words, written
+from trawl.llm.shared import blocks, small_batches, words, written
 
 BITS = 64
+#: Fingerprints of a bucket that one task compares; a fuller one is dealt again (links).
+MOST = 20_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -48,9 +50,9 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, shingle: int = 3) -> DataFrame:
-    """The keep columns of docs and fp (long: the fingerprint's 64 bits, signed)."""
+    """The keep columns of docs and fp (long: the fingerprint's 64 bits, signed); a column of docs with that name gives way."""
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "fp"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def run(batches):
@@ -177,8 +179,13 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(distinct: DataFrame, distance: int = 3, plan: list | None = None) -> DataFrame:
-    """a, b: links among distinct fingerprints (column fp) at most distance bits apart, whose components are those of all links."""
+def links(distinct: DataFrame, distance: int = 3, plan: list | None = None, most: int | None = None) -> DataFrame:
+    """a, b: links among distinct fingerprints (column fp) at most distance bits apart, whose components are those of all links.
+
+    A bucket of more than most fingerprints (MOST) is dealt again by distance + 1 parts of the bits that its key leaves
+    open: two that differ in at most distance bits agree in one of them.
+    """
+    most = MOST if most is None else most
     if plan is None:
         n, both = bit_statistics(distinct)
         plan = plan_partitions(both, n, distance)
@@ -187,22 +194,37 @@ def links(distinct: DataFrame, distance: int = 3, plan: list | None = None) -> D
         for b in batches:
             fps = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             ks = keys_of(fps, plan)
-            yield pa.RecordBatch.from_pydict({"key": np.concatenate(ks).view(np.int64), "fp": np.tile(fps, len(ks)).view(np.int64)})
+            part = np.repeat(np.arange(len(ks), dtype=np.int32), len(fps))
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate(ks).view(np.int64), "fp": np.tile(fps, len(ks)).view(np.int64), "part": part})
 
-    def match(batches):
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_bits = [[b for b in range(BITS) if b not in bits] for bits, threshold in plan for _ in range(1 if threshold == 0 else len(bits))]
+
+    def deal_again(batches):
         for b in batches:
-            k = np.concatenate([held_k, b.column("key").to_numpy(zero_copy_only=False)])
-            f = np.concatenate([held_f, b.column("fp").to_numpy(zero_copy_only=False)])
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last key may go on in the next batch
-            held_k, held_f = k[cut:], f[cut:]
-            if cut:
-                yield from _matched(k[:cut], f[:cut], distance)
-        if len(held_k):
-            yield from _matched(held_k, held_f, distance)
+            key, fps, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "part"))
+            fps, out = fps.view(np.uint64), []
+            for p in np.unique(part).tolist():
+                at = part == p
+                for sub in np.array_split(np.asarray(open_bits[p]), distance + 1):
+                    mask = np.uint64(sum(1 << int(x) for x in sub))
+                    x = (fps[at] & mask) ^ key[at].view(np.uint64) ^ mask
+                    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+                    out.append((x ^ (x >> np.uint64(33)), fps[at]))
+            if out:
+                yield pa.RecordBatch.from_pydict({"key": np.concatenate([x for x, _ in out]).view(np.int64), "fp": np.concatenate([x for _, x in out]).view(np.int64)})
 
-    dealt = distinct.select("fp").mapInArrow(deal, "key bigint, fp bigint").repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(match, "a bigint, b bigint").distinct()
+    def match(batches):
+        for t in blocks(batches, "key", 65_536):
+            yield from _matched(t.column("key").to_numpy(), t.column("fp").to_numpy(), distance)
+
+    dealt = distinct.select("fp").mapInArrow(deal, "key bigint, fp bigint, part int")
+    crowded = written(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select(F.col("key").alias("k")), "crowded")
+    if not crowded.isEmpty():
+        inside = dealt.join(crowded.hint("merge"), F.col("key") == F.col("k"), "left_semi").mapInArrow(deal_again, "key bigint, fp bigint")
+        dealt = dealt.join(crowded.hint("merge"), F.col("key") == F.col("k"), "left_anti").select("key", "fp").unionByName(inside)
+    else:
+        dealt = dealt.select("key", "fp")
+    return dealt.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(match, "a bigint, b bigint").distinct()
 
 
 def _matched(key: np.ndarray, fp: np.ndarray, distance: int):
@@ -232,9 +254,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents link if their fingerprints differ in at most distance bits; equal ones always do. Nulls: a null or
     empty text has fingerprint 0 and links like any other; a null id is never the smallest unless all are null.
-    Repeated rows stay rows of one component. Texts of any length count whole. An empty table gives no rows.
+    Repeated rows stay rows of one component. Texts of any length count whole. An empty table gives no rows. Columns
+    of docs that are called fp or component_id give way to the results.
     """
-    keep = [id_col] if keep is None else keep
+    keep = [c for c in ([id_col] if keep is None else keep) if c.lower() not in ("fp", "component_id")]
     at = written(fingerprints(docs, text_col, list(dict.fromkeys([*keep, id_col])), shingle), "fingerprints")
     return at.join(classes(at, id_col, distance).select("fp", "component_id"), "fp").select(*keep, "fp", "component_id")
 
@@ -250,16 +273,20 @@ def classes(at: DataFrame, id_col: str, distance: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (rows that repeat it: any one of them)."""
-    names = docs.columns
-    at = written(fingerprints(docs, text_col, [c for c in names if c.lower() != "fp"], shingle), "fingerprints")
+    """docs with one row of each component: the one with the smallest id (of rows that repeat it the least by all columns)."""
+    names = [c for c in docs.columns if c.lower() != "fp"]
+    at = written(fingerprints(docs, text_col, names, shingle), "fingerprints")
     found = classes(at, id_col, distance).where(F.col("first").eqNullSafe(F.col("component_id")))
     first = found.groupBy("root").agg(F.min(F.struct("fp", "component_id")).alias("x")).select(F.col("x.fp").alias("_fp"), F.col("x.component_id").alias("_id"))
     kept = at.join(first, (F.col("fp") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")))
-    again = kept.groupBy("fp").count().where("count > 1")  # reads no text
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["fp"])
-    return kept.select(*[c for c in names if c.lower() != "fp"])
+    return least_rows(kept, "fp", names)
+
+
+def least_rows(kept: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """One row of each key, the least by all names; where no key repeats no text is moved."""
+    if kept.groupBy(key).count().where("count > 1").isEmpty():
+        return kept.select(*names)
+    return kept.groupBy(key).agg(F.min(F.struct(*names)).alias("_least")).select("_least.*")
 
 
 def fingerprint_hex(fp: Column) -> Column:

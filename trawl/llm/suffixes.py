@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import fresh_path, note, small_batches, written
+from trawl.llm.shared import blocks, fresh_path, note, small_batches, written
 
 WIDTH, GRAM = 400, 64
 #: Different contexts of a k-gram that one task compares; those of a commoner one are cut into bands (module text).
@@ -200,23 +200,6 @@ def repeating(raw: np.ndarray, begin: np.ndarray, core: np.ndarray, q: np.ndarra
     return hit
 
 
-def _blocks(batches, key: str, least: int):
-    """Sorted batches as batches of least rows or more that end where key changes."""
-    held, n = [], 0
-    for b in batches:
-        held, n = [*held, b], n + b.num_rows
-        if n >= least:
-            all_ = pa.Table.from_batches(held).combine_chunks()
-            k = all_.column(key).to_numpy()
-            other = np.flatnonzero(k != k[-1])
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                yield all_.slice(0, cut)
-            held, n = all_.slice(cut).to_batches(), n - cut
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def _bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a binary column one after another, and where each row's start."""
     lengths = np.asarray(pa.compute.binary_length(column).to_numpy(), np.int64)
@@ -286,7 +269,7 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tid", "core", "q", "lo", "hi", "weight", "prefix", "context"])
 
     def compare(batches):
-        for block in _blocks(batches, "core", 4096):
+        for block in blocks(batches, "core", 4096):
             yield from _compared(block, width)
 
     def by_text(items: DataFrame) -> DataFrame:
