@@ -50,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, the one with the smallest id.
 
     Documents link at a Jaccard similarity of 0.8 or more of their five-word shingle sets, computed on the whole sets.
+    The SimHash operator proposes pairs; the README says why MinHash bands propose more, and with what recall.
     """
     return one_of_each(docs.select(*COLUMNS), similarity=0.8, shingle=5)
 
