@@ -351,8 +351,50 @@ def test_toxicity_marks_clauses():
     f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, lex, m)))
     plain, negated, reported, aimed = f("what an idiot. scum"), f("he is not an idiot"), f("she said idiot"), f("you idiot")
     assert plain["two"] == 1 and negated["negated"] > 0 and reported["reported"] > 0 and aimed["aimed"] > 0
-    assert negated["weight"] < aimed["weight"] and f("")["one"] == 0 and f(None)["hits"] == 0
-    assert f("not here. idiot")["negated"] == 0  # another clause
+    assert negated["weight"] < reported["weight"] < f("idiot")["weight"] < aimed["weight"] and f("")["one"] == 0 and f(None)["weight"] == 0
+    assert negated["one"] == reported["one"] == negated["aimed"] == 0 and f("not here. idiot")["negated"] == 0  # another clause
+    assert f("they will hurt you")["threats"] > 0 and f("they will not hurt you")["threats"] == 0
+
+
+def plain_machine(text, lexicon):
+    """The grammar without transducers: looks back over a clause's words for what each match stands under."""
+    weight, n, marks = 0.0, 0, Counter()
+    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
+        kinds = [lexicon.symbol(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        n += len(kinds)
+        for i, x in enumerate(kinds):
+            if x in ("insult", "threat"):
+                negated, aimed, reported = "negation" in kinds[max(0, i - 3) : i], "target" in kinds[max(0, i - 4) : i], "reported" in kinds[:i]
+                weight += (1.0 if x == "insult" else 0.5) * (0.3 if negated else 1) * (1.5 if aimed else 1) * (0.5 if reported else 1)
+                marks.update({"negated": negated, "reported": reported, "aimed": aimed and not negated and not reported, "threats": x == "threat" and aimed and not negated and not reported})
+    log = np.log1p
+    return [*(float(weight >= k - 1e-9) for k in (1, 2, 3)), log(weight), *(log(float(marks[m])) for m in ("aimed", "threats", "negated", "reported")), min(1.0, 20 * weight / n) if weight else 0.0]
+
+
+def test_toxicity_machine_equals_plain_look_back_over_a_whole_table(spark):
+    lex, machine = toxicity.seed_lexicon(), toxicity.grammar()
+    lex = toxicity.Lexicon(lex.words, frozenset({"thing", "ander"}))
+    table = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    r = random.Random(3)
+    words = [w for ws in toxicity.SEEDS.values() for w in ws] + ["house", "tree", ".", "!", ";"]
+    for t in [*table, *(" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(500))]:
+        assert np.allclose(toxicity.features(t, lex, machine), plain_machine(t, lex))
+
+
+def test_the_same_word_scores_low_negated_or_reported(spark):
+    r = random.Random(8)
+    fill = lambda: " ".join(r.choice(["lorem", "ipsum", "dolor", "amet"]) for _ in range(20))
+    rows, labels = [], []
+    for i in range(900):
+        form = ["you idiot and scum", "he is not an idiot. it is never scum", "she said idiot and scum", "nothing here"][i % 4]
+        rows.append((i, f"{fill()}. {form}. {fill()}"))
+        labels.append((i, int(i % 4 == 0)))
+    more = [(2000, "amet. what an idiot and scum you are, idiot. lorem"), (2001, "amet. he is no idiot. lorem"), (2002, "amet. he wrote idiot. lorem")]
+    docs = spark.createDataFrame(rows + more, "doc_id bigint, text string")
+    got = {g["doc_id"]: g for g in toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()}
+    assert got[2000]["predicted"] == 1 and got[2001]["predicted"] == got[2002]["predicted"] == 0
+    assert got[2001]["score"] < got[2000]["score"] / 2 and got[2002]["score"] < got[2000]["score"] / 2
+    assert all(got[i]["predicted"] == (i % 4 == 0) for i in range(900))
 
 
 def test_toxicity_learns_unseen_words_from_training_rows_only(spark, none):

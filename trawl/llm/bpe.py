@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import small_batches
+from trawl.llm.shared import lean, small_batches
 
 #: A match that ends so many characters before a cut cannot have been shaped by the cut.
 MARGIN = 16
@@ -96,6 +96,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     long = F.length("text") > chunk
     out = pa.schema([("ids", pa.binary())])
 
+    @lean
     def encode(batches):
         enc = encoding(path, pattern)
         for b in batches:
@@ -109,11 +110,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 for k in range(n):
                     yield pa.RecordBatch.from_arrays([pa.array([doc], b.schema.field("doc_id").type), pa.array([h], pa.int64()), pa.array([k], pa.int32()), pa.array([k == n - 1], pa.bool_()), pa.array([text[k * chunk : (k + 1) * chunk + overlap]], pa.string())], ["doc_id", "h", "k", "last", "text"])
 
+    @lean
     def pretokenise(batches):
         for b in batches:
             ends = [np.asarray(boundaries(t, pattern, z), dtype="<i4").tobytes() for t, z in zip(b.column("text").to_pylist(), b.column("last").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ends, pa.binary())], [*b.schema.names, "ends"])
 
+    @lean
     def stitched(batches):
         doc_type = None
 
@@ -167,6 +170,7 @@ def decode_ids(coded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """Adds decoded (binary): the raw bytes of each id, one after another."""
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in coded.schema)
 
+    @lean
     def decode(batches):
         get = token_bytes(path).__getitem__
         for b in batches:

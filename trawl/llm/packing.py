@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import in_chunks, small_batches, written
+from trawl.llm.shared import in_chunks, lean, small_batches, written
 
 MAGIC = b"PACK"
 TRAILER = struct.Struct("<4sIIxxxxQQQ")
@@ -302,6 +302,7 @@ def write_packed(docs: DataFrame, folder: str, path: str, end_id: int, id_col: s
     order = ["doc_id", F.xxhash64("text"), "text"]
     dealt = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
 
+    @lean
     def write(batches):
         part, out, encoder = TaskContext.get().partitionId(), None, _encoder(path)
         for chunk in in_chunks(batches, "text", CHUNK):

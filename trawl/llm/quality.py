@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import carried, in_chunks, small_batches, written
+from trawl.llm.shared import carried, in_chunks, lean, small_batches, written
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEAT = "#*$%&|<>", 5, 10, 20
@@ -31,7 +31,7 @@ Z = 4.0
 #: So many classes at most are sent to the documents; more are joined by a shuffle, with the same verdicts.
 MOST_SENT = 100_000
 #: Texts are measured together, about so many bytes at a time.
-CHARS = 6_000_000
+CHARS = 3_000_000
 #: The last step of a metric in the counts that limits come from.
 MOST_BIN = 30_000
 
@@ -85,7 +85,7 @@ def _vocabularies(piece_path: str, byte_path: str, pattern: str):
 class Fertility:
     """Token counts of words; each distinct word is encoded once while the cache holds it."""
 
-    def __init__(self, piece_path: str, byte_path: str, pattern: str, most: int = 300_000):
+    def __init__(self, piece_path: str, byte_path: str, pattern: str, most: int = 200_000):
         self.piece, self.byte, self.is_byte = _vocabularies(piece_path, byte_path, pattern)
         self.most, self.known = most, {}  # of a word: how many byte-level tokens, and its piece ids
 
@@ -154,6 +154,7 @@ def measured(docs: DataFrame, vocabularies: tuple[str, str, str], text_col: str
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     names = [*BASE, "n_tokens", *METRICS]
 
+    @lean
     def run(batches):
         fertility = Fertility(*vocabularies)
         for b in in_chunks(batches, "__text__", CHARS):

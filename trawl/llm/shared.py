@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import re
 import tempfile
 import threading
@@ -96,6 +99,22 @@ def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def lean(run):
+    """A function over Arrow batches whose Python worker gives the memory of its task back, as workers live on idle."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def in_chunks(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:
     """Batches put together until their column holds size bytes; empty ones go."""
     held, n = [], 0

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import blocks, small_batches, words, written
+from trawl.llm.shared import blocks, lean, small_batches, words, written
 
 BITS = 64
 #: Fingerprints of a bucket that one task compares; a fuller one is dealt again (links).
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "fp"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
+    @lean
     def run(batches):
         for b in batches:
             fps = np.asarray([simhash(shingle_hashes(t, shingle)) for t in b.column("__text__").to_pylist()], np.uint64)
@@ -66,6 +67,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and how many have both bits i and j set: 64 x 64 counts, summed over all rows."""
 
+    @lean
     def run(batches):
         total, both = 0, np.zeros((BITS, BITS), np.int64)
         for b in batches:
@@ -213,6 +215,7 @@ def links(distinct: DataFrame, distance: int = 3, plan: list | None = None, most
             if out:
                 yield pa.RecordBatch.from_pydict({"key": np.concatenate([x for x, _ in out]).view(np.int64), "fp": np.concatenate([x for _, x in out]).view(np.int64)})
 
+    @lean
     def match(batches):
         for t in blocks(batches, "key", 65_536):
             yield from _matched(t.column("key").to_numpy(), t.column("fp").to_numpy(), distance)

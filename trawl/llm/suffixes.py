@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import blocks, fresh_path, note, small_batches, written
+from trawl.llm.shared import blocks, fresh_path, lean, note, small_batches, written
 
 WIDTH, GRAM = 400, 64
 #: Different contexts of a k-gram that one task compares; those of a commoner one are cut into bands (module text).
@@ -232,6 +232,7 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
         cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (core, fa, fb, loc)]
         return pa.RecordBatch.from_arrays([*cols, tid, pa.array(weight, pa.int32())], ["core", "fa", "fb", "loc", "tid", "weight"])
 
+    @lean
     def scan(batches):
         first, second = Hasher(1), Hasher(2)
         for b in batches:
@@ -258,6 +259,7 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
 
         return run
 
+    @lean
     def contexts(batches):
         for b in batches:
             held = []
@@ -268,6 +270,7 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
                 c = list(zip(*held[i : i + 2048], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tid", "core", "q", "lo", "hi", "weight", "prefix", "context"])
 
+    @lean
     def compare(batches):
         for block in blocks(batches, "core", 4096):
             yield from _compared(block, width)

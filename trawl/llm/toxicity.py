@@ -3,7 +3,8 @@
 A clause's words become symbols (insult, threat, target, negation, reported speech, other). Three transducers mark
 the insults and threats in it: as negated, as reported, as aimed at someone. Their composition is one machine; what
 it emits over a document's clauses, by weight, are the document's features, and a logistic model makes them a score.
-Isolated words count only through the clauses they stand in.
+No word counts by itself: an insult that its clause negates or reports weighs a part of one that it asserts, and only
+asserted weight can raise a score (marks of negation and report never have a positive coefficient).
 
 The insult lexicon and the model are fitted on a bounded sample of labelled rows (sample, by a hash of the id): words
 and five-letter stems that tell toxic from other documents beyond chance (G-test, Bonferroni over a million features).
@@ -21,16 +22,34 @@ from pyspark.sql import functions as F
 
 from trawl.llm.shared import carried, small_batches, written
 
-#: Seed word lists, in English, German, French and Spanish; small and general, the lexicon is learned besides.
+#: Seed word lists, in English, German, French and Spanish; small and general, the lexicon is learned besides. Fixed values.
 SEEDS = {
-    "insult": "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown dumb dummkopf trottel abschaum idiota estupido imbécile imbecile connard basura escoria crétin",
-    "threat": "kill hurt destroy beat burn shoot töten umbringen vernichten tuer frapper détruire matar golpear destruir",
-    "target": "you your youre u du dich dir euch ihr tu te toi vous vos usted ustedes tú vosotros they them he she him her",
-    "negation": "not never no dont isnt arent nicht nie kein keine pas jamais aucun nunca ningún ni",
-    "reported": "said says wrote claimed quoted told sagte sagt schrieb behauptete dit disait écrit dijo dice escribió",
-}
+    "insult": (
+        "idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless",
+        "disgusting", "clown", "dumb", "dummkopf", "trottel", "abschaum", "idiota", "estupido", "imbécile",
+        "imbecile", "connard", "basura", "escoria", "crétin",
+    ),
+    "threat": (
+        "kill", "hurt", "destroy", "beat", "burn", "shoot", "töten", "umbringen", "vernichten", "tuer", "frapper",
+        "détruire", "matar", "golpear", "destruir",
+    ),
+    "target": (
+        "you", "your", "youre", "u", "du", "dich", "dir", "euch", "ihr", "tu", "te", "toi", "vous", "vos", "usted",
+        "ustedes", "tú", "vosotros", "they", "them", "he", "she", "him", "her",
+    ),
+    "negation": (
+        "not", "never", "no", "dont", "isnt", "arent", "nicht", "nie", "kein", "keine", "pas", "jamais", "aucun",
+        "nunca", "ningún", "ni",
+    ),
+    "reported": (
+        "said", "says", "wrote", "claimed", "quoted", "told", "sagte", "sagt", "schrieb", "behauptete", "dit",
+        "disait", "écrit", "dijo", "dice", "escribió",
+    ),
+}
 SYMBOLS = ("insult", "threat", "target", "negation", "reported", "other")
 STEM = 5
+#: What a match weighs before its clause's arcs change that.
+WEIGHTS = {"insult": 1.0, "threat": 0.5}
 _WORD, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]+")
 
 
@@ -86,20 +105,24 @@ class Lexicon:
 
 
 def seed_lexicon() -> Lexicon:
-    return Lexicon({w: kind for kind in ("target", "negation", "reported", "threat", "insult") for w in SEEDS[kind].split()})
+    return Lexicon({w: kind for kind in ("target", "negation", "reported", "threat", "insult") for w in SEEDS[kind]})
 
 
-FEATURES = ("one", "two", "three", "hits", "weight", "aimed", "negated", "reported", "threats", "density")
+FEATURES = ("one", "two", "three", "weight", "aimed", "threats", "negated", "reported", "density")
 
 
 def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[float]:
+    """What the machine emits over a text's clauses.
+
+    An insult or threat counts by the product of its arcs' factors: one where it is asserted, more where it is aimed
+    at someone, a part where it is negated or reported. one, two, three: the clauses' weights reach that sum.
+    """
     low = (text or "").lower()
     own = _WORD.findall(low)
     loud = {w for w in set(own) if lexicon.symbol(w) in ("insult", "threat")}
     if not loud:
         return [0.0] * len(FEATURES)
-    hits = threats = 0
-    weight, marks = 0.0, {"aimed": 0, "negated": 0, "reported": 0}
+    weight, marks = 0.0, {"aimed": 0, "negated": 0, "reported": 0, "threats": 0}
     for clause in _CLAUSE.split(low):
         tokens = _WORD.findall(clause)
         if loud.isdisjoint(tokens):
@@ -109,13 +132,13 @@ def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[fl
             x = lexicon.symbol(w)
             state, out, factor = machine.step(state, x)
             if x in ("insult", "threat"):
-                hits += x == "insult"
-                threats += x == "threat"
-                weight += factor * (1.0 if x == "insult" else 0.5)
+                weight += factor * WEIGHTS[x]
+                asserted = "negated" not in out and "reported" not in out
+                marks["threats"] += asserted and x == "threat" and "aimed" in out
                 for m in out:
-                    marks[m] += 1
+                    marks[m] += m != "aimed" or asserted
     log = lambda v: float(np.log1p(v))
-    return [float(hits >= 1), float(hits >= 2), float(hits >= 3), log(hits), log(weight), log(marks["aimed"]), log(marks["negated"]), log(marks["reported"]), log(threats), min(1.0, 20 * hits / len(own))]
+    return [*(float(weight >= k) for k in (1, 2, 3)), log(weight), *(log(marks[m]) for m in ("aimed", "threats", "negated", "reported")), min(1.0, 20 * weight / len(own))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -133,7 +156,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) ->
 
 
 #: Without both labels in the sample: two plain insults tip the score.
-PRIOR = np.asarray([0.0, 4.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -3.0])
+PRIOR = np.asarray([0.0, 4.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -3.0])
 
 
 @dataclass(frozen=True)
@@ -162,14 +185,17 @@ def _evidence(labelled: DataFrame) -> DataFrame:
     return labelled.mapInArrow(run, "feature string, bad bigint, good bigint").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
-def learn_lexicon(labelled: DataFrame, n_bad: int, n_good: int, g_least: float = 25.0, most: int = 5000) -> Lexicon:
-    """The seeds, and the features whose G statistic is beyond chance and of whose documents over half are toxic; most at most, the strongest."""
+def learn_lexicon(labelled: DataFrame, n_bad: int, n_good: int, g_least: float = 25.0) -> Lexicon:
+    """The seeds, and the features whose G statistic is beyond chance and of whose documents over half are toxic.
+
+    The words of three or more documents of the sample bound them.
+    """
     n = n_bad + n_good
     bad, good = F.col("bad").cast("double"), F.col("good").cast("double")
     cell = lambda seen, row, col: F.when(seen > 0, seen * F.log(seen * n / (row * col))).otherwise(0.0)
     has = bad + good
     g = 2 * (cell(bad, has, F.lit(float(n_bad))) + cell(good, has, F.lit(float(n_good))) + cell(n_bad - bad, n - has, F.lit(float(n_bad))) + cell(n_good - good, n - has, F.lit(float(n_good))))
-    rows = _evidence(labelled).where((F.col("bad") >= 3) & (2 * F.col("bad") > has)).withColumn("g", g).where(F.col("g") >= g_least).orderBy(F.desc("g"), "feature").limit(most).collect()
+    rows = _evidence(labelled).where((F.col("bad") >= 3) & (2 * F.col("bad") > has)).withColumn("g", g).where(F.col("g") >= g_least).select("feature").collect()
     seeds = seed_lexicon()
     learned = {r["feature"]: "insult" for r in rows if not r["feature"].endswith("*")}
     return Lexicon(seeds.words | learned, frozenset(r["feature"][:-1] for r in rows if r["feature"].endswith("*")))
@@ -198,7 +224,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen = train.mapInArrow(run, ", ".join(f"{x} double" for x in names)).groupBy(*names).count().toPandas()
     x, w = seen[list(FEATURES)].to_numpy(), seen["count"].to_numpy()
     at = np.repeat(np.arange(len(x)), w)  # sample rows at most
-    return Model(lexicon, logistic(x[at], seen["y"].to_numpy()[at]))
+    y = seen["y"].to_numpy()[at]
+    free = np.ones(len(FEATURES), bool)
+    while True:  # a mark of negation or report that would raise the score goes out of the model
+        w = np.zeros(len(FEATURES) + 1)
+        w[np.append(free, True)] = logistic(x[at][:, free], y)
+        wrong = [i for i, name in enumerate(FEATURES) if name in ("negated", "reported") and w[i] > 0]
+        if not wrong:
+            return Model(lexicon, w)
+        free[wrong] = False
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -220,7 +254,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> DataFrame:
     """id, held_out, score and predicted of every row.
 
-    Neither labels nor any column but the text enters a score. Nulls: a null text scores as an empty one; a null id
+    Neither labels nor any column but the text enters a score. Texts of any length count whole, a clause at a time.
+    Nulls: a null text scores as an empty one; a null id
     is never held out; labels that are null or have no document teach nothing, conflicting ones count as toxic.
     Repeated rows score alike. Without labels of both kinds a fixed prior over the seeds scores. No rows give none.
     """
