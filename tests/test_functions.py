@@ -95,9 +95,49 @@ def test_chunkers():
 def test_json_replies():
     good = {"a": [1, "}"]}
     assert questions.extract_json(json.dumps(good)) == (json.dumps(good), "direct")
-    assert questions.extract_json("x ```json\n{\"a\": 1}\n``` y") == ('{"a": 1}', "fenced")
-    assert questions.extract_json('so {"a": {"b": "}"}} there') == ('{"a": {"b": "}"}}', "braces")
-    assert questions.extract_json('{"a": "\\d"}')[1] == "repaired" and questions.extract_json("none") == (None, "error") and questions.extract_json(None)[1] == "error"
+    assert questions.extract_json("x ```json\n{\"a\": 1}\n``` y") == ('{"a": 1}', "extracted")
+    assert questions.extract_json('so {"a": {"b": "}"}} there') == ('{"a": {"b": "}"}}', "extracted")
+    assert questions.extract_json('list ["a", "]"] ok') == ('["a", "]"]', "extracted")
+    assert questions.extract_json("```\nnot json\n``` then ```json\n[1]\n```") == ("[1]", "extracted")
+    assert questions.extract_json('{"a": "\\d"}') == ('{"a": "\\\\d"}', "repaired_escapes")
+    assert json.loads(questions.extract_json('{"a": "C:\\\\Users", "b": "x\\d"}')[0]) == {"a": "C:\\Users", "b": "x\\d"}
+    assert questions.extract_json("none") == (None, "error") and questions.extract_json(None)[1] == "error" and questions.extract_json('{"open": "')[1] == "error"
+
+
+def test_grades():
+    golden = [{"file": "a", "grade": None}, {"file": "a", "grade": 3}, {"file": "b", "grade": 0}]
+    got = evals.score_ranked([{"file": "b"}, {"file": "a"}], golden, 5)
+    assert got["mrr"] == 0.5 and got["recall"] == 1.0  # a grade of 0 is no hit
+    first = evals.score_ranked([{"file": "a"}], golden, 5, best_grade=False)
+    best = evals.score_ranked([{"file": "a"}], golden, 5)
+    assert first["ndcg"] < best["ndcg"] and evals.score_ranked([], [{"file": "a"}], 5)["ndcg"] == 0.0
+
+
+def test_watch_queue(spark):
+    from pyspark.sql import functions as F
+
+    from trawl.streaming import watch
+
+    e = spark.createDataFrame([("a", "add", 1), ("a", "change", 2), ("b", "add", 3), ("b", "unlink", 4), ("c", "add", 5), ("d", "unlink", 6), ("d", "add", 7)], "path string, kind string, at long")
+    indexed = spark.createDataFrame([("c",), ("d",)], "path string")
+    q = watch.queue_of(e, indexed, "path", "kind", "at").cache()
+    assert {(r["path"], r["added_at"]) for r in q.collect()} == {("a", 1), ("d", 7)}  # b is gone, c is indexed already
+    assert [r["path"] for r in watch.still_indexed(e, indexed, "path", "kind").collect()] == ["c"]
+    assert watch.next_batch(q, "path", paused=True).count() == 0 and [r["path"] for r in watch.next_batch(q, "path", 1).collect()] == ["a"]
+    for n in (1, 2, 3):
+        q = watch.after_batch(q.select("path", "added_at", "retries"), spark.createDataFrame([("a", False)], "path string, ok boolean"), "path", F.lit(100 + n).cast("long")).cache()
+        got = {r["path"]: (r["state"], r["retries"]) for r in q.collect()}
+        assert got == {"a": ("failed" if n == 3 else "queued", n), "d": ("queued", 0)}
+
+
+def test_digest_context_hash_is_that_of_sorted_json(spark):
+    import hashlib
+
+    rows = [("s/é", 'a "q" \\ \t \x0b\x1f \\u000B', None, "m", "h"), ("", "", "", "", "")]
+    d = spark.createDataFrame(rows, "slice_id string, module_purpose string, digest_version string, digest_model string, slice_content_hash string")
+    got = [r[0] for r in d.select(text.digest_context_hash(*d.columns)).collect()]
+    want = [hashlib.sha256(json.dumps({c: v or "" for c, v in zip(d.columns, r)}, sort_keys=True, ensure_ascii=False).encode()).hexdigest() for r in rows]
+    assert got == want
 
 
 def test_evaluation():
@@ -133,7 +173,11 @@ def test_fusion(spark):
     assert got == {7: round(2 / 61, 8), 8: round(1 / 62, 8)}
     h = spark.createDataFrame([(1, 5, "code", None, 0.6), (1, 6, "hyde", 5, 0.8)], "q int, i int, kind string, parent int, score double")
     assert search.parent_boost(h, "q", "i", "kind", "parent").first()["score"] == pytest.approx(1.0)
-    assert search.listwise_rerank(r, "q", lambda d: 1 / 0).count() == 3  # a failing scorer keeps the order
+    ranked = spark.createDataFrame([(q, d, n) for q in (1, 2) for n, d in enumerate("abc", 1)] + [(3, "x", 1)], "q int, d string, rank int")
+    failing = search.listwise_rerank(ranked, "q", lambda hits: 1 / 0, 2).collect()  # fails as it runs, in the tasks
+    assert sorted((x["q"], x["d"], x["rank"], x["reranked"], x["fallback"]) for x in failing) == [(1, "a", 1, False, True), (1, "b", 2, False, True), (2, "a", 1, False, True), (2, "b", 2, False, True), (3, "x", 1, False, False)]
+    named = search.listwise_rerank(ranked.where("q = 1"), "q", lambda hits: [2, 9, 2, -1, 0]).collect()
+    assert sorted((x["rank"], x["d"]) for x in named) == [(1, "c"), (2, "c"), (3, "a")]
 
 
 def test_catalog(spark):

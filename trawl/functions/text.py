@@ -71,6 +71,27 @@ def uuid5(name, namespace: str = "6ba7b810-9dad-11d1-80b4-00c04fd430c8") -> Colu
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(nibble, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def _json_text(c) -> Column:
+    """A text as JSON, as Python writes it: what JSON asks to escape and nothing else, code points in lower case."""
+    out = F.to_json(F.array(F.coalesce(col(c), F.lit(""))))
+    out = F.substring(out, F.lit(2), F.length(out) - 2)
+    for code in (11, 14, 15, *range(26, 32)):
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*)\\u%04X" % code, r"$1\\u%04x" % code)
+    return out
+
+
+def digest_context_hash(slice_id, module_purpose, digest_version, digest_model, slice_content_hash) -> Column:
+    """SHA-256 of a digest's five fields as JSON with sorted keys, a blank after each colon and comma; nulls count as empty."""
+    fields = {"digest_model": digest_model, "digest_version": digest_version, "module_purpose": module_purpose, "slice_content_hash": slice_content_hash, "slice_id": slice_id}
+    parts = [F.concat(F.lit(f'"{name}": '), _json_text(c)) for name, c in fields.items()]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")), 256)
+
+
+def stable_json_hash(**fields) -> Column:
+    """SHA-256 of the fields as JSON with sorted keys and no blanks."""
+    return F.sha2(F.to_json(F.struct(*(col(c).alias(name) for name, c in sorted(fields.items()))), {"ignoreNullFields": "false"}), 256)
+
+
 def slug(path, suffix: bool = False) -> Column:
     """Lower-case letters, digits and dashes, 40 at most; with suffix, eight digits of the path's SHA-1 follow."""
     base = F.left(F.regexp_replace(F.regexp_replace(F.lower(col(path)), r"[^a-z0-9-]+", "-"), r"^-+|-+$", ""), F.lit(40))

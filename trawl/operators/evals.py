@@ -26,21 +26,30 @@ def dcg(grades: list[float]) -> float:
     return sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(grades))
 
 
-def score_ranked(results: list[dict], relevant: list[dict], k: int) -> dict[str, float]:
-    """Recall (any hit), reciprocal rank and nDCG at k; each golden item matches once, the highest grade first."""
-    used, grades, first = set(), [], 0
-    for rank, r in enumerate(results[:k], 1):
-        best = None
-        for i, g in enumerate(relevant):
-            ranged = g.get("start_line") is not None and g.get("end_line") is not None
-            hit = r["file"] == g["file"] and (not ranged or (r.get("start_line") is not None and r.get("end_line") is not None and r["start_line"] <= g["end_line"] and r["end_line"] >= g["start_line"]))
-            if hit and i not in used and (best is None or g["grade"] > relevant[best]["grade"]):
-                best = i
-        if best is not None:
-            used.add(best)
-            first = first or rank
-        grades.append(relevant[best]["grade"] if best is not None else 0)
-    ideal = dcg(sorted((g["grade"] for g in relevant), reverse=True)[:k])
+def score_ranked(results: list[dict], relevant: list[dict], k: int, best_grade: bool = True) -> dict[str, float]:
+    """Recall (any hit), reciprocal rank and nDCG at k; a missing grade is 1, and only a grade above 0 is a hit.
+
+    Each golden item matches once: of those that a result meets the highest grade goes first, or (best_grade off) the first listed.
+    """
+    grade = lambda g: 1 if g.get("grade") is None else g["grade"]
+
+    def meets(r: dict, g: dict) -> bool:
+        if r["file"] != g["file"]:
+            return False
+        if g.get("start_line") is None or g.get("end_line") is None:
+            return True
+        known = r.get("start_line") is not None and r.get("end_line") is not None
+        return known and r["start_line"] <= g["end_line"] and r["end_line"] >= g["start_line"]
+
+    free, grades = list(relevant), []
+    for r in results[:k]:
+        met = [g for g in free if meets(r, g)]
+        taken = (max(met, key=grade) if best_grade else met[0]) if met else None
+        if taken is not None:
+            free.pop(next(i for i, g in enumerate(free) if g is taken))
+        grades.append(grade(taken) if taken is not None else 0)
+    first = next((i for i, g in enumerate(grades, 1) if g > 0), 0)
+    ideal = dcg(sorted(map(grade, relevant), reverse=True)[:k])
     return {"recall": float(first > 0), "mrr": 1 / first if first else 0.0, "ndcg": dcg(grades) / ideal if ideal else 0.0}
 
 

@@ -124,3 +124,25 @@ def snapshot_id(files: DataFrame, group: str, path: str, size: str, digest: str)
     line = F.concat_ws("\t", path, F.col(size).cast("string"), digest)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l"))))
     return files.groupBy(group).agg(F.left(F.sha2(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), 256), F.lit(32)).alias("snapshot_id"), F.count("*").alias("files"))
+
+
+def backfill_hashes(records: DataFrame, chunks: DataFrame, key: str, version: str) -> DataFrame:
+    """Old side-car records (key, content_hash, hyde_version, line_range) with the hash of the chunk of their id.
+
+    The chunk's hash replaces the record's; a version or line range fills in only where the record has none. Records
+    without a chunk stay as they are (found is false). updated counts the hash and version that changed.
+    """
+    own = chunks.select(F.col(key).alias("_k"), F.col("content_hash").alias("_hash"), F.col("line_range").alias("_range"))
+    both = records.join(own, F.col(key) == F.col("_k"), "left")
+    found = F.col("_k").isNotNull()
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    new_hash, new_version = found & ~F.col("content_hash").eqNullSafe(F.col("_hash")), found & blank("hyde_version")
+    return both.withColumns(
+        {
+            "updated": new_hash.cast("int") + new_version.cast("int"),
+            "found": found,
+            "content_hash": F.when(new_hash, F.col("_hash")).otherwise(F.col("content_hash")),
+            "hyde_version": F.when(new_version, F.lit(version)).otherwise(F.col("hyde_version")),
+            "line_range": F.when(found & blank("line_range"), F.coalesce("_range", "line_range")).otherwise(F.col("line_range")),
+        }
+    ).drop("_k", "_hash", "_range")

@@ -42,6 +42,32 @@ def claim(work: DataFrame, done: str, index: str, shards: int, shard: int, limit
     return work.where(~F.col(done) & (F.pmod(F.col(index), F.lit(shards)) == shard)).orderBy(index).limit(limit)
 
 
+def claims_done(generated, total, per_chunk: int = PER_CHUNK) -> Column:
+    """Whether a poller of claims stops: as many questions as the chunks call for are there."""
+    return F.col(generated) >= F.col(total) * per_chunk
+
+
+def summed(shards: DataFrame, job: str, counters: str) -> DataFrame:
+    """Per job the sums of all fields of a struct of counters (null: none), and its shards."""
+    fields = shards.schema[counters].dataType.names
+    return shards.groupBy(job).agg(F.count("*").alias("shards"), *(F.sum(F.coalesce(F.col(f"{counters}.{f}"), F.lit(0))).alias(f) for f in fields))
+
+
+def fan_out(shards: DataFrame, job: str, side: str = "side", done: str = "done", errors: str = "errors") -> DataFrame:
+    """Jobs whose code and question shards ran side by side: what each side completed, whether it is live or partial, and the job's status.
+
+    A shard without a result (done is null) failed as a whole: one error, nothing done. Only two live sides publish.
+    """
+    failed = F.col(done).isNull()
+    count = lambda name, value: F.sum(F.when(F.col(side) == name, value).otherwise(0))
+    lost = F.when(failed, F.lit(1)).otherwise(F.coalesce(errors, F.lit(0)))
+    made = F.when(failed, F.lit(0)).otherwise(F.col(done))
+    out = shards.groupBy(job).agg(count("code", made).alias("completed"), count("hyde", made).alias("hyde_completed"), count("code", lost).alias("_c"), count("hyde", lost).alias("_h"))
+    live = lambda c: F.when(F.col(c) == 0, "live").otherwise("partial")
+    status = F.when((F.col("_c") == 0) & (F.col("_h") == 0), "published").otherwise("partial")
+    return out.select(job, live("_c").alias("code_status"), live("_h").alias("hyde_status"), "completed", "hyde_completed", status.alias("status"))
+
+
 def throughput(events: DataFrame, group: list[str], at: str, value: str) -> DataFrame:
     """Events a second between the first and the last, and the spread of a value, by group."""
     wall = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,10 +17,36 @@ def top_k(scored: DataFrame, query: str, order: list, k: int, rank: str = "rank"
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def postings(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """id, term, tf, dl (the document's length in tokens)."""
-    t = docs.select(F.col(id_col), tokens.alias("_t")).select(id_col, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    return t.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+@dataclass(frozen=True)
+class Postings:
+    """Documents as token lists. Lengths come from the lists; only rows of terms that are asked for are grouped."""
+
+    rows: DataFrame  # id, dl (tokens of all fields), _f0, _f1, ... (tokens of each field)
+    id_col: str
+    weights: tuple[float, ...]
+
+    def stats(self) -> DataFrame:
+        """One row: n and avgdl of the documents that have tokens."""
+        return self.rows.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+    def each(self) -> DataFrame:
+        """A row for each token: id, dl, term, w (its field's weight)."""
+        if len(self.weights) == 1:
+            return self.rows.select(self.id_col, "dl", F.explode("_f0").alias("term"), F.lit(float(self.weights[0])).alias("w"))
+
+        def weighed(i: int, weight: float) -> Column:
+            return F.transform(f"_f{i}", lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+
+        fields = [weighed(i, w) for i, w in enumerate(self.weights)]
+        return self.rows.select(self.id_col, "dl", F.explode(F.concat(*fields)).alias("_x")).select(self.id_col, "dl", "_x.term", "_x.w")
+
+
+def postings(docs: DataFrame, id_col: str, *fields: Column | tuple[Column, float]) -> Postings:
+    """Postings of one or more fields, each a token list or a token list and its weight."""
+    pairs = [f if isinstance(f, tuple) else (f, 1.0) for f in fields]
+    held = docs.select(F.col(id_col), *(F.coalesce(t, F.array().cast("array<string>")).alias(f"_f{i}") for i, (t, _) in enumerate(pairs)))
+    length = sum((F.size(f"_f{i}") for i in range(1, len(pairs))), F.size("_f0"))
+    return Postings(held.withColumn("dl", length), id_col, tuple(w for _, w in pairs))
 
 
 def sparse_vectors(docs: DataFrame, id_col: str, text) -> DataFrame:
@@ -39,27 +67,32 @@ def sparse_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str
     return top_k(hits, query_id, [F.desc("score"), F.col(doc_id)], k)
 
 
-def bm25(queries: DataFrame, posts: DataFrame, query_id: str, doc_id: str, k: int = 10, prefix: bool = False, weight: float = 1.0) -> DataFrame:
-    """BM25 of documents (postings) for query terms (query id, qterm): idf ln(1 + (N - df + 0.5) / (df + 0.5)).
+def bm25(queries: DataFrame, posts: Postings, query_id: str, k: int = 10, prefix: bool = False) -> DataFrame:
+    """BM25 of documents for query terms (query id, qterm): idf ln(1 + (N - df + 0.5) / (df + 0.5)).
 
-    With prefix a query term stands for every term that starts with it; matching terms of a document add up as one.
+    A token counts by its field's weight, a length is that of all fields. With prefix a query term stands for every
+    term that starts with it; matching terms of a document add up as one.
     """
-    lengths = posts.select(doc_id, "dl").distinct()
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     q = queries.select(query_id, "qterm").distinct()
+    wanted = q.select("qterm").distinct()
     if prefix:
-        terms = posts.select("term").distinct()
-        wanted = q.select("qterm").distinct()
+        terms = posts.each().select("term").distinct()
         heads = terms.withColumn("_h", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda i: F.substring("term", F.lit(1), i))))
         found = heads.join(wanted, heads["_h"] == wanted["qterm"]).select("qterm", "term")
-        matched = posts.join(found, "term").groupBy(doc_id, "qterm").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl"))
+        tokens = posts.each().join(found, "term")
     else:
-        matched = posts.withColumnRenamed("term", "qterm").join(q.select("qterm").distinct(), "qterm")
+        tokens = posts.each().withColumnRenamed("term", "qterm").join(wanted, "qterm", "left_semi")
+    matched = tokens.groupBy(posts.id_col, "qterm").agg(F.sum("w").alias("tf"), F.max("dl").alias("dl"))
+    return bm25_scored(q, matched, posts.stats(), query_id, posts.id_col, k)
+
+
+def bm25_scored(q: DataFrame, matched: DataFrame, stats: DataFrame, query_id: str, doc_id: str, k: int) -> DataFrame:
+    """The k best documents of each query from matches (document, qterm, tf, dl) and one row of statistics (n, avgdl)."""
     df = matched.groupBy("qterm").agg(F.count("*").alias("df"))
     rows = matched.join(df, "qterm").join(q, "qterm").join(F.broadcast(stats), F.lit(True))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = rows.groupBy(query_id, doc_id).agg(F.round(F.sum(part * weight), 6).alias("score"))
+    scored = rows.groupBy(query_id, doc_id).agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored, query_id, [F.desc("score"), F.col(doc_id)], k)
 
 
@@ -87,3 +120,20 @@ def trigram_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: s
     hits = d.join(q, "g").groupBy(query_id, doc_id).agg(F.count("*").alias("shared")).join(size, F.col(query_id) == F.col("_q"))
     scored = hits.select(query_id, doc_id, F.round(F.col("shared") / F.col("_n"), 6).alias("score"))
     return top_k(scored, query_id, [F.desc("score"), F.col(doc_id)], k)
+
+
+def or_search(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, k: int = 10) -> DataFrame:
+    """Documents that hold any of a query's OR terms as a substring, case apart, by BM25 over those; queries and docs: id and text.
+
+    A term's first trigram finds the documents, the text decides. Terms of under three characters match nothing, as a
+    trigram index has none. tf counts non-overlapping places, a length is the text's number of trigrams.
+    """
+    q = queries.select(query_id, F.explode(or_terms("text")).alias("t")).select(query_id, F.lower("t").alias("qterm")).where(F.length("qterm") >= 3).distinct()
+    heads = q.select("qterm").distinct().withColumn("g", F.left("qterm", F.lit(3)))
+    low = docs.select(doc_id, F.lower(F.coalesce("text", F.lit(""))).alias("_low")).withColumn("dl", F.greatest(F.length("_low") - 2, F.lit(0)))
+    maybe = low.select(doc_id, F.explode(trigrams("_low")).alias("g")).join(heads, "g").groupBy(F.col(doc_id).alias("_d")).agg(F.collect_set("qterm").alias("_terms"))  # query terms at most
+    held = low.join(maybe, F.col(doc_id) == F.col("_d")).select(doc_id, "dl", "_low", F.explode("_terms").alias("qterm"))
+    places = (F.length("_low") - F.length(F.replace(F.col("_low"), F.col("qterm"), F.lit("")))) / F.length("qterm")
+    matched = held.select(doc_id, "dl", "qterm", places.alias("tf")).where("tf > 0")
+    stats = low.where("dl > 0").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return bm25_scored(q, matched, stats, query_id, doc_id, k)

@@ -54,45 +54,56 @@ def question_errors(questions, expected: int, shortest: int = 40) -> Column:
 
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL | re.IGNORECASE)
+#: A text in quotes, to its end or the end of all; a backslash and what follows it.
+_QUOTED, _ESCAPE = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)', re.DOTALL), re.compile(r"\\(.?)", re.DOTALL)
+
+
+def _balanced(t: str, opener: str, closer: str) -> str | None:
+    """From the first opener to the closer that balances it, quoted text apart."""
+    start = t.find(opener)
+    if start < 0:
+        return None
+    depth = 0
+    for m in re.finditer(f'{_QUOTED.pattern}|[{re.escape(opener + closer)}]', t[start:], re.DOTALL):
+        depth += (m[0] == opener) - (m[0] == closer)
+        if not depth and m[0] == closer:
+            return t[start : start + m.end()]
+    return None
+
+
+def repaired_escapes(t: str) -> str:
+    """Inside quotes, a backslash that starts no valid escape is doubled; pairs are taken from the left."""
+    fixed = lambda m: m[0] if m[1] and m[1] in '"\\/bfnrtu' else "\\" + m[0]
+    return _QUOTED.sub(lambda q: _ESCAPE.sub(fixed, q[0]), t)
 
 
 def extract_json(text: str | None) -> tuple[str | None, str]:
-    """The JSON in a model's reply and how it was found: direct, fenced, braces, repaired, or error."""
+    """The JSON in a model's reply and how it was found: direct, extracted, repaired_escapes, or error.
+
+    What is tried: the whole text, each fenced block, the first balanced object, the first balanced list; each of the
+    latter as it stands, then with its escapes repaired.
+    """
 
-    def loads(s: str):
+    def loads(s: str) -> str | None:
         try:
-            return json.loads(s)
+            return json.dumps(json.loads(s))
         except ValueError:
             return None
 
-    t = (text or "").strip()
-    tries = [("direct", t)]
-    if m := _FENCE.search(t):
-        tries.append(("fenced", m[1].strip()))
-    depth, start, quoted, escaped = 0, None, False, False
-    for i, c in enumerate(t):
-        if quoted:
-            quoted, escaped = (c != '"' or escaped), (c == "\\" and not escaped)
-        elif c == '"' and depth:
-            quoted = True
-        elif c == "{":
-            start, depth = (i if not depth else start), depth + 1
-        elif c == "}" and depth:
-            depth -= 1
-            if not depth:
-                tries.append(("braces", t[start : i + 1]))
-                break
-    for mode, s in tries:
-        if (found := loads(s)) is not None:
-            return json.dumps(found), mode
-    for _, s in tries[::-1]:
-        if (found := loads(re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", s))) is not None:
-            return json.dumps(found), "repaired"
+    t = text or ""
+    if found := loads(t):
+        return found, "direct"
+    tries = [m[1] for m in _FENCE.finditer(t)] + [x for pair in ("{}", "[]") if (x := _balanced(t, *pair))]
+    for s in tries:
+        if found := loads(s):
+            return found, "extracted"
+        if found := loads(repaired_escapes(s)):
+            return found, "repaired_escapes"
     return None, "error"
 
 
 def parse_replies(replies: DataFrame, text: str) -> DataFrame:
-    """Adds parsed (JSON text) and parse_mode; well-formed replies never leave the JVM's parser untested, so one Arrow pass does all."""
+    """Adds parsed (JSON text) and parse_mode, in one Arrow pass: what a reply parses to is written anew, so every row is read there."""
 
     @F.pandas_udf("parsed string, parse_mode string")
     def run(s: pd.Series) -> pd.DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trawl.functions.paths import confidence, path_penalty
-from trawl.functions.vectors import cosine
 from trawl.operators.lexical import top_k
 
 RRF_K, CANDIDATES = 60, 40
@@ -16,16 +19,65 @@ RRF_K, CANDIDATES = 60, 40
 BOOSTS = {"exact_symbol": 0.35, "signature": 0.20, "path_token": 0.15, "lexical_content": 0.08}
 
 
-def dense_top_k(queries: DataFrame, index: DataFrame, query_id: str, vec_id: str, vec: str, query_vec: str, k: int = 10, most_queries: int = 10_000) -> DataFrame:
+def dense_top_k(queries: DataFrame, index: DataFrame, query_id: str, vec_id: str, vec: str, query_vec: str, k: int = 10, block: int = 4096) -> DataFrame:
     """The k nearest of index by cosine for each query, ties to the smaller id, exactly: the stated queries against all rows.
 
-    The queries are broadcast: most_queries at most (more: ValueError); larger sets go through an index.
+    Queries come in blocks, each of which goes to every task; a batch of rows meets a block in one matrix product and
+    leaves k rows (and ties) of each query. Vectors that are null, zero or of another dimension than the query match nothing.
     """
-    if len(queries.select(query_id).limit(most_queries + 1).collect()) > most_queries:
-        raise ValueError(f"more than {most_queries} queries")
-    pairs = index.join(F.broadcast(queries), F.lit(True))
-    scored = pairs.select(query_id, vec_id, F.round(cosine(vec, query_vec), 6).alias("score"))
-    return top_k(scored, query_id, [F.desc("score"), F.col(vec_id)], k)
+    spark = index.sparkSession
+    kinds = [(c, d.schema[c].dataType.simpleString()) for c, d in ((query_id, queries), (vec_id, index))]
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", score double"
+    asked = queries.select(query_id, F.transform(query_vec, lambda x: x.cast("double")).alias("_q"))
+    rows = index.select(vec_id, F.transform(vec, lambda x: x.cast("double")).alias("_v")).where(F.size("_v") > 0)
+    found = []
+
+    def search(held):
+        ids, unit = held
+
+        def run(batches):
+            for b in batches:
+                flat = b.column("_v").flatten().to_numpy(zero_copy_only=False)
+                n = np.diff(b.column("_v").offsets.to_numpy())
+                for dim, (own, q) in ((d, u) for d, u in unit.items() if (n == d).any()):
+                    at = np.flatnonzero(n == dim)
+                    x = flat[np.repeat(n == dim, n)].reshape(-1, dim)
+                    size = np.sqrt((x * x).sum(1))
+                    good = np.flatnonzero(size > 0)
+                    if not len(good):
+                        continue
+                    s = np.round(q @ (x[good] / size[good, None]).T, 6)
+                    m = min(k, s.shape[1])
+                    i, j = np.nonzero(s >= -np.partition(-s, m - 1, axis=1)[:, m - 1 : m])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[i])), b.column(vec_id).take(pa.array(at[good[j]])), pa.array(s[i, j])], [query_id, vec_id, "score"])
+
+        return run
+
+    for part in _in_blocks(asked, block):
+        vectors = [np.asarray(v or [], float) for v in part.column("_q").to_pylist()]
+        unit = {}
+        for d in {len(v) for v in vectors} - {0}:
+            own = np.asarray([i for i, v in enumerate(vectors) if len(v) == d and np.any(v)])
+            if len(own):
+                q = np.stack([vectors[i] for i in own])
+                unit[d] = own, q / np.sqrt((q * q).sum(1))[:, None]
+        found.append(rows.mapInArrow(search((part.column(query_id).combine_chunks(), unit)), schema))
+    if not found:
+        return spark.createDataFrame([], schema + ", rank int")
+    return top_k(reduce(DataFrame.unionByName, found), query_id, [F.desc("score"), F.col(vec_id)], k)
+
+
+def _in_blocks(df: DataFrame, block: int):
+    """df's rows as Arrow tables of block rows at most, of which the driver holds one at a time."""
+    rows, held = df.toLocalIterator(), []
+    schema = to_arrow_schema(df.schema)
+    for r in rows:
+        held.append(r.asDict())
+        if len(held) == block:
+            yield pa.Table.from_pylist(held, schema)
+            held = []
+    if held:
+        yield pa.Table.from_pylist(held, schema)
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, hit_id: str, chunk_id: str, active: Column | None = None) -> DataFrame:
@@ -115,17 +167,69 @@ def rerank(candidates: DataFrame, query_id: str, doc_id: str, k: int = 5) -> Dat
     return top_k(out, query_id, [F.desc("score"), F.col(doc_id)], k).drop("_why")
 
 
-def listwise_rerank(hits: DataFrame, query_id: str, scorer: Callable[[DataFrame], DataFrame] | None, k: int = 20) -> DataFrame:
-    """Hits in the order of a scorer (adds model_score; rows it leaves out go last in their old order); any failure to build it keeps the old order."""
-    few = hits.where(F.col("rank") <= k)
-    if scorer is None:
-        return few
-    try:
-        scored = scorer(few)
-        order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("model_score"), F.col("rank"))
-        return scored.withColumn("rank", F.row_number().over(order)).drop("model_score")
-    except Exception:
-        return few
+def prefetch_limits(limit: int = 10, candidates: int = CANDIDATES) -> dict[str, int]:
+    """How many hits each channel brings: candidates (limit at least, 200 at most), half of them from summaries."""
+    most = max(limit, min(candidates, 200))
+    return {"hyde": most, "code": most, "summary": max(limit, most // 2), "sparse": most}
+
+
+def channels_rrf(channels: dict[str, DataFrame], query_id: str, key: str, limit: int = 10, candidates: int = CANDIDATES, k: float = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
+    """Ranked hits of several channels (query, key, rank), each cut at its limit, fused by reciprocal ranks."""
+    limits, weights = prefetch_limits(limit, candidates), weights or {}
+    cut = [df.where(F.col("rank") <= limits[name]).select(query_id, key, "rank", F.lit(float(weights.get(name, 1.0))).alias("_w")) for name, df in channels.items()]
+    return rrf(reduce(DataFrame.unionByName, cut), query_id, [key], k=k, weight="_w", limit=limits["code"])
+
+
+def channel_rrf(hits: DataFrame, query_id: str, hit_id: str, kind: str, parent: str, k: float = RRF_K, limit: int = 10) -> DataFrame:
+    """Code and question hits ranked apart, questions standing for their chunk by their best rank, fused by reciprocal ranks."""
+    own = Window.partitionBy(query_id, kind).orderBy(F.desc("score"), hit_id)
+    owner = F.when((F.col(kind) == "hyde") & F.col(parent).isNotNull(), F.col(parent)).otherwise(F.col(hit_id))
+    ranked = hits.withColumn("rank", F.row_number().over(own)).groupBy(query_id, kind, owner.alias("chunk_id")).agg(F.min("rank").alias("rank"))
+    return rrf(ranked, query_id, ["chunk_id"], k=k, limit=limit)
+
+
+def apply_rankings(hits: DataFrame, rankings: DataFrame, query_id: str, k: int = 10) -> DataFrame:
+    """Hits in the order of a model's rankings (query, ranking: places from 0 in the order of rank; null: the call failed).
+
+    Places that no hit has go, hits that no place names are lost, a place named twice counts twice, k are kept. A
+    failed call keeps the old order up to k (fallback); a query of one hit or none is not re-ranked. Adds reranked and fallback.
+    """
+    own = Window.partitionBy(query_id)
+    few = hits.withColumn("_i", F.row_number().over(own.orderBy("rank")) - 1).withColumn("_n", F.count("*").over(own))
+    both = few.join(rankings.select(F.col(query_id).alias("_q"), "ranking"), F.col(query_id) == F.col("_q"), "left")
+    valid = F.slice(F.filter("ranking", lambda x: (x >= 0) & (x < F.col("_n"))), 1, k)
+    named = F.filter(F.transform(valid, lambda x, at: F.when(x == F.col("_i"), at)), lambda x: x.isNotNull())
+    old, failed = F.array(F.col("_i")), F.col("ranking").isNull()
+    places = F.when(F.col("_n") <= 1, old).when(failed, F.when(F.col("_i") < k, old).otherwise(F.array().cast("array<int>"))).otherwise(named)
+    out = both.withColumn("reranked", (F.col("_n") > 1) & ~failed).withColumn("fallback", (F.col("_n") > 1) & failed)
+    return out.withColumn("_at", F.explode(places)).withColumn("rank", (F.col("_at") + 1).cast("int")).drop("_i", "_n", "_q", "_at", "ranking")
+
+
+def listwise_rerank(hits: DataFrame, query_id: str, ranker: Callable[[list[dict]], list[int]] | None, k: int = 10, candidates: int = 20) -> DataFrame:
+    """The first candidates hits of each query in the order that ranker gives (hits as dicts to places from 0); a call that fails keeps the old order."""
+    few = hits.where(F.col("rank") <= candidates)
+    if ranker is None:
+        return few.where(F.col("rank") <= k).withColumn("reranked", F.lit(False)).withColumn("fallback", F.lit(False))
+    lists = few.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*few.columns).alias("hit")))).alias("hits"))  # candidates at most
+    kind = few.schema[query_id].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for own in b.column("hits").to_pylist():
+                try:
+                    out.append([int(x) for x in ranker([h["hit"] for h in own])])
+                except Exception:  # whatever the model's side raises is a failed call
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(query_id), pa.array(out, pa.list_(pa.int32()))], [query_id, "ranking"])
+
+    return apply_rankings(few, lists.mapInArrow(run, f"`{query_id}` {kind}, ranking array<int>"), query_id, k)
+
+
+def scored_rerank(scored: DataFrame, query_id: str, k: int = 20) -> DataFrame:
+    """The first k hits by model_score; rows without one go last, in their old order."""
+    order = Window.partitionBy(query_id).orderBy(F.desc_nulls_last("model_score"), F.col("rank"))
+    return scored.where(F.col("rank") <= k).withColumn("rank", F.row_number().over(order)).drop("model_score")
 
 
 def overlap_scorer(hits: DataFrame, query_terms: str, text_terms: str) -> DataFrame:

@@ -74,9 +74,9 @@ class Catalog:
         found = S.hydrate(ranked.withColumnRenamed("chunk_id", "hit_id"), book.chunks, "hit_id", "chunk_id", F.col("active"))
         return S.penalised(found, "file_path", "query_id")
 
-    def rerank(self, queries: DataFrame, scorer=None, k: int = 20) -> DataFrame:
-        """The hybrid search's first k in the order of a scorer."""
-        return S.listwise_rerank(self.search_hybrid(queries, k), "query_id", scorer, k)
+    def rerank(self, queries: DataFrame, ranker=None, k: int = 10) -> DataFrame:
+        """The hybrid search's first 20 in the order of a model."""
+        return S.listwise_rerank(self.search_hybrid(queries, 20), "query_id", ranker, k)
 
     def by_symbol(self, queries: DataFrame, k: int = 20) -> DataFrame:
         """queries: query_id, query_vec, symbol. The first k hits that define the symbol, case apart."""

@@ -96,7 +96,7 @@ def stage_counts(spark, sf):
     return checkpoint_latest(spark, sf).groupBy(F.col("role").alias("stage")).agg(F.count("*").alias("n"))
 
 
-@query("dedup_queries", "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY lower(trim(left(text, 12))) ORDER BY item_id) AS r FROM benchmark) WHERE r = 1")
+@query("dedup_queries", "SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY item_id) AS r FROM benchmark) WHERE r = 1")
 def dedup_queries(spark, sf):
     b = load(spark, sf, "benchmark").withColumn("k", F.lower(F.trim("text")))
     return incremental.first_of(b, "k", "item_id").select("item_id")
@@ -322,3 +322,61 @@ def rel_window(spark, sf):
 def rel_set_ops(spark, sf):
     d, w = load(spark, sf, "documents").select("doc_id"), load(spark, sf, "labels")
     return d.intersect(w.select("doc_id")).subtract(w.where("toxic = 1").select("doc_id"))
+
+
+@query(
+    "fan_out",
+    """WITH s AS (SELECT o_custkey % 40 AS job, CASE WHEN o_orderkey % 2 = 0 THEN 'code' ELSE 'hyde' END AS side, CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE o_orderkey % 7 END AS done, CASE WHEN o_orderkey % 89 = 0 THEN 1 ELSE 0 END AS errors FROM orders),
+ t AS (SELECT job, side, coalesce(done, 0) AS done, CASE WHEN done IS NULL THEN 1 ELSE errors END AS errors FROM s),
+ g AS (SELECT job, sum(CASE WHEN side = 'code' THEN done ELSE 0 END)::BIGINT AS completed, sum(CASE WHEN side = 'hyde' THEN done ELSE 0 END)::BIGINT AS hyde_completed, sum(CASE WHEN side = 'code' THEN errors ELSE 0 END) AS c, sum(CASE WHEN side = 'hyde' THEN errors ELSE 0 END) AS h FROM t GROUP BY 1)
+ SELECT job, CASE WHEN c = 0 THEN 'live' ELSE 'partial' END AS code_status, CASE WHEN h = 0 THEN 'live' ELSE 'partial' END AS hyde_status, completed, hyde_completed, CASE WHEN c = 0 AND h = 0 THEN 'published' ELSE 'partial' END AS status FROM g""",
+)
+def fan_out(spark, sf):
+    k = F.col("o_orderkey")
+    s = load(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("job"), F.when(k % 2 == 0, "code").otherwise("hyde").alias("side"), F.when(k % 97 != 0, k % 7).alias("done"), F.when(k % 89 == 0, 1).otherwise(0).alias("errors"))
+    return jobs.fan_out(s, "job")
+
+
+@query(
+    "shard_counters",
+    "SELECT o_custkey % 40 AS job, count(*) AS shards, sum(o_orderkey % 5)::BIGINT AS vectors, sum(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END)::BIGINT AS calls, sum(o_orderkey % 3)::BIGINT AS errors FROM orders GROUP BY 1",
+)
+def shard_counters(spark, sf):
+    k = F.col("o_orderkey")
+    counters = F.struct((k % 5).alias("vectors"), F.when(k % 11 != 0, F.lit(1)).cast("long").alias("calls"), (k % 3).alias("errors"))
+    return jobs.summed(load(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("job"), counters.alias("counters")), "job", "counters")
+
+
+@query(
+    "hash_backfill",
+    """WITH c AS (SELECT doc_id, sha256(text) AS h, '1-' || n_chars AS r FROM documents WHERE doc_id % 6 <> 0),
+ o AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN sha256(text) WHEN doc_id % 4 = 1 THEN 'old' END AS content_hash, CASE doc_id % 3 WHEN 0 THEN 'v0' WHEN 1 THEN '' END AS hyde_version, CASE WHEN doc_id % 5 = 0 THEN '7-9' END AS line_range FROM documents)
+ SELECT doc_id, coalesce(h, content_hash) AS content_hash, CASE WHEN h IS NOT NULL AND coalesce(hyde_version, '') = '' THEN 'v2' ELSE hyde_version END AS hyde_version, coalesce(line_range, r) AS line_range,
+ (CASE WHEN h IS NOT NULL AND content_hash IS DISTINCT FROM h THEN 1 ELSE 0 END + CASE WHEN h IS NOT NULL AND coalesce(hyde_version, '') = '' THEN 1 ELSE 0 END)::INT AS updated, h IS NOT NULL AS found FROM o LEFT JOIN c USING (doc_id)""",
+)
+def hash_backfill(spark, sf):
+    d, k = load(spark, sf, "documents"), F.col("doc_id")
+    hashed = F.sha2("text", 256)
+    chunks = d.where("doc_id % 6 <> 0").select("doc_id", hashed.alias("content_hash"), F.concat(F.lit("1-"), F.col("n_chars").cast("string")).alias("line_range"))
+    old = d.select("doc_id", F.when(k % 4 == 0, hashed).when(k % 4 == 1, "old").alias("content_hash"), F.when(k % 3 == 0, "v0").when(k % 3 == 1, "").alias("hyde_version"), F.when(k % 5 == 0, "7-9").alias("line_range"))
+    return incremental.backfill_hashes(old, chunks, "doc_id", "v2")
+
+
+@query(
+    "watch_queue",
+    """WITH e AS (SELECT concat('f', user_id) AS path, CASE event_id % 7 WHEN 0 THEN 'unlink' WHEN 1 THEN 'change' ELSE 'add' END AS kind, event_id AS t FROM events),
+ i AS (SELECT DISTINCT path FROM e WHERE substr(path, 2)::INT % 3 = 0), u AS (SELECT path, max(CASE WHEN kind = 'unlink' THEN t END) AS gone FROM e GROUP BY 1),
+ q AS (SELECT path, min(t) AS added_at FROM e JOIN u USING (path) LEFT JOIN (SELECT path, true AS known FROM i) USING (path) WHERE (gone IS NULL OR t > gone) AND (kind = 'change' OR (kind = 'add' AND (known IS NULL OR gone IS NOT NULL))) GROUP BY 1),
+ b AS (SELECT path, row_number() OVER (ORDER BY added_at, path) <= 10 AS taken, substr(path, 2)::INT % 2 = 0 AS ok FROM q)
+ SELECT path, CASE WHEN taken AND NOT ok THEN 999999999 ELSE added_at END AS added_at, CASE WHEN taken AND NOT ok THEN 1 ELSE 0 END AS retries, CASE WHEN taken AND ok THEN 'indexed' ELSE 'queued' END AS state FROM q JOIN b USING (path)""",
+)
+def watch_queue(spark, sf):
+    """The watcher's queue after all events of a table, and after the first batch, in which every second file fails."""
+    from trawl.streaming import watch
+
+    k = F.col("event_id") % 7
+    e = load(spark, sf, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.when(k == 0, "unlink").when(k == 1, "change").otherwise("add").alias("kind"), F.col("event_id").alias("at"))
+    number = F.substring("path", F.lit(2), F.length("path")).cast("int")
+    queue = watch.queue_of(e, e.where(number % 3 == 0).select("path").distinct(), "path", "kind", "at")
+    tried = watch.next_batch(queue, "path").select("path", (number % 2 == 0).alias("ok"))
+    return watch.after_batch(queue, tried, "path", F.lit(999999999).cast("long"))

@@ -75,7 +75,7 @@ def search_hybrid(spark, sf):
 def words_hits(spark, sf, k=10):
     w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1))
     q = load(spark, sf, "benchmark").select("item_id", F.explode(lexical.fts_terms("text")).alias("qterm"))
-    return lexical.bm25(q, lexical.postings(load(spark, sf, "documents"), "doc_id", w), "item_id", "doc_id", k)
+    return lexical.bm25(q, lexical.postings(load(spark, sf, "documents"), "doc_id", w), "item_id", k)
 
 
 def shape_hits(spark, sf, k=10):
@@ -114,7 +114,7 @@ def candidate_union(spark, sf):
 
 
 PARTS = f"""q AS (SELECT item_id, list_sort(list_distinct({TOKENS.format('text')})) AS terms FROM benchmark),
- c AS (SELECT doc_id, text, {PATH} AS p, list_sort(list_distinct(regexp_extract_all(left(text, 200), '[A-Za-z]+'))) AS symbols FROM documents),
+ c AS (SELECT doc_id, text, {PATH} AS p, list_sort(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS symbols FROM documents),
  k AS (SELECT *, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(p, '[^A-Za-z0-9_]+'), lambda x: x <> ''), lambda x: lower(x)))) AS path_tokens FROM c),
  e AS (SELECT item_id, doc_id, max(o) AS o, min(o) AS f FROM (SELECT DISTINCT item_id, unnest(terms[1:40]) AS t FROM q) JOIN (SELECT doc_id, 0 AS o, unnest(symbols) AS t FROM k UNION ALL SELECT doc_id, 1, unnest(path_tokens) FROM k) USING (t) GROUP BY 1, 2),
  x AS (SELECT item_id, doc_id, 1.0::DOUBLE AS score, CASE o WHEN 0 THEN 'symbols_defined' ELSE 'path_tokens' END AS source FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY f, doc_id) AS r FROM e) WHERE r <= 50)"""
@@ -159,7 +159,57 @@ def rerank_deterministic(spark, sf):
 def overlap_rerank(spark, sf):
     w = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1)))
     hits = words_hits(spark, sf).join(load(spark, sf, "benchmark").select("item_id", w("text").alias("t")), "item_id").join(load(spark, sf, "documents").select("doc_id", w("text").alias("u")), "doc_id")
-    return search.listwise_rerank(hits, "item_id", lambda h: search.overlap_scorer(h, "t", "u")).select("item_id", "doc_id", "rank")
+    return search.scored_rerank(search.overlap_scorer(hits, "t", "u"), "item_id").select("item_id", "doc_id", "rank")
+
+
+PARTED = f"""WITH h AS ({DENSE.format(k=40)}), c AS (SELECT *, CASE WHEN vec_id % 2 = 1 THEN 'hyde' ELSE 'code' END AS kind FROM h),
+ r AS (SELECT query_id, kind, CASE WHEN kind = 'hyde' THEN vec_id - 1 ELSE vec_id END AS chunk_id, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, vec_id) AS rank FROM c)"""
+FUSED = "SELECT query_id, chunk_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= "
+
+
+@query("channel_rrf", f"{PARTED}, b AS (SELECT query_id, kind, chunk_id, min(rank) AS rank FROM r GROUP BY 1, 2, 3), s AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM b GROUP BY 1, 2) {FUSED} 10")
+def channel_rrf(spark, sf):
+    return search.channel_rrf(_kinds(dense(spark, sf, 40)), "query_id", "vec_id", "kind", "parent_chunk_id").select("query_id", "chunk_id", "score", "rank")
+
+
+SELF = f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
+ (SELECT q.doc_id AS query_id, d.doc_id, round(sum(d.w * q.w), 6) AS score FROM sv d JOIN sv q USING (idx) WHERE q.doc_id % 100 = 0 GROUP BY 1, 2)) WHERE rank <= 40"""
+KEYS = {"hyde": "vec_id % 2 = 1", "code": "vec_id % 2 = 0", "summary": "vec_id % 4 = 0"}
+
+
+@query(
+    "multi_channel_rrf",
+    f"WITH e AS ({DENSE.format(k=1000000)}), sv AS ({SPARSE.format('doc_id', 'documents')}), u AS (SELECT query_id, doc_id AS vec_id, rank FROM ({SELF}) UNION ALL "
+    + " UNION ALL ".join(f"SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, score FROM e WHERE {cond})) WHERE rank <= {20 if name == 'summary' else 40}" for name, cond in KEYS.items())
+    + "), s AS (SELECT query_id, vec_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM u GROUP BY 1, 2) SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 40",
+)
+def multi_channel_rrf(spark, sf):
+    """Question, code and summary vectors (here by id) and sparse text, each ranked by itself, then fused."""
+    e, q = load(spark, sf, "embeddings"), queries_of(spark, sf)
+    channels = {name: search.dense_top_k(q, e.where(cond), "query_id", "vec_id", "embedding", "query_vec", 40) for name, cond in KEYS.items()}
+    texts = lexical.sparse_vectors(load(spark, sf, "documents"), "doc_id", "text")
+    asked = texts.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    channels["sparse"] = lexical.sparse_top_k(asked, texts, "query_id", "doc_id", 40).withColumnRenamed("doc_id", "vec_id")
+    return search.channels_rrf(channels, "query_id", "vec_id")
+
+
+@query(
+    "rerank_listwise",
+    f"""WITH a AS ({BM}), b AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) - 1 AS i, count(*) OVER (PARTITION BY item_id) AS n FROM a),
+ v AS (SELECT item_id, n, list_filter(CASE WHEN item_id % 3 = 0 THEN [2, 0, 99, 0, -1, 1] ELSE [n - 1, 1, 0] END, lambda x: x >= 0 AND x < n)[1:5] AS l FROM (SELECT DISTINCT item_id, n FROM b)),
+ p AS (SELECT item_id, unnest(l) AS i, unnest(range(len(l))) + 1 AS rank FROM v WHERE n > 1 AND item_id % 5 <> 0)
+ SELECT b.item_id, b.doc_id, p.rank::INT AS rank, true AS reranked, false AS fallback FROM b JOIN p USING (item_id, i)
+ UNION ALL SELECT item_id, doc_id, (i + 1)::INT, false, n > 1 FROM b WHERE n <= 1 OR (item_id % 5 = 0 AND i < 5)""",
+)
+def rerank_listwise(spark, sf):
+    """Places from a ranker that names some twice, some that are not there, and fails for every fifth text."""
+
+    def ranker(hits):
+        if hits[0]["item_id"] % 5 == 0:
+            raise ValueError("no reply")
+        return [2, 0, 99, 0, -1, 1] if hits[0]["item_id"] % 3 == 0 else [len(hits) - 1, 1, 0]
+
+    return search.listwise_rerank(words_hits(spark, sf), "item_id", ranker, 5).select("item_id", "doc_id", "rank", "reranked", "fallback")
 
 
 @query("publication_cutover", f"WITH h AS ({DENSE.format(k=10)}), p AS (SELECT source, 'run-' || max(doc_id) % 2 AS active_run FROM documents GROUP BY 1) SELECT query_id, vec_id, rank::INT AS rank, active_run FROM h JOIN documents d ON d.doc_id = vec_id JOIN p USING (source) WHERE 'run-' || (vec_id // 2) % 2 = active_run")
@@ -174,14 +224,19 @@ def publication_cutover(spark, sf):
 GOLD = "gold AS (SELECT item_id, doc_id, coalesce(quality, 0) + 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) LEFT JOIN labels USING (doc_id))"
 
 
-def golden(spark, sf, most_items=10_000):
-    """A stated set of texts against all documents: the benchmark is broadcast, and is bounded by its own size check."""
-    b = load(spark, sf, "benchmark")
-    if len(b.select("item_id").limit(most_items + 1).collect()) > most_items:
-        raise ValueError("too many benchmark items")
-    d, w = load(spark, sf, "documents"), load(spark, sf, "labels")
-    held = d.join(F.broadcast(b.select("item_id", F.left("text", F.lit(40)).alias("head"))), F.contains("text", F.col("head")))
-    return held.join(w, "doc_id", "left").select("item_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).alias("grade"))
+def golden(spark, sf):
+    """A text's longest whole word finds the documents that may hold its head, the head decides; heads without one look at all."""
+    b = load(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("head"))
+    d, w = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "labels")
+    inner = F.filter(F.split("head", r"\s+"), lambda x: x != "")
+    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))  # the first and the last may go on outside
+    keyed = b.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x), x.alias("word"))))["word"])
+    words = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
+    held = words.join(keyed.where("key IS NOT NULL"), "key").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
+    bare = keyed.where("key IS NULL").select(F.col("item_id").alias("_item"), "head")
+    short = d.join(F.broadcast(bare.agg(F.collect_list(F.struct("_item", "head")).alias("_heads"))), F.lit(True))  # one row; heads of under three words
+    short = short.select("doc_id", "text", F.explode("_heads").alias("h")).where(F.contains("text", F.col("h.head"))).select(F.col("h._item").alias("item_id"), "doc_id")
+    return held.unionByName(short).join(w, "doc_id", "left").select("item_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).alias("grade"))
 
 
 MRR = f"WITH a AS ({BM}), {GOLD}, h AS (SELECT a.item_id, a.rank, g.doc_id IS NOT NULL AS hit FROM a LEFT JOIN gold g ON g.item_id = a.item_id AND g.doc_id = a.doc_id) SELECT item_id, max(CASE WHEN hit THEN 1 ELSE 0 END)::INT AS success, round(coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0), 6) AS mrr FROM h GROUP BY 1"
@@ -239,12 +294,13 @@ def eval_linear_ndcg(spark, sf):
     return evals.linear_ndcg(h, "item_id", "grade")
 
 
-@query("eval_range_join", "WITH r AS (SELECT doc_id, source AS file, doc_id % 50 AS s, doc_id % 50 + 10 AS e FROM documents), g AS (SELECT source AS file, (doc_id * 7) % 60 AS s, (doc_id * 7) % 60 + 5 AS e, doc_id AS gold_id FROM documents WHERE doc_id % 10 = 0) SELECT doc_id, count(*) AS n, min(gold_id) AS first_gold FROM r JOIN g ON r.file = g.file AND r.s <= g.e AND r.e >= g.s GROUP BY 1")
+@query("eval_range_join", "WITH r AS (SELECT doc_id, source AS file, doc_id % 50 AS s, doc_id % 50 + 10 AS e FROM documents), g AS (SELECT source AS file, (doc_id * 7) % 60 AS s, (doc_id * 7) % 60 + 5 AS e, doc_id AS gold_id FROM documents) SELECT doc_id, count(*) AS n, min(gold_id) AS first_gold FROM r JOIN g ON r.file = g.file AND r.s <= g.e AND r.e >= g.s GROUP BY 1")
 def eval_range_join(spark, sf):
     d = load(spark, sf, "documents")
     r = d.select("doc_id", F.col("source").alias("file"), (F.col("doc_id") % 50).alias("s"), (F.col("doc_id") % 50 + 10).alias("e"))
-    g = d.where("doc_id % 10 = 0").select(F.col("source").alias("gfile"), ((F.col("doc_id") * 7) % 60).alias("gs"), ((F.col("doc_id") * 7) % 60 + 5).alias("ge"), F.col("doc_id").alias("gold_id"))
-    return r.join(g, evals.overlaps("file", "s", "e", "gfile", "gs", "ge")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("gold_id").alias("first_gold"))
+    own = [F.col("source").alias("gfile"), ((F.col("doc_id") * 7) % 60).alias("gs"), ((F.col("doc_id") * 7) % 60 + 5).alias("ge")]
+    g = d.groupBy(*own).agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))  # a row for each range, not for each document
+    return r.join(g, evals.overlaps("file", "s", "e", "gfile", "gs", "ge")).groupBy("doc_id").agg(F.sum("_n").alias("n"), F.min("_first").alias("first_gold"))
 
 
 @query("latency_p95", "SELECT event_type, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.5) AS p50 FROM events GROUP BY 1")

@@ -62,7 +62,7 @@ def _bm25(spark, sf, prefix):
     w = F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), F.lit(1))
     posts = lexical.postings(load(spark, sf, "documents"), "doc_id", w)
     q = load(spark, sf, "benchmark").select("item_id", F.explode(lexical.fts_terms("text")).alias("qterm"))
-    return lexical.bm25(q, posts, "item_id", "doc_id", 10, prefix)
+    return lexical.bm25(q, posts, "item_id", 10, prefix)
 
 
 @query("bm25_topk", BM25.format(words=WORDS.format("text"), qwords=WORDS.format("text"), matched="SELECT doc_id, term AS qterm, tf, dl FROM p WHERE term IN (SELECT qterm FROM q)"))
@@ -95,6 +95,44 @@ def trigram_search(spark, sf):
     return lexical.trigram_search(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id", 10)
 
 
+OR_TERMS = """SELECT item_id, lower(unnest(CASE WHEN len(w) > 0 THEN w[1:5] ELSE [text] END)) AS qterm FROM (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 2 AND lower(x) NOT IN ('the', 'and', 'for', 'how', 'does', 'what', 'where', 'when', 'which', 'that', 'this', 'with', 'from')) AS w FROM benchmark)"""
+
+
+@query(
+    "trigram_or_topk",
+    f"""WITH q AS (SELECT DISTINCT item_id, qterm FROM ({OR_TERMS}) WHERE length(qterm) >= 3), l AS (SELECT doc_id, lower(text) AS low, greatest(length(text) - 2, 0) AS dl FROM documents),
+ n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l WHERE dl > 0),
+ m AS (SELECT doc_id, dl, qterm, (length(low) - length(replace(low, qterm, ''))) / length(qterm) AS tf FROM l JOIN (SELECT DISTINCT qterm FROM q) ON contains(low, qterm)),
+ df AS (SELECT qterm, count(*) AS df FROM m GROUP BY 1),
+ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM m JOIN df USING (qterm) JOIN q USING (qterm) CROSS JOIN n GROUP BY 1, 2)
+ SELECT item_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""",
+)
+def trigram_or_topk(spark, sf):
+    return lexical.or_search(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id")
+
+
+FIELDS = """t AS (SELECT doc_id, len(a) + len(b) + len(c) AS dl, unnest(list_concat(list_transform(a, lambda x: {'term': x, 'w': 1.0}), list_transform(b, lambda x: {'term': x, 'w': 3.0}), list_transform(c, lambda x: {'term': x, 'w': 1.0})), recursive := true)
+ FROM (SELECT doc_id, regexp_extract_all(lower(PATH), '[a-z0-9_]+') AS a, regexp_extract_all(lower(concat(lang, ' ', source)), '[a-z0-9_]+') AS b, regexp_extract_all(lower(text), '[a-z0-9_]+') AS c FROM documents))""".replace("PATH", PATH)
+
+
+@query(
+    "bm25_fields_topk",
+    f"""WITH {FIELDS}, n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc_id, dl FROM t)),
+ q AS (SELECT DISTINCT item_id, unnest(list_concat(list_filter({WORDS.format('text')}, lambda x: length(x) > 1)[1:8], [CASE item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'tests' ELSE 'py' END])) AS qterm FROM benchmark),
+ m AS (SELECT doc_id, qterm, sum(w)::DOUBLE AS tf, max(dl) AS dl FROM t JOIN (SELECT DISTINCT qterm FROM q) ON starts_with(term, qterm) GROUP BY 1, 2),
+ df AS (SELECT qterm, count(*) AS df FROM m GROUP BY 1),
+ s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM m JOIN df USING (qterm) JOIN q USING (qterm) CROSS JOIN n GROUP BY 1, 2)
+ SELECT item_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""",
+)
+def bm25_fields_topk(spark, sf):
+    """Path, symbols (here the language and source) and body, weighted 1, 3, 1, by prefixes of the query's words."""
+    w = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]+)"), F.lit(1))
+    posts = lexical.postings(with_path(load(spark, sf, "documents")), "doc_id", (w(F.col("path")), 1.0), (w(F.concat_ws(" ", "lang", "source")), 3.0), (w(F.col("text")), 1.0))
+    more = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "tests").otherwise("py")
+    q = load(spark, sf, "benchmark").select("item_id", F.explode(F.concat(lexical.fts_terms("text"), F.array(more))).alias("qterm"))
+    return lexical.bm25(q, posts, "item_id", 5, True)
+
+
 @query("content_hash", "SELECT doc_id, sha256(text) AS content_hash, 'chunk-' || substr(sha256(concat(doc_id, ':', 0)), 1, 16) AS chunk_id, substr(sha256(concat(source, ':', lang, ':', doc_id)), 1, 16) AS manifest_id FROM documents")
 def content_hash(spark, sf):
     return load(spark, sf, "documents").select("doc_id", text.content_hash("text").alias("content_hash"), text.chunk_id(F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id"), text.manifest_id("source", "lang", F.col("doc_id").cast("string")).alias("manifest_id"))
@@ -140,16 +178,19 @@ def hyde_keys(spark, sf):
     return load(spark, sf, "documents").select("doc_id", text.hyde_key(text.content_hash("text"), "lang", "source").alias("hyde_key"))
 
 
+WORDS_120 = r"array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:120], ' ')"
+
+
 @query(
     "digest_context_hash",
-    r"""SELECT doc_id, sha256(concat('{"lang": "', lang, '", "slice": "', source, '", "words": ', len(w), '}')) AS context_hash, md5(array_to_string(w[1:120], ' ')) AS context_md5
- FROM (SELECT doc_id, lang, source, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)""",
+    f"""SELECT doc_id, sha256('{{"digest_model": ' || to_json(lang)::VARCHAR || ', "digest_version": "v1", "module_purpose": ' || to_json({WORDS_120})::VARCHAR || ', "slice_content_hash": "' || sha256(text) || '", "slice_id": ' || to_json(source)::VARCHAR || '}}') AS context_hash,
+ sha256('{{"n":' || n_chars || ',"path":' || to_json(source)::VARCHAR || '}}') AS stable_hash FROM documents""",
 )
 def digest_context_hash(spark, sf):
-    d = load(spark, sf, "documents")
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    packed = F.format_string('{"lang": "%s", "slice": "%s", "words": %d}', "lang", "source", n)
-    return d.select("doc_id", F.sha2(packed, 256).alias("context_hash"), F.md5(text.truncate_words("text")).alias("context_md5"))
+    purpose = F.array_join(F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 120), " ")
+    d = load(spark, sf, "documents").withColumns({"purpose": purpose, "version": F.lit("v1")})
+    context = text.digest_context_hash("source", "purpose", "version", "lang", text.content_hash("text"))
+    return d.select("doc_id", context.alias("context_hash"), text.stable_json_hash(path=F.col("source"), n=F.col("n_chars")).alias("stable_hash"))
 
 
 KEYWORDS = """SELECT doc_id, term, count, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, term) AS rank FROM (SELECT doc_id, term, count(*) AS count

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from trawl.operators.incremental import upsert
 
-DEBOUNCE, BATCH_SECONDS, RETRIES = "500 milliseconds", 2, 3
+#: How long a burst lasts, how many files a batch takes, how often one is tried.
+DEBOUNCE, BATCH, TRIES = "500 milliseconds", 10, 3
 
 
 def read_events(spark: SparkSession, path: str, at: str = "ts", files_per_batch: int = 100) -> DataFrame:
@@ -39,6 +40,37 @@ def debounced(events: DataFrame, at: str, path: str, late: str, gap: str = DEBOU
     return s.select(path, "changed", "n")
 
 
+def queue_of(events: DataFrame, indexed: DataFrame, path: str, kind: str, at: str) -> DataFrame:
+    """The queue that debounced events leave: path, added_at, retries.
+
+    A path is queued once, from its first event that asks for it: any change, or an add of a path that is not indexed.
+    An unlink takes it off the queue and off the index, so only later events count.
+    """
+    gone = events.groupBy(path).agg(F.max(F.when(F.col(kind) == "unlink", F.col(at))).alias("_gone"))
+    known = indexed.select(F.col(path).alias("_p")).distinct()
+    both = events.join(gone, path).join(known, F.col(path) == F.col("_p"), "left").where(F.col("_gone").isNull() | (F.col(at) > F.col("_gone")))
+    wanted = (F.col(kind) == "change") | ((F.col(kind) == "add") & (F.col("_p").isNull() | F.col("_gone").isNotNull()))
+    return both.where(wanted).groupBy(path).agg(F.min(at).alias("added_at")).withColumn("retries", F.lit(0))
+
+
+def still_indexed(events: DataFrame, indexed: DataFrame, path: str, kind: str) -> DataFrame:
+    return indexed.join(events.where(F.col(kind) == "unlink").select(path).distinct(), path, "left_anti")
+
+
+def next_batch(queue: DataFrame, path: str, size: int = BATCH, paused: bool = False) -> DataFrame:
+    """The files that wait longest; none while the watcher is paused."""
+    return queue.orderBy("added_at", path).limit(0 if paused else size)
+
+
+def after_batch(queue: DataFrame, outcomes: DataFrame, path: str, now, tries: int = TRIES) -> DataFrame:
+    """The queue's files with their state after a batch (outcomes: path, ok): indexed, failed for good, or queued; a failure goes to the end."""
+    both = queue.join(outcomes.select(F.col(path).alias("_p"), "ok"), F.col(path) == F.col("_p"), "left").drop("_p")
+    failed = F.col("ok").isNotNull() & ~F.col("ok")
+    out = both.withColumn("retries", F.col("retries") + failed.cast("int")).withColumn("added_at", F.when(failed, now).otherwise(F.col("added_at")))
+    state = F.when(F.col("ok"), "indexed").when(failed & (F.col("retries") >= tries), "failed").otherwise("queued")
+    return out.withColumn("state", state).drop("ok")
+
+
 def once(events: DataFrame, at: str, keys: list[str], late: str) -> DataFrame:
     """At-least-once delivery to at-most-once rows, within the watermark."""
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
