@@ -103,6 +103,19 @@ def test_bpe_round_trip_with_and_without_chunks(docs, none, chunk):
     assert bpe.encode_documents(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_a_run_without_boundaries_is_scanned_a_few_times_only(monkeypatch):
+    seen, plain = [], bpe.boundaries
+    monkeypatch.setattr(bpe, "boundaries", lambda t, p, last: seen.append(len(t)) or plain(t, p, last))
+    for body in ("x" * 60_000, "x" * 30_000 + " y z " * 40 + "q" * 30_000):
+        chunks = [(k * 500, body[k * 500 : (k + 1) * 500 + 64]) for k in range(-(-len(body) // 500))]
+        found = [(a, t, plain(t, public_tokenizers.PATTERN, a + 500 >= len(body))) for a, t in chunks]
+        seen.clear()
+        pieces = list(bpe.stitch(iter(found), public_tokenizers.PATTERN))
+        enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+        assert "".join(pieces) == body and [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(body)
+        assert sum(seen) < 5 * len(body)
+
+
 def test_stitching_is_exact():
     enc, r = reference_encoding(), random.Random(1)
     for _ in range(200):
@@ -228,6 +241,34 @@ def test_mix_meets_targets(docs, none):
     assert mixing.mix_by_source(none).count() == 0
 
 
+def test_more_patterns_than_are_sent_and_overlaps_of_several_parts(spark, monkeypatch):
+    """Sources that overlap in chains of their own, solved apart and joined by a shuffle, as all at once by one flow."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(7)
+    rows = []
+    for i in range(400):
+        g = i % 8
+        rows.append((i, r.randint(1, 50), sorted(r.sample([f"s{g}{c}" for c in "abc"], r.randint(1, 3))) if i % 9 else [None]))
+    docs = spark.createDataFrame(rows, "doc_id long, n long, members array<string>").repartition(3)
+    run = lambda: {x["doc_id"]: x for x in mixing.mix(docs, F.col("members"), F.col("n")).collect()}
+    got = run()
+    monkeypatch.setattr(mixing, "MOST_SENT", 2)
+    again = run()
+    assert {i: x["_taken"] for i, x in got.items()} == {i: x["_taken"] for i, x in again.items()} and len(got) == 400
+    names = sorted({m for _, _, ms in rows for m in ms}, key=lambda m: (m is None, m or ""))
+    at = {m: i for i, m in enumerate(names)}
+    words = Counter()
+    for _, n, ms in rows:
+        words[tuple(ms)] += n
+    sizes = [sum(n for ms, n in words.items() if m in ms) for m in names]
+    target = mixing.water_fill(sizes, [mixing.WEIGHTS[i % 3] for i in range(len(names))], sum(words.values()))
+    keys = sorted(words, key=repr)
+    sent = mixing.min_cost_flow([words[k] for k in keys], [tuple(at[m] for m in k) for k in keys], [round(t) for t in target])
+    assert sum(x["_taken"] for x in got.values()) == sum(sent)  # the flow's value, whatever the split
+    assert all(x["_taken"] <= 3 * x["_size"] for x in got.values())
+
+
 def test_flow_is_cheapest():
     assert mixing.water_fill([10, 100, 100], [5, 2, 1], 210) == [30, 120, 60]
     assert sum(mixing.min_cost_flow([10, 10], [(0,), (0, 1)], [15, 15])) == 30

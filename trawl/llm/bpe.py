@@ -54,25 +54,39 @@ def boundaries(text: str, pattern: str, last: bool) -> list[int]:
 
 
 def stitch(chunks: Iterator[tuple[int, str, list[int]]], pattern: str) -> Iterator[str]:
-    """(start, text, ends within the text) of a document's chunks, in order, to pieces that encode alone as in the whole."""
+    """(start, text, ends within the text) of a document's chunks, in order, to pieces that encode alone as in the whole.
+
+    A run without boundaries is scanned again only when it has doubled, so all scans of a text together are linear.
+    """
     start, text, ends = next(chunks)
+    tail: list[str] = []  # what has come since the last scan
+    size = scanned = len(text)
     begin = 0  # in text: the piece's first character, a sure boundary
     for at, more, found in chunks:
-        own = {0, *found}
         off = at - start
-        p = next((e for e in ends if e >= off and e - off in own and not text[e - 1].isspace()), None)
-        if p is not None:
-            yield text[begin:p]
-            start, text, ends, begin = at, more, [e for e in found if e > p - off], p - off
-            continue
-        sure = next((e for e in reversed(ends) if e > begin and e <= off + len(more) and not text[e - 1].isspace()), begin)
-        if sure > begin:
-            yield text[begin:sure]
-        text = text[sure:off] + more if sure <= off else more[sure - off :]
-        start, begin = start + sure, 0
-        ends = boundaries(text, pattern, False)
-    if text[begin:]:
-        yield text[begin:]
+        if not tail:
+            own = {0, *found}
+            p = next((e for e in ends if e >= off and e - off in own and not text[e - 1].isspace()), None)
+            if p is not None:
+                yield text[begin:p]
+                start, text, ends, begin = at, more, [e for e in found if e > p - off], p - off
+                size = scanned = len(text)
+                continue
+            sure = next((e for e in reversed(ends) if e > begin and e <= off + len(more) and not text[e - 1].isspace()), begin)
+            if sure > begin:
+                yield text[begin:sure]
+                scanned = 0  # what stays is new to the scanner
+            start, text, begin = start + sure, text[sure:], 0
+            size, off = len(text), off - sure
+        held = more[size - off :]
+        tail.append(held)
+        size += len(held)
+        if size >= 2 * scanned:
+            text, tail, scanned = "".join([text, *tail]), [], size
+            ends = boundaries(text, pattern, False)
+    rest = "".join([text[begin:], *tail])
+    if rest:
+        yield rest
 
 
 def _runs(batches, keys: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:

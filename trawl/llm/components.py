@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trawl.llm.shared import written
 
 
-def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node and root (the smallest node reachable) of every node of edges.
 
     Each half-round points the neighbours of a node to the smallest among them, the large star for larger
@@ -17,7 +17,7 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     keeps the node alone; repeated edges count once.
     """
     held = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct(), "edges")
-    for _ in range(most_rounds):
+    while True:
         both = held.select(F.col("u").alias("n"), F.col("v").alias("m")).union(held.select(F.col("v"), F.col("u")))
         least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
         large = both.join(least, "n").where(F.col("m") > F.col("n")).select(F.col("low").alias("u"), F.col("m").alias("v"))
@@ -32,7 +32,5 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         held = new
         if count == old:
             break
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     pairs = held.select(F.col("v").alias("node"), F.col("u").alias("root")).union(held.select(F.col("u"), F.col("u")))
     return pairs.groupBy("node").agg(F.min("root").alias("root"))

@@ -12,13 +12,18 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import WORD, carried, written
+from trawl.llm.components import components
+from trawl.llm.shared import WORD, blocks, carried, written
 
 #: Weights of the sources in order, repeating (fixed by the contract of the query).
 WEIGHTS = (5.0, 2.0, 1.0)
+#: So many patterns at most are sent to the documents; more are joined by a shuffle, with the same result.
+MOST_SENT = 20_000
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, cap: float = 3.0) -> list[float]:
@@ -86,14 +91,53 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", keep: list[str] | None = None, passes: int = 3, seed: int = 42, buckets: int = 4096, max_patterns: int = 20_000) -> DataFrame:
+def _parts(patterns: DataFrame, sources: DataFrame) -> DataFrame:
+    """patterns with _part: patterns that no chain of shared sources joins are of different parts, and their flows have nothing to do with each other."""
+    placed = patterns.select("_members", F.posexplode("_members").alias("_at", "_name")).join(sources, F.col("_name").eqNullSafe(F.col("_source")))
+    first = placed.groupBy("_members").agg(F.min("_place").alias("_first"))
+    joined = placed.join(first.withColumnRenamed("_members", "_m"), F.col("_members").eqNullSafe(F.col("_m"))).where("_place <> _first")
+    edges = written(joined.select(F.col("_first").alias("a"), F.col("_place").alias("b")).distinct(), "shared-sources")
+    out = patterns.join(first.withColumnRenamed("_members", "_m"), F.col("_members").eqNullSafe(F.col("_m"))).drop("_m")
+    if edges.isEmpty():
+        return out.withColumnRenamed("_first", "_part")
+    roots = components(edges, "a", "b").withColumnRenamed("node", "_first")
+    return out.join(roots, "_first", "left").withColumn("_part", F.coalesce("root", "_first")).drop("_first", "root")
+
+
+def _solved(patterns: DataFrame, sources: DataFrame, passes: int) -> DataFrame:
+    """_m (members), _source_size, _target (by member) and _sent (words) of each pattern: one flow for each part, in the task that it is dealt to."""
+    parted = _parts(patterns, sources)
+    each = parted.select("_part", "_members", "words", F.posexplode("_members").alias("_at", "_name")).join(sources, F.col("_name").eqNullSafe(F.col("_source")))
+    told = each.groupBy("_part", "_members", "words").agg(F.array_sort(F.collect_list(F.struct("_at", "_place", "_size", "_goal"))).alias("_s"))  # a pattern's sources
+    dealt = told.repartition("_part").sortWithinPartitions("_part", "_members")
+
+    def run(batches):
+        for t in blocks(batches, "_part", 1):
+            part = t.column("_part").to_numpy()
+            cut = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            members, words, told = (t.column(c) for c in ("_members", "words", "_s"))
+            sent = []
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                own = told.slice(lo, hi - lo).to_pylist()
+                goal = {x["_place"]: x["_goal"] for s in own for x in s}
+                at = {p: i for i, p in enumerate(sorted(goal))}
+                sent += min_cost_flow(words.slice(lo, hi - lo).to_pylist(), [tuple(at[x["_place"]] for x in s) for s in own], [round(goal[p]) for p in sorted(goal)], passes)
+            sizes, goals = ([[x[k] for x in s] for s in told.to_pylist()] for k in ("_size", "_goal"))
+            yield pa.RecordBatch.from_arrays([members.combine_chunks(), words.combine_chunks(), pa.array(sizes, pa.list_(pa.int64())), pa.array(goals, pa.list_(pa.float64())), pa.array(sent, pa.int64())], ["_m", "_words", "_source_size", "_target", "_sent"])
+
+    return dealt.select("_part", "_members", "words", "_s").mapInArrow(run, "_m array<string>, _words long, _source_size array<long>, _target array<double>, _sent long")
+
+
+def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id", keep: list[str] | None = None, passes: int = 3, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """The keep columns of docs, _size, _members, _source_size and _target (arrays, by member) and _taken, the words the mix takes.
 
     members: array of a document's sources (null: one source, null). Sources by code point, null last, weigh WEIGHTS
     in turn and share all words by water_fill. _taken is at most passes times _size. Documents of size 0 take 0.
     Reruns agree: the order in a pattern is a seeded hash of the id. Rows that repeat an id are documents of their own.
-    What the driver holds is a row for each pattern, max_patterns at most (more: ValueError); documents stay where
-    they are, but for one of buckets hash ranges in each pattern, in which the flow ends. An empty table gives no rows.
+    The driver holds a row for each source. Patterns are solved where they lie: those that share no source, even
+    through others, are flows of their own, each in one task. Documents stay where they are, but for one of buckets
+    hash ranges in each pattern, in which the flow ends. Texts of any length count by their size alone. Columns of docs
+    with a result's name give way. An empty table gives no rows.
     """
     keep = carried(docs, keep, ("_size", "_members", "_source_size", "_target", "_taken", "_hash", "_bucket"))
     spark = docs.sparkSession
@@ -102,31 +146,28 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
     sized = docs.select(*keep, F.array_sort(F.array_distinct(own)).alias("_members"), size.alias("_size"), hashed.alias("_hash"))
     sized = written(sized.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - int(math.log2(buckets))).cast("int")), "sized")
     parts = sized.groupBy("_members", "_bucket").agg(F.sum("_size").alias("words"))
-    found = parts.groupBy("_members").agg(F.sum("words").alias("words")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
+    patterns = written(parts.groupBy("_members").agg(F.sum("words").alias("words")), "patterns")
+    found = patterns.select("words", F.explode("_members").alias("_name")).groupBy("_name").agg(F.sum("words").alias("words")).collect()  # a row for each source
     if not found:
         return sized.select(*keep, "_size", "_members", F.array().cast("array<long>").alias("_source_size"), F.array().cast("array<double>").alias("_target"), F.lit(0).cast("long").alias("_taken"))
-    names = sorted({m for r in found for m in r["_members"]}, key=lambda m: (m is None, m or ""))
-    at = {m: i for i, m in enumerate(names)}
-    sizes = [0] * len(names)
-    for r in found:
-        for m in r["_members"]:
-            sizes[at[m]] += r["words"]
-    total = sum(r["words"] for r in found)
-    target = water_fill(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))], total, passes)
-    sent = min_cost_flow([r["words"] for r in found], [tuple(at[m] for m in r["_members"]) for r in found], [round(t) for t in target], passes)
-    plan = [(i, r["_members"], [sizes[at[m]] for m in r["_members"]], [target[at[m]] for m in r["_members"]], f // r["words"] if r["words"] else 0, f % r["words"] if r["words"] else 0) for i, (r, f) in enumerate(zip(found, sent, strict=True))]
-    plan_df = F.broadcast(spark.createDataFrame(plan, "_p int, _m array<string>, _source_size array<long>, _target array<double>, _whole long, _rest long"))
-    before = Window.partitionBy("_p").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    found.sort(key=lambda r: (r["_name"] is None, r["_name"] or ""))
+    total = patterns.agg(F.sum("words")).first()[0]
+    target = water_fill([r["words"] for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))], total, passes)
+    sources = spark.createDataFrame([(r["_name"], i, r["words"], float(t)) for i, (r, t) in enumerate(zip(found, target, strict=True))], "_source string, _place long, _size long, _goal double")
+    plan = _solved(patterns, sources, passes)
+    whole = F.when(F.col("_words") > 0, F.floor(F.col("_sent") / F.col("_words"))).otherwise(0).cast("long")
+    plan = written(plan.withColumn("_whole", whole).withColumn("_rest", F.col("_sent") - F.col("_whole") * F.col("_words")).drop("_words", "_sent"), "plan")
+    before = Window.partitionBy("_m").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     same = F.col("_members").eqNullSafe(F.col("_m"))
-    starts = parts.join(plan_df, same).withColumn("_start", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    ends = starts.where((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("words"))).select(F.col("_p").alias("_q"), F.col("_bucket").alias("_end"), "_start")
-    dealt = sized.join(plan_df, same).join(F.broadcast(ends), F.col("_p") == F.col("_q"), "left")  # a row for each pattern
+    sent = F.broadcast(plan) if plan.count() <= MOST_SENT else plan.hint("merge")
+    starts = parts.join(sent, same).withColumn("_start", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    ends = starts.where((F.col("_start") <= F.col("_rest")) & (F.col("_rest") < F.col("_start") + F.col("words"))).select(F.col("_m").alias("_q"), F.col("_bucket").alias("_end"), "_start")
+    told = written(plan.join(ends, F.col("_m").eqNullSafe(F.col("_q")), "left").drop("_q"), "plan")  # a row for each pattern
+    dealt = sized.join(F.broadcast(told) if told.count() <= MOST_SENT else told.hint("merge"), same)
     base = F.col("_whole") * F.col("_size")
     out = [*keep, "_size", "_members", "_source_size", "_target"]
     plain = dealt.where(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).select(*out, (base + F.when(F.col("_bucket") < F.col("_end"), F.col("_size")).otherwise(0)).cast("long").alias("_taken"))
-    order = Window.partitionBy("_p").orderBy("_hash", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_m").orderBy("_hash", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
     edge = dealt.where(F.col("_bucket") == F.col("_end")).withColumn("_seen", F.col("_start") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
     edge = edge.select(*out, (base + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_seen")))).cast("long").alias("_taken"))
     return plain.unionByName(edge)

@@ -79,10 +79,10 @@ def shard_of(key: Column, tree: Node) -> Column:
 def slotted(df: DataFrame, shard: str, order: list[str], blocks: int = 4096) -> DataFrame:
     """Adds slot, gapless from 0 in each shard, without bringing a shard into one task.
 
-    A shard's rows are dealt to blocks by a hash of the first order column (so the counts read no text); a block starts where the counts of those
-    before it end. The counts (shards x blocks rows at most) are the only thing that is broadcast.
+    A shard's rows are dealt to blocks by a hash of the order columns, so that rows that repeat an id (or null) with
+    different texts are spread; a block starts where the counts of those before it end. The counts (shards x blocks rows at most) are the only thing that is broadcast.
     """
-    at = df.withColumn("_block", F.pmod(F.xxhash64(order[0]), F.lit(blocks)).cast("int"))
+    at = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
     counts = at.groupBy(shard, "_block").count()
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_s"), F.col("_block").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
