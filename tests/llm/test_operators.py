@@ -212,6 +212,25 @@ def test_nearest_neighbours_are_exact_where_all_lists_are_probed_and_ties_go_to_
     assert neighbours.nearest(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+def test_neighbours_with_lists_skipped_and_queries_in_blocks(spark):
+    """Clustered vectors, lists of 30, few probes: recall stays, and blocks of two queries change nothing."""
+    r = np.random.default_rng(11)
+    centres = r.normal(size=(40, 16))
+    x = centres[r.integers(0, 40, 3000)] + 0.3 * r.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist(), "other") for i, v in enumerate(x)], "vec_id long, embedding array<double>, score string").repartition(4)
+    options = {"per_list": 30, "probes": 4, "probe_ratio": 1.02, "k": 10}
+    got = neighbours.nearest(df, lambda i: i % 20 == 0, **options).toPandas()
+    hit = 0
+    for q, rows in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:10]) & set(rows.vec_id))
+    assert len(got) == 1500 and hit >= 0.9 * 1500
+    blocks = neighbours.nearest(df, lambda i: i % 20 == 0, query_block=2, block=11, **options).toPandas()
+    order = ["query_id", "rank"]
+    assert got.sort_values(order)["vec_id"].tolist() == blocks.sort_values(order)["vec_id"].tolist()
+
+
 def test_centroid_walk_and_replicas():
     r = np.random.default_rng(0)
     x = r.normal(size=(4000, 16))

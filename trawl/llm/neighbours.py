@@ -4,8 +4,8 @@ Largest inner products become smallest distances by one more coordinate, the roo
 Centroids come from balanced k-means on a bounded sample and stay in memory, linked by a graph of near neighbours
 and some far ones. Every vector goes to the list of its nearest centroid and, near a boundary, to further lists whose
 centroids are hardly farther and not behind one already taken. A query walks the graph to the centroids near it and
-probes those whose distance is within a ratio of the nearest's. Lists are cut into blocks of bounded size, so a
-crowded one is many tasks. Equal vectors are one entry: its smallest ids answer for all, exactly.
+probes those whose distance is within a ratio of the nearest's. Lists and the queries that probe them are cut into
+blocks of bounded size, so a crowded list is many tasks and no task holds more than one block of each. Equal vectors are one entry: its smallest ids answer for all, exactly.
 """
 
 from __future__ import annotations
@@ -152,13 +152,13 @@ def _matrix(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
-def nearest(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 16_384, per_list: int = 4096, replica_ratio: float = 1.1, replicas: int = 4, probe_ratio: float = 1.2, probes: int = 12, width: int = 256, block: int = 4096) -> DataFrame:
+def nearest(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, sample: int = 16_384, per_list: int = 4096, replica_ratio: float = 1.1, replicas: int = 4, probe_ratio: float = 1.2, probes: int = 12, width: int = 256, block: int = 4096, query_block: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (inner product, double) of the k nearest found to each query.
 
     queries: a condition on id (given as a function of a Column); candidates are all rows but the query's own. Ties go to the smaller id.
     The index is fitted on sample vectors at most (by a hash of their content); every vector is indexed. Nulls: a
     null id or vector takes no part, nor does a vector that is zero, not finite, or of another dimension than most.
-    Repeated rows are candidates of their own. Without candidates there are no rows.
+    Repeated rows are candidates of their own. Without candidates there are no rows. Other columns are not read.
     """
     rows = written(clean_vectors(df, id_col, vec_col), "vectors")
     first = Window.partitionBy("key").orderBy("id")
@@ -199,9 +199,11 @@ def nearest(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embe
     posted = written(entries.select("key", "vec").mapInArrow(post, "list int, key binary, vec binary"), "postings")
     asked = rows.where(queries(F.col("id")))
     distinct = asked.select("key").distinct().join(entries.select("key", "vec"), "key")
-    blocks = F.broadcast(posted.groupBy("list").count().select("list", F.ceil(F.col("count") / block).cast("int").alias("_b")))  # a row for each list
-    left = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("_b")).cast("int")).drop("_b")
-    right = distinct.select("key", "vec").mapInArrow(probe, "list int, key binary, vec binary").join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b")
+    probed = written(distinct.select("key", "vec").mapInArrow(probe, "list int, key binary, vec binary"), "probes")
+    parts = lambda df, name, size: df.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = F.broadcast(parts(posted, "_b", block).join(parts(probed, "_c", query_block), "list"))  # a row for each list that is probed
+    left = posted.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("_b")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_c") - 1))).drop("_b", "_c")
+    right = probed.join(blocks, "list").withColumn("part", F.pmod(F.xxhash64("key", F.lit(5)), F.col("_c")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).drop("_b", "_c")
 
     def match(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(v) or not len(q):
@@ -217,7 +219,7 @@ def nearest(df: DataFrame, queries, id_col: str = "vec_id", vec_col: str = "embe
             out.append(pd.DataFrame({"query": q["key"].to_numpy()[lo + i], "key": keys[j], "score": s[i, j]}))
         return pd.concat(out)
 
-    found = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInPandas(match, "query binary, key binary, score double")
+    found = left.groupBy("list", "block", "part").cogroup(right.groupBy("list", "block", "part")).applyInPandas(match, "query binary, key binary, score double")
     once = found.groupBy("query", "key").agg(F.max("score").alias("score")).join(entries.select("key", "ids"), "key")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
     classes = once.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
