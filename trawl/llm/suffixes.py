@@ -265,10 +265,10 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
             held = []
             for tid, body, xs in zip(b.column("tid").to_pylist(), b.column("body").to_pylist(), b.column("asked").to_pylist(), strict=True):
                 q, lo, hi = (x.tolist() for x in _places(np.asarray([x["loc"] for x in xs])))
-                held.extend((tid, x["core"], *place, x["weight"], body[place[0] : place[0] + 8], body[place[1] : place[2] + width]) for x, place in zip(xs, zip(q, lo, hi, strict=True), strict=True))
+                held.extend((tid, x["core"], *place, x["weight"], x["share"], body[place[0] : place[0] + 8], body[place[1] : place[2] + width]) for x, place in zip(xs, zip(q, lo, hi, strict=True), strict=True))
             for i in range(0, len(held), 2048):
                 c = list(zip(*held[i : i + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tid", "core", "q", "lo", "hi", "weight", "prefix", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.binary(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["tid", "core", "q", "lo", "hi", "weight", "share", "prefix", "context"])
 
     @lean
     def compare(batches):
@@ -276,12 +276,12 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
             yield from _compared(block, width)
 
     def by_text(items: DataFrame) -> DataFrame:
-        return texts.select("tid", "body").join(items.groupBy("tid").agg(F.collect_list(F.struct("core", "loc", "weight")).alias("asked")), "tid")
+        return texts.select("tid", "body").join(items.groupBy("tid").agg(F.collect_list(F.struct("core", "loc", "weight", "share")).alias("asked")), "tid")
 
     own = (F.col("core") == F.col("c")) & (F.col("fa") == F.col("a")) & (F.col("fb") == F.col("b"))
     q = F.shiftright("loc", 20)
     lo, hi = q - F.shiftright("loc", 10).bitwiseAND(1023), q - F.col("loc").bitwiseAND(1023)
-    wholes, sorted_ = [], []
+    wholes, sorted_, share = [], [], gram  # share: bytes that all windows of an item share, from its anchor on
     items = texts.where(F.octet_length("body") >= width).mapInArrow(scan, _ITEMS)
     for band in (*[b for b in BANDS if b <= width - gram], None):
         # Written, so that the join below deals both sides itself and Spark can split a hot core's rows.
@@ -292,17 +292,18 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
         # Sorted, never broadcast after both sides are dealt: so Spark splits the rows of a very common context.
         wholes.append(held.where("weight = 1").join(twice.hint("merge"), own).select("tid", lo.alias("start"), (hi + width).alias("end")))
         several = written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("core", "c"), "several")
-        open_ = kinds.join(several, F.col("core") == F.col("c")).select("core", "one.tid", "one.loc", F.least("weight", F.lit(2)).cast("int").alias("weight"), "n")
+        open_ = kinds.join(several, F.col("core") == F.col("c")).select("core", "one.tid", "one.loc", F.least("weight", F.lit(2)).cast("int").alias("weight"), F.lit(share).alias("share"), "n")
         if band is None or several.where(F.col("n") > most).isEmpty():
             sorted_.append(open_)
             break
         sorted_.append(open_.where(F.col("n") <= most))
         items = written(by_text(open_.where(F.col("n") > most)).select("tid", "body", "asked").mapInArrow(cut(band), _ITEMS), "bands")
+        share = width - band + 1
     asked = sorted_[0]
     for more in sorted_[1:]:
         asked = asked.unionByName(more)
-    placed = by_text(asked).mapInArrow(contexts, "tid binary, core bigint, q bigint, lo bigint, hi bigint, weight int, prefix binary, context binary")
-    lead = F.substring("context", (F.col("q") - F.col("lo") + 1).cast("int"), F.lit(gram))
+    placed = by_text(asked).mapInArrow(contexts, "tid binary, core bigint, q bigint, lo bigint, hi bigint, weight int, share int, prefix binary, context binary")
+    lead = F.substring("context", (F.col("q") - F.col("lo") + 1).cast("int"), F.col("share"))
     edges = placed.repartitionByRange(lead).sortWithinPartitions("prefix", "core").mapInArrow(compare, "tid binary, start bigint, end bigint")
     spans = edges
     for whole in wholes:
