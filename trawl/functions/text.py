@@ -114,7 +114,9 @@ def truncate_words(text, most: int = 120) -> Column:
 
 
 def safe_filename(value) -> Column:
-    return F.regexp_replace(col(value), r"[^A-Za-z0-9._-]", "_")
+    """Letters, digits, - and _ stay, all else is -, none at the ends; slice if nothing is left."""
+    name = F.regexp_replace(F.regexp_replace(F.coalesce(col(value), F.lit("")), r"[^\p{L}\p{N}_-]", "-"), "^-+|-+$", "")
+    return F.when(name == "", "slice").otherwise(name)
 
 
 def trigrams(text) -> Column:

@@ -87,8 +87,9 @@ def hydrate(hits: DataFrame, chunks: DataFrame, hit_id: str, chunk_id: str, acti
 
 
 def penalised(hits: DataFrame, path: str, query_id: str, resort: bool = False) -> DataFrame:
-    """Scores times the path's penalty; ranks stay those of the search unless resort."""
-    out = hits.withColumn("score", F.round(F.col("score") * path_penalty(path), 9))
+    """Scores times the path's penalty, beside the search's own (raw_score); ranks stay those of the search unless resort."""
+    raw = F.col("raw_score" if "raw_score" in hits.columns else "score")
+    out = hits.withColumn("raw_score", raw).withColumn("score", F.round(F.col("score") * path_penalty(path), 9))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.col("rank")))) if resort else out
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.functions.paths import confidence
+from trawl.functions.text import clamp
 from trawl.operators import search as S
 
 LIMIT, LIMIT_MOST, CANDIDATES, CANDIDATES_MOST, GATEWAY_MOST = 5, 20, 50, 200, 50
+#: What a shaped hit carries of its chunk, as far as the chunks have it.
+SHOWN = ("start_line", "end_line", "line_range", "chunk_type", "language", "file_role", "signature", "symbols_defined", "what_it_does", "file_skeleton", "match_reasons", "next_queries")
 
 
 def clamped(limit: int | None = None, candidates: int | None = None) -> tuple[int, int]:
@@ -18,6 +22,21 @@ def clamped(limit: int | None = None, candidates: int | None = None) -> tuple[in
     return k, min(max(CANDIDATES if candidates is None else candidates, k), CANDIDATES_MOST)
 
 
+def clamped_columns(limit: Column, candidates: Column) -> tuple[Column, Column]:
+    """The same for columns; null takes the default."""
+    k = clamp(F.coalesce(limit, F.lit(LIMIT)), 1, LIMIT_MOST)
+    return k, F.least(F.greatest(F.coalesce(candidates, F.lit(CANDIDATES)), k), F.lit(CANDIDATES_MOST))
+
+
+def shaped(found: DataFrame, snippet: int = 200) -> DataFrame:
+    """Hits as callers see them: query_id, id, rank, file, score, raw_score, confidence, snippet, and the metadata that the chunks have."""
+    known = [c for c in SHOWN if c in found.columns]
+    start = F.replace(F.left(F.coalesce("text", F.lit("")), F.lit(snippet)), F.lit("\n"), F.lit(" ")) if "text" in found.columns else F.lit(None).cast("string")
+    exact = F.array_contains("match_reasons", "exact_symbol") if "match_reasons" in found.columns else F.lit(False)
+    raw = "raw_score" if "raw_score" in found.columns else "score"
+    return found.select("query_id", F.col("vec_id").cast("string").alias("id"), "rank", F.col("file_path").alias("file"), "score", F.col(raw).alias("raw_score"), confidence("score", exact).alias("confidence"), start.alias("snippet"), *known)
+
+
 def payload_filter(df: DataFrame, conditions: dict | None) -> DataFrame:
     """All conditions hold: a value equals (or an array holds it), a list matches any."""
     arrays = {f.name for f in df.schema if f.dataType.typeName() == "array"}

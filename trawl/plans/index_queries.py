@@ -179,14 +179,16 @@ def batch_validity(spark, sf):
 
 @query(
     "shard_machine",
-    """WITH e AS (SELECT user_id % 40 AS job, event_id % 3 AS seq, ts, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN value > 60 THEN 'done' ELSE 'failed' END AS event, event_id FROM events),
- d AS (SELECT job, seq, min(ts) AS t FROM e WHERE event = 'running' GROUP BY 1, 2)
- SELECT DISTINCT e.job, e.seq, d.t IS NOT NULL AS ran FROM e LEFT JOIN d USING (job, seq)""",
+    """WITH RECURSIVE e AS (SELECT user_id % 40 AS job, event_id % 3 AS seq, event_id::VARCHAR AS output, CASE WHEN event_type IN ('click', 'view') THEN 'running' WHEN value > 60 THEN 'done' ELSE 'failed' END AS event, row_number() OVER (PARTITION BY user_id % 40, event_id % 3 ORDER BY ts) AS i FROM events),
+ s AS (SELECT DISTINCT job, seq, 0::BIGINT AS i, 'pending' AS status, 0 AS attempts, NULL::VARCHAR AS output FROM e
+ UNION ALL SELECT s.job, s.seq, e.i, CASE WHEN moves THEN e.event ELSE status END, attempts + CASE WHEN moves AND e.event = 'running' THEN 1 ELSE 0 END, CASE WHEN moves AND e.event = 'done' THEN e.output ELSE s.output END
+ FROM s JOIN e ON e.job = s.job AND e.seq = s.seq AND e.i = s.i + 1 CROSS JOIN LATERAL (SELECT (status IN ('pending', 'failed') AND e.event = 'running') OR status = 'running' AS moves))
+ SELECT job, seq, arg_max(status, i) AS status, max(attempts)::INT AS attempts, max(output) AS output FROM s GROUP BY 1, 2""",
 )
 def shard_machine(spark, sf):
-    """Shards after their events; the oracle tells which ever ran, the tests the rest."""
+    """Shards after all their events."""
     e = load(spark, sf, "events").select((F.col("user_id") % 40).alias("job"), (F.col("event_id") % 3).alias("seq"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type").isin("click", "view"), "running").when(F.col("value") > 60, "done").otherwise("failed").alias("event"), F.col("event_id").cast("string").alias("output"))
-    return batches.applied(e.select("job", "seq").distinct(), e, "job", "seq", "at").select("job", "seq", (F.col("attempts") > 0).alias("ran"))
+    return batches.applied(e.select("job", "seq").distinct(), e, "job", "seq", "at").select("job", "seq", "status", "attempts", "output")
 
 
 @query("shard_assign", "SELECT doc_id, (doc_id % 16)::INT AS shard, (doc_id % 16 % 3)::INT AS account, doc_id // 100 AS batch FROM documents")
@@ -230,7 +232,15 @@ def anchored_batches(spark, sf):
     return jobs.anchored_batches(e, "user_id", "t", 3_600_000)
 
 
-@query("slice_digest", None)
+@query(
+    "slice_digest",
+    f"""WITH d AS (SELECT 'src/' || source AS slice_id, p, lower(p) AS l, regexp_extract(p, '[^.]*$') AS ext, sha256(coalesce(text, '')) AS h FROM (SELECT source, text, {PATH} AS p FROM documents)),
+ f AS (SELECT *, CASE WHEN l LIKE '%/tests/%' THEN 'tests' WHEN regexp_matches(l, '/docs/|readme|[.]md') THEN 'docs' WHEN regexp_matches(l, 'wrangler|package[.]json|tsconfig|config|[.]yml|[.]yaml|[.]json') THEN 'configuration' WHEN regexp_matches(l, 'worker|handler|route|api|server') THEN 'runtime code' ELSE 'source code' END AS role FROM d),
+ r AS (SELECT slice_id, array_to_string(list(role ORDER BY n DESC, first)[1:3], ', ') AS roles FROM (SELECT slice_id, role, count(*) AS n, min(p) AS first FROM f GROUP BY 1, 2) GROUP BY 1),
+ x AS (SELECT slice_id, array_to_string(list(ext ORDER BY n DESC, first)[1:3], ', ') AS exts FROM (SELECT slice_id, ext, count(*) AS n, min(p) AS first FROM f GROUP BY 1, 2) GROUP BY 1),
+ w AS (SELECT slice_id, count(*) AS files, sha256(string_agg(p || ':' || h, chr(10) ORDER BY p)) AS slice_content_hash FROM f GROUP BY 1)
+ SELECT slice_id, files, left(concat(slice_id, ' groups ', roles, ' for the ', replace(slice_id, '/', ' '), ' area; primary file types are ', exts, '.'), 320) AS module_purpose, slice_content_hash FROM w JOIN r USING (slice_id) JOIN x USING (slice_id)""",
+)
 def slice_digest(spark, sf):
     return questions.slice_digest(with_path(load(spark, sf, "documents")), "path", "text")
 
@@ -280,11 +290,16 @@ def stream_session_debounce(spark, sf):
     return out.select("user_id", F.col("changed").cast("timestamp_ntz").alias("changed"), "n")
 
 
-@query("stateful_lease", None)
+@query(
+    "stateful_lease",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 600 SECOND THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e)
+ SELECT user_id, expired_at, renewals FROM (SELECT user_id, max(ts) + INTERVAL 600 SECOND AS expired_at, count(*) AS renewals FROM s GROUP BY user_id, k) WHERE expired_at <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
 def stateful_lease(spark, sf):
-    """Leases that ran out, by event time; which of the last ones have closed depends on the watermark."""
+    """Leases that ran out, by event time: those that the watermark has closed, an hour behind the last event."""
     events, folder = _stream(spark, sf)
-    return watch.to_table(watch.expired_leases(events, "user_id", "ts", 600, "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    out = watch.to_table(watch.expired_leases(events, "user_id", "ts", 600, "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
+    return out.select("user_id", F.col("expired_at").cast("timestamp_ntz").alias("expired_at"), "renewals")
 
 
 @query("rel_pricing", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2")

@@ -261,7 +261,12 @@ def eval_ndcg(spark, sf):
     return evals.graded_ndcg(words_hits(spark, sf), golden(spark, sf), "item_id", "doc_id")
 
 
-@query("eval_greedy", None)
+@query(
+    "eval_greedy",
+    f"""WITH a AS ({BM}), {GOLD}, i AS (SELECT item_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC) AS r FROM gold) WHERE r <= 10 GROUP BY 1),
+ g AS (SELECT gold.item_id, min(rank) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS got FROM a JOIN gold ON gold.item_id = a.item_id AND gold.doc_id = a.doc_id WHERE rank <= 10 GROUP BY 1)
+ SELECT item_id, (first IS NOT NULL)::INT::DOUBLE AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(coalesce(got, 0) / ideal, 6) AS ndcg FROM i LEFT JOIN g USING (item_id)""",
+)
 def eval_greedy(spark, sf):
     """Greedy graded matching, which is sequential; equal to eval_ndcg where each document is one item."""
     g = golden(spark, sf).groupBy("item_id").agg(F.collect_list(F.struct(F.col("doc_id").cast("string").alias("file"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "grade")).alias("relevant"))

