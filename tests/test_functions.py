@@ -305,3 +305,32 @@ def test_golden_filter(spark):
     q = spark.createDataFrame([("A b", [("x",)]), (" a B", [("x",)]), ("c", [("gone",)]), ("d", [])], "query string, relevant array<struct<file:string>>")
     kept = batches.valid_golden(q, spark.createDataFrame([("x",)], "path string"))
     assert kept.count() == 1 and kept.first()["id"].startswith("golden-") and batches.drop_rate(q, kept).first()["drop_rate"] == 0.75
+
+
+def test_tracked_files(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    for name in ("kept.py", "left.py", "deep/also kept.ts"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"# {name}\n")
+    assert files.tracked(spark, str(tmp_path)) is None
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    subprocess.run(["git", "-C", str(tmp_path), "add", "kept.py", "deep"], check=True)
+    listed = files.tracked(spark, str(tmp_path))
+    assert sorted(r["path"] for r in files.read_tree(spark, str(tmp_path), listed=listed).collect()) == ["deep/also kept.ts", "kept.py"]
+    assert files.read_tree(spark, str(tmp_path)).count() == 3
+
+
+@pytest.mark.parametrize(("value", "name"), [("src/a b.py", "src-a-b-py"), ("--x_1--", "x_1"), ("äé/2", "äé-2"), ("./", "slice"), (None, "slice")])
+def test_safe_filename(spark, value, name):
+    assert one(spark, value, text.safe_filename) == name
+
+
+def test_floor_rank(spark):
+    rows = [("a", float(x)) for x in [1, 1, 1, 2, 9]] + [("b", 5.0)]
+    got = {p: {r["k"]: r["value"] for r in evals.floor_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", p).collect()} for p in (0.0, 0.5, 0.6, 0.95, 1.0)}
+    want = {p: {k: (own := sorted(v for x, v in rows if x == k))[min(int(p * len(own)), len(own) - 1)] for k in "ab"} for p in got}
+    assert got == want

@@ -101,12 +101,14 @@ def nearest_rank(value, p: float) -> Column:
 
 
 def floor_rank(df: DataFrame, group: list[str], value: str, p: float) -> DataFrame:
-    """The variant that takes place floor(p n), counted from 0."""
+    """The variant that takes place floor(p n), counted from 0. Equal values are counted before they are put in order."""
     from pyspark.sql import Window
 
     n = Window.partitionBy(*group)
-    own = df.withColumn("_r", F.row_number().over(n.orderBy(value)) - 1).withColumn("_n", F.count("*").over(n))
-    return own.where(F.col("_r") == F.least(F.floor(p * F.col("_n")), F.col("_n") - 1)).select(*group, F.col(value).alias("value"))
+    counts = df.groupBy(*group, value).agg(F.count("*").alias("_c"))
+    own = counts.withColumn("_upto", F.sum("_c").over(n.orderBy(value))).withColumn("_n", F.sum("_c").over(n))
+    place = F.least(F.floor(p * F.col("_n")), F.col("_n") - 1)
+    return own.where((F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto"))).select(*group, F.col(value).alias("value"))
 
 
 def verdict(a, b, margin: float = 0.01) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +20,27 @@ GOLDEN_ITEM = T.StructType([T.StructField("file", T.StringType()), T.StructField
 GOLDEN = T.StructType([*(T.StructField(c, T.StringType()) for c in ("id", "query", "type")), T.StructField("relevant", T.ArrayType(GOLDEN_ITEM)), T.StructField("answer_files", T.ArrayType(T.StringType()))])
 
 
-def read_tree(spark: SparkSession, root: str, sources_only: bool = True, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path (below root), text, bytes, sha256 of every readable text file: not over most_bytes, valid UTF-8, no NUL, whole."""
+def tracked(spark: SparkSession, root: str) -> DataFrame | None:
+    """The paths below root that git has in its index (a local work tree, listed by the driver); None where git lists nothing."""
+    try:
+        said = subprocess.run(["git", "-C", root.removeprefix("file://"), "ls-files", "--cached", "-z"], capture_output=True, check=True)
+    except (OSError, subprocess.CalledProcessError):
+        return None
+    names = [x.decode("utf-8", "replace") for x in said.stdout.split(b"\0") if x]
+    return spark.createDataFrame([(x,) for x in names], "path string") if names else None
+
+
+def read_tree(spark: SparkSession, root: str, sources_only: bool = True, most_bytes: int = MOST_BYTES, listed: DataFrame | None = None) -> DataFrame:
+    """path (below root), text, bytes, sha256 of every readable text file: not over most_bytes, valid UTF-8, no NUL, whole.
+
+    listed (paths, as tracked gives them) keeps only those files; without it every file below root is taken.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:(//)?", ""), r"^/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
     out = files.where(F.col("length") <= most_bytes).select(path.alias("path"), F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     out = out.where(F.is_valid_utf8("text") & ~F.contains("text", F.lit("\0")))
+    out = out if listed is None else out.join(listed.select("path"), "path", "left_semi")
     return out.where(source_file("path")) if sources_only else out
 
 
