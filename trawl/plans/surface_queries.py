@@ -139,6 +139,11 @@ def session_selection(spark, sf):
     return one("odd").unionByName(one("even"))
 
 
+def _lists(rows, key, value, folder):
+    """Files of one JSON value each, which is their format, of a thousand ids at most."""
+    rows.groupBy(F.floor(F.col(key) / 1000).alias("block")).agg(value.alias("value")).write.partitionBy("block").text(folder)
+
+
 RECORDS = f"SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN {PATH} END AS p, CASE WHEN doc_id % 11 <> 0 THEN text ELSE '' END AS t FROM documents"
 
 
@@ -183,7 +188,7 @@ def golden_scan(spark, sf):
     i, folder = F.col("item_id"), _folder(spark, "golden")
     graded = F.array(F.struct(F.lit("c.py").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), F.lit(3).alias("grade")))
     item = F.struct(F.when(i % 2 == 0, i.cast("string")).alias("id"), F.col("text").alias("query"), F.when(i % 3 != 0, graded).alias("relevant"), F.when(i % 3 == 0, F.array(F.lit("a.py"), F.lit("b.py"))).alias("answer_files"))
-    load(spark, sf, "benchmark").agg(F.to_json(F.collect_list(item)).alias("value")).write.text(folder)  # one JSON list is the file's format
+    _lists(load(spark, sf, "benchmark"), "item_id", F.to_json(F.collect_list(item)), folder)
     g = files.read_golden(spark, folder)
     return g.select("id", "query", joined(F.transform("relevant", lambda x: x["file"])).alias("files"), F.aggregate("relevant", F.lit(0).cast("long"), lambda a, x: a + x["grade"]).alias("grades"))
 
@@ -195,7 +200,7 @@ def chunk_file_scan(spark, sf):
     d = with_path(load(spark, sf, "documents")).select("doc_id", F.col("path").alias("file_path"))
     lines, wrapped = f"{_folder(spark, 'chunks')}.jsonl", _folder(spark, "chunks")
     files.replace_json(d.where("doc_id % 2 = 0"), lines)
-    d.where("doc_id % 2 = 1").agg(F.to_json(F.struct(F.collect_list(F.struct("doc_id", "file_path")).alias("chunks"))).alias("value")).write.text(wrapped)  # so does this one hold one object
+    _lists(d.where("doc_id % 2 = 1"), "doc_id", F.to_json(F.struct(F.collect_list(F.struct("doc_id", "file_path")).alias("chunks"))), wrapped)
     return files.read_chunks(spark, lines, schema).unionByName(files.read_chunks(spark, wrapped, schema))
 
 
