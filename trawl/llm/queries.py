@@ -87,8 +87,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trawl.llm.manifest import ascii_lower, dataset_manifest
+
+    docs, columns = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return dataset_manifest(docs.select(*columns), columns, other={"text": ascii_lower(F.col("text"))}, when=tampered).drop("lang", "place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets, "op12_merkle_manifest": op12_merkle_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
