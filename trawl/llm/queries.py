@@ -87,6 +87,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
 
 
+def op11_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from trawl.llm.windows import pack_documents, piece_digest
+
+    return piece_digest(pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 0))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -98,7 +106,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets, "op12_merkle_manifest": op12_merkle_manifest}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets, "op11_window_packing": op11_window_packing, "op12_merkle_manifest": op12_merkle_manifest}
 
 
 def oracle_sql() -> dict[str, str]:
