@@ -105,8 +105,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(docs.select(*columns), columns, other={"text": ascii_lower(F.col("text"))}, when=tampered).drop("lang", "place")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trawl.llm.trie import prefix_trie
+
+    conv = F.col("grp")
+    shared = F.crc32(conv.cast("string").cast("binary")) % 6
+    return prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), conv - conv % 100, shared)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets, "op11_window_packing": op11_window_packing, "op12_merkle_manifest": op12_merkle_manifest}
+    return {"op1_sharding": op1_sharding, "op2_byte_bpe": op2_byte_bpe, "op3_token_packing": op3_token_packing, "op4_nearest": op4_nearest, "op5_mixing": op5_mixing, "op6_simhash": op6_simhash, "op7_toxicity": op7_toxicity, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_secrets": op10_secrets, "op11_window_packing": op11_window_packing, "op12_merkle_manifest": op12_merkle_manifest, "op13_prefix_trie": op13_prefix_trie}
 
 
 def oracle_sql() -> dict[str, str]:
