@@ -17,7 +17,8 @@ def test_oracle(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no test data")
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)

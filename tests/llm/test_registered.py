@@ -180,3 +180,45 @@ def test_op10(run, table):
         assert [s for s in spans if s[0] != "random"] == [t.split(":") for t in text.split(",") if t]
         keys = [(int(a), kinds.index(k)) for k, a, _ in spans]
         assert keys == sorted(keys)
+
+
+def test_op11(run, table):
+    from tokenizers import Tokenizer
+
+    docs, got = table("documents"), run("op11_window_packing")
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {i: g.sort_values("start") for i, g in got.groupby("doc_id")}
+    assert len(pieces) == len(docs)
+    for r in docs.itertuples():
+        ids, at = np.asarray([*tk.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4"), 0
+        for p in pieces[r.doc_id].itertuples():
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 1024 and (g.offset == g.length.cumsum() - g.length).all()
+    size = got.groupby("sequence_id").length.sum()
+    assert np.where(size & (size - 1) == 0, 0, 1024 - size).sum() < 0.03 * size.sum()
+
+
+def test_op12(run, table):
+    from trawl.llm import manifest
+
+    rows = table("documents").astype(object).where(lambda x: x.notna(), None).to_dict("records")
+
+    def tampered(r):
+        return r if zlib.crc32(str(r["doc_id"]).encode()) % 3 else r | {"text": r["text"] and "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"])}
+
+    want = manifest.brute_manifest(rows, ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+    got = run("op12_merkle_manifest")
+    assert {(g.doc_id, g.leaf): (g.subroot, g.root, g.proof_sha256, g.folded_root, g.verified) for g in got.itertuples()} == want and len(got) == len(rows)
+
+
+def test_op13(run, table):
+    from trawl.llm import trie
+
+    rows = [tuple(None if x is None or x != x else x for x in r) for r in table("conversations").itertuples(index=False)]
+    got = run("op13_prefix_trie").astype(object).where(lambda x: x.notna(), None)
+    cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    want = trie.brute_trie(rows, lambda c: (c - c % 100, zlib.crc32(str(c).encode()) % 6))
+    assert {tuple(None if x is None else x if isinstance(x, str) else int(x) for x in r) for r in got[cols].itertuples(index=False)} == want and len(got) == len(want)

@@ -1,4 +1,4 @@
-"""The contract queries that DuckDB's SQL can express: sharding, mixing and the removal of repeated bytes."""
+"""The contract queries that DuckDB's SQL can express: sharding, mixing, the removal of repeated bytes, manifests and tries."""
 
 from __future__ import annotations
 
@@ -99,5 +99,55 @@ def repeats() -> str:
  SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(unhex(kept), b)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
 
+#: The 256 entries of CRC-32's table, as a list.
+CRC_ENTRIES = f"""SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {CRC_POLYNOMIAL}::BIGINT) ELSE c >> 1 END, n::BIGINT) ORDER BY n) AS entries FROM range(256) t(n)"""
+
+
+def crc_of(value: str) -> str:
+    """CRC-32 of a text; entries must be at hand."""
+    taken = f"list_transform(regexp_extract_all(hex(encode({value})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce({taken}, lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def manifest() -> str:
+    """Trees by recursion over levels, each row's siblings by joins with the runs on its way, and the root folded again."""
+    value = lambda v: f"coalesce(octet_length(encode({v}))::VARCHAR || ':' || {v}, '-')"
+    head = " || ".join(map(value, ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR")))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, lang, sha256(head || {value('text')}) AS leaf, CASE WHEN crc % 3 = 0 THEN sha256(head || {value('lower_')}) END AS other
+  FROM (SELECT doc_id, lang, text, {lower} AS lower_, {head} AS head, {crc_of('doc_id::VARCHAR')} AS crc FROM documents CROSS JOIN ({CRC_ENTRIES}))),
+ e AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM d),
+ t(lang, l, i, h, n) AS (SELECT lang, 0, place, leaf, n FROM e UNION ALL SELECT lang, l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max((n + 7) // 8) FROM t WHERE n > 1 GROUP BY lang, l, i // 8),
+ s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM t WHERE n = 1),
+ u(l, i, h, n) AS (SELECT 0, place, subroot, count(*) OVER () FROM s UNION ALL SELECT l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max((n + 7) // 8) FROM u WHERE n > 1 GROUP BY l, i // 8),
+ own AS (SELECT lang, place, l, string_agg(h, '' ORDER BY i) FILTER (i < place >> 3 * l) AS before, string_agg(h, '' ORDER BY i) FILTER (i > place >> 3 * l) AS after
+  FROM (SELECT e.lang, e.place, t.l, t.i, t.h FROM e JOIN t ON e.lang IS NOT DISTINCT FROM t.lang AND t.n > 1 AND t.i // 8 = e.place >> 3 * (t.l + 1)) GROUP BY ALL),
+ up AS (SELECT lang, l, string_agg(h, '' ORDER BY i) FILTER (i < place >> 3 * l) AS before, string_agg(h, '' ORDER BY i) FILTER (i > place >> 3 * l) AS after
+  FROM (SELECT s.lang, s.place, u.l, u.i, u.h FROM s JOIN u ON u.n > 1 AND u.i // 8 = s.place >> 3 * (u.l + 1)) GROUP BY lang, place, l),
+ way AS (SELECT lang, place, coalesce(before, '') AS before, coalesce(after, '') AS after, row_number() OVER (PARTITION BY lang, place ORDER BY outer_, l) AS k
+  FROM (SELECT lang, place, 0 AS outer_, l, before, after FROM own UNION ALL SELECT e.lang, e.place, 1, l, before, after FROM e JOIN up ON e.lang IS NOT DISTINCT FROM up.lang)),
+ f(lang, place, k, x) AS (SELECT lang, place, 1, coalesce(other, leaf) FROM e UNION ALL SELECT f.lang, f.place, f.k + 1, sha256(before || x || after) FROM f JOIN way ON f.lang IS NOT DISTINCT FROM way.lang AND f.place = way.place AND f.k = way.k),
+ r AS (SELECT lang, place, arg_max(x, k) AS folded FROM f GROUP BY lang, place),
+ p AS (SELECT lang, place, string_agg(before || after, '' ORDER BY k) AS proof FROM way GROUP BY lang, place)
+ SELECT e.doc_id, e.leaf, s.subroot, u.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, r.folded AS folded_root, r.folded = u.h AS verified
+ FROM e JOIN s ON e.lang IS NOT DISTINCT FROM s.lang JOIN u ON u.n = 1 JOIN r ON e.lang IS NOT DISTINCT FROM r.lang AND e.place = r.place LEFT JOIN p ON e.lang IS NOT DISTINCT FROM p.lang AND e.place = p.place"""
+
+
+def trie() -> str:
+    """A prefix is named by all of its turns; a node's subtree are the nodes whose smallest member's way leads through it."""
+    return f"""WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+ b AS (SELECT DISTINCT c, {crc_of('c::VARCHAR')} % 6 AS h FROM o CROSS JOIN ({CRC_ENTRIES})),
+ r AS (SELECT b.c, role, text, 0 AS kind, place FROM b JOIN o ON o.c = b.c - b.c % 100 AND place < h UNION ALL SELECT b.c, role, text, 1, place FROM b JOIN o ON o.c = b.c AND place >= h),
+ q AS (SELECT c, text, octet_length(encode(role)) || ':' || role || text AS turn, row_number() OVER (PARTITION BY c ORDER BY kind, place) AS depth FROM r),
+ m AS (SELECT c, depth, length(text) AS chars, sha256(string_agg(sha256(turn), '' ORDER BY other)) AS node FROM (SELECT a.c, a.depth, a.text, z.turn, z.depth AS other FROM q a JOIN q z ON a.c = z.c AND z.depth <= a.depth) GROUP BY c, depth, text),
+ w AS (SELECT c, depth, chars, node, lag(node, 1, 'root') OVER (PARTITION BY c ORDER BY depth) AS parent FROM m UNION ALL SELECT c, 0, 0, 'root', NULL FROM b),
+ n AS (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM w GROUP BY node),
+ k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE parent IS NOT NULL GROUP BY parent),
+ g AS (SELECT w.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars)::BIGINT AS saved_tokens FROM n LEFT JOIN k USING (node) JOIN w ON w.c = n.conv_id AND w.depth <= n.depth GROUP BY w.node),
+ e AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM (SELECT c, arg_max(node, depth) AS node FROM w GROUP BY c) GROUP BY node)
+ SELECT n.conv_id, n.depth, z.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+ FROM n LEFT JOIN n z ON n.parent = z.node LEFT JOIN k ON n.node = k.node JOIN g ON n.node = g.node LEFT JOIN e ON n.node = e.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding(), "op5_mixing": mixing(), "op9_suffix_dedup": repeats()}
+    return {"op1_sharding": sharding(), "op5_mixing": mixing(), "op9_suffix_dedup": repeats(), "op12_merkle_manifest": manifest(), "op13_prefix_trie": trie()}

@@ -195,7 +195,7 @@ def pack_stream(chunks: Iterator[tuple[list, np.ndarray, np.ndarray]], encoder:
         at, cost = places(ids, ends, encoder, costs)
         cuts = at[cheapest(at, cost, length, costs.window)]
         if pending is not None:
-            final = int(np.searchsorted(cuts, max(0, len(ids) - 8 * length), "right"))
+            final = int(np.searchsorted(cuts, max(0, len(ids) - 32 * length), "right"))
             cuts = cuts[: max(1, final)]
         last = int(cuts[-1])
         if not last:
