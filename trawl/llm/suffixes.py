@@ -76,44 +76,47 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def anchors(raw: np.ndarray, first: Hasher, second: Hasher, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(k-gram hash, two context hashes, anchor, lo, hi) of each run of window starts that share an anchor."""
+def anchors(raw: np.ndarray, grams_of: Hasher, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(k-gram hash, two words of the context's digest, anchor, lo, hi) of each run of window starts that share an anchor."""
     n = len(raw)
     out = []
     span = (1 << _POS) - width
     for at in range(0, max(n - width + 1, 0), span):
         part = raw[at : at + span + width - 1]
-        p1, p2 = first.prefix(part), second.prefix(part)
         grams = np.arange(len(part) - gram + 1)
-        h = first.of(p1, grams, grams + gram)
+        h = grams_of.of(grams_of.prefix(part), grams, grams + gram)
         low = sliding_min((h >> np.uint64(_POS) << np.uint64(_POS)) | grams.astype(np.uint64), width - gram + 1)
         where = (low & np.uint64((1 << _POS) - 1)).astype(np.int64)
         lo = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         hi = np.append(lo[1:], len(where)) - 1
         p = where[lo]
-        out.append((h[p], *_context(first, second, p1, p2, p, lo, hi, width), p + at, lo + at, hi + at))
+        out.append((h[p], *_context(part, p, lo, hi, width), p + at, lo + at, hi + at))
     if not out:
         return tuple(np.zeros(0, np.uint64 if i < 3 else np.int64) for i in range(6))
     return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def _context(first: Hasher, second: Hasher, p1, p2, p, lo, hi, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each context and of where its anchor stands in it."""
-    place = ((p - lo) * (width + 1) + hi - lo).astype(np.uint64)
-    return first.of(p1, lo, hi + width) + place * np.uint64(0xD6E8FEB86659FD93), second.of(p2, lo, hi + width) ^ place
+def _context(raw: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the SHA-256 of each context's bytes, and of where its anchor stands in it.
+
+    What is equal here is removed unseen, so it must be a digest that no text can be made to deceive. (A k-gram's
+    hash may collide: it only says which strings are compared.)
+    """
+    view, sha = memoryview(np.ascontiguousarray(raw)), hashlib.sha256
+    digests = np.frombuffer(b"".join([sha(view[a:z]).digest()[:16] for a, z in zip(lo.tolist(), (hi + width).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    return digests[:, 0], digests[:, 1] ^ ((p - lo) * (width + 1) + hi - lo).astype(np.uint64)
 
 
-def bands_of(raw: np.ndarray, first: Hasher, second: Hasher, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, band: int, width: int) -> tuple[np.ndarray, ...]:
-    """Window starts lo..hi before anchors q, cut into bands of distances: (entry, hash of what a band's windows share, two context hashes, new anchor, lo, hi)."""
+def bands_of(raw: np.ndarray, grams_of: Hasher, q: np.ndarray, lo: np.ndarray, hi: np.ndarray, band: int, width: int) -> tuple[np.ndarray, ...]:
+    """Window starts lo..hi before anchors q, cut into bands of distances: (entry, hash of what a band's windows share, two words of the context's digest, new anchor, lo, hi)."""
     least, most = (q - hi) // band, (q - lo) // band
     n = most - least + 1
     entry = np.repeat(np.arange(len(q)), n)
     j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + least[entry]
     at = q[entry] - j * band
     start, end = np.maximum(lo[entry], at - band + 1), np.minimum(hi[entry], at)
-    p1, p2 = first.prefix(raw), second.prefix(raw)
-    shared = first.of(p1, at, at + width - band + 1) ^ np.uint64(band)
-    return entry, shared, *_context(first, second, p1, p2, at, start, end, width), at, start, end
+    shared = grams_of.of(grams_of.prefix(raw), at, at + width - band + 1) ^ np.uint64(band)
+    return entry, shared, *_context(raw, at, start, end, width), at, start, end
 
 
 def multikey_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,11 +237,11 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
 
     @lean
     def scan(batches):
-        first, second = Hasher(1), Hasher(2)
+        grams_of = Hasher(1)
         for b in batches:
             parts = []
             for i, (body, copies) in enumerate(zip(b.column("body").to_pylist(), b.column("copies").to_pylist(), strict=True)):
-                found = anchors(np.frombuffer(body, np.uint8), first, second, width, gram)
+                found = anchors(np.frombuffer(body, np.uint8), grams_of, width, gram)
                 if len(found[0]):
                     parts.append((*found, np.full(len(found[0]), i), np.full(len(found[0]), min(copies, 2))))
             if parts:
@@ -247,11 +250,11 @@ def find_repeats(texts: DataFrame, width: int = WIDTH, gram: int = GRAM, most: i
 
     def cut(band):
         def run(batches):
-            first, second = Hasher(1), Hasher(2)
+            grams_of = Hasher(1)
             for b in batches:
                 for tid, body, xs in zip(b.column("tid").to_pylist(), b.column("body").to_pylist(), b.column("asked").to_pylist(), strict=True):
                     q, lo, hi = _places(np.asarray([x["loc"] for x in xs]))
-                    entry, *cols = bands_of(np.frombuffer(body, np.uint8), first, second, q, lo, hi, band, width)
+                    entry, *cols = bands_of(np.frombuffer(body, np.uint8), grams_of, q, lo, hi, band, width)
                     weight = np.asarray([x["weight"] for x in xs])[entry]
                     for i in range(0, len(entry), 65536):
                         own = [c[i : i + 65536] for c in (*cols, weight)]
@@ -335,7 +338,7 @@ def distinct_texts(docs: DataFrame, text_col: str, least: int) -> DataFrame:
     """tid, body and copies of the texts of least bytes or more, bucketed by tid in the shared folder, so that later joins move no text."""
     spark = docs.sparkSession
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    rows = docs.select(F.unhex(F.md5(body)).alias("tid"), body.alias("body")).where(F.octet_length("body") >= least)
+    rows = docs.select(F.unhex(F.sha2(body, 256)).alias("tid"), body.alias("body")).where(F.octet_length("body") >= least)
     name, path = f"trawl_texts_{uuid.uuid4().hex}", fresh_path(spark, "texts")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = rows.groupBy("tid").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
@@ -370,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     full = texts.where("copies > 1").select("tid", F.octet_length("body").cast("long").alias("removed"), F.lit(1).cast("long").alias("spans"), F.lit(nothing).alias("kept"))
     results = written(parts.unionByName(full), "repeats").withColumnRenamed("tid", "t")
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    own = docs.select(F.col(id_col), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.md5(body)).alias("tid"), F.sha2(body, 256).alias("sha"))
+    own = docs.select(F.col(id_col), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("tid"), F.sha2(body, 256).alias("sha"))
     joined = own.join(results, F.col("tid") == F.col("t"), "left")
     zero = F.lit(0).cast("long")
     return joined.select(id_col, "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"))
