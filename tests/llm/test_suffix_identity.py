@@ -12,7 +12,7 @@ def thue_morse(n, a, b):
 def test_texts_that_powers_modulo_two_to_the_64_confuse(spark):
     p, q = thue_morse(256, "!", "("), thue_morse(256, "(", "!")
     middle = "bhdxmvrqasjaahqwumiulxagtxngxoqybezrtiubdmdbptpedwpifbdrocfkoyrf"
-    texts = [p + middle + q, q + middle + p, p + q + middle, p * 2 + q * 2]
+    texts = [p + middle + q, q + middle + p]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df).collect()}
     assert got == {i: (0, 0, hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts)}
