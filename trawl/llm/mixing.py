@@ -9,7 +9,6 @@ order, the last of them in part.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -39,52 +38,106 @@ def water_fill(sizes: list[float], weights: list[float], total: float, cap: floa
         for i in over:
             target[i] = float(cap * sizes[i])
         left -= sum(target[i] for i in over)
-        free = [i for i in free if i not in set(over)]
+        full = set(over)
+        free = [i for i in free if i not in full]
     return target
 
 
+def _layers(room: list[int], members: list[tuple[int, ...]], users: list[dict[int, int]], left: list[int]) -> tuple[dict[int, int], dict[int, int], bool]:
+    """How far patterns and sources are from words that are still to be sent, and whether a source with room is among them."""
+    patterns = {i: 0 for i, r in enumerate(room) if r > 0}
+    sources: dict[int, int] = {}
+    frontier, depth = list(patterns), 0
+    while frontier:
+        new = []
+        for i in frontier:
+            for j in members[i]:
+                if j not in sources:
+                    sources[j] = depth
+                    new.append(j)
+        if any(left[j] > 0 for j in new):
+            return patterns, sources, True
+        frontier, depth = [], depth + 1
+        for j in new:
+            for i in users[j]:
+                if i not in patterns:
+                    patterns[i] = depth
+                    frontier.append(i)
+    return patterns, sources, False
+
+
+def _block(room: list[int], members: list[tuple[int, ...]], users: list[dict[int, int]], left: list[int], patterns: dict[int, int], sources: dict[int, int]) -> None:
+    """A blocking flow along the layers: words go from patterns with room to sources, which may hand a pattern's earlier words on."""
+    arcs = {i: iter([j for j in members[i] if sources.get(j) == d]) for i, d in patterns.items()}
+    backs = {j: iter([i for i in users[j] if patterns.get(i) == d + 1]) for j, d in sources.items()}
+    head, tail = {i: next(a, None) for i, a in arcs.items()}, {j: next(b, None) for j, b in backs.items()}
+    for start in [i for i, d in patterns.items() if not d]:
+        while room[start] > 0:
+            way, i = [], start  # (pattern, source it sends to) so far
+            while True:
+                j = head[i]
+                if j is None:
+                    if not way:
+                        break
+                    _, j = way.pop()  # what j would hand on from i has no way
+                    tail[j] = next(backs[j], None)
+                    i = way[-1][0] if way else start
+                    if way and way[-1][1] == j:
+                        way.pop()
+                    continue
+                if left[j] > 0:
+                    way.append((i, j))
+                    break
+                back = tail[j]
+                if back is None:
+                    head[i] = next(arcs[i], None)
+                elif not users[j].get(back):
+                    tail[j] = next(backs[j], None)
+                else:
+                    way.append((i, j))
+                    i = back
+            if not way:
+                break
+            push = min(room[start], left[way[-1][1]], *(users[way[k][1]][way[k + 1][0]] for k in range(len(way) - 1)))
+            for k, (a, j) in enumerate(way):
+                users[j][a] = users[j].get(a, 0) + push
+                if k + 1 < len(way):
+                    users[j][way[k + 1][0]] -= push
+            room[start] -= push
+            left[way[-1][1]] -= push
+
+
 def min_cost_flow(capacity: list[int], members: list[tuple[int, ...]], quota: list[int], passes: int = 3) -> list[int]:
-    """Words that each pattern sends. Successive shortest paths with potentials; arcs from a pattern cost 0, 1, ... a pass."""
-    p, s = len(capacity), len(quota)
-    source, sink = p + s, p + s + 1
-    graph: list[list[list]] = [[] for _ in range(p + s + 2)]
-
-    def arc(a: int, b: int, room: int, cost: int) -> None:
-        graph[a].append([b, room, cost, len(graph[b])])
-        graph[b].append([a, 0, -cost, len(graph[a]) - 1])
-
-    for i in range(p):
-        for k in range(passes):
-            arc(source, i, capacity[i], k)
-        for j in members[i]:
-            arc(i, p + j, passes * capacity[i], 0)
-    for j in range(s):
-        arc(p + j, sink, quota[j], 0)
-    potential = [0] * len(graph)
-    while True:
-        far = [math.inf] * len(graph)
-        far[source], came, heap = 0, {}, [(0, source)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for k, (b, room, cost, _) in enumerate(graph[a]):
-                if room > 0 and (e := d + cost + potential[a] - potential[b]) < far[b]:
-                    far[b], came[b] = e, (a, k)
-                    heapq.heappush(heap, (e, b))
-        if far[sink] == math.inf:
-            break
-        potential = [x + (y if y < math.inf else far[sink]) for x, y in zip(potential, far, strict=True)]
-        path, b = [], sink
-        while b != source:
-            a, k = came[b]
-            path.append(graph[a][k])
-            b = a
-        push = min(x[1] for x in path)
-        for x in path:
-            x[1] -= push
-            graph[x[0]][x[3]][1] += push
-    return [sum(graph[x[0]][x[3]][1] for x in graph[source] if x[0] == i) for i in range(p)]
+    """Words that each pattern sends; its k-th pass over its documents costs k a word (0 for the first).
+
+    Only the arcs into patterns cost, so a shortest path costs what the pass of its first arc does: all of a pass is
+    sent before any of the next, each by a maximum flow in blocking flows (patterns to sources, and back where a
+    source hands on). Patterns of the same members share what theirs sends, in proportion to their words.
+    """
+    groups: dict[tuple[int, ...], list[int]] = {}
+    for i, m in enumerate(members):
+        groups.setdefault(tuple(sorted(m)), []).append(i)
+    kinds = list(groups)
+    words = [sum(capacity[i] for i in groups[m]) for m in kinds]
+    users: list[dict[int, int]] = [{} for _ in quota]
+    left, sent = list(quota), [0] * len(kinds)
+    for _ in range(passes):
+        room = list(words)
+        while True:
+            patterns, sources, found = _layers(room, kinds, users, left)
+            if not found:
+                break
+            _block(room, kinds, users, left, patterns, sources)
+            users = [{i: f for i, f in u.items() if f} for u in users]
+        sent = [x + w - r for x, w, r in zip(sent, words, room, strict=True)]
+    out = [0] * len(capacity)
+    for m, total, n in zip(kinds, sent, words, strict=True):
+        seen = 0
+        for i in groups[m]:
+            before, seen = seen, seen + capacity[i]
+            # whole passes for all, then what is left by their words
+            out[i] = total // n * capacity[i] + (total % n * seen // n - total % n * before // n) if n else 0
+    return out
 
 
 def word_count(text: Column) -> Column:

@@ -27,6 +27,52 @@ ACCESS, HEX, CANDIDATE = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}", r"[A-Za-z0-9+/_
 TEXT_CHANGE, TEXT_COLLISION = 0.08, 0.075
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "lower": "abcdefghijklmnopqrstuvwxyz", "alnum": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 BINS = 400
+#: Matches of one text that are counted off together, in groups of groups.
+SIZES = (4096, 64)
+
+
+def _let(value: Column, body) -> Column:
+    """body of value, which is computed once: a lambda's variable holds it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _groups(values: Column, size: int) -> Column:
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / size).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda g: F.slice(values, g * size + 1, F.lit(size)))
+
+
+def _before(values: Column, op, sizes: tuple[int, ...] = SIZES) -> Column:
+    """For each place of an array of ints, op (a sum or a maximum, from 0) over what stands before it.
+
+    A fold that gathers an array copies it at each step, so only the last of sizes, and the groups' totals, are folded.
+    """
+    zero = F.lit(0)
+    if not sizes:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def run(v):
+        inner = F.transform(_groups(v, sizes[0]), lambda g: F.struct(_before(g, op, sizes[1:]).alias("own"), F.aggregate(g, zero, op).alias("total")))
+        bases = lambda i: _before(F.transform(i, lambda x: x["total"]), op, ())
+        return _let(inner, lambda i: F.flatten(F.zip_with(i, bases(i), lambda x, base: F.transform(x["own"], lambda y: op(base, y)))))
+
+    return _let(values, run)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _cut(text: Column, base: Column, cuts: Column, sizes: tuple[int, ...] = SIZES) -> Column:
+    """The parts from..to of text, whose first character is at base. A part is counted off from the start of its group's text."""
+    if not sizes:
+        return F.transform(cuts, lambda c: F.substring(text, c["from"] - base + 1, c["to"] - c["from"]))
+
+    def one(g):
+        first, last = g[0]["from"], F.element_at(g, -1)["to"]
+        return F.struct(F.substring(text, first - base + 1, last - first).alias("text"), first.alias("base"), g.alias("cuts"))
+
+    return F.flatten(F.transform(F.transform(_groups(cuts, sizes[0]), one), lambda b: _cut(b["text"], b["base"], b["cuts"], sizes[1:])))
 
 
 def _positions(text: Column, pattern: str, hint: Column, keep=None) -> Column:
@@ -37,17 +83,14 @@ def _positions(text: Column, pattern: str, hint: Column, keep=None) -> Column:
     groups = r"\G(?s:(.*?))(" + pattern + ")"
     gaps, hits = (F.regexp_extract_all(text, F.lit(groups), F.lit(i)) for i in (1, 2))
     none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    found = F.zip_with(gaps, hits, lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("size"), b.alias("hit")))
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["0"])
-        end = begin + F.length(x["1"])
-        one = F.struct(begin.alias("start"), end.alias("end"), x["1"].alias("hit"))
-        more = F.concat(acc["out"], F.array(one))
-        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(x["1"]), more).otherwise(acc["out"])).alias("out"))
+    def placed(f):
+        before = _before(F.transform(f, lambda x: x["gap"] + x["size"]), _sum)
+        return F.zip_with(f, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"), x["hit"].alias("hit")))
 
-    zipped = F.zip_with(gaps, hits, lambda a, b: F.struct(a.alias("0"), b.alias("1")))
-    return F.when(hint, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(none)
+    out = _let(found, placed)
+    return F.when(hint, out if keep is None else F.filter(out, lambda x: keep(x["hit"]))).otherwise(none)
 
 
 def _encoding(s: Column) -> Column:
@@ -188,15 +231,14 @@ def secret_digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The text without its secrets: each run of overlapping spans becomes mark."""
+    """The text without its secrets: each run of overlapping spans becomes mark. A null text, or one without spans, stays."""
     text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc, x):
-        fresh = x["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def clean(spans):
+        seen = _before(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        runs = F.filter(F.zip_with(spans, seen, lambda x, at: F.struct(at.alias("from"), x["start"].alias("to"))), lambda c: c["to"] >= c["from"])
+        end = F.aggregate(spans, F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+        rest = lambda z: F.struct(z.alias("from"), F.greatest(z, F.length(text)).alias("to"))
+        return F.array_join(_let(F.concat(runs, F.array(_let(end, rest))), lambda cuts: _cut(text, F.lit(0), cuts)), mark)
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(text)
-    return scanned.withColumn(text_col, clean)
+    return scanned.withColumn(text_col, F.when(F.size("secrets") > 0, clean(F.col("secrets"))).otherwise(text))
