@@ -56,3 +56,12 @@ def test_four_megabytes_take_about_four_times_one(spark):
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     small, large = seconds(16_000), seconds(64_000)
     assert large < 8 * small + 5
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["doc_id", "text", "__base__", "__tokens__", "__kept__", "a.b", "__text__", "hit", "secrets"]
+    df = spark.createDataFrame([(1, "password=hunter22", "b", "t", "k", "dot", "x", "h", "old")], names)
+    got = secrets.scan_secrets(df)
+    assert got.columns == names[:-1] + ["secrets"]
+    r = got.first()
+    assert list(r)[:-1] == [1, "password=hunter22", "b", "t", "k", "dot", "x", "h"] and [(s.start, s.end) for s in r.secrets] == [(0, 17)]

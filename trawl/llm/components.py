@@ -29,8 +29,10 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         new = written(small.union(loops), "edges")
         count = new.where("u < v").select(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         old = held.where("u < v").select(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        held = new
-        if count == old:
+        # Equal sums may be chance; that no edge is new is not.
+        if count == old and new.where("u < v").exceptAll(held.where("u < v")).isEmpty():
+            held = new
             break
+        held = new
     pairs = held.select(F.col("v").alias("node"), F.col("u").alias("root")).union(held.select(F.col("u"), F.col("u")))
     return pairs.groupBy("node").agg(F.min("root").alias("root"))

@@ -205,17 +205,20 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     Kind counts into KINDS; start and end are code points, end exclusive. A random run that a base span holds is
     not listed again. Nulls: a null text counts as empty and has no spans. Each row is scanned on its own, whole;
-    repeated rows get the same spans, an empty table gives no rows. Columns of any other name are carried.
+    repeated rows get the same spans, an empty table gives no rows. Columns of any other name are carried,
+    whatever it is; one called secrets gives way.
     """
     keep = carried(docs, keep, ("secrets",))
-    scanned = _scanned(docs.select(*keep, *([] if text_col in keep else [text_col])), text_col)
-    held = written(scanned.select(*keep, "__base__", "__tested__"), "secrets")
+    # The caller's columns travel in one struct, so no name of theirs meets one of these.
+    own = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(0)
+    held = written(_scanned(docs.select(own.alias("__kept__"), F.col(f"`{text_col}`").alias("__text__")), "__text__").drop("__text__"), "secrets")
     limits = _limits(held, q).agg(F.map_from_entries(F.collect_list(F.struct("length_class", "least"))).alias("__limits__"))  # one row
     judged = held.join(F.broadcast(limits), F.lit(True), "left")
     passed = F.filter("__tested__", lambda t: t["plausible"] & (t["bin"] >= F.coalesce(F.try_element_at("__limits__", t["length_class"]), F.lit(BINS + 1))))
     free = F.filter(passed, lambda t: ~F.exists("__base__", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
     extra = F.transform(free, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return judged.select(*keep, F.array_sort(F.concat("__base__", extra)).alias("secrets"))
+    found = judged.select("__kept__", F.array_sort(F.concat("__base__", extra)).alias("__secrets__"))
+    return found.select(*(F.col("__kept__").getField(c).alias(c) for c in keep), F.col("__secrets__").alias("secrets"))
 
 
 def spans_text(spans: Column) -> Column:
