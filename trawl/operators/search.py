@@ -9,9 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from trawl.functions.paths import confidence, path_penalty
+from trawl.operators.dense import dense_top_k  # noqa: F401  the first of the searches
 from trawl.operators.lexical import top_k
 
 RRF_K, CANDIDATES = 60, 40
@@ -19,67 +19,6 @@ RRF_K, CANDIDATES = 60, 40
 BOOSTS = {"exact_symbol": 0.35, "signature": 0.20, "path_token": 0.15, "lexical_content": 0.08}
 
 
-def dense_top_k(queries: DataFrame, index: DataFrame, query_id: str, vec_id: str, vec: str, query_vec: str, k: int = 10, block: int = 4096) -> DataFrame:
-    """The k nearest of index by cosine for each query, ties to the smaller id, exactly: the stated queries against all rows.
-
-    Queries come in blocks, each of which goes to every task; a batch of rows meets a block in one matrix product and
-    leaves k rows (and ties) of each query. Vectors that are null, zero or of another dimension than the query match nothing.
-    """
-    spark = index.sparkSession
-    kinds = [(c, d.schema[c].dataType.simpleString()) for c, d in ((query_id, queries), (vec_id, index))]
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds) + ", score double"
-    asked = queries.select(query_id, F.transform(query_vec, lambda x: x.cast("double")).alias("_q"))
-    rows = index.select(vec_id, F.transform(vec, lambda x: x.cast("double")).alias("_v")).where(F.size("_v") > 0)
-    found = []
-
-    def search(held):
-        ids, unit = held
-
-        def run(batches):
-            for b in batches:
-                flat = b.column("_v").flatten().to_numpy(zero_copy_only=False)
-                n = np.diff(b.column("_v").offsets.to_numpy())
-                for dim, (own, q) in ((d, u) for d, u in unit.items() if (n == d).any()):
-                    at = np.flatnonzero(n == dim)
-                    x = flat[np.repeat(n == dim, n)].reshape(-1, dim)
-                    size = np.sqrt((x * x).sum(1))
-                    good = np.flatnonzero(size > 0)
-                    if not len(good):
-                        continue
-                    s = np.round(q @ (x[good] / size[good, None]).T, 6)
-                    m = min(k, s.shape[1])
-                    i, j = np.nonzero(s >= -np.partition(-s, m - 1, axis=1)[:, m - 1 : m])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own[i])), b.column(vec_id).take(pa.array(at[good[j]])), pa.array(s[i, j])], [query_id, vec_id, "score"])
-
-        return run
-
-    for part in _in_blocks(asked, block):
-        vectors = [np.asarray(v or [], float) for v in part.column("_q").to_pylist()]
-        unit = {}
-        for d in {len(v) for v in vectors} - {0}:
-            own = np.asarray([i for i, v in enumerate(vectors) if len(v) == d and np.any(v)])
-            if len(own):
-                q = np.stack([vectors[i] for i in own])
-                unit[d] = own, q / np.sqrt((q * q).sum(1))[:, None]
-        found.append(rows.mapInArrow(search((part.column(query_id).combine_chunks(), unit)), schema))
-    if not found:
-        return spark.createDataFrame([], schema + ", rank int")
-    return top_k(reduce(DataFrame.unionByName, found), query_id, [F.desc("score"), F.col(vec_id)], k)
-
-
-def _in_blocks(df: DataFrame, block: int):
-    """df's rows as Arrow tables of block rows at most, of which the driver holds one at a time."""
-    rows, held = df.toLocalIterator(), []
-    schema = to_arrow_schema(df.schema)
-    for r in rows:
-        held.append(r.asDict())
-        if len(held) == block:
-            yield pa.Table.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.Table.from_pylist(held, schema)
-
-
 def hydrate(hits: DataFrame, chunks: DataFrame, hit_id: str, chunk_id: str, active: Column | None = None) -> DataFrame:
     """Hits with their chunk. Inactive ones go after the cut at k, so fewer than k may stay, as a lookup per hit would leave."""
     kept = chunks.where(active) if active is not None else chunks

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trawl.operators import inverted, lexical
+from trawl.operators import dense, inverted, lexical
 from trawl.plans import text_queries  # noqa: F401  its oracles are used here
 from trawl.plans.registry import ORACLES, load, query, with_path
+from trawl.plans.search_queries import queries_of
 
 
 def _words(c):
@@ -43,3 +44,13 @@ def indexed_fields_topk(spark, sf):
     """Path, symbols and body, weighted, from an index of all three."""
     more = F.when(F.col("item_id") % 3 == 0, "en").when(F.col("item_id") % 3 == 1, "tests").otherwise("py")
     return inverted.prefix_search(_asked(spark, sf, more), fields_index(spark, sf), "item_id", 5)
+
+
+def codes_index(spark, sf):
+    return dense.kept(spark, f"{sf}/codes", lambda: load(spark, sf, "embeddings"), "vec_id", "embedding")
+
+
+@query("quantised_topk")
+def quantised_topk(spark, sf):
+    """dense_topk from product-quantised codes and an exact scoring of a shortlist; approximate, so it has no SQL: its recall is tested."""
+    return dense.quantised_top_k(queries_of(spark, sf), codes_index(spark, sf), "query_id", "query_vec")
