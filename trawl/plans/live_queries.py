@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from trawl.plans.index_queries import _stream
+from trawl.plans.index_queries import _snapshots, _stream
 from trawl.plans.registry import ORACLES, query
+from trawl.sources.files import fresh_folder
+from trawl.sources.merging import MergeTable
 from trawl.streaming import timers, watch
 
 
@@ -26,3 +30,13 @@ def dedupe_timers(spark, sf):
     with timers.rocks(spark):
         out = watch.to_table(timers.once_within(own, ["user_id", "event_type"], "ts", 6 * 3600, "1 hour"), f"{folder}/out", f"{folder}/checkpoint")
     return out.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("merge_on_read", ORACLES["upsert_latest"])
+def merge_on_read(spark, sf):
+    """upsert_latest from a base and a delta: the old rows are not written again."""
+    old, new = _snapshots(spark, sf)
+    own = lambda df, name: df.withColumn("origin", F.lit(name)).select("doc_id", "start_line", "origin")
+    table = MergeTable.create(own(old, "old"), fresh_folder(spark, f"merging-{uuid.uuid4().hex}"), "doc_id", "start_line", 8)
+    table.upsert(own(new, "new"))
+    return table.read().select("doc_id", "origin")
