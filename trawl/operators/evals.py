@@ -117,3 +117,25 @@ def verdict(a, b, margin: float = 0.01) -> Column:
 
 def identifier_hits(question, identifiers) -> Column:
     return F.size(F.filter(F.col(identifiers), lambda i: F.contains(F.col(question), i)))
+
+
+def holders(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str, text: str = "text") -> DataFrame:
+    """item and document of every document that holds an item's whole text, case and white space as they stand.
+
+    The text's inner words (white space on both sides) are words of any document that holds it; the one that fewest
+    documents have proposes them, by ids alone, and only then do the two texts meet. Texts without an inner word are
+    proposed by their first three characters. Null and empty texts are held by none.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    some = items.where(F.length(text) > 0).select(item_id, F.col(text).alias("_item"), split(F.col(text)).alias("_w"))
+    inner = F.array_distinct(F.slice("_w", 2, F.greatest(F.size("_w") - 2, F.lit(0))))
+    keys = some.select(item_id, F.explode(inner).alias("_key"))
+    words = docs.select(doc_id, F.explode(F.array_distinct(split(F.col(text)))).alias("_key")).join(keys.select("_key").distinct(), "_key", "left_semi")
+    rare = keys.join(words.groupBy("_key").agg(F.count("*").alias("_n")), "_key", "left").groupBy(item_id).agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), "_key")).alias("_key"))
+    bare = some.where(F.size("_w") < 3).select(item_id, F.left("_item", F.lit(3)).alias("_key"))
+    chars = docs.select(doc_id, F.split(text, "").alias("_c"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_c") - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("_c") - i)), lambda n: F.array_join(F.slice("_c", i + 1, n), ""))))
+    parts = chars.where(F.size("_c") > 0).join(F.broadcast(bare.agg(F.count("*").alias("_bare")).where("_bare > 0")), F.lit(True)).select(doc_id, F.explode(F.array_distinct(grams)).alias("_key"))  # nothing, where no item is bare
+    proposed = rare.join(words, "_key").select(item_id, doc_id).unionByName(bare.join(parts, "_key").select(item_id, doc_id))
+    both = proposed.join(some.select(item_id, "_item"), item_id).join(docs.select(doc_id, F.col(text).alias("_doc")), doc_id)
+    return both.where(F.contains("_doc", F.col("_item"))).select(item_id, doc_id)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions import text
-from trawl.operators import evals, lexical, search
+from trawl.operators import evals, lexical, search, tuning
 from trawl.plans.catalog import Catalog, Codebase
 from trawl.plans.registry import PATH, joined, load, query, with_path
 from trawl.plans.text_queries import BM25, TOKENS, WORDS
@@ -220,23 +220,13 @@ def publication_cutover(spark, sf):
     return search.routed(hits, pointer, "source").select("query_id", "vec_id", "rank", "active_run")
 
 
-#: A golden document for each benchmark text: those that hold its first 40 characters; the grade is their quality plus one.
-GOLD = "gold AS (SELECT item_id, doc_id, coalesce(quality, 0) + 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 40)) LEFT JOIN labels USING (doc_id))"
+#: A golden document for each benchmark text: those that hold it; the grade is their quality plus one.
+GOLD = "gold AS (SELECT item_id, doc_id, coalesce(quality, 0) + 1 AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels USING (doc_id))"
 
 
 def golden(spark, sf):
-    """A text's longest whole word finds the documents that may hold its head, the head decides; heads without one look at all."""
-    b = load(spark, sf, "benchmark").select("item_id", F.left("text", F.lit(40)).alias("head"))
-    d, w = load(spark, sf, "documents").select("doc_id", "text"), load(spark, sf, "labels")
-    inner = F.filter(F.split("head", r"\s+"), lambda x: x != "")
-    inner = F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))  # the first and the last may go on outside
-    keyed = b.withColumn("key", F.array_max(F.transform(inner, lambda x: F.struct(F.length(x), x.alias("word"))))["word"])
-    words = d.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("key"))
-    held = words.join(keyed.where("key IS NOT NULL"), "key").where(F.contains("text", F.col("head"))).select("item_id", "doc_id")
-    bare = keyed.where("key IS NULL").select(F.col("item_id").alias("_item"), "head")
-    short = d.join(F.broadcast(bare.agg(F.collect_list(F.struct("_item", "head")).alias("_heads"))), F.lit(True))  # one row; heads of under three words
-    short = short.select("doc_id", "text", F.explode("_heads").alias("h")).where(F.contains("text", F.col("h.head"))).select(F.col("h._item").alias("item_id"), "doc_id")
-    return held.unionByName(short).join(w, "doc_id", "left").select("item_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).alias("grade"))
+    held = evals.holders(load(spark, sf, "benchmark"), load(spark, sf, "documents"), "item_id", "doc_id")
+    return held.join(load(spark, sf, "labels"), "doc_id", "left").select("item_id", "doc_id", (F.coalesce("quality", F.lit(0)) + 1).alias("grade"))
 
 
 MRR = f"WITH a AS ({BM}), {GOLD}, h AS (SELECT a.item_id, a.rank, g.doc_id IS NOT NULL AS hit FROM a LEFT JOIN gold g ON g.item_id = a.item_id AND g.doc_id = a.doc_id) SELECT item_id, max(CASE WHEN hit THEN 1 ELSE 0 END)::INT AS success, round(coalesce(1.0::DOUBLE / min(CASE WHEN hit THEN rank END), 0), 6) AS mrr FROM h GROUP BY 1"
@@ -323,3 +313,65 @@ def identifier_hits(spark, sf):
     c = load(spark, sf, "conversations")
     i = c.where("turn = 0").select("conv_id", F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z_]{5,})"), F.lit(1))).alias("ids"))
     return c.join(i, "conv_id").select("conv_id", "turn", evals.identifier_hits("text", "ids").alias("hits"))
+
+
+#: The form of a query, as tuning.query_type has it.
+TYPES = r"""CASE WHEN regexp_matches(t, '(^|\s)[\w.-]*/[\w./-]+(\s|$)') OR (n = 1 AND regexp_matches(t, '^[\w-]+(\.[a-z]{2,5})+$')) THEN 'path'
+ WHEN n = 1 AND (regexp_matches(t, '[a-z][A-Z0-9]') OR regexp_matches(t, '\w_\w') OR regexp_matches(t, '\w(\.|::)\w') OR regexp_matches(t, '\w\(.*\)$')) THEN 'symbol'
+ WHEN regexp_matches(t, '(?i)\b(error|exception|traceback|failed|fatal|undefined|cannot)\b') OR regexp_matches(t, '\b0x[0-9a-fA-F]{4,}\b') THEN 'error'
+ WHEN regexp_replace(lower(ws[1]), '[^a-z]', '', 'g') IN ('how', 'what', 'where', 'when', 'why', 'which', 'who', 'does', 'do', 'is', 'are', 'can', 'should') OR ends_with(t, '?') THEN 'question'
+ WHEN n <= 3 THEN 'keywords' ELSE 'prose' END"""
+ASKED = r"""(SELECT item_id, CASE item_id % 7 WHEN 0 THEN w[1] WHEN 1 THEN concat('src/', w[1], '/', w[2], '.py') WHEN 2 THEN concat('how ', text) WHEN 3 THEN concat(w[1], '_', w[2]) WHEN 4 THEN concat(w[1], ' ', w[2]) WHEN 5 THEN concat(text, ' failed') ELSE text END AS asked
+ FROM (SELECT item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM benchmark))"""
+TYPED = rf"SELECT item_id, {TYPES} AS type FROM (SELECT *, len(ws) AS n FROM (SELECT item_id, trim(asked) AS t, list_filter(regexp_split_to_array(trim(asked), '\s+'), lambda x: x <> '') AS ws FROM {ASKED}))"
+
+
+def typed(spark, sf):
+    """A form for each benchmark text, in turn: a word, a path, a question, a symbol, two words, an error, the text itself."""
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    word = lambda i: F.coalesce(F.try_element_at(w, F.lit(i)), F.lit(""))
+    forms = [word(1), F.concat(F.lit("src/"), word(1), F.lit("/"), word(2), F.lit(".py")), F.concat(F.lit("how "), "text"), F.concat(word(1), F.lit("_"), word(2)), F.concat(word(1), F.lit(" "), word(2)), F.concat("text", F.lit(" failed")), F.col("text")]
+    asked = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        asked = F.when(F.col("item_id") % 7 == i, form).otherwise(asked)
+    return load(spark, sf, "benchmark").select("item_id", tuning.query_type(asked).alias("type"))
+
+
+@query("query_types", TYPED)
+def query_types(spark, sf):
+    return typed(spark, sf)
+
+
+GRID = f"""{BOTH}, {GOLD}, c AS (SELECT k, w FROM (SELECT unnest([5, 10, 20, 30, 60]) AS k) CROSS JOIN (SELECT unnest([0.8, 1.0, 1.5, 2.0])::DOUBLE AS w)),
+ j AS (SELECT item_id, doc_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b USING (item_id, doc_id)),
+ f AS (SELECT item_id, doc_id, k, w, coalesce(grade, 0) AS grade, round(coalesce(w / (k + ra), 0::DOUBLE) + coalesce(1::DOUBLE / (k + rb), 0::DOUBLE), 8) AS score FROM j LEFT JOIN gold USING (item_id, doc_id) CROSS JOIN c),
+ r AS (SELECT *, row_number() OVER (PARTITION BY item_id, k, w ORDER BY score DESC, doc_id) AS r FROM f),
+ g AS (SELECT item_id, k, w, sum((pow(2, grade) - 1) / log2(r + 1)) AS got FROM r WHERE r <= 10 GROUP BY ALL),
+ i AS (SELECT item_id, sum((pow(2, grade) - 1) / log2(r + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY grade DESC, doc_id) AS r FROM gold) WHERE r <= 10 GROUP BY 1),
+ s AS (SELECT i.item_id, c.k, c.w, round(coalesce(got, 0) / ideal, 6) AS ndcg FROM i CROSS JOIN c LEFT JOIN g ON g.item_id = i.item_id AND g.k = c.k AND g.w = c.w),
+ y AS ({TYPED}), z AS (SELECT type, k, w, count(*) AS n, round(avg(ndcg), 6) AS ndcg FROM s JOIN y USING (item_id) GROUP BY ALL)"""
+
+
+def _tuned(spark, sf):
+    scores = tuning.grid_ndcg(words_hits(spark, sf), shape_hits(spark, sf), golden(spark, sf), "item_id", "doc_id")
+    return tuning.by_type(scores, typed(spark, sf), "item_id")
+
+
+@query("fusion_grid", f"WITH {GRID} SELECT type, k, w, n, ndcg FROM z")
+def fusion_grid(spark, sf):
+    """A row for each cell of the grid and type of query: the mean nDCG of the fused word and sparse lists."""
+    return _tuned(spark, sf)
+
+
+@query(
+    "fusion_routed",
+    f"""WITH {GRID}, o AS (SELECT type, k, w FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ndcg DESC, k DESC, abs(w - 1), w) AS n1 FROM z) WHERE n1 = 1),
+ u AS (SELECT item_id, doc_id, rank, true AS words FROM a UNION ALL SELECT item_id, doc_id, rank, false FROM b),
+ h AS (SELECT item_id, doc_id, type, round(sum(CASE WHEN words THEN coalesce(w, 1) ELSE 1 END / (coalesce(k, 60) + rank)), 8) AS score FROM u JOIN y USING (item_id) LEFT JOIN o USING (type) GROUP BY ALL)
+ SELECT item_id, doc_id, type, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""",
+)
+def fusion_routed(spark, sf):
+    """Each query fused with the constants that suit its type best."""
+    routes = tuning.chosen(_tuned(spark, sf))
+    channels = {"words": words_hits(spark, sf), "sparse": shape_hits(spark, sf)}
+    return tuning.routed_fusion(channels, "words", typed(spark, sf), routes, "item_id", "doc_id").select("item_id", "doc_id", "type", "score", "rank")
