@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from trawl.llm.shared import shared_dir, written
 
-FAN, STEP = 8, 5
+FAN, STEP = 8, 4
 BITS = FAN.bit_length() - 1
 BLOCK = FAN**STEP
 
