@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trawl.functions import paths
-from trawl.operators import batches, incremental, jobs, questions
+from trawl.operators import batches, incremental, jobs, questions, renames
 from trawl.plans.registry import PATH, joined, load, query, with_path
 from trawl.streaming import watch
 
@@ -395,3 +395,35 @@ def watch_queue(spark, sf):
     queue = watch.queue_of(e, e.where(number % 3 == 0).select("path").distinct(), "path", "kind", "at")
     tried = watch.next_batch(queue, "path").select("path", (number % 2 == 0).alias("ok"))
     return watch.after_batch(queue, tried, "path", F.lit(999999999).cast("long"))
+
+
+#: A later state of the tree: every fifth file moved and changed at its ends, every seventh gone, every eleventh new with a neighbour's last lines.
+LATER = "SELECT concat(CASE WHEN doc_id % 5 = 0 THEN 'moved/' WHEN doc_id % 11 = 3 THEN 'new/' ELSE '' END, p) AS path, CASE WHEN doc_id % 5 = 0 THEN concat('changed', chr(10), text, chr(10), 'changed') WHEN doc_id % 13 = 1 THEN concat(text, '.') ELSE text END AS text FROM s WHERE doc_id % 7 <> 4"
+
+
+@query(
+    "diff_similar",
+    f"""WITH RECURSIVE s AS (SELECT doc_id, {PATH} AS p, coalesce(text, '') AS text FROM documents), a AS (SELECT p AS path, text FROM s), b AS ({LATER}),
+ j AS (SELECT a.path AS p, b.path AS q, a.text AS x, b.text AS y FROM a FULL JOIN b ON a.path = b.path),
+ g AS (SELECT p, x, row_number() OVER (PARTITION BY x ORDER BY p) AS i FROM j WHERE q IS NULL), n AS (SELECT q, y, row_number() OVER (PARTITION BY y ORDER BY q) AS i FROM j WHERE p IS NULL),
+ m AS (SELECT p, x, q, y FROM g FULL JOIN n ON x = y AND g.i = n.i),
+ l AS (SELECT path, old, line, count(*) AS n, octet_length(encode(line)) + 1 AS each FROM (SELECT p AS path, true AS old, unnest(string_split(x, chr(10))) AS line FROM m WHERE q IS NULL UNION ALL SELECT q, false, unnest(string_split(y, chr(10))) FROM m WHERE p IS NULL) GROUP BY ALL),
+ z AS (SELECT path, old, sum(n * each) AS size FROM l GROUP BY ALL),
+ c AS (SELECT u.path AS p, v.path AS q, sum(least(u.n, v.n) * u.each) AS share FROM l u JOIN l v ON u.old AND NOT v.old AND u.line = v.line GROUP BY ALL),
+ d AS (SELECT c.p, c.q, round(share / greatest(u.size, v.size), 6) AS similarity FROM c JOIN z u ON u.old AND u.path = c.p JOIN z v ON NOT v.old AND v.path = c.q WHERE share >= 0.5 * greatest(u.size, v.size)),
+ o AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, p, q) AS k FROM d),
+ r(k, ps, qs, ks) AS (SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[] UNION ALL SELECT k2, CASE WHEN free THEN list_append(ps, p2) ELSE ps END, CASE WHEN free THEN list_append(qs, q2) ELSE qs END, CASE WHEN free THEN list_append(ks, k2) ELSE ks END
+  FROM (SELECT r.ps, r.qs, r.ks, o.p AS p2, o.q AS q2, o.k AS k2, NOT list_contains(r.ps, o.p) AND NOT list_contains(r.qs, o.q) AS free FROM r JOIN o ON o.k = r.k + 1)),
+ w AS (SELECT p, q, similarity FROM o WHERE list_contains((SELECT arg_max(ks, k) FROM r), k))
+ SELECT 'modified' AS action, q AS file_path, '' AS previous_path, -1.0::DOUBLE AS similarity FROM j WHERE p = q AND x <> y
+ UNION ALL SELECT 'renamed', q, p, 1.0 FROM m WHERE p IS NOT NULL AND q IS NOT NULL
+ UNION ALL SELECT 'renamed', q, p, similarity FROM w
+ UNION ALL SELECT 'deleted', p, '', -1.0 FROM m WHERE q IS NULL AND p NOT IN (SELECT p FROM w) UNION ALL SELECT 'added', q, '', -1.0 FROM m WHERE p IS NULL AND q NOT IN (SELECT q FROM w)""",
+)
+def diff_similar(spark, sf):
+    """Renames also of files that changed by a few lines."""
+    s = with_path(load(spark, sf, "documents")).select("doc_id", F.col("path").alias("p"), F.coalesce("text", F.lit("")).alias("text"))
+    s.createOrReplaceTempView(view := f"s_{uuid.uuid4().hex}")
+    later = spark.sql(LATER.replace("FROM s ", f"FROM {view} "))
+    found = renames.diff_similar(s.select(F.col("p").alias("path"), "text"), later)
+    return found.select("action", "file_path", F.coalesce("previous_path", F.lit("")).alias("previous_path"), F.coalesce("similarity", F.lit(-1.0)).alias("similarity"))
