@@ -120,10 +120,11 @@ def merged_replies(inputs: DataFrame, replies: DataFrame, key: str) -> DataFrame
 
 
 def snapshot_id(files: DataFrame, group: str, path: str, size: str, digest: str) -> DataFrame:
-    """The first 32 digits of the SHA-256 of a codebase's sorted (path, bytes, sha256) lines."""
+    """The first 32 digits of the SHA-256 of a codebase's sorted (path, bytes, sha256) lines; a codebase of any size is hashed as its lines pass."""
+    from trawl.operators.ordered import ordered_digest
+
     line = F.concat_ws("\t", path, F.col(size).cast("string"), digest)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), line.alias("l"))))
-    return files.groupBy(group).agg(F.left(F.sha2(F.array_join(F.transform(ordered, lambda x: x["l"]), "\n"), 256), F.lit(32)).alias("snapshot_id"), F.count("*").alias("files"))
+    return ordered_digest(files, group, [path], line).select(group, F.left("digest", F.lit(32)).alias("snapshot_id"), F.col("n").alias("files"))
 
 
 def backfill_hashes(records: DataFrame, chunks: DataFrame, key: str, version: str) -> DataFrame:

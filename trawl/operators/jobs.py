@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trawl.operators.ordered import numbered
+
 LEASE_SECONDS, GAP_MS, PER_CHUNK = 600, 300, 12
 
 
@@ -76,8 +78,8 @@ def throughput(events: DataFrame, group: list[str], at: str, value: str) -> Data
 
 
 def sweep_rank(cells: DataFrame, rate: str, complete) -> DataFrame:
-    """Parameter cells that completed, fastest first; as many rows as the sweep has cells."""
-    return cells.where(complete).withColumn("place", F.row_number().over(Window.orderBy(F.desc(rate), *[c for c in cells.columns if c != rate])))
+    """Parameter cells that completed, fastest first, with their place; ties by the other columns."""
+    return numbered(cells.where(complete), [F.desc(rate), *[F.col(c) for c in cells.columns if c != rate]])
 
 
 def anchored_batches(events: DataFrame, group: str, at_ms: str, gap: int = GAP_MS) -> DataFrame:

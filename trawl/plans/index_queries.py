@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trawl.functions import paths
-from trawl.operators import batches, incremental, jobs, questions, renames
+from trawl.operators import batches, incremental, jobs, ordered, questions, renames
 from trawl.plans.registry import PATH, joined, load, query, with_path
 from trawl.streaming import watch
 
@@ -104,8 +104,8 @@ def dedup_queries(spark, sf):
 
 @query("collect_by_file", "SELECT source, md5(string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id)) AS ids_md5, count(*) AS n FROM documents GROUP BY 1")
 def collect_by_file(spark, sf):
-    g = load(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("i"), F.count("*").alias("n"))
-    return g.select("source", F.md5(joined(F.transform("i", lambda x: x.cast("string")))).alias("ids_md5"), "n")
+    found = ordered.ordered_digest(load(spark, sf, "documents"), "source", ["doc_id"], F.col("doc_id").cast("string"), " ", "md5")
+    return found.select("source", F.col("digest").alias("ids_md5"), "n")
 
 
 @query("embedding_run_manifest", "SELECT label, left(sha256(concat('model-a', 64, label, count(*))), 32) AS embedding_run_id, count(*) AS vector_count FROM embeddings GROUP BY 1")
@@ -215,7 +215,7 @@ def throughput(spark, sf):
     return jobs.throughput(e, ["event_type"], "ts", "value")
 
 
-@query("sweep_rank", "WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS rate FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, n, rate, row_number() OVER (ORDER BY rate DESC, l_suppkey, l_linenumber, n)::INT AS place FROM c WHERE n > 60")
+@query("sweep_rank", "WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS rate FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_linenumber, n, rate, row_number() OVER (ORDER BY rate DESC, l_suppkey, l_linenumber, n) AS place FROM c WHERE n > 60")
 def sweep_rank(spark, sf):
     c = load(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("rate"))
     return jobs.sweep_rank(c, "rate", F.col("n") > 60)

@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from trawl.operators import ordered
 from trawl.plans.index_queries import _snapshots, _stream
-from trawl.plans.registry import ORACLES, query
+from trawl.plans.registry import ORACLES, load, query
 from trawl.sources.files import fresh_folder
 from trawl.sources.merging import MergeTable
 from trawl.streaming import timers, watch
@@ -40,3 +41,16 @@ def merge_on_read(spark, sf):
     table = MergeTable.create(own(old, "old"), fresh_folder(spark, f"merging-{uuid.uuid4().hex}"), "doc_id", "start_line", 8)
     table.upsert(own(new, "new"))
     return table.read().select("doc_id", "origin")
+
+
+@query("latency_quantiles", "SELECT event_type, p, value FROM (SELECT event_type, unnest([0.5, 0.9, 0.95, 0.99])::DOUBLE AS p, unnest(quantile_disc(value, [0.5, 0.9, 0.95, 0.99])) AS value FROM events GROUP BY 1)")
+def latency_quantiles(spark, sf):
+    """Nearest-rank quantiles by selection in rounds: no group's values pass one buffer."""
+    return ordered.quantiles(load(spark, sf, "events"), ["event_type"], "value", [0.5, 0.9, 0.95, 0.99]).select("event_type", "p", "value")
+
+
+@query("price_places", "SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS place FROM lineitem")
+def price_places(spark, sf):
+    """A place for each row of the whole table, without one task for all."""
+    x = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return ordered.numbered(x, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]).drop("l_extendedprice")
