@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.operators.lexical import top_k
-from trawl.sources.files import fresh_folder
+from trawl.sources.files import fresh_folder, written
 
 #: Rows of the index, and queries, of a block; query blocks of so many bytes together are sent to every task.
 ROWS, QUERIES, SENT = 4096, 1024, 64 << 20
@@ -105,7 +105,7 @@ class _Best:
 def _meet(rows: DataFrame, queries: DataFrame, score: Callable, k: int, query_id: str, vec_id: str) -> DataFrame:
     """query, row, score: every block of rows with every block of queries, the k best of a query (and ties) from each task."""
     kinds = [queries.schema["ids"].dataType.elementType.simpleString(), rows.schema["ids"].dataType.elementType.simpleString()]
-    q = _written(queries.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("flat").alias("q_flat"), F.expr("uuid()").alias("q_block")), "query-blocks")
+    q = written(queries.select(F.col("ids").alias("q_ids"), F.col("dim").alias("q_dim"), F.col("flat").alias("q_flat"), F.expr("uuid()").alias("q_block")), "query-blocks")
     size = q.agg(F.sum(F.size("q_flat"))).first()[0] or 0
     pairs = rows.crossJoin(F.broadcast(q) if 8 * size <= SENT else q)
 
@@ -189,7 +189,7 @@ def quantise(index: DataFrame, vec_id: str, vec: str, path: str, parts: int | No
     the commonest dimension is encoded. parts must divide the dimension (default: slices of two components).
     """
     spark = index.sparkSession
-    blocks = _written(packed(index, vec_id, vec, ROWS), "row-blocks")
+    blocks = written(packed(index, vec_id, vec, ROWS), "row-blocks")
     sizes = blocks.groupBy("dim").agg(F.sum(F.size("ids")).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, total = (sizes["dim"], sizes["n"]) if sizes else (2, 0)
     parts = parts or max(1, dim // 2)
@@ -243,7 +243,7 @@ def quantised_top_k(queries: DataFrame, index: Quantised, query_id: str, query_v
             out += tables[p][codes[:, p]]
         return out.T.astype(float)
 
-    asked = _written(packed(queries, query_id, query_vec, QUERIES // 4), "queries")
+    asked = written(packed(queries, query_id, query_vec, QUERIES // 4), "queries")
     near = top_k(_meet(index.codes(), asked, score, shortlist, query_id, vec_id), query_id, [F.desc("score"), F.col(vec_id)], shortlist).select(query_id, vec_id)
     unit = F.transform(query_vec, lambda x: x.cast("double"))
     both = near.join(index.vectors(), vec_id).join(queries.select(query_id, unit.alias("_q")), query_id)
@@ -265,9 +265,3 @@ def kept(spark: SparkSession, name: str, vectors: Callable[[], DataFrame], vec_i
             return found
     _kept[key] = quantise(vectors(), vec_id, vec, fresh_folder(spark, f"quantised-{uuid.uuid4().hex}"))
     return _kept[key]
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trawl.operators.lexical import K1, B, Postings, bm25_scored, top_k
-from trawl.sources.files import fresh_folder
+from trawl.sources.files import fresh_folder, written
 
 PER_BLOCK, HEADS = 128, 8
 #: Scores are compared when rounded to six decimals.
@@ -107,12 +107,6 @@ def kept(spark: SparkSession, name: str, posts: Callable[[], Postings], id_col:
     return Inverted(spark, path, id_col)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _idf() -> Column:
     return F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
 
@@ -130,13 +124,13 @@ class Search:
         self.blocks, self.buckets = index.blocks()
         stats = F.broadcast(index.table("stats").select(F.col("n").alias("n_docs"), "avgdl"))  # one row
         asked = queries.select(query_id, F.col("qterm").alias("term")).distinct().join(index.table("terms"), "term")
-        self.terms = _written(asked.join(stats, F.lit(True)).withColumn("idf", _idf()).withColumn("most", F.col("idf") * F.col("top")), "asked")
+        self.terms = written(asked.join(stats, F.lit(True)).withColumn("idf", _idf()).withColumn("most", F.col("idf") * F.col("top")), "asked")
         own = Window.partitionBy(query_id)
         best = self.terms.select(query_id, "term", "idf", "avgdl", F.explode("heads").alias("h")).withColumn("ub", F.col("idf") * F.col("h.bound"))
         self.first = top_k(best, query_id, [F.desc("ub"), F.col("term"), F.col("h.block")], HEADS).select(query_id, "term", F.col("h.block").alias("block"), "idf", "avgdl")
         partial = self.opened(self.first).groupBy(query_id, F.col("p.id").alias("id")).agg(F.sum(_part()).alias("score"))
         promising = top_k(partial, query_id, [F.desc("score"), F.col("id")], 2 * k).select(query_id, "id")
-        self.tried = self.lookups(_written(promising, "promising"))
+        self.tried = self.lookups(written(promising, "promising"))
         whole = self.opened(self.tried).groupBy(query_id, F.col("p.id").alias("id")).agg(F.sum(_part()).alias("score"))
         theta = whole.withColumn("_r", F.row_number().over(own.orderBy(F.desc("score")))).where(F.col("_r") == k).select(query_id, F.col("score").alias("theta"))
         below = F.sum("most").over(own.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -146,13 +140,13 @@ class Search:
         weighed = weighed.withColumn("need", (F.col("theta") - F.sum("most").over(own) + F.col("most")) / F.col("idf"))
         # cap: the most that a term adds to a document of which nothing of it was read.
         cap = F.when(F.col("essential"), F.greatest(F.lit(0.0), F.least(F.col("most"), F.col("need") * F.col("idf")))).otherwise(F.col("most"))
-        self.weighed = _written(weighed.withColumn("cap", cap).withColumn("caps", F.sum(cap).over(own)), "weighed")
+        self.weighed = written(weighed.withColumn("cap", cap).withColumn("caps", F.sum(cap).over(own)), "weighed")
         directory = index.table("directory").select(F.col("term").alias("_t"), "block", "bound")
         essential = self.weighed.where("essential").join(directory, (F.col("term") == F.col("_t")) & (F.col("bound") >= F.col("need")))
         self.second = essential.select(query_id, "term", "block", "idf", "avgdl", "need", "cap", "caps", "theta")
         impact = F.col("p.tf") * (K1 + 1) / (F.col("p.tf") + K1 * (1 - B + B * F.col("p.dl") / F.col("avgdl")))
         found = self.opened(self.second).where(impact >= F.col("need") - SLACK).groupBy(query_id, F.col("p.id").alias("id")).agg((F.sum(_part() - F.col("cap")) + F.max("caps")).alias("most"), F.max("theta").alias("theta"))
-        self.candidates = _written(found.where(F.col("most") >= F.col("theta") - SLACK).select(query_id, "id"), "candidates")
+        self.candidates = written(found.where(F.col("most") >= F.col("theta") - SLACK).select(query_id, "id"), "candidates")
         self.third = self.lookups(self.candidates)
 
     def lookups(self, documents: DataFrame) -> DataFrame:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.sources.files import fresh_folder
+from trawl.sources.files import written
 
 #: Bins of a round of selection; rows of a bin that are few enough to be put in order.
 BINS, FEW = 4096, 10_000
@@ -17,12 +16,6 @@ BINS, FEW = 4096, 10_000
 PIECE = 65_536
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
     """rows with their place in order, gapless from 1: dealt by ranges of order, each range put in order by itself.
 
@@ -31,7 +24,7 @@ def numbered(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
     """
     mask = (1 << 33) - 1
     put = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id__", F.monotonically_increasing_id())
-    held = _written(put, "ordered").withColumn("__part__", F.shiftright("__id__", 33))
+    held = written(put, "ordered").withColumn("__part__", F.shiftright("__id__", 33))
     before = Window.orderBy("__part__").rowsBetween(Window.unboundedPreceding, -1)
     counts = held.groupBy("__part__").agg(F.count("*").alias("_n")).select(F.col("__part__").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     out = held.join(F.broadcast(counts), F.col("__part__") == F.col("_p"))
@@ -51,7 +44,7 @@ def quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float]
     about = base.groupBy(*group).agg(F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("p", share)
     scaled = F.round(F.col("p") * F.col("n"), 9)
     at = F.least(F.floor(scaled), F.col("n") - 1) if floor else F.greatest(F.ceil(scaled) - 1, F.lit(0))
-    open_ = _written(about.withColumn("_t", at.cast("long")).withColumn("_c", F.col("n")), "targets")
+    open_ = written(about.withColumn("_t", at.cast("long")).withColumn("_c", F.col("n")), "targets")
     keys, out = [*group, "p"], []
 
     def met(targets: DataFrame) -> DataFrame:
@@ -74,7 +67,7 @@ def quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float]
         cells = met(many).groupBy(*keys, "n", "_t", F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("_b")).agg(F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
         upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
         found = cells.withColumn("_u", upto).where((F.col("_u") - F.col("_c") <= F.col("_t")) & (F.col("_t") < F.col("_u")))
-        open_ = _written(found.withColumn("_t", F.col("_t") - (F.col("_u") - F.col("_c"))).drop("_u", "_b"), "targets")
+        open_ = written(found.withColumn("_t", F.col("_t") - (F.col("_u") - F.col("_c"))).drop("_u", "_b"), "targets")
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)

@@ -8,19 +8,11 @@ licence, which stand in every file, propose nothing. Of the pairs the best goes
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.operators.incremental import diff_manifest
-from trawl.sources.files import fresh_folder
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = fresh_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from trawl.sources.files import written
 
 
 def lines(files: DataFrame, path: str, text: str) -> DataFrame:
@@ -32,7 +24,7 @@ def lines(files: DataFrame, path: str, text: str) -> DataFrame:
 
 def similar_pairs(gone: DataFrame, new: DataFrame, path: str, text: str, least: float = 0.5) -> DataFrame:
     """previous_path, file_path, similarity (six decimals) of all pairs that reach least."""
-    a, b = (_written(lines(x, path, text), "lines") for x in (gone, new))
+    a, b = (written(lines(x, path, text), "lines") for x in (gone, new))
     spread = a.select("line").union(b.select("line")).groupBy("line").agg(F.count("*").alias("_files"))
 
     def leading(x: DataFrame) -> DataFrame:
@@ -59,13 +51,13 @@ def one_to_one(pairs: DataFrame) -> DataFrame:
     In rounds: a pair that is the best of both its files is taken, and the pairs of taken files go. A round takes at
     least the best pair of all that are left, most rounds nearly all.
     """
-    left, taken = _written(pairs, "pairs"), None
+    left, taken = written(pairs, "pairs"), None
     best = lambda c: Window.partitionBy(c).orderBy(F.desc("similarity"), "previous_path", "file_path")
     while not left.isEmpty():
         ranked = left.withColumn("_a", F.row_number().over(best("previous_path"))).withColumn("_b", F.row_number().over(best("file_path")))
-        now = _written(ranked.where("_a = 1 AND _b = 1").drop("_a", "_b"), "renamed")
+        now = written(ranked.where("_a = 1 AND _b = 1").drop("_a", "_b"), "renamed")
         taken = now if taken is None else taken.unionByName(now)
-        left = _written(left.join(now.select("previous_path"), "previous_path", "left_anti").join(now.select("file_path"), "file_path", "left_anti").select(*pairs.columns), "pairs")
+        left = written(left.join(now.select("previous_path"), "previous_path", "left_anti").join(now.select("file_path"), "file_path", "left_anti").select(*pairs.columns), "pairs")
     return left if taken is None else taken
 
 
@@ -76,10 +68,10 @@ def diff_similar(base: DataFrame, target: DataFrame, path: str = "path", text: s
     Modified files have no similarity.
     """
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    plain = _written(diff_manifest(base.select(path, digest.alias("sha256")), target.select(path, digest.alias("sha256")), path), "manifest")
+    plain = written(diff_manifest(base.select(path, digest.alias("sha256")), target.select(path, digest.alias("sha256")), path), "manifest")
     gone = base.join(plain.where("action = 'deleted'").select(F.col("file_path").alias(path)), path, "left_semi")
     new = target.join(plain.where("action = 'added'").select(F.col("file_path").alias(path)), path, "left_semi")
-    moved = _written(one_to_one(similar_pairs(gone, new, path, text, least)), "moved")
+    moved = written(one_to_one(similar_pairs(gone, new, path, text, least)), "moved")
     used = moved.select(F.lit("deleted").alias("action"), F.col("previous_path").alias("file_path")).union(moved.select(F.lit("added"), "file_path"))
     rest = plain.join(used, ["action", "file_path"], "left_anti").select("action", "file_path", "previous_path", F.when(F.col("action") == "renamed", 1.0).alias("similarity"))
     return rest.unionByName(moved.select(F.lit("renamed").alias("action"), "file_path", "previous_path", "similarity"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trawl.functions.paths import confidence, path_penalty
 from trawl.operators.dense import dense_top_k  # noqa: F401  the first of the searches
 from trawl.operators.lexical import top_k
+from trawl.sources.files import written
 
 RRF_K, CANDIDATES = 60, 40
 #: What a match reason adds to a score.
@@ -70,11 +71,21 @@ def exact_candidates(queries: DataFrame, chunks: DataFrame, query_id: str, doc_i
     """Chunks that hold one of a query's first 40 terms as a symbol, or else a path token; score one.
 
     Terms are lower-cased and symbols are not, so symbols with capitals never match: that is how it is specified.
+
+    Of a term only its first limit documents can be among a query's first limit, as all of one term and kind come in
+    the order of their ids; so a common term sends these on and no more. What else the candidates hold is looked up
+    in their chunks alone.
     """
     q = queries.select(query_id, F.explode(F.slice(terms, 1, 40)).alias("t")).distinct()
-    each = [chunks.select(doc_id, F.lit(i).alias("o"), F.lit(c).alias("source"), F.explode(F.array_distinct(c)).alias("t")) for i, c in enumerate(("symbols_defined", "path_tokens"))]
-    hits = each[0].unionByName(each[1]).join(q, "t").groupBy(query_id, doc_id).agg(F.max("o").alias("o"), F.min("o").alias("f"), F.max_by("source", "o").alias("source"))
-    return top_k(hits, query_id, [F.col("f"), F.col(doc_id)], limit).select(query_id, doc_id, F.lit(1.0).alias("score"), "source")
+    asked = q.select("t").distinct()
+    each = [chunks.select(doc_id, F.lit(i).alias("o"), F.explode(F.array_distinct(c)).alias("t")).join(asked, "t", "left_semi") for i, c in enumerate(("symbols_defined", "path_tokens"))]
+    lists = top_k(each[0].unionByName(each[1]), ["t", "o"], [F.col(doc_id)], limit, "_r").drop("_r")
+    hits = lists.join(q, "t").groupBy(query_id, doc_id).agg(F.min("o").alias("f"))
+    found = written(top_k(hits, query_id, [F.col("f"), F.col(doc_id)], limit).select(query_id, doc_id), "candidates")
+    own = chunks.select(doc_id, F.array_distinct("path_tokens").alias("_p")).join(found.select(doc_id).distinct(), doc_id, "left_semi")
+    tokens = own.select(doc_id, F.explode("_p").alias("t")).join(q, "t").select(query_id, doc_id).distinct().withColumn("_path", F.lit(True))
+    source = F.when(F.col("_path"), "path_tokens").otherwise("symbols_defined")
+    return found.join(tokens, [query_id, doc_id], "left").select(query_id, doc_id, F.lit(1.0).alias("score"), source.alias("source"))
 
 
 def reasons(terms, symbols, path_tokens, signature, content, has_questions) -> Column:

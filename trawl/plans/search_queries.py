@@ -120,10 +120,11 @@ PARTS = f"""q AS (SELECT item_id, list_sort(list_distinct({TOKENS.format('text')
  x AS (SELECT item_id, doc_id, 1.0::DOUBLE AS score, CASE o WHEN 0 THEN 'symbols_defined' ELSE 'path_tokens' END AS source FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY f, doc_id) AS r FROM e) WHERE r <= 50)"""
 
 
-def _chunks(spark, sf):
+def _chunks(spark, sf, only=None):
     from trawl.functions import code
 
     d = with_path(load(spark, sf, "documents"))
+    d = d if only is None else d.join(only, "doc_id", "left_semi")
     s = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))))
     return d.select("doc_id", F.col("text").alias("content"), "path", s.alias("symbols_defined"), code.path_tokens("path").alias("path_tokens"))
 
@@ -147,8 +148,9 @@ def exact_candidates(spark, sf):
  FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY total DESC, doc_id) AS rank FROM w) WHERE rank <= 5""",
 )
 def rerank_deterministic(spark, sf):
-    c = _chunks(spark, sf)
-    found = search.exact_candidates(_terms(spark, sf), c, "item_id", "doc_id").join(_terms(spark, sf), "item_id").join(c, "doc_id")
+    found = search.exact_candidates(_terms(spark, sf), _chunks(spark, sf), "item_id", "doc_id")
+    of = _chunks(spark, sf, found.select("doc_id").distinct())  # what a chunk says of itself is worked out for candidates alone
+    found = found.join(_terms(spark, sf), "item_id").join(of, "doc_id")
     role = F.when(F.col("doc_id") % 8 == 0, "test").otherwise("x")
     kind = F.when(F.col("doc_id") % 5 == 0, "function").otherwise("module")
     found = found.withColumns({"signature": F.left("content", F.lit(60)), "file_role": role, "chunk_type": kind, "has_questions": F.col("doc_id") % 2 == 1})
