@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trawl.functions import text
-from trawl.operators import evals, lexical, search, tuning
+from trawl.operators import evals, graph, lexical, search, tuning
 from trawl.plans.catalog import Catalog, Codebase
 from trawl.plans.registry import PATH, joined, load, query, with_path
 from trawl.plans.text_queries import BM25, TOKENS, WORDS
@@ -377,3 +377,41 @@ def fusion_routed(spark, sf):
     routes = tuning.chosen(_tuned(spark, sf))
     channels = {"words": words_hits(spark, sf), "sparse": shape_hits(spark, sf)}
     return tuning.routed_fusion(channels, "words", typed(spark, sf), routes, "item_id", "doc_id").select("item_id", "doc_id", "type", "score", "rank")
+
+
+#: Documents as code: the long words of the first line are what it defines, those of the rest what it uses.
+LINKS = r"""c AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_extract(coalesce(text, ''), '^[^\n]*'), '[A-Za-z]{4,}')) AS def, list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '^[^\n]*', ''), '[A-Za-z]{4,}')) AS use FROM documents),
+ f AS (SELECT doc_id, symbol FROM (SELECT doc_id, symbol, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT doc_id, unnest(def) AS symbol FROM c)) WHERE n <= 8),
+ e AS (SELECT DISTINCT u.doc_id AS caller, f.doc_id AS callee FROM (SELECT doc_id, unnest(list_filter(use, lambda x: NOT list_contains(def, x))) AS symbol FROM c) u JOIN f USING (symbol) WHERE u.doc_id <> f.doc_id)"""
+
+
+def _code(spark, sf):
+    first, rest = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^\n]*", 0), F.regexp_replace(F.coalesce("text", F.lit("")), r"^[^\n]*", "")
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([A-Za-z]{4,})"), F.lit(1)))
+    return load(spark, sf, "documents").select("doc_id", words(first).alias("symbols_defined"), words(rest).alias("symbols_used"), F.when(F.col("doc_id") % 8 == 0, "test").otherwise("x").alias("file_role"))
+
+
+@query(
+    "graph_context",
+    f"""WITH h AS ({DENSE.format(k=10)}), {LINKS}, o AS (SELECT DISTINCT vec_id FROM h),
+ b AS (SELECT caller AS vec_id, 'calls' AS kind, callee AS other FROM e UNION ALL SELECT callee, CASE WHEN caller % 8 = 0 THEN 'tests' ELSE 'called_by' END, caller FROM e),
+ g AS (SELECT vec_id, kind, count(*) AS n, array_to_string(list(other ORDER BY other)[1:20], ' ') AS ids FROM b WHERE vec_id IN (SELECT vec_id FROM o) GROUP BY ALL)
+ SELECT o.vec_id, coalesce(x.ids, '') AS calls, coalesce(y.ids, '') AS called_by, coalesce(z.ids, '') AS tests, coalesce(x.n, 0) AS n_calls, coalesce(y.n, 0) AS n_called_by, coalesce(z.n, 0) AS n_tests
+ FROM o LEFT JOIN g x ON x.vec_id = o.vec_id AND x.kind = 'calls' LEFT JOIN g y ON y.vec_id = o.vec_id AND y.kind = 'called_by' LEFT JOIN g z ON z.vec_id = o.vec_id AND z.kind = 'tests'""",
+)
+def graph_context(spark, sf):
+    """What the hits of dense search call, what calls them, and which tests do."""
+    chunks = _code(spark, sf)
+    found = graph.context(dense(spark, sf), graph.edges(chunks, "doc_id"), chunks, "vec_id", "doc_id")
+    return found.select("vec_id", *(joined(F.transform(c, lambda x: x.cast("string"))).alias(c) for c in ("calls", "called_by", "tests")), "n_calls", "n_called_by", "n_tests")
+
+
+@query(
+    "graph_neighbours",
+    f"""WITH h AS ({DENSE.format(k=10)}), {LINKS}, t AS (SELECT caller AS vec_id, callee AS other FROM e UNION ALL SELECT callee, caller FROM e),
+ m AS (SELECT query_id, vec_id, score FROM h UNION ALL SELECT query_id, other, 0.5::DOUBLE * score FROM h JOIN t USING (vec_id)),
+ s AS (SELECT query_id, vec_id, round(max(score), 6) AS score FROM m GROUP BY ALL)
+ SELECT query_id, vec_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20""",
+)
+def graph_neighbours(spark, sf):
+    return graph.neighbours(dense(spark, sf), graph.edges(_code(spark, sf), "doc_id"), "query_id", "vec_id", k=20)
