@@ -31,9 +31,11 @@ SYMBOLS = {
 PY_IMPORT, PY_FROM = r"^\s*import\s+(.+)$", r"^\s*from\s+([A-Za-z0-9_\.]+)\s+import\s+(.+)$"
 JS_IMPORTS = (r"^\s*import\s+.+?\s+from\s+['\"]([^'\"]+)['\"]", r"^\s*import\s+['\"]([^'\"]+)['\"]", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)")
 NOT_USED = (
-    "and as async await break case catch class const continue def delete do elif else except export false finally for from function if import in "
-    "interface let new none not null or pass return self static switch this throw true try type var while with yield"
-).split()
+    "and", "as", "async", "await", "break", "case", "catch", "class", "const", "continue", "def", "delete",
+    "do", "elif", "else", "except", "export", "false", "finally", "for", "from", "function", "if", "import",
+    "in", "interface", "let", "new", "none", "not", "null", "or", "pass", "return", "self", "static",
+    "switch", "this", "throw", "true", "try", "type", "var", "while", "with", "yield",
+)
 EFFECTS = (
     ("database", r"\b(commit|execute|insert|update|delete|save|query)\b"),
     ("network", r"\b(requests\.|httpx\.|fetch\(|axios\.|OpenAI\(|AsyncOpenAI\()"),
@@ -44,6 +46,16 @@ EFFECTS = (
 ROUTES = r"(@app\.route|Blueprint\(|router\.(get|post|put|patch|delete)|app\.(get|post|put|patch|delete))"
 
 
+#: Fixed texts of a chunk's description; {} is what is put in.
+CHUNK_FROM, USE_WHEN, CALLERS_OF, TESTS_OF, OUTLINE_OF = "{} chunk from {}", "Use this result when investigating {}.", "Find callers of {}", "Find tests covering {}", "Show outline for {}"
+
+
+def filled(template: str, *values) -> Column:
+    """A template with columns in the places of its braces."""
+    parts = template.split("{}")
+    return F.concat(F.lit(parts[0]), *(x for v, rest in zip(values, parts[1:], strict=True) for x in (col(v), F.lit(rest))))
+
+
 def language(path) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.coalesce(F.try_element_at(table, suffix(path)), F.lit("unknown"))
@@ -140,9 +152,9 @@ def describe(df, path: str = "path", text: str = "text"):
     named = F.when(F.size("symbols_defined") > 0, F.array_join(F.slice("symbols_defined", 1, 3), ", ")).otherwise(basename(p))
     return out.withColumns(
         {
-            "what_it_does": F.when(F.col("signature") != "", F.col("signature")).otherwise(F.concat(F.col("chunk_type"), F.lit(" chunk from "), p)),
-            "when_to_use": F.concat(F.lit("Use this result when investigating "), named, F.lit(".")),
+            "what_it_does": F.when(F.col("signature") != "", F.col("signature")).otherwise(filled(CHUNK_FROM, "chunk_type", p)),
+            "when_to_use": filled(USE_WHEN, named),
             "file_skeleton": F.when(F.col("signature") != "", F.col("signature")).otherwise(F.array_join(F.slice("symbols_defined", 1, 8), ", ")),
-            "next_queries": F.slice(F.concat(F.flatten(F.transform(F.slice("symbols_defined", 1, 2), lambda s: F.array(F.concat(F.lit("Find callers of "), s), F.concat(F.lit("Find tests covering "), s)))), F.array(F.concat(F.lit("Show outline for "), p))), 1, 4),
+            "next_queries": F.slice(F.concat(F.flatten(F.transform(F.slice("symbols_defined", 1, 2), lambda s: F.array(filled(CALLERS_OF, s), filled(TESTS_OF, s)))), F.array(filled(OUTLINE_OF, p))), 1, 4),
         }
     )

@@ -362,3 +362,29 @@ def reply_parse(spark, sf):
     body = F.to_json(F.struct("conv_id", "turn"))
     reply = F.when(F.col("turn") % 4 == 0, body).when(F.col("turn") % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 4 == 2, F.concat("text", F.lit(" "), body, F.lit(" end"))).otherwise(F.col("text"))
     return questions.parse_replies(c.select("conv_id", "turn", reply.alias("reply")), "reply").select("conv_id", "turn", "parsed", "parse_mode")
+
+
+#: Documents as code: a class for each, with a method of one line for each line that has letters.
+AS_CODE = r"""SELECT doc_id, concat('class C', doc_id, ':', chr(10), array_to_string(list_transform(l, lambda x, i: concat('    def f', i, '():', chr(10), '        x = ', x, chr(10))), '')) AS code, l FROM
+ (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '') AS l FROM documents)"""
+
+
+@query(
+    "chunk_nested",
+    rf"""WITH a AS ({AS_CODE}), w AS (SELECT doc_id, code, l, length(code) > 200 AS large FROM a),
+ m AS (SELECT doc_id, i, x, length(concat('    def f', i, '():', chr(10), '        x = ', x, chr(10))) > 200 AS long_ FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM w WHERE large)),
+ p AS (SELECT doc_id, 0 AS i, 0 AS j, 0 AS level, trim(code, chr(10) || ' ') AS c FROM w WHERE NOT large
+  UNION ALL SELECT doc_id, 0, 0, CASE WHEN len(l) > 0 THEN 1 ELSE 0 END, concat('class C', doc_id, ':') FROM w WHERE large
+  UNION ALL SELECT doc_id, i, 0, 1, CASE WHEN long_ THEN concat('def f', i, '():') ELSE concat('def f', i, '():', chr(10), '        x = ', x) END FROM m
+  UNION ALL SELECT doc_id, i, 1, 1, concat('x = ', x) FROM m WHERE long_)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS chunk_index, level::BIGINT AS level, md5(c) AS chunk_md5 FROM p""",
+)
+def chunk_nested(spark, sf):
+    """Nested declarations: a class over the cap is cut at its methods, and a method over it after its lines."""
+    from trawl.operators import nesting
+
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, "[^A-Za-z0-9]+", " "), "^ | $", ""))
+    method = lambda x, i: F.concat(F.lit("    def f"), (i + 1).cast("string"), F.lit("():\n        x = "), x, F.lit("\n"))
+    code = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(":\n"), F.array_join(F.transform(F.filter(lines, lambda x: x != ""), method), ""))
+    docs = load(spark, sf, "documents").select("doc_id", code.alias("code"), F.lit("a.py").alias("path"))
+    return nesting.by_nesting(docs, "doc_id", "code", "path", 200).select("doc_id", "chunk_index", "level", F.md5("chunk").alias("chunk_md5"))
