@@ -45,3 +45,16 @@ def test_digest_of_one_group_in_many_pieces(spark, monkeypatch):
         own = [line or "" for k, _, line in sorted(rows, key=lambda x: x[1]) if k == g]
         want[g] = hashlib.sha256("\t".join(own).encode()).hexdigest(), len(own)
     assert got == want
+
+
+def test_anchors_by_doubling(spark):
+    from trawl.operators import jobs
+
+    r = random.Random(5)
+    rows = [(g, r.randint(0, 4000)) for g, n in ((1, 2500), (2, 30), (None, 200), (3, 1)) for _ in range(n)] + [(4, None)]
+    df = spark.createDataFrame(rows, "g int, t long").repartition(6)
+    for gap in (0, 7, 300, 10_000):
+        want = sorted((x.g is None, x.g or 0, x.batch, x["size"], x.first_ms, x.last_ms, x.spread_ms) for x in jobs.anchored_batches(df.where("t is not null"), "g", "t", gap).collect())
+        got = sorted((x.g is None, x.g or 0, x.batch, x["size"], x.first_ms, x.last_ms, x.spread_ms) for x in jobs.anchored_in_parallel(df, "g", "t", gap).collect())
+        assert got == want
+    assert jobs.anchored_in_parallel(df.limit(0), "g", "t").count() == 0

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.operators.ordered import numbered
+from trawl.sources.files import written
 
 LEASE_SECONDS, GAP_MS, PER_CHUNK = 600, 300, 12
 
@@ -118,3 +119,33 @@ def anchored_batches(events: DataFrame, group: str, at_ms: str, gap: int = GAP_M
 def _batches(rows, group, kind) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(c[0], kind), *(pa.array(x, pa.int64()) for x in c[1:])], [group, "size", "first_ms", "last_ms", "batch"])
+
+
+def anchored_in_parallel(events: DataFrame, group: str, at_ms: str, gap: int = GAP_MS) -> DataFrame:
+    """As anchored_batches, where a group of any size is many tasks: size, first_ms, last_ms, batch, spread_ms.
+
+    Events are numbered in order. The event that would open the batch after one that an event opens is found by its
+    place among all events and all times of events plus gap. Which of these chains start at a group's first event is
+    found by doubling: each round follows twice as many batches at once. Null times take no part.
+    """
+    own = events.select(F.col(group).alias("g"), F.col(at_ms).cast("long").alias("t")).where(F.col("t").isNotNull())
+    rows = written(numbered(own, [F.col("g"), F.col("t")], "i"), "events")
+    ends = written(rows.groupBy("g").agg(F.min("i").alias("first"), F.max("i").alias("last")), "groups").withColumnRenamed("g", "_g")
+    keys = rows.select("g", F.col("t").alias("key"), F.lit(0).alias("kind"), "i").unionByName(rows.select("g", (F.col("t") + gap).alias("key"), F.lit(1).alias("kind"), "i"))
+    # The i-th of the later times comes after i - 1 others and all events that are not after it.
+    placed = numbered(keys, [F.col("g"), F.col("key"), F.col("kind"), F.col("i")], "p").where("kind = 1").withColumn("next", F.col("p") - F.col("i") + 1)
+    inside = placed.join(ends, F.col("g").eqNullSafe(F.col("_g"))).where("next <= last")
+    after = jump = written(inside.select("i", "next"), "next")
+    marks = written(ends.select(F.col("first").alias("i")), "anchors")
+    while True:
+        more = written(marks.join(jump, "i").select(F.col("next").alias("i")).distinct(), "anchors")
+        if more.isEmpty():
+            break
+        marks = written(marks.union(more).distinct(), "anchors")
+        jump = written(jump.select("i", F.col("next").alias("_n")).join(jump.select(F.col("i").alias("_n"), "next"), "_n").select("i", "next"), "next")
+    named = marks.join(rows, "i").join(after, "i", "left").join(ends, F.col("g").eqNullSafe(F.col("_g"))).withColumn("end", F.coalesce("next", F.col("last") + 1))
+    placed = numbered(named.select("i", "g", "t", "end"), [F.col("i")], "a")
+    least = placed.groupBy(F.col("g").alias("_g")).agg(F.min("a").alias("_a"))
+    closing = rows.select(F.col("i").alias("_i"), F.col("t").alias("last_ms"))
+    out = placed.join(least, F.col("g").eqNullSafe(F.col("_g"))).join(closing, F.col("end") - 1 == F.col("_i"))
+    return out.select(F.col("g").alias(group), (F.col("end") - F.col("i")).alias("size"), F.col("t").alias("first_ms"), "last_ms", (F.col("a") - F.col("_a")).alias("batch"), (F.col("last_ms") - F.col("t")).alias("spread_ms"))

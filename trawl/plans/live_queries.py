@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trawl.operators import ordered
+from trawl.operators import jobs, ordered
 from trawl.plans.index_queries import _snapshots, _stream
 from trawl.plans.registry import ORACLES, load, query
 from trawl.sources.files import fresh_folder
@@ -54,3 +54,14 @@ def price_places(spark, sf):
     """A place for each row of the whole table, without one task for all."""
     x = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     return ordered.numbered(x, [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]).drop("l_extendedprice")
+
+
+@query(
+    "anchored_one_user",
+    """WITH RECURSIVE e AS (SELECT epoch_us(ts) // 1000 AS t FROM events), r(a, batch) AS (SELECT min(t), 0::BIGINT FROM e UNION ALL SELECT min(e.t), r.batch + 1 FROM r JOIN e ON e.t > r.a + 21600000 GROUP BY r.batch)
+ SELECT batch, count(*) AS size, min(t) AS first_ms, max(t) AS last_ms, max(t) - min(t) AS spread_ms FROM (SELECT r.batch, e.t FROM r JOIN e ON e.t >= r.a AND e.t <= r.a + 21600000) GROUP BY 1""",
+)
+def anchored_one_user(spark, sf):
+    """Batches of six hours, each from its own first event, with all events under one user."""
+    e = load(spark, sf, "events").select(F.lit(1).alias("user"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return jobs.anchored_in_parallel(e, "user", "t", 21_600_000).drop("user")
