@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trawl.operators import jobs, ordered
 from trawl.plans.index_queries import _snapshots, _stream
 from trawl.plans.registry import ORACLES, load, query
+from trawl.sources import files, line_source
 from trawl.sources.files import fresh_folder
 from trawl.sources.merging import MergeTable
 from trawl.streaming import timers, watch
@@ -65,3 +66,15 @@ def anchored_one_user(spark, sf):
     """Batches of six hours, each from its own first event, with all events under one user."""
     e = load(spark, sf, "events").select(F.lit(1).alias("user"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
     return jobs.anchored_in_parallel(e, "user", "t", 21_600_000).drop("user")
+
+
+@query("sidecar_ranges", "SELECT CASE WHEN doc_id % 6 IN (1, 2) THEN 'bad' ELSE doc_id::VARCHAR END AS id, count(*) AS n, sum(CASE WHEN doc_id % 6 = 2 THEN 0 ELSE length(text) END)::BIGINT AS chars FROM documents WHERE doc_id % 6 <> 0 GROUP BY 1")
+def sidecar_ranges(spark, sf):
+    """Side-car lines with whole texts, some blank, cut off or not ok, read by byte ranges of the files."""
+    i, folder = F.col("doc_id"), fresh_folder(spark, f"sidecar-{uuid.uuid4().hex}")
+    good = F.to_json(F.struct(i.cast("string").alias("id"), (i % 6 != 1).alias("ok"), F.array("text").alias("hyde_questions")))
+    line = F.when(i % 6 == 0, "  ").when(i % 6 == 2, F.left(good, F.length(good) - 3)).otherwise(good)
+    load(spark, sf, "documents").select(line.alias("value")).write.text(folder)
+    rows = line_source.read_sidecars(spark, folder, files.QUESTION, glob="part-*", range=1 << 20)
+    chars = F.coalesce(F.length(F.get("hyde_questions", F.lit(0))), F.lit(0))
+    return rows.groupBy(F.when(F.col("_bad"), "bad").otherwise(F.col("id")).alias("id")).agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
