@@ -40,7 +40,7 @@ def test_encoder_equals_library(encoder):
     r = random.Random(5)
     letters = ["a", "b", "the", " ", "  ", "\n", "\t", "'s", "é", "漢", "1", "!", ".", " ", "　", "it's", "́", "😀"]
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(400)]
-    texts += ["", "<|endoftext|>", "a<|endoftext|>b", "x" * 9000, " " * 9000 + "y", "ab" * 3000 + "\n" * 5000, "word " * 3000]
+    texts += ["", "<|endoftext|>", "a<|endoftext|>b", "x" * 9000, " " * 9000 + "y", "ab" * 3000 + "\n" * 5000, "word " * 3000, "漢字" * 1500, "a b " * 700 + "y" * 5000, " " * 2100, "x\n" * 20 + "\t" * 4100 + "z"]
     ids, sizes = encoder.encode(pa.array(texts))
     ends = np.cumsum(sizes)
     for t, a, z in zip(texts, ends - sizes, ends, strict=True):
@@ -53,12 +53,13 @@ def test_cheapest_equals_brute_force():
         n, length = r.randint(1, 60), r.choice([1, 2, 5, 8, 16])
         at = sorted({0, n, *(i for i in range(n) if r.random() < 0.7), *range(0, n, max(1, length))})
         cost = [0] + [r.choice([0, 2, 8]) for _ in at[1:]]
+        free = lambda s: s & (s - 1) == 0 and s >= 4  # noqa: E731  smaller ones cost more than they hold
         best = {0: 0}
         for j in range(1, len(at)):
             sizes = [(i, at[j] - at[i]) for i in range(j) if at[j] - at[i] <= length]
-            best[j] = min(best[i] + (0 if s & (s - 1) == 0 else length - s) for i, s in sizes) + cost[j] + 3
+            best[j] = min(best[i] + (0 if free(s) else length - s) for i, s in sizes) + cost[j] + 3
         cuts = windows.cheapest(np.array(at), np.array(cost), length, 3)
-        spent = sum((0 if (s := at[b] - at[a]) & (s - 1) == 0 else length - s) + cost[b] + 3 for a, b in zip(cuts, cuts[1:], strict=False))
+        spent = sum((0 if free(s := at[b] - at[a]) else length - s) + cost[b] + 3 for a, b in zip(cuts, cuts[1:], strict=False))
         assert cuts[0] == 0 and cuts[-1] == len(at) - 1 and all(0 < at[b] - at[a] <= length for a, b in zip(cuts, cuts[1:], strict=False))
         assert spent == best[len(at) - 1]
 
@@ -102,7 +103,7 @@ def test_nulls_long_texts_repeats_and_no_rows(spark, encoder):
 
 
 def test_memory_is_a_chunk(encoder, monkeypatch):
-    """Cuts of a stream that comes in chunks cost at most a fiftieth more than those of the whole."""
+    """Cuts of a stream that comes in chunks cost at most a twentieth more than those of the whole, even in chunks of a few windows."""
     r = random.Random(4)
     texts = [" ".join("word" + r.choice(["", ".", "", ""]) for _ in range(r.randint(1, 900))) for _ in range(200)]
     ids, sizes = encoder.encode(pa.array(texts))
@@ -125,5 +126,5 @@ def test_memory_is_a_chunk(encoder, monkeypatch):
             total += len(out)
         sizes_ = np.diff([0, *cuts])
         assert total == len(ids) == cuts[-1]
-        spent.append((np.where(sizes_ & (sizes_ - 1) == 0, 0, 1024 - sizes_) + costs.window).sum() + cost[cuts].sum())
-    assert spent[2] == min(spent) and max(spent) <= 1.02 * spent[2]
+        spent.append((np.where((sizes_ & (sizes_ - 1) == 0) & (sizes_ >= 64), 0, 1024 - sizes_) + costs.window).sum() + cost[cuts].sum())
+    assert spent[2] == min(spent) and max(spent) <= 1.05 * spent[2]

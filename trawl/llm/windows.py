@@ -4,12 +4,12 @@ Where to cut is a dynamic programme over the places where a cut is cheap: the en
 and, so that no stretch is without one, places inside long sentences. With f(i) the least cost of the stream up to
 place c(i), f(j) = cut(j) + window + min over c(j) - length <= c(i) < c(j) of f(i) + length - (c(j) - c(i)); the part
 that depends on i is f(i) + c(i), whose minimum over the moving range a monotone queue keeps. A window whose length
-is a power of two needs no padding, so those few lengths are tried by themselves.
+is a power of two needs no padding, so those few lengths are tried by themselves (not those of fewer ids than what a
+window costs: one is never worth its own price).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -55,11 +55,11 @@ class ByteEncoder:
     It is, if ids are in the order of the merges and every token's own bytes are encoded as that token (both are checked
     for the whole vocabulary): two neighbouring tokens whose bytes together are a token's are then always the pair that
     makes it, as what stands around them has merged nothing across their ends. Texts go to the tokenizer itself if it is of another
-    kind, if they hold an added token's string, or a run of over LONGEST characters with or without white space. That
-    both libraries class every character alike is tested, character by character.
+    kind, if they hold an added token's string, or may hold a run of over 2 * BLOCK bytes with or without white space (a whole
+    block of such bytes says so). That both libraries class every character alike is tested, character by character.
     """
 
-    LONGEST = 4000
+    BLOCK = 2000
 
     def __init__(self, path: str):
         import json
@@ -105,15 +105,27 @@ class ByteEncoder:
         if self.fast is not None:
             for a in self.special:
                 slow |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
-        out, long_run = [], re.compile(rf"\S{{{self.LONGEST}}}|\s{{{self.LONGEST}}}")
+            slow |= self._long_runs(texts)
+        out = []
         for t, s in zip(texts.to_pylist(), slow.tolist(), strict=True):
-            if s or len(t) >= self.LONGEST and long_run.search(t):
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(self.fast.encode_to_numpy(t))
+            out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if s else self.fast.encode_to_numpy(t))
         return np.concatenate(out) if out else np.zeros(0, np.uint32), np.fromiter(map(len, out), np.int64, len(out))
 
 
+    def _long_runs(self, texts: pa.Array) -> np.ndarray:
+        """Whether each text overlaps a block of bytes that are all white space, or none."""
+        starts = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        held = texts.buffers()[2]
+        if not len(texts) or held is None:
+            return np.zeros(len(texts), bool)
+        raw = np.frombuffer(held, np.uint8)[starts[0] : starts[-1]]
+        n = len(raw) // self.BLOCK
+        space = (raw[: n * self.BLOCK] <= 32).reshape(n, self.BLOCK)
+        odd = np.flatnonzero(space.all(1) | ~space.any(1)) * self.BLOCK + starts[0]
+        first = np.searchsorted(odd + self.BLOCK, starts[:-1], "right")
+        return (first < len(odd)) & (odd[np.minimum(first, max(len(odd) - 1, 0))] < starts[1:]) if len(odd) else np.zeros(len(texts), bool)
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
@@ -143,7 +155,7 @@ def cheapest(at: np.ndarray, cut: np.ndarray, length: int, window: int) -> list[
     """The places (as indices of at) of the cheapest cuts, the first and last place among them."""
     m = len(at)
     extra: dict[int, list[int]] = {}
-    k = 1
+    k = 1 << max(0, window - 1).bit_length()
     while k <= length:
         i = np.searchsorted(at, at - k)
         for j in np.flatnonzero((at >= k) & (at[np.minimum(i, m - 1)] == at - k)).tolist():
@@ -181,7 +193,8 @@ def pack_stream(chunks: Iterator[tuple[list, np.ndarray, np.ndarray]], encoder:
     """(names, totals, document of each piece, start, bounds, window, offset, ids) over (names, ids, sizes) of whole documents in order.
 
     The programme runs over what is held, and what it cuts off well before the end of that is final; the rest is
-    looked at again with the documents that follow, so memory is that of a chunk and the cuts those of the whole.
+    looked at again with the documents that follow, so memory is that of a chunk and the cuts cost little more than those
+    of the whole.
     """
     names, totals, ids, ends, given, windows = [], np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), 0, 0
     pending = next(chunks, None)
