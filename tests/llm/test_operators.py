@@ -416,19 +416,50 @@ def test_toxicity_marks_clauses():
     assert f("they will hurt you")["threats"] > 0 and f("they will not hurt you")["threats"] == 0
 
 
+def test_toxicity_is_of_clauses_not_of_words():
+    m, lex = toxicity.grammar(), toxicity.seed_lexicon()
+    f = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, lex, m)))
+    trash, idiot = f("the trash collection is on monday"), f("idiot")
+    assert trash["weight"] == trash["one"] == trash["density"] == 0 < trash["lone"] and idiot["lone"] == 0 < idiot["weight"]
+    prior = lambda t: float(np.asarray(toxicity.features(t, lex, m)) @ toxicity.PRIOR[:-1])
+    assert prior("the trash collection is on monday. a kill switch for the trash of all") == 0 < prior("idiot")
+    for t in ("he said: you idiot", 'he said "you idiot"', '"you idiot", he said', 'she wrote: "oh you. you idiot." and left'):
+        assert f(t)["reported"] > 0 and f(t)["aimed"] == 0 and f(t)["weight"] < f("you idiot")["weight"]
+    assert f("he left. you idiot")["reported"] == 0 and f("note: you idiot")["aimed"] > 0
+    assert f("stupid and worthless, are you")["aimed"] > 0 and f("they will hurt the economy of it")["threats"] == 0
+
+
 def plain_machine(text, lexicon):
-    """The grammar without transducers: looks back over a clause's words for what each match stands under."""
-    weight, n, marks = 0.0, 0, Counter()
-    for clause in re.split(r"[.!?;:\n]+", (text or "").lower()):
-        kinds = [lexicon.symbol(w) for w in re.findall(r"[^\W\d_]+", clause)]
-        n += len(kinds)
+    """The grammar without transducers: looks around in a clause's words for what each match stands under."""
+    low = (text or "").lower()
+    cut, word = re.compile(r"[.!?;:\n]+"), re.compile(r"[^\W\d_]+")
+    says = lambda t: any(lexicon.symbol(w) == "reported" for w in word.findall(t))
+    quotes = [q.span() for q in re.finditer(r"[\"“„«][^\"“”„«»]*[\"”“»]", low) if says(re.split(cut, low[max(0, q.start() - 60) : q.start()].rstrip(" :"))[-1]) or says(re.split(cut, low[q.end() : q.end() + 60])[0])]
+    ends = [*((m.start(), m.end()) for m in cut.finditer(low)), (len(low), len(low))]
+    sums, marks, begin, before = Counter(), Counter(), 0, ("", "")
+    for stop, after in ends:
+        clause = low[begin:stop]
+        spoken = ":" in before[1] and says(before[0]) or any(a < stop and z > begin for a, z in quotes)
+        kinds = [lexicon.symbol(w) for w in word.findall(clause)]
+        short = len(kinds) <= 4 and sum(x != "insult" for x in kinds) <= 2 and "target" not in kinds
         for i, x in enumerate(kinds):
             if x in ("insult", "threat"):
-                negated, aimed, reported = "negation" in kinds[max(0, i - 3) : i], "target" in kinds[max(0, i - 4) : i], "reported" in kinds[:i]
-                weight += (1.0 if x == "insult" else 0.5) * (0.3 if negated else 1) * (1.5 if aimed else 1) * (0.5 if reported else 1)
-                marks.update({"negated": negated, "reported": reported, "aimed": aimed and not negated and not reported, "threats": x == "threat" and aimed and not negated and not reported})
-    log = np.log1p
-    return [*(float(weight >= k - 1e-9) for k in (1, 2, 3)), log(weight), *(log(float(marks[m])) for m in ("aimed", "threats", "negated", "reported")), min(1.0, 20 * weight / n) if weight else 0.0]
+                negated, reported, near = "negation" in kinds[max(0, i - 3) : i], spoken or "reported" in kinds[:i], "target" in kinds[i + 1 : i + 4]
+                aimed = near or x == "insult" and "target" in kinds[max(0, i - 4) : i]
+                left = (0.3 if negated else 1) * (0.5 if reported else 1)
+                if aimed:
+                    sums["clause"] += (1.5 if x == "insult" else 0.75) * left
+                elif short and x == "insult":
+                    sums["clause"] += left
+                else:
+                    sums["lone"] += (1.0 if x == "insult" else 0.5) * left
+                marks.update({"negated": negated, "reported": reported, "aimed": aimed and x == "insult" and not negated and not reported, "threats": aimed and x == "threat" and not negated and not reported})
+        begin, before = after, (clause, low[stop:after])
+    n, log = len(word.findall(low)), np.log1p
+    reach = lambda v: [float(v >= k - 1e-9) for k in (1, 2, 3)]
+    dense = lambda v: min(1.0, 20 * v / n) if v else 0.0
+    w, alone = sums["clause"], sums["lone"]
+    return [*reach(w), log(w), *(log(float(marks[m])) for m in ("aimed", "threats", "negated", "reported")), dense(w), log(alone), *reach(alone), dense(alone)]
 
 
 def test_toxicity_machine_equals_plain_look_back_over_a_whole_table(spark):
@@ -436,7 +467,7 @@ def test_toxicity_machine_equals_plain_look_back_over_a_whole_table(spark):
     lex = toxicity.Lexicon(lex.words, frozenset({"thing", "ander"}))
     table = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     r = random.Random(3)
-    words = [w for ws in toxicity.SEEDS.values() for w in ws] + ["house", "tree", ".", "!", ";"]
+    words = [w for ws in toxicity.SEEDS.values() for w in ws] + ["house", "tree", ".", "!", ";", ":", '"', "“"]
     for t in [*table, *(" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(500))]:
         assert np.allclose(toxicity.features(t, lex, machine), plain_machine(t, lex))
 

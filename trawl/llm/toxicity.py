@@ -1,10 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause's words become symbols (insult, threat, target, negation, reported speech, other). Three transducers mark
-the insults and threats in it: as negated, as reported, as aimed at someone. Their composition is one machine; what
-it emits over a document's clauses, by weight, are the document's features, and a logistic model makes them a score.
-No word counts by itself: an insult that its clause negates or reports weighs a part of one that it asserts, and only
-asserted weight can raise a score (marks of negation and report never have a positive coefficient).
+A clause's words become symbols (insult, threat, target, negation, reported speech, other) and a last one for its end.
+Two transducers say of insults and threats whether they are negated or reported; a third reads what these write and
+finds the clauses that count: an insult with a target near it, a clause that is hardly more than an insult (vocative),
+a threat with its target. Their composition is one machine, whose states are built as texts reach them. What it emits,
+by weight, are the document's features, and a logistic model makes them a score.
+
+An insult or threat outside such a clause is a lone word: it has features of its own, which weigh what the labels teach
+and nothing without labels. One that its clause negates or reports weighs a part of one that it asserts, and such marks
+never raise a score. A report holds over a colon and as long as a quotation does.
 
 The insult lexicon and the model are fitted on a bounded sample of labelled rows (sample, by a hash of the id): words
 and five-letter stems that tell toxic from other documents beyond chance (G-test, Bonferroni over a million features).
@@ -13,6 +17,7 @@ and five-letter stems that tell toxic from other documents beyond chance (G-test
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,53 +51,108 @@ SEEDS = {
         "disait", "écrit", "dijo", "dice", "escribió",
     ),
 }
-SYMBOLS = ("insult", "threat", "target", "negation", "reported", "other")
+SYMBOLS = ("insult", "threat", "target", "negation", "reported", "other", "end")
 STEM = 5
-#: What a match weighs before its clause's arcs change that.
-WEIGHTS = {"insult": 1.0, "threat": 0.5}
+#: What a clause weighs, and a lone word, before negation and report change that; and what these leave of it.
+CLAUSES, LONE = {"insult": 1.5, "vocative": 1.0, "threat": 0.75}, {"lone insult": 1.0, "lone threat": 0.5}
+NEGATED, REPORTED = 0.3, 0.5
+#: Words back and on in which an insult's target stands, and on for a threat's; a vocative's words, and how many of them are no insults.
+BACK, ON, VOCATIVE, BESIDE = 4, 3, 4, 2
 _WORD, _CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]+")
+#: A quotation, and how far from it what reports it stands.
+_QUOTED, NEAR = re.compile(r"[\"“„«][^\"“”„«»]*[\"”“»]"), 60
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: (state, symbol) to (next state, marks, factor); what is not listed keeps the state and adds nothing."""
+    """Deterministic: (state, symbol) to (next state, marks); what is not listed keeps the state and writes nothing."""
 
     start: object
     arcs: dict = field(hash=False)
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, (), 1.0))
+        return self.arcs.get((state, symbol), (state, ()))
 
 
 def compose(a: Transducer, b: Transducer) -> Transducer:
-    """Runs both over the same symbols; marks add up, factors multiply. Only states that can be reached are built."""
+    """Runs both over the same symbols; marks add up. Only states that can be reached are built."""
     start = (a.start, b.start)
     arcs, todo, seen = {}, [start], {start}
     while todo:
         s, t = todo.pop()
         for x in SYMBOLS:
-            (s2, m, f), (t2, n, g) = a.step(s, x), b.step(t, x)
-            arcs[(s, t), x] = ((s2, t2), m + n, f * g)
+            (s2, m), (t2, n) = a.step(s, x), b.step(t, x)
+            arcs[(s, t), x] = ((s2, t2), m + n)
             if (s2, t2) not in seen:
                 seen.add((s2, t2))
                 todo.append((s2, t2))
     return Transducer(start, arcs)
 
 
-def _window(opener: str, mark: str, factor: float, reach: int) -> Transducer:
+def _window(opener: str, mark: str, reach: int) -> Transducer:
     """Marks insults and threats up to reach words after an opener."""
     arcs = {}
     for state in range(reach + 1):
         for x in SYMBOLS:
-            arcs[state, x] = (max(0, state - 1), (mark,) if state and x in ("insult", "threat") else (), factor if state and x in ("insult", "threat") else 1.0)
-        arcs[state, opener] = (reach, (), 1.0)
+            arcs[state, x] = (max(0, state - 1), (mark,) if state and x in ("insult", "threat") else ())
+        arcs[state, opener] = (reach, ())
     return Transducer(0, arcs)
 
 
-def grammar() -> Transducer:
-    """negated within 3 words, aimed within 4, reported to the clause's end."""
-    reported = Transducer(0, {(0, "reported"): (1, (), 1.0), **{(1, x): (1, ("reported",), 0.5) for x in ("insult", "threat")}})
-    return compose(compose(_window("negation", "negated", 0.3, 3), _window("target", "aimed", 1.5, 4)), reported)
+def modifiers() -> Transducer:
+    """negated within 3 words, reported to the clause's end."""
+    reported = Transducer(0, {(0, "reported"): (1, ()), **{(1, x): (1, ("reported",)) for x in ("insult", "threat")}})
+    return compose(_window("negation", "negated", 3), reported)
+
+
+@dataclass(frozen=True)
+class Clause:
+    """The third transducer: what of a clause has been read. waiting: insults and threats whose target may still come."""
+
+    target: int = 0  # words in which an insult still has the last target behind it
+    aimed: bool = False  # there was a target
+    words: int = 0
+    beside: int = 0  # words that are no insults
+    waiting: tuple = ()  # (kind, words since, negated, reported)
+
+    def step(self, x: str, marks: tuple) -> tuple[Clause, tuple]:
+        out, waiting = [], [(k, n + 1, a, b) for k, n, a, b in self.waiting]
+        if x == "end":
+            short = self.words <= VOCATIVE and self.beside <= BESIDE and not self.aimed
+            return Clause(), tuple(("vocative" if short and k == "insult" else f"lone {k}", a, b) for k, _, a, b in waiting)
+        out += [(f"lone {k}", a, b) for k, n, a, b in waiting if n > ON]
+        waiting = [w for w in waiting if w[1] <= ON]
+        if x == "target":
+            out += [(k, a, b) for k, _, a, b in waiting]
+            waiting = []
+        if x in ("insult", "threat"):
+            own = "negated" in marks, "reported" in marks
+            if x == "insult" and self.target:
+                out.append((x, *own))
+            else:
+                waiting.append((x, 0, *own))
+        target = BACK if x == "target" else max(0, self.target - 1)
+        return Clause(target, self.aimed or x == "target", min(self.words + 1, VOCATIVE + 1), min(self.beside + (x != "insult"), BESIDE + 1), tuple(waiting)), tuple(out)
+
+
+class Machine:
+    """The cascade of the modifiers and the clause, built as it is walked; its states are few, as all counts end early."""
+
+    def __init__(self):
+        self.modifiers, self.arcs = modifiers(), {}
+        self.start = (self.modifiers.start, Clause())
+
+    def step(self, state, symbol: str) -> tuple[object, tuple]:
+        arc = self.arcs.get((state, symbol))
+        if arc is None:
+            first, marks = self.modifiers.step(state[0], symbol)
+            second, out = state[1].step(symbol, marks)
+            arc = self.arcs[state, symbol] = (first, second), out
+        return arc
+
+
+def grammar() -> Machine:
+    return Machine()
 
 
 @dataclass(frozen=True)
@@ -101,44 +161,69 @@ class Lexicon:
     stems: frozenset[str] = frozenset()
 
     def symbol(self, word: str) -> str:
-        return "insult" if word[:STEM] in self.stems and len(word) >= STEM else self.words.get(word, "other")
+        known = self.words.get(word)
+        return known or ("insult" if word[:STEM] in self.stems and len(word) >= STEM else "other")
 
 
 def seed_lexicon() -> Lexicon:
     return Lexicon({w: kind for kind in ("target", "negation", "reported", "threat", "insult") for w in SEEDS[kind]})
 
 
-FEATURES = ("one", "two", "three", "weight", "aimed", "threats", "negated", "reported", "density")
+FEATURES = ("one", "two", "three", "weight", "aimed", "threats", "negated", "reported", "density", "lone", "lone_one", "lone_two", "lone_three", "lone_density")
+
+
+def clauses(low: str, lexicon: Lexicon, loud: set[str]) -> Iterator[tuple[list[str], bool]]:
+    """The clauses with a word of loud: their words, and whether the clause is part of what someone is reported to say."""
+    reports = lambda text: any(lexicon.symbol(w) == "reported" for w in _WORD.findall(text))
+    spoken = []
+    for q in _QUOTED.finditer(low):
+        before = _CLAUSE.split(low[max(0, q.start() - NEAR) : q.start()].rstrip(" :"))[-1]
+        if reports(before) or reports(_CLAUSE.split(low[q.end() : q.end() + NEAR])[0]):
+            spoken.append((q.start(), q.end()))
+    begin, held, k = 0, False, 0
+    for m in [*_CLAUSE.finditer(low), None]:
+        end = m.start() if m else len(low)
+        part = low[begin:end]
+        words = _WORD.findall(part)
+        while k < len(spoken) and spoken[k][1] <= begin:
+            k += 1
+        if not loud.isdisjoint(words):
+            yield words, held or k < len(spoken) and spoken[k][0] < end
+        held = m is not None and ":" in m[0] and reports(part)
+        begin = m.end() if m else end
 
 
-def features(text: str | None, lexicon: Lexicon, machine: Transducer) -> list[float]:
+def features(text: str | None, lexicon: Lexicon, machine: Machine) -> list[float]:
     """What the machine emits over a text's clauses.
 
-    An insult or threat counts by the product of its arcs' factors: one where it is asserted, more where it is aimed
-    at someone, a part where it is negated or reported. one, two, three: the clauses' weights reach that sum.
+    one, two, three, weight, density: of clauses, by the weight of their kind and what negation and report leave of it.
+    aimed, threats: asserted ones. lone and the rest: the same of lone words.
     """
     low = (text or "").lower()
     own = _WORD.findall(low)
     loud = {w for w in set(own) if lexicon.symbol(w) in ("insult", "threat")}
     if not loud:
         return [0.0] * len(FEATURES)
-    weight, marks = 0.0, {"aimed": 0, "negated": 0, "reported": 0, "threats": 0}
-    for clause in _CLAUSE.split(low):
-        tokens = _WORD.findall(clause)
-        if loud.isdisjoint(tokens):
-            continue
+    weight = lone = 0.0
+    marks = dict.fromkeys(("aimed", "threats", "negated", "reported"), 0)
+    for words, spoken in clauses(low, lexicon, loud):
         state = machine.start
-        for w in tokens:
-            x = lexicon.symbol(w)
-            state, out, factor = machine.step(state, x)
-            if x in ("insult", "threat"):
-                weight += factor * WEIGHTS[x]
-                asserted = "negated" not in out and "reported" not in out
-                marks["threats"] += asserted and x == "threat" and "aimed" in out
-                for m in out:
-                    marks[m] += m != "aimed" or asserted
+        for x in [*map(lexicon.symbol, words), "end"]:
+            state, out = machine.step(state, x)
+            for kind, negated, reported in out:
+                reported = reported or spoken
+                left = (NEGATED if negated else 1.0) * (REPORTED if reported else 1.0)
+                weight += CLAUSES.get(kind, 0.0) * left
+                lone += LONE.get(kind, 0.0) * left
+                marks["negated"] += negated
+                marks["reported"] += reported
+                if not negated and not reported:
+                    marks["aimed"] += kind == "insult"
+                    marks["threats"] += kind == "threat"
     log = lambda v: float(np.log1p(v))
-    return [*(float(weight >= k) for k in (1, 2, 3)), log(weight), *(log(marks[m]) for m in ("aimed", "threats", "negated", "reported")), min(1.0, 20 * weight / len(own))]
+    reach = lambda v: [float(v >= k - 1e-9) for k in (1, 2, 3)]
+    dense = lambda v: min(1.0, 20 * v / len(own))
+    return [*reach(weight), log(weight), *(log(n) for n in marks.values()), dense(weight), log(lone), *reach(lone), dense(lone)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -155,8 +240,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) ->
     return w
 
 
-#: Without both labels in the sample: two plain insults tip the score.
-PRIOR = np.asarray([0.0, 4.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, -3.0])
+#: Without both labels in the sample: two insulting clauses tip the score, lone words do not move it.
+PRIOR = np.asarray([4.0 if name == "two" else float(name == "weight") for name in FEATURES] + [-3.0])
 
 
 @dataclass(frozen=True)
@@ -198,7 +283,8 @@ def learn_lexicon(labelled: DataFrame, n_bad: int, n_good: int, g_least: float =
     rows = _evidence(labelled).where((F.col("bad") >= 3) & (2 * F.col("bad") > has)).withColumn("g", g).where(F.col("g") >= g_least).select("feature").collect()
     seeds = seed_lexicon()
     learned = {r["feature"]: "insult" for r in rows if not r["feature"].endswith("*")}
-    return Lexicon(seeds.words | learned, frozenset(r["feature"][:-1] for r in rows if r["feature"].endswith("*")))
+    # What the seeds know stays: a target that toxic documents name more often is a target still.
+    return Lexicon(learned | seeds.words, frozenset(r["feature"][:-1] for r in rows if r["feature"].endswith("*")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> Model:
