@@ -19,7 +19,7 @@ def test_oracle(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
-    got, want = queries.queries()[name](spark, DATA).toArrow(), con.execute(queries.oracle_sql()[name]).fetch_arrow_table()
+    got, want = queries.queries()[name](spark, DATA).toArrow(), con.execute(queries.oracle_sql()[name]).to_arrow_table()
     cols = sorted(got.column_names)
     assert cols == sorted(want.column_names)
     rows = lambda table: sorted(tuple(str(r[c]) for c in cols) for r in table.to_pylist())
