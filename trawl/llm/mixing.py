@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import WORD, blocks, carried, written
+from trawl.llm.shared import WORD, blocks, boxed, carried, unboxed, written
 
 #: Weights of the sources in order, repeating (fixed by the contract of the query).
 WEIGHTS = (5.0, 2.0, 1.0)
 #: So many patterns at most are sent to the documents; more are joined by a shuffle, with the same result.
 MOST_SENT = 20_000
+RESULTS = ("_size", "_members", "_source_size", "_target", "_taken")
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, cap: float = 3.0) -> list[float]:
@@ -192,17 +193,19 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
     hash ranges in each pattern, in which the flow ends. Texts of any length count by their size alone. Columns of docs
     with a result's name give way. An empty table gives no rows.
     """
-    keep = carried(docs, keep, ("_size", "_members", "_source_size", "_target", "_taken", "_hash", "_bucket"))
+    keep = carried(docs, keep, RESULTS)
     spark = docs.sparkSession
     own = F.coalesce(members, F.array(F.lit(None).cast("string")))
     hashed = F.xxhash64(F.lit(seed), F.col(id_col))
-    sized = docs.select(*keep, F.array_sort(F.array_distinct(own)).alias("_members"), size.alias("_size"), hashed.alias("_hash"))
+    columns, inner = boxed(docs, keep)
+    sized = docs.select(*columns, docs[f"`{id_col}`"].alias("_id"), F.array_sort(F.array_distinct(own)).alias("_members"), size.alias("_size"), hashed.alias("_hash"))
     sized = written(sized.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - int(math.log2(buckets))).cast("int")), "sized")
     parts = sized.groupBy("_members", "_bucket").agg(F.sum("_size").alias("words"))
     patterns = written(parts.groupBy("_members").agg(F.sum("words").alias("words")), "patterns")
     found = patterns.select("words", F.explode("_members").alias("_name")).groupBy("_name").agg(F.sum("words").alias("words")).collect()  # a row for each source
     if not found:
-        return sized.select(*keep, "_size", "_members", F.array().cast("array<long>").alias("_source_size"), F.array().cast("array<double>").alias("_target"), F.lit(0).cast("long").alias("_taken"))
+        nothing = sized.select(*inner, "_size", "_members", F.array().cast("array<long>").alias("_source_size"), F.array().cast("array<double>").alias("_target"), F.lit(0).cast("long").alias("_taken"))
+        return unboxed(nothing, keep, RESULTS)
     found.sort(key=lambda r: (r["_name"] is None, r["_name"] or ""))
     total = patterns.agg(F.sum("words")).first()[0]
     target = water_fill([r["words"] for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))], total, passes)
@@ -218,12 +221,12 @@ def mix(docs: DataFrame, members: Column, size: Column, id_col: str = "doc_id",
     told = written(plan.join(ends, F.col("_m").eqNullSafe(F.col("_q")), "left").drop("_q"), "plan")  # a row for each pattern
     dealt = sized.join(F.broadcast(told) if told.count() <= MOST_SENT else told.hint("merge"), same)
     base = F.col("_whole") * F.col("_size")
-    out = [*keep, "_size", "_members", "_source_size", "_target"]
+    out = [*inner, "_size", "_members", "_source_size", "_target"]
     plain = dealt.where(F.col("_end").isNull() | (F.col("_bucket") != F.col("_end"))).select(*out, (base + F.when(F.col("_bucket") < F.col("_end"), F.col("_size")).otherwise(0)).cast("long").alias("_taken"))
-    order = Window.partitionBy("_m").orderBy("_hash", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("_m").orderBy("_hash", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     edge = dealt.where(F.col("_bucket") == F.col("_end")).withColumn("_seen", F.col("_start") + F.coalesce(F.sum("_size").over(order), F.lit(0)))
     edge = edge.select(*out, (base + F.greatest(F.lit(0), F.least(F.col("_size"), F.col("_rest") - F.col("_seen")))).cast("long").alias("_taken"))
-    return plain.unionByName(edge)
+    return unboxed(plain.unionByName(edge), keep, RESULTS)
 
 
 def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **more) -> DataFrame:

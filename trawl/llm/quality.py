@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trawl.llm.shared import carried, in_chunks, lean, small_batches, written
+from trawl.llm.shared import boxed, carried, in_chunks, lean, small_batches, unboxed, written
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEAT = "#*$%&|<>", 5, 10, 20
@@ -221,13 +221,14 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
     upper, entropy over its lower one. Bands are z standard deviations (by quartiles) wide and hold for a language
     (null, or no lang_col: for the script of most letters) and a length class (powers of two of tokens); classes of
     under 30 rows take wider bands (class_limits), so every document with words gets a verdict.
-    Nulls: a null text counts as empty, fails the base and is not kept. Repeated rows are judged alike. An empty
-    table gives no rows.
+    Nulls: a null text counts as empty, fails the base and is not kept. Repeated rows are judged alike. Texts of any
+    length count whole. An empty table gives no rows. Columns of any name are carried, but for those of the results.
     """
     keep = carried(docs, keep, (*BASE, *METRICS, "base_failed", "kept"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("__group__", F.lit(None).cast("string") if lang_col is None else F.col(lang_col).cast("string"))
-    held = measured(own, vocabularies, text_col, [*keep, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    columns, inner = boxed(docs, keep)
+    group = F.lit(None).cast("string") if lang_col is None else docs[f"`{lang_col}`"].cast("string")
+    own = docs.select(*columns, docs[f"`{text_col}`"].alias("text_in"), group.alias("__group__"))
+    held = measured(own, vocabularies, "text_in", [*inner, "__group__"]).withColumn("__length__", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     held = held.withColumn("__group__", F.coalesce("__group__", F.concat(F.lit("script "), "__script__")))
     held = written(held, "quality")
     limits = _sent(written(class_limits(held, z), "limits"))
@@ -239,4 +240,5 @@ def judge_quality(docs: DataFrame, vocabularies: tuple[str, str, str], text_col:
         if high:
             outside = outside | F.coalesce(F.col(m) > F.col(f"{m}_high"), F.lit(False))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
-    return judged.select(*keep, *BASE, *METRICS, failed.alias("base_failed"), (~failed & ~outside).alias("kept"))
+    out = [*BASE, *METRICS, "base_failed", "kept"]
+    return unboxed(judged.select(*inner, *BASE, *METRICS, failed.alias("base_failed"), (~failed & ~outside).alias("kept")), keep, out)

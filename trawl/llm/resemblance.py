@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.shared import blocks, lean, small_batches, written
+from trawl.llm.shared import blocks, boxed, lean, small_batches, unboxed, written
 from trawl.llm.simhash import least_rows, shingle_hashes, simhash
 from trawl.llm.simhash import links as simhash_links
 
@@ -201,8 +201,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents link if the Jaccard similarity of their shingle sets (A-Z lower-cased, of all words where they are fewer)
     is at least similarity. Nulls: a null or empty text has the empty set, and all of these are one component; a null
     id is never the smallest unless all are null. Texts of any length count whole. An empty table gives no rows.
+    Columns of any name are carried.
     """
-    names = docs.columns
+    keep = docs.columns
+    columns, names = boxed(docs, keep)
+    id_col, text_col = names[keep.index(id_col)], names[keep.index(text_col)]
+    docs = docs.select(*columns)
     at = written(signatures(docs, text_col, names, shingle), "signatures")
     edges = links(at, text_col, similarity, shingle)
     roots = written(components(edges, "a", "b"), "roots").withColumnRenamed("node", "_key")
@@ -212,4 +216,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = named.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("x"))
     best = best.select(F.col("x._key").alias("_k"), F.col("x._id").alias("_i"))
     kept = at.join(best, (F.col("_key") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_i")))
-    return least_rows(kept, "_key", names)
+    return unboxed(least_rows(kept, "_key", names), keep)

@@ -88,6 +88,17 @@ def carried(docs: DataFrame, keep: list[str] | None, produced: tuple[str, ...])
     return list(keep) if keep is not None else [c for c in docs.columns if c.lower() not in own]
 
 
+def boxed(docs: DataFrame, keep: list[str]) -> tuple[list, list[str]]:
+    """keep as columns under names of our own, so that no name of the caller's meets an inner one, and these names."""
+    own = [f"kept_{i}" for i in range(len(keep))]
+    return [docs[f"`{c}`"].alias(k) for c, k in zip(keep, own, strict=True)], own
+
+
+def unboxed(df: DataFrame, keep: list[str], rest: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The columns of boxed under the caller's names, then rest."""
+    return df.select(*(df[f"kept_{i}"].alias(c) for i, c in enumerate(keep)), *rest)
+
+
 def small_batches(spark: SparkSession, rows: int = 512, size: str = "16m") -> None:
     """Arrow batches of so few rows and bytes that they fit a Python worker many times over.
 
