@@ -427,3 +427,23 @@ def diff_similar(spark, sf):
     later = spark.sql(LATER.replace("FROM s ", f"FROM {view} "))
     found = renames.diff_similar(s.select(F.col("p").alias("path"), "text"), later)
     return found.select("action", "file_path", F.coalesce("previous_path", F.lit("")).alias("previous_path"), F.coalesce("similarity", F.lit(-1.0)).alias("similarity"))
+
+
+@query(
+    "hyde_cache_branches",
+    """WITH c AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END) AS h, lang AS v, 'm' || doc_id % 2 AS m, 'id' || doc_id // 2 * 2 AS i FROM documents),
+ k AS (SELECT doc_id, md5(text) AS h, lang AS v, 'm' || CASE WHEN doc_id % 3 = 0 THEN 9 ELSE doc_id % 2 END AS m, 'id' || doc_id // 2 * 2 AS i, 'q' || doc_id AS q FROM documents WHERE doc_id % 5 <> 0),
+ e1 AS (SELECT h, v, m, arg_min(q, doc_id) AS q FROM k GROUP BY 1, 2, 3), e2 AS (SELECT h, v, arg_min(q, doc_id) AS q FROM k GROUP BY 1, 2), e3 AS (SELECT i, arg_min(q, doc_id) AS q FROM k GROUP BY 1)
+ SELECT c.doc_id, coalesce(e1.q, e2.q, e3.q) AS questions, CASE WHEN e1.q IS NOT NULL THEN 'exact' WHEN e2.q IS NOT NULL THEN 'any_model' WHEN e3.q IS NOT NULL THEN 'source_id' ELSE 'fallback' END AS lookup
+ FROM c LEFT JOIN e1 ON c.h = e1.h AND c.v = e1.v AND c.m = e1.m LEFT JOIN e2 ON c.h = e2.h AND c.v = e2.v LEFT JOIN e3 ON c.i = e3.i""",
+)
+def hyde_cache_branches(spark, sf):
+    """A cache that is met by content and model, by content under another model, by the source's id after its text changed, or not at all."""
+    d = load(spark, sf, "documents")
+    id_ = F.concat(F.lit("id"), (F.floor(F.col("doc_id") / 2) * 2).cast("string"))
+    model = lambda x: F.concat(F.lit("m"), x.cast("string"))
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    chunks = d.select("doc_id", F.md5(text).alias("h"), F.col("lang").alias("v"), model(F.col("doc_id") % 2).alias("m"), id_.alias("i"))
+    other = F.when(F.col("doc_id") % 3 == 0, F.lit(9)).otherwise(F.col("doc_id") % 2)
+    cache = d.where("doc_id % 5 <> 0").select(F.md5("text").alias("h"), F.col("lang").alias("v"), model(other).alias("m"), id_.alias("i"), F.lit(True).alias("ok"), F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("questions"), F.col("doc_id").alias("line_no"))
+    return incremental.cached_questions(chunks, cache, "h", "v", "m", "i").select("doc_id", "questions", "lookup")

@@ -388,3 +388,38 @@ def chunk_nested(spark, sf):
     code = F.concat(F.lit("class C"), F.col("doc_id").cast("string"), F.lit(":\n"), F.array_join(F.transform(F.filter(lines, lambda x: x != ""), method), ""))
     docs = load(spark, sf, "documents").select("doc_id", code.alias("code"), F.lit("a.py").alias("path"))
     return nesting.by_nesting(docs, "doc_id", "code", "path", 200).select("doc_id", "chunk_index", "level", F.md5("chunk").alias("chunk_md5"))
+
+
+@query(
+    "pseudo_embedding_whole",
+    "SELECT doc_id, array_to_string(list_transform(generate_series(0, 31), lambda k: (w[k + 1] - CASE WHEN w[k + 1] >= 32768 THEN 65536 ELSE 0 END)::VARCHAR), ' ') AS vector FROM (SELECT doc_id, list_transform(generate_series(0, 31), lambda k: ('0x' || substr(h, k * 4 + 1, 4))::BIGINT) AS w FROM (SELECT doc_id, sha256(concat(source, '-', doc_id, ':0')) || sha256(concat(source, '-', doc_id, ':1')) AS h FROM documents))",
+)
+def pseudo_embedding_whole(spark, sf):
+    """All values, of two digests."""
+    v = load(spark, sf, "documents").select("doc_id", vectors.pseudo_embedding(F.concat_ws("-", "source", F.col("doc_id").cast("string")), 32).alias("v"))
+    return v.select("doc_id", joined(F.transform("v", lambda x: F.round(x * 32768).cast("int").cast("string"))).alias("vector"))
+
+
+@query(
+    "reply_shapes",
+    r"""SELECT conv_id, turn, CASE k WHEN 0 THEN l WHEN 1 THEN o WHEN 2 THEN '{"p": "C:\\dir\\' || conv_id || '"}' WHEN 3 THEN '{"p": "a\\q b"}' WHEN 4 THEN l WHEN 5 THEN '{"a": {"b": "}"}}' END AS parsed,
+ CASE k WHEN 0 THEN 'direct' WHEN 1 THEN 'extracted' WHEN 2 THEN 'repaired_escapes' WHEN 3 THEN 'repaired_escapes' WHEN 4 THEN 'extracted' WHEN 5 THEN 'extracted' ELSE 'error' END AS parse_mode
+ FROM (SELECT *, (conv_id + turn) % 7 AS k, format('[{}, {}]', conv_id, turn) AS l, format('{{"id": {}}}', conv_id) AS o FROM conversations)""",
+)
+def reply_shapes(spark, sf):
+    """Lists, a later fence after a broken one, escapes that are none (in a fence, in prose), a list in prose, a brace in a string, no JSON."""
+    c = load(spark, sf, "conversations")
+    list_ = F.concat(F.lit("["), F.col("conv_id"), F.lit(", "), F.col("turn"), F.lit("]"))
+    fence = lambda x: F.concat(F.lit("```json\n"), x, F.lit("\n```"))
+    shapes = [
+        list_,
+        F.concat(fence(F.lit('{"id": ')), F.lit("\nor\n"), fence(F.concat(F.lit('{"id": '), F.col("conv_id"), F.lit("}")))),
+        fence(F.concat(F.lit('{"p": "C:\\dir\\'), F.col("conv_id"), F.lit('"}'))),
+        F.lit('see {"p": "a\\q b"} there'),
+        F.concat(F.lit("these: "), list_, F.lit(" fit")),
+        F.lit('so {"a": {"b": "}"}} it is'),
+    ]
+    reply = F.lit("nothing to parse { here")
+    for i, shape in enumerate(shapes):
+        reply = F.when((F.col("conv_id") + F.col("turn")) % 7 == i, shape).otherwise(reply)
+    return questions.parse_replies(c.select("conv_id", "turn", reply.alias("reply")), "reply").select("conv_id", "turn", "parsed", "parse_mode")
