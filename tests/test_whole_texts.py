@@ -1,4 +1,4 @@
-"""Queries whose SQL cuts the text: fixtures that only whole texts answer right."""
+"""Queries that once cut the text: fixtures that only whole texts answer right."""
 
 from __future__ import annotations
 
