@@ -74,3 +74,9 @@ def test_holders_equal_a_search_of_all_pairs(spark):
     assert sorted((g.i, g.d) for g in got.collect()) == want
     long = spark.createDataFrame([(1, "one two three four"), (2, "two three four five six")], "i long, text string")
     assert [(g.i, g.d) for g in evals.holders(long, spark.createDataFrame([(7, "zero one two three four five")], "d long, text string"), "i", "d").collect()] == [(1, 7)]
+
+
+def test_the_same_file_by_its_end_or_its_name(spark):
+    rows = [("src/a.py", "a.py", True), ("a.py", "/x/src/a.py", True), ("x/b.py", "y/b.py", True), ("x/b.py", "y/c.py", False), (None, "a.py", None)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert df.where(~evals.same_file_loosely("a", "b").eqNullSafe(F.col("want"))).count() == 0
