@@ -74,3 +74,12 @@ def test_nulls_and_late_rows(spark, tmp_path, zone):
     assert got == []
     got, _ = feed.send(("y", 9000, ""))
     assert sorted((r.k, r.renewals) for r in got) == [("z", 2)]
+
+
+def test_a_key_holds_one_timer_however_many_leases_are_open(spark, tmp_path, zone):
+    feed = Feed(spark, tmp_path, lambda s: timers.lease_expiries(s, "k", "ts", 60, "100000 seconds"))
+    _, few = feed.send(("a", 0, ""))
+    _, many = feed.send(*(("a", 100 * i, "") for i in range(1, 50)))
+    assert many <= few + 49  # a row for each lease that came, no timer
+    got, _ = feed.send(("z", 200_000, ""))
+    assert sorted((r.expired_at - T0).total_seconds() for r in got) == [100.0 * i + 60 for i in range(50)]
