@@ -39,3 +39,14 @@ def test_searches_send_no_row_for_a_document_and_term(spark):
         assert "explode" not in plan and [r.id for r in found.where("q = 2").orderBy("rank").collect()] == [0, 1, 2]
     assert words.where("q = 1").count() == 3
     assert lexical.or_search(q, docs, "q", "id").where("q = 2").count() == 10
+
+
+def test_fusion_routed_searches_once(spark, monkeypatch):
+    from trawl.plans import search_queries
+
+    calls = []
+    for name in ("words_hits", "shape_hits"):
+        was = getattr(search_queries, name)
+        monkeypatch.setattr(search_queries, name, lambda *a, was=was, name=name: calls.append(name) or was(*a))
+    search_queries.fusion_routed(spark, "/root/testdata/sf0.001")
+    assert calls == ["words_hits", "shape_hits"]
