@@ -76,10 +76,40 @@ def test_nulls_and_late_rows(spark, tmp_path, zone):
     assert sorted((r.k, r.renewals) for r in got) == [("z", 2)]
 
 
-def test_a_key_holds_one_timer_however_many_leases_are_open(spark, tmp_path, zone):
-    feed = Feed(spark, tmp_path, lambda s: timers.lease_expiries(s, "k", "ts", 60, "100000 seconds"))
-    _, few = feed.send(("a", 0, ""))
-    _, many = feed.send(*(("a", 100 * i, "") for i in range(1, 50)))
-    assert many <= few + 49  # a row for each lease that came, no timer
-    got, _ = feed.send(("z", 200_000, ""))
-    assert sorted((r.expired_at - T0).total_seconds() for r in got) == [100.0 * i + 60 for i in range(50)]
+class Handle:
+    """Counts what a key's state is asked for."""
+
+    def __init__(self):
+        self.held, self.calls = [], 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        return iter(self.held)
+
+    def put(self, rows):
+        self.held = rows
+
+    def clear(self):
+        self.held = []
+
+    def listTimers(self):
+        return iter(range(len(self.held)))
+
+    def registerTimer(self, at):
+        self.calls += 1
+
+    deleteTimer = registerTimer
+
+
+def test_a_key_sets_one_timer_however_many_leases_are_open():
+    from types import SimpleNamespace
+
+    own, handle = timers.Leases(60_000_000), Handle()
+    own.init(handle)
+    own.handleInputRows(("a",), [SimpleNamespace(_t=100_000_000 * i) for i in range(50)], None)
+    assert handle.calls == 1 and len(handle.held) == 50
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 160_000, getExpiryTimeInMs=lambda: 60_000)
+    assert [r.expired for r in own.handleExpiredTimer(("a",), now, now)] == [60_000_000, 160_000_000]
+    assert handle.calls == 2 and len(handle.held) == 48
