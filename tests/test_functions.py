@@ -334,3 +334,27 @@ def test_floor_rank(spark):
     got = {p: {r["k"]: r["value"] for r in evals.floor_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", p).collect()} for p in (0.0, 0.5, 0.6, 0.95, 1.0)}
     want = {p: {k: (own := sorted(v for x, v in rows if x == k))[min(int(p * len(own)), len(own) - 1)] for k in "ab"} for p in got}
     assert got == want
+
+
+def test_chunks_leave_before_their_batch_is_through():
+    """A task holds some chunks at a time, not those of all texts of an Arrow batch."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    seen, n = [], 3 * chunking.MOST_ROWS
+    run = chunking._each(Docs(), "id", ["t"], lambda t: seen.append(t) or [(0, t)], "k bigint, chunk string")
+    batch = lambda text: pa.RecordBatch.from_pydict({"id": list(range(n)), "t": [text] * n})
+    out = run(iter([batch("a")]))
+    first = next(out)
+    assert len(seen) == first.num_rows == chunking.MOST_ROWS
+    assert first.num_rows + sum(b.num_rows for b in out) == n
+    assert next(run(iter([batch("long" * 1000)]))).num_rows <= chunking.MOST_CHARS // 4000 + 1

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from trawl.functions.helpers import suffix
 
 CHUNK, OVERLAP, CAP, LINES, LINES_CAP = 1500, 200, 4000, 120, 12_000
+#: Chunks, and characters of them, that leave a task together.
+MOST_ROWS, MOST_CHARS = 2048, 1 << 21
 
 #: Fixed tables: languages by extension and the line starts that open a chunk.
 BOUNDARY_LANGUAGES = {
@@ -120,13 +122,26 @@ def boundary_chunks(text: str, lang: str | None, cap: int = CAP) -> list[tuple[s
 def _each(docs: DataFrame, id_col: str, cols: list[str], f: Callable, schema: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    types = [pa.string() if x.endswith(" string") else pa.int64() for x in schema.split(",")]
 
     def run(batches):
         for b in batches:
-            rows = [(i, *r) for i, *args in zip(b.column(id_col).to_pylist(), *(b.column(c).to_pylist() for c in cols), strict=True) for r in f(*args)]
-            for lo in range(0, len(rows), 2048):
-                part = list(zip(*rows[lo : lo + 2048], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], b.schema.field(id_col).type), *map(pa.array, part[1:])], [id_col, *names])
+            kind = b.schema.field(id_col).type
+            held, size = [], 0
+            for r in range(b.num_rows):  # a text at a time: neither a batch's texts nor its chunks stand in Python together
+                own = b.column(id_col)[r].as_py()
+                for row in f(*(b.column(c)[r].as_py() for c in cols)):
+                    held.append((own, *row))
+                    size += sum(len(x) for x in row if isinstance(x, str))
+                    if len(held) >= MOST_ROWS or size >= MOST_CHARS:
+                        yield batch(held, kind)
+                        held, size = [], 0
+            if held:
+                yield batch(held, kind)
+
+    def batch(rows, kind):
+        first, *rest = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(first, kind), *(pa.array(c, t) for c, t in zip(rest, types, strict=True))], [id_col, *names])
 
     return docs.select(id_col, *cols).mapInArrow(run, f"{id_col} {kind}, {schema}")
 
@@ -136,7 +151,7 @@ def greedy(docs: DataFrame, id_col: str, text_col: str, late: bool = False, size
     pack = pack_lines_late if late else pack_lines
 
     def rows(text):
-        return [(k, a, z, c) for k, (c, a, z) in enumerate(pack(text or "", size, overlap))]
+        return ((k, a, z, c) for k, (c, a, z) in enumerate(pack(text or "", size, overlap)))
 
     out = _each(docs, id_col, [text_col], rows, "chunk_index bigint, start_line bigint, end_line bigint, chunk string")
     both = F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))
