@@ -76,3 +76,13 @@ def test_lines_that_all_files_share_propose_nothing(spark):
     same = "\n".join(["license"] * 10)
     base, target = [(f"g{i}", f"{same}\nown {i}\nmore of {i}\nand {i} again and again, so that it is half of the file" + "!" * 80) for i in range(60)], [(f"h{i}", f"{same}\nother {i}" + "?" * 120) for i in range(60)]
     check(spark, base, target)
+
+
+def test_groups_of_near_copies_take_few_jobs(spark, monkeypatch):
+    """Ties in a group once went one pair a round, each with tables of its own."""
+    calls, was = [], renames.written
+    monkeypatch.setattr(renames, "written", lambda df, name: calls.append(name) or was(df, name))
+    body = "\n".join(f"shared {i}" for i in range(20))
+    base = [(f"g{i:02}", f"{body}\nold {i:02}") for i in range(25)]
+    check(spark, base, [(f"h{i:02}", f"{body}\nnew {i:02}") for i in range(20)])
+    assert len(calls) < 12

@@ -8,6 +8,7 @@ licence, which stand in every file, propose nothing. Of the pairs the best goes
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,17 +49,44 @@ def similar_pairs(gone: DataFrame, new: DataFrame, path: str, text: str, least:
 def one_to_one(pairs: DataFrame) -> DataFrame:
     """The pairs that a greedy choice takes: best similarity first, then by previous_path and file_path, each file once.
 
-    In rounds: a pair that is the best of both its files is taken, and the pairs of taken files go. A round takes at
-    least the best pair of all that are left, most rounds nearly all.
+    First a pair that is the best of both its files is taken, and the pairs of taken files go. What is left, mostly of
+    groups of near copies, falls into parts that share no file; each part is read in order by one task, which holds the
+    names of its taken files.
     """
-    left, taken = written(pairs, "pairs"), None
     best = lambda c: Window.partitionBy(c).orderBy(F.desc("similarity"), "previous_path", "file_path")
-    while not left.isEmpty():
-        ranked = left.withColumn("_a", F.row_number().over(best("previous_path"))).withColumn("_b", F.row_number().over(best("file_path")))
-        now = written(ranked.where("_a = 1 AND _b = 1").drop("_a", "_b"), "renamed")
-        taken = now if taken is None else taken.unionByName(now)
-        left = written(left.join(now.select("previous_path"), "previous_path", "left_anti").join(now.select("file_path"), "file_path", "left_anti").select(*pairs.columns), "pairs")
-    return left if taken is None else taken
+    all_ = written(pairs, "pairs")
+    ranked = all_.withColumn("_a", F.row_number().over(best("previous_path"))).withColumn("_b", F.row_number().over(best("file_path")))
+    now = written(ranked.where("_a = 1 AND _b = 1").drop("_a", "_b"), "renamed")
+    left = all_.join(now.select("previous_path"), "previous_path", "left_anti").join(now.select("file_path"), "file_path", "left_anti").select(*pairs.columns)
+    order, columns = ["_part", F.desc("similarity"), "previous_path", "file_path"], pairs.columns
+
+    def greedy(batches):
+        part, gone, new = None, set(), set()
+        for b in batches:
+            keep = []
+            for own, p, q in zip(*(b.column(c).to_pylist() for c in ("_part", "previous_path", "file_path")), strict=True):
+                if own != part:
+                    part, gone, new = own, set(), set()
+                free = p not in gone and q not in new
+                keep.append(free)
+                if free:
+                    gone.add(p)
+                    new.add(q)
+            yield b.filter(pa.array(keep, pa.bool_())).select(columns)
+
+    rest = _parts(left).repartition("_part").sortWithinPartitions(*order)
+    return now.unionByName(rest.select("_part", *pairs.columns).mapInArrow(greedy, pairs.schema))
+
+
+def _parts(pairs: DataFrame) -> DataFrame:
+    """Pairs with _part, the least previous_path that can be reached over shared files: names spread until none changes."""
+    now = pairs.withColumn("_part", F.col("previous_path"))
+    while True:
+        least = now.withColumn("_new", F.min("_part").over(Window.partitionBy("file_path")))
+        step = written(least.withColumn("_new", F.min("_new").over(Window.partitionBy("previous_path"))), "parts")
+        if step.where("_new <> _part").isEmpty():
+            return step.drop("_new")
+        now = step.drop("_part").withColumnRenamed("_new", "_part")
 
 
 def diff_similar(base: DataFrame, target: DataFrame, path: str = "path", text: str = "text", least: float = 0.5) -> DataFrame:
