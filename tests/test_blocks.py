@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from trawl.operators import blocks, lexical
@@ -50,3 +51,18 @@ def test_fusion_routed_searches_once(spark, monkeypatch):
         monkeypatch.setattr(search_queries, name, lambda *a, was=was, name=name: calls.append(name) or was(*a))
     search_queries.fusion_routed(spark, "/root/testdata/sf0.001")
     assert calls == ["words_hits", "shape_hits"]
+
+
+@pytest.mark.parametrize("name", ["rrf_fusion", "hybrid_additive", "rrf_by_file"])
+def test_fused_searches_keep_postings_in_their_tasks(spark, name):
+    """A row for each posting of a document would be sorted by task: nothing that makes rows reads documents, only the queries' words."""
+    from trawl.plans import search_queries
+
+    def below(plan):
+        yield plan
+        for i in range(plan.children().size()):
+            yield from below(plan.children().apply(i))
+
+    plan = getattr(search_queries, name)(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    made = [p for p in below(plan) if p.nodeName() == "Generate"]
+    assert not any("doc_id" in p.toString() for p in made)
