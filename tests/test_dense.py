@@ -1,6 +1,9 @@
 """Dense search in blocks against numpy, and the recall of quantised codes."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +82,22 @@ def test_an_index_of_nothing(spark, tmp_path):
     index = dense.quantise(none, "v", "e", f"file://{tmp_path}/none")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "q long, qv array<double>")
     assert dense.quantised_top_k(asked, index, "q", "qv").count() == 0
+
+
+def test_best_of_a_block_copies_no_whole_score_matrix():
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.random((1000, 2000)), 3)  # with ties
+    scores[rng.random(scores.shape) < 0.3] = -np.inf
+    scores[5] = -np.inf
+    ids, own = pa.array(np.arange(2000)), dense._Best(1000, 10)
+    tracemalloc.start()
+    own.add(scores, ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 0.5 * scores.nbytes
+    got = {}
+    for b in own.rows(pa.array(np.arange(1000)), ["q", "v", "s"]):
+        for r in b.to_pylist():
+            got.setdefault(r["q"], []).append((-r["s"], r["v"]))
+    for q in range(1000):
+        assert sorted(got.get(q, []))[:10] == sorted((-x, v) for v, x in enumerate(scores[q].tolist()) if x > -np.inf)[:10]
